@@ -206,7 +206,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
                 if out:
                     yield record_batch(list(map(list, zip(*out, strict=True))), arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, ddl)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -21,10 +21,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from meterline.llm.common import documents, fresh_path, map_columns, record_batch, shuffle_partitions, struct, written
 
 END_ID = 2
-#: White space with the text up to the next white space. In this vocabulary's pre-tokenization no piece goes on from
-#: other text into white space, so the ids of a text are those of its chunks, one after another.
-CHUNK = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: Other characters that count as white space there: a text that holds one is encoded in one piece.
+#: White space with a run of letters (or of bytes over 127), or with all up to the next white space where that begins
+#: otherwise. In this vocabulary's pre-tokenization no piece goes on from other text into white space, nor from a letter
+#: into anything but letters, so the ids of a text are those of its chunks, one after another.
+CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*(?:[A-Za-z\x80-\xff]+|[^ \t\n\r\x0b\x0c]+)|[ \t\n\r\x0b\x0c]+")
+#: Other characters that count as white space there.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -35,34 +36,46 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Texts to ids (little-endian unsigned 32-bit, as bytes). Chunks met before come from a dictionary of up to
-    ``capacity`` chunks; when that is full it is begun anew, which changes speed only."""
+    """UTF-8 texts to ids (little-endian unsigned 32-bit, as bytes). Chunks met before come from a dictionary of up to
+    ``capacity`` chunks; when that is full it is begun anew, which changes speed only. A text with a chunk that might
+    not be cut as said (odd white space; a last character over 127 that isn't a letter) is encoded in one piece."""
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.capacity = capacity
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[bytes, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        e = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+    def _learn(self, chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
+        e = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(e.ids, "<u4").tobytes()
         cut = np.searchsorted(np.array(e.word_ids), np.arange(len(chunks) + 1)).tolist()
         self.ids.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(chunks, cut, cut[1:], strict=False))
+        odd = [c for c, t in zip(chunks, texts, strict=True) if (t[-1] > "\x7f" and not t[-1].isalpha()) or ODD_SPACE.search(t)]
+        self.ids.update(dict.fromkeys(odd))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.ids) > self.capacity:
             self.ids = {}
-        found = [None if ODD_SPACE.search(t or "") else CHUNK.findall(t or "") for t in texts]
-        if missing := {c for chunks in found if chunks for c in chunks} - self.ids.keys():
-            self._learn(list(missing))
+        find = CHUNK.findall
+        found = [find(t or b"") for t in texts]
+        known = self.ids
+        if missing := [c for c in set().union(*found) if c not in known]:
+            self._learn(missing)
         get = self.ids.__getitem__
-        return [self.whole(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, found, strict=True)]
+        out = []
+        for t, chunks in zip(texts, found, strict=True):
+            try:
+                out.append(b"".join(map(get, chunks)))
+            except TypeError:
+                out.append(self.whole(t.decode()))
+        return out
 
 
 # -- files: independent zstandard frames, a document directory, and a trailing seek table --------------------------
@@ -157,7 +170,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     renames, so a task run again leaves the same file. Other columns are ignored; an empty table gives no file.
     """
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     ddl = "shard int, path string, n_docs long, n_tokens long"
     arrow, end = to_arrow_schema(struct(ddl)), st.pack("<I", end_id)
 
@@ -217,7 +230,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         encode = Encoder(vocabulary)
         return lambda doc_id, text: [doc_id, [x + end for x in encode(text)]]
 
-    return map_columns(docs.select("doc_id", "text"), make, "doc_id long, ids binary")
+    return map_columns(docs.select("doc_id", F.col("text").cast("binary")), make, "doc_id long, ids binary")
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
