@@ -83,6 +83,7 @@ def similar_sets(members: DataFrame, keys: list[str], threshold: float, tile: in
         found = [(node[i], node[j]) for i, j in sets_links(sets, threshold)]
         return to_table([list(x) for x in zip(*found, strict=True)] or [[], []], arrow)
 
+    members = written(members, "sets")  # both their sizes and their tiles are read from it
     return tiled(members, keys, tile).groupBy(*keys, "pair").applyInArrow(links, ddl)
 
 
