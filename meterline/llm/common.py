@@ -155,3 +155,12 @@ def filter_rows(docs: DataFrame, make) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(kept.columns, schema=arrow)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``df`` with a long ``name`` that differs for each row and is the same whenever the result is read: the hash of
+    ``columns`` where that tells all rows apart (nothing is written), else a number in a written copy of the table."""
+    key = F.xxhash64(*columns)
+    if df.groupBy(key.alias(name)).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():
+        return df.withColumn(name, key)
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")

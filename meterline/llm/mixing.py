@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.common import documents, written
+from meterline.llm.common import documents, numbered, written
 
 #: The golden ratio's fraction in units of 2^-31: its multiples modulo 1 in whole numbers that no product overflows.
 GOLDEN, UNIT, CELLS = 1327217885, 1 << 31, 4096
@@ -122,7 +122,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     such a column, follows the text."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: names[i] for i, c in enumerate(docs.columns)}
-    rows = written(docs.toDF(*names).withColumn("a_row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(docs.toDF(*names), [at[c] for c in ("doc_id", "source", "text")], "a_row")
     sized, plan = mix_sources(rows.select("a_row", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text"))), **options)
     taken = plan.groupBy("a_row").agg(F.sum("n_words").alias("taken")).join(sized.select("a_row", "size"), "a_row")
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))

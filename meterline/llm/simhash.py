@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meterline.llm.common import WordHashes, documents, map_columns, mix, shingle_hashes, struct, words, written
+from meterline.llm.common import WordHashes, documents, map_columns, mix, numbered, shingle_hashes, struct, words, written
 from meterline.llm.links import Joined, components, similar_sets, tiled, to_table
 
 TILE = 512
@@ -196,7 +196,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8) -> Dat
     at = {c: i for i, c in enumerate(docs.columns)}
     kept = docs.toDF(*names)
     order = F.col(names[at["doc_id"]])
-    kept = written(kept.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = numbered(kept, [names[at["doc_id"]], names[at["text"]]], "_row")
     rows = kept.select("_row", order.alias("doc_id"), F.col(names[at["text"]]).alias("text"))
     found = near_copies(rows.select(F.col("_row").alias("node"), "text"), k, threshold)
     found = found.join(rows.select(F.col("_row").alias("node"), "doc_id"), "node")
