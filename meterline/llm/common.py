@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in sorted buckets by ``key``: grouping and joining by it shuffle no more."""
+    spark = df.sparkSession
+    path, n = fresh_path(spark, name), shuffle_partitions(spark)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meterline.llm.common import documents, map_columns, record_batch, remainder_is, struct, words, written
+from meterline.llm.common import documents, map_columns, record_batch, remainder_is, struct, words, written, written_by
 
 DEPTH = 5
 END = b"\n"
+#: Grams of texts are held up to this number, or that of the distinct ones before, until they are merged.
+MERGE = 4_000_000
 LN2, LN10 = math.log(2.0), math.log(10.0)
 #: Words' keys carry bit 62; those of grams are below 2^(8 DEPTH + 8).
 WORD_BIT = 1 << 62
@@ -146,21 +148,28 @@ def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bincount(where, n, len(key)).astype(np.int64)
 
 
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _tally(*map(np.concatenate, zip(*parts, strict=True)))
+
+
 def chunk_keys(docs: DataFrame) -> DataFrame:
     """(chunk, key, n): each chunk's distinct grams and words, and how often they stand in its training texts."""
     ddl = "chunk long, key long, n long"
     arrow = to_arrow_schema(struct(ddl))
 
     def run(key, table):
-        parts, counts = [], {}
+        whole, parts, waiting, counts = _tally(np.zeros(0, np.int64), np.zeros(0)), [], 0, {}
         for doc_id, text in zip(*_split(table), strict=True):
             g, w = text_grams(text)
             train = is_training(doc_id)
-            parts.append(np.unique(g << 1 | train, return_counts=True))
+            g, n = np.unique(g, return_counts=True)
+            parts.append((g, n * train))
+            waiting += len(g)
             for x in w:
                 counts[x] = counts.get(x, 0) + train
-        both = np.concatenate([p for p, _ in parts])
-        grams, n = _tally(both >> 1, np.concatenate([c for _, c in parts]) * (both & 1))
+            if waiting > max(MERGE, len(whole[0])):
+                whole, parts, waiting = _merge([whole, *parts]), [], 0
+        grams, n = _merge([whole, *parts])
         w = np.fromiter(map(word_key, counts), np.int64, len(counts))
         keys, n = np.concatenate([grams, w]), np.concatenate([n, np.fromiter(counts.values(), np.int64, len(counts))])
         return pa.Table.from_batches([record_batch([np.full(len(keys), key[0].as_py()), keys, n], arrow)])
@@ -200,7 +209,7 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return map_columns(tree.where("key >= 0").select("key", "mixed"), make, "key long, value double", rows=10_000)
 
 
-def score_documents(docs: DataFrame, chunk_chars: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame:
     """Scores of every whole text; see ``op10``. Learning texts are those whose crc32(doc_id as text) mod 5 isn't 1.
 
     Null texts are empty (their end alone); a null id counts as the empty text's crc32; repeated rows each count and
@@ -210,7 +219,7 @@ def score_documents(docs: DataFrame, chunk_chars: int = 12_000_000) -> DataFrame
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-chars // chunk_chars))
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
-    keys = written(chunk_keys(docs), "chunk-keys")
+    keys = written_by(chunk_keys(docs), "key", "chunk-keys")
     totals = written(keys.groupBy("key").agg(F.sum("n").alias("n")), "key-totals")
     is_word = F.col("key") >= WORD_BIT
     n_tokens, n_types = totals.where(is_word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
