@@ -155,3 +155,39 @@ def compaction_recovery(df: DataFrame, clusters: DataFrame, refill: float = 0.8)
     k = k.join(back, ["source", "cluster"]).where("back_us is null or us <= back_us")
     n = k.groupBy("source", "cluster").agg(F.count("*").alias("requests"), F.min("back_us").alias("back_us"))
     return b.join(n, ["source", "cluster"], "left").select("source", "cluster", "before", "after", share(F.col("before") - F.col("after"), F.col("before")).alias("shrink"), F.coalesce("requests", F.lit(0)).alias("requests"), F.col("back_us").isNotNull().alias("recovered"))
+
+
+def _stretches(intervals: DataFrame, keys: list[str], slot: int = 6 * 3_600_000_000) -> DataFrame:
+    """Each interval with the stretches in it where two or more are alive. A stretch begins within each interval that
+    holds it, so they meet by the slot of that instant."""
+    s = sweep(intervals, keys).where("alive > 1").withColumn("slot", F.floor(F.col("at") / slot))
+    i = intervals.where("end > start").withColumn("slot", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor((F.col("end") - 1) / slot))))
+    return i.join(s, [*keys, "slot"]).where("start <= at and at < end").drop("slot")
+
+
+def overlap_intervals(intervals: DataFrame, keys: list[str], who: str) -> DataFrame:
+    """The stretches with two or more members alive, and who they are."""
+    d = _stretches(intervals, keys).groupBy(*keys, "at", "until", "alive").agg(F.array_sort(F.collect_list(who)).alias("who"))
+    return d.select(*keys, F.col("at").alias("start"), F.col("until").alias("end"), F.col("alive").alias("members"), F.array_join(F.transform("who", lambda x: x.cast("string")), ",").alias("who"))
+
+
+def agent_overlap(intervals: DataFrame, keys: list[str], who: str = "source") -> DataFrame:
+    """Of each interval, the time shared with any other member's (their union), and its fraction."""
+    by = [*keys, who, "start", "end"]
+    shared = _stretches(intervals, keys).groupBy(*by).agg(F.sum(F.col("until") - F.col("at")).alias("overlap_us"))
+    d = intervals.select(*by).join(shared, by, "left").withColumn("overlap_us", F.coalesce("overlap_us", F.lit(0)))
+    return d.withColumn("fraction", share(F.col("overlap_us"), F.col("end") - F.col("start")))
+
+
+def exposure_by_children(df: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests by the number of children alive, both ends of a child's interval included."""
+    d = alive_at(df, intervals, keys, "us", closed=True)
+    return d.groupBy(*keys, F.col("alive").alias("children")).agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("output")).alias("tokens"))
+
+
+def recent_families(df: DataFrame, family: str, span_us: int) -> DataFrame:
+    """Families active within ``span_us`` of the newest row of all, the latest first."""
+    f = df.groupBy(family).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("requests"))
+    newest = df.agg(F.max("us")).first()[0]
+    recent = f.where(F.col("last_us") >= (newest or 0) - span_us)
+    return recent.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_us"), family)))

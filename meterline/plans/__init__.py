@@ -1,0 +1,3 @@
+"""Query registries; importing this package fills them."""
+
+from meterline.plans import registry, reviewing  # noqa: F401
