@@ -190,4 +190,22 @@ def recent_families(df: DataFrame, family: str, span_us: int) -> DataFrame:
     f = df.groupBy(family).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("requests"))
     newest = df.agg(F.max("us")).first()[0]
     recent = f.where(F.col("last_us") >= (newest or 0) - span_us)
-    return recent.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_us"), family)))
+    return recent.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_us"), family)).cast("long"))
+
+
+def after_completion(df: DataFrame, ends: DataFrame) -> DataFrame:
+    """Requests of each source strictly after its declared end (source, end_us)."""
+    d = df.join(ends, "source").where(F.col("us") > F.col("end_us"))
+    return d.groupBy("source").agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("output")).alias("tokens"))
+
+
+def carry_in_rows(df: DataFrame, start: int, end: int) -> DataFrame:
+    """Rows in [start, end) of the sources that began before it."""
+    began = df.groupBy("source").agg(F.min("us").alias("_first")).where(F.col("_first") < start)
+    return df.where((F.col("us") >= start) & (F.col("us") < end)).join(began, "source", "left_semi")
+
+
+def local_ids(sessions: DataFrame, keys: list[str], prefix: str = "agent") -> DataFrame:
+    """``local_id``: ``agent-001`` and so on within a report, by first activity, then source."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("first_us", "source"))
+    return sessions.withColumn("local_id", F.format_string(f"{prefix}-%03d", n))
