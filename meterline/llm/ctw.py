@@ -123,12 +123,11 @@ class Top:
 def text_grams(text: str | None) -> tuple[np.ndarray, list[bytes]]:
     """A text's grams (int64: DEPTH context bytes, then the byte), and its words."""
     w = words(text)
-    body = END * DEPTH + b" ".join(w) + (b" " if w else b"") + END
-    b = np.frombuffer(body, np.uint8).astype(np.int64)
-    g = np.zeros(len(b) - DEPTH, np.int64)
-    for k in range(DEPTH + 1):
-        g = (g << 8) | b[k : len(b) - DEPTH + k]
-    return g, [*w, END]
+    spare = 7 - DEPTH
+    body = END * DEPTH + b" ".join(w) + (b" " if w else b"") + END + bytes(spare)
+    # eight bytes from each place on, of which the last ones are too many
+    eight = np.ndarray(len(body) - 7, ">u8", body, 0, (1,))
+    return (eight.astype(np.uint64) >> np.uint64(8 * spare)).view(np.int64), [*w, END]
 
 
 def word_key(word: bytes) -> int:
@@ -240,6 +239,7 @@ def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame
         ends, base = [], np.log10
         for i, t in zip(doc_id, text, strict=True):
             g, w = text_grams(t)
+            g.sort()  # near keys are looked up one after the other
             rows.append([i, len(w), float(value[np.searchsorted(key, g)].sum())])
             of_word += [number.setdefault(x, len(number)) for x in w]
             ends.append(len(of_word))
