@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.common import WordHashes, documents, map_columns, mix, shingle_hashes, words, written
+from meterline.llm.common import WordHashes, documents, map_columns, mix, numbered, shingle_hashes, words, written
 from meterline.llm.links import components, similar_sets
 from meterline.llm.minhash import bands_for, permutations
 
@@ -171,7 +171,5 @@ def _cut(text, cuts):
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    # ids are unique in the table; the row number only has to be the same in both readings
-    docs = docs.withColumn("row", F.coalesce("doc_id", "row"))
-    return repeated_passages(docs).drop("row")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return repeated_passages(numbered(docs, ["doc_id", "text"], "row")).drop("row")

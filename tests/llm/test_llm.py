@@ -116,6 +116,21 @@ def test_passages(spark, docs, empty):
     assert rows(passages.remove_passages(empty)) == [] and passages.remove_passages(docs).count() == docs.count()
 
 
+def test_op3_repeated_and_null_ids(spark, tmp_path):
+    r = random.Random(4)
+    some = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    same, once = some(200), some(300)
+    texts = [(7, same), (7, some(100) + same), (0, once), (None, once), (None, some(120)), (9, some(150)), (9, once), (9, once)]
+    spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = rows(passages.op3_passages(spark, str(tmp_path)))
+    removed = Counter(f[0] for f in found if f[4])
+    assert set(removed) == {7, 9, None} and {f[0] for f in found if not f[4]} == {7, 0}
+    words_out = Counter()
+    for f in found:
+        words_out[f[0], f[3], f[4]] += f[2]
+    assert words_out[7, 7, True] > 150 and words_out[None, 0, True] > 250 and words_out[9, 0, True] > 500
+
+
 # 4
 
 
