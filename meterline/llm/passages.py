@@ -1,154 +1,201 @@
-"""Passages that repeat across documents: MinHash banding over paragraphs, exact Jaccard, components, removals.
+"""Passages that repeat across documents: MinHash keys of sliding paragraphs, word-by-word alignment, removals.
 
-Lines don't show where a pasted passage begins, so paragraphs are cut by content: a boundary follows a word whose hash
-(with the next word's) is the least among its REACH neighbours on both sides. The cut depends on these words alone;
-copies of a passage are therefore cut alike wherever they stand, but for a part of a paragraph at either end.
+Lines don't show where a pasted passage begins, so each stretch of WINDOW seeds (shingles of SEED words) is a paragraph,
+and its key is the seed with the least hash (a MinHash of one permutation). Any 25 words that two rows share hold a whole
+paragraph and so a common key, wherever they stand. Keys only propose places; what repeats is found by comparing words.
 """
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.common import WordHashes, documents, map_columns, mix, numbered, shingle_hashes, words, written
-from meterline.llm.links import components, similar_sets
-from meterline.llm.minhash import bands_for, permutations
+from meterline.llm.common import MIX, WordHashes, documents, map_columns, mix, numbered, words, written
 
-WORDS, THRESHOLD, REACH, LEAST, RUN = 5, 0.8, 6, 4, 16
+SEED, WINDOW, RUN = 16, 10, 16
 
 
-def paragraphs(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """First words of the paragraphs (and the number of words, last) of a text with these word hashes."""
-    n = len(h)
-    if n < 2:
-        return np.array([0, n])
-    two = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    low = np.ones(len(two), bool)
-    for o in range(1, min(reach, len(two) - 1) + 1):
-        low[o:] &= two[o:] < two[:-o]
-        low[:-o] &= two[:-o] <= two[o:]
-    cut = np.flatnonzero(low) + 1
-    return np.concatenate(([0], cut, [n]))
+def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """``pick`` (np.minimum or np.maximum) over each ``n`` neighbours."""
+    size = 1
+    while size * 2 <= n:
+        x, size = pick(x[:-size], x[size:]), size * 2
+    return pick(x[: len(x) - (n - size)], x[n - size :]) if size < n else x
 
 
-def paragraph_sets(h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words, start, shingle hashes): paragraphs with at least ``LEAST`` distinct shingles; each one's
-    sorted distinct hashes are those from its start to the next start."""
-    cut = paragraphs(h)
-    none = np.empty(0, np.int64)
+def seeds(h: np.ndarray, starts: np.ndarray, k: int = SEED, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the seeds of a text with these word hashes: of each ``window`` neighbouring shingles of
+    ``k`` words the one with the least hash (all of a text with fewer are one window), and those at ``starts``. Of equal
+    neighbours (one word over and over) only the first is taken."""
     if len(h) < k:
-        return none, none, np.zeros(1, np.int64), np.empty(0, np.uint64)
-    s = shingle_hashes(h, k)
-    of = np.searchsorted(cut, np.arange(len(s)), side="right") - 1
-    inside = np.arange(len(s)) + k <= cut[of + 1]
-    of, s = of[inside], s[inside]
-    order = np.lexsort((s, of))
-    of, s = of[order], s[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (of[1:] != of[:-1]) | (s[1:] != s[:-1])
-    of, s = of[new], s[new]
-    count = np.bincount(of, minlength=len(cut) - 1)
-    keep = count >= LEAST
-    s = s[keep[of]]
-    start = np.concatenate(([0], np.cumsum(count[keep])))
-    at = np.flatnonzero(keep)
-    return at, np.stack([cut[at], cut[at + 1] - cut[at]]), start, s
-
-
-def paragraph_rows(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(row, doc_id, no, first_word, n_words, node, keys): a row for each paragraph; ``node`` stands for its set of
-    shingles, ``keys`` are the band keys of its MinHash signature."""
-    a, b = permutations(bands * rows)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    s, size = h, 1
+    while size < k:
+        step = min(size, k - size)
+        s, size = s[:-step] * MIX[0] + mix(s[step:]), size + step
+    s = mix(s)
+    if len(s) <= window:
+        take = s == s.min()
+    else:
+        low = _sliding(s, window, np.minimum)
+        pad = np.zeros(window - 1, np.uint64)
+        take = _sliding(np.concatenate((pad, low, pad)), window, np.maximum) == s
+    take[starts[starts < len(s)]] = True
+    take[1:] &= s[1:] != s[:-1]
+    at = np.flatnonzero(take)
+    return at, s[at]
+
+
+def line_starts(text: str | None) -> np.ndarray:
+    """Number of the first word of each line of ``text``."""
+    n = [len(line.split()) for line in (text or "").encode().split(b"\n")]
+    return np.cumsum([0, *n[:-1]])
+
+
+def seed_rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, at, seed): the seeds of each text."""
 
     def make():
         seen = WordHashes()
 
         def fn(row, doc_id, text):
-            out = [[] for _ in range(6)]
-            keys = []
-            for r, i, t in zip(row, doc_id, text, strict=True):
-                no, where, start, s = paragraph_sets(seen.of(words(t)), k)
-                m = len(no)
-                if not m:
-                    continue
-                sums = np.add.reduceat(mix(s), start[:-1]) * np.uint64(0x9E3779B97F4A7C15) + np.diff(start).astype(np.uint64)
-                key = np.zeros((m, bands), np.uint64)
-                for j in range(bands):
-                    for q in range(rows):
-                        low = np.minimum.reduceat(mix(s * a[j * rows + q] + b[j * rows + q]), start[:-1])
-                        key[:, j] = mix(key[:, j] * np.uint64(0x9E3779B97F4A7C15) + low + np.uint64(j))
-                for c, x in zip(out, ([r] * m, [i] * m, no.tolist(), where[0].tolist(), where[1].tolist(), sums.view(np.int64).tolist()), strict=True):
-                    c += x
-                keys += key.view(np.int64).tolist()
-            return [*out, keys] if keys else None
+            ats, hs, n = [], [], []
+            for t in text:
+                at, h = seeds(seen.of(words(t)), line_starts(t))
+                ats.append(at)
+                hs.append(h)
+                n.append(len(at))
+            if not sum(n):
+                return None
+            rows = pa.array(row, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            ids = pa.array(doc_id, pa.int64()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            return [rows, ids, pa.array(np.concatenate(ats).astype(np.int32)), pa.array(np.concatenate(hs).view(np.int64))]
 
         return fn
 
-    ddl = "row long, doc_id long, no int, first_word int, n_words int, node long, keys array<long>"
-    return map_columns(docs.select("row", "doc_id", "text"), make, ddl)
+    return map_columns(docs.select("row", "doc_id", "text"), make, "row long, doc_id long, at int, seed long")
 
 
-def paragraph_items(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, items): the shingle sets of the paragraphs ``wanted`` (row, nos: array, nodes: array)."""
+def word_rows(docs: DataFrame) -> DataFrame:
+    """(row, words): the texts as 32-bit hashes of their words (binary)."""
 
     def make():
         seen = WordHashes()
+        return lambda row, text: [row, [seen.of(words(t)).astype(np.uint32).tobytes() for t in text]]
 
-        def fn(text, nos, nodes):
-            out, items = [], []
-            for t, no, node in zip(text, nos, nodes, strict=True):
-                at, _, start, s = paragraph_sets(seen.of(words(t)), k)
-                for x, n in zip(np.searchsorted(at, no).tolist(), node, strict=True):
-                    out.append(n)
-                    items.append(s[start[x] : start[x + 1]].tobytes())
-            return [out, items]
+    return map_columns(docs.select("row", "text"), make, "row long, words binary")
+
+
+def blocks(h: np.ndarray, g: np.ndarray, at: list[int], first_at: list[int]) -> list[tuple[int, int, int]]:
+    """(first word in ``h``, in ``g``, words): the longest equal stretches through the pairs of places, by place in ``h``."""
+    out, done = [], {}  # done: where the last stretch on each diagonal ends
+    for a, f in sorted(zip(at, first_at, strict=True)):
+        if a < done.get(a - f, 0):
+            continue
+        m, n = min(a, f), min(len(h) - a, len(g) - f)
+        left = _equal(h[a - m : a][::-1], g[f - m : f][::-1])
+        right = _equal(h[a : a + n], g[f : f + n])
+        if right:
+            out.append((a - left, f - left, left + right))
+            done[a - f] = a + right
+    return sorted(out)
+
+
+def _equal(x: np.ndarray, y: np.ndarray) -> int:
+    """How many leading values are equal."""
+    lo, size = 0, 64
+    while lo < len(x):
+        differ = np.flatnonzero(x[lo : lo + size] != y[lo : lo + size])
+        if len(differ):
+            return lo + int(differ[0])
+        lo, size = lo + size, size * 4
+    return len(x)
+
+
+def spans(h: np.ndarray, g: np.ndarray, at: list[int], first_at: list[int]) -> list[tuple[int, int, int, int]]:
+    """(first word in ``h``, words, first word in ``g``, words): what the two texts share through these places."""
+    return [(a, n, f, n) for a, f, n in blocks(h, g, at, first_at)]
 
-        return fn
 
-    return map_columns(docs.join(wanted, "row").select("text", "nos", "nodes"), make, "node long, items binary")
+def matches(pairs: DataFrame, hashes: DataFrame, run_words: int) -> DataFrame:
+    """(row, first_word, n_words, other, own): the spans of ``pairs`` (row, first, at: array, first_at: array) of at least
+    ``run_words`` words; for each also the place in ``first`` (``own``)."""
 
+    def make():
+        def fn(row, first, at, first_at, own, others):
+            out = []
+            for r, i, a, f, h, g in zip(row, first, at, first_at, own, others, strict=True):
+                for x, n, y, m in spans(np.frombuffer(h, np.uint32), np.frombuffer(g, np.uint32), a, f):
+                    if n >= run_words:
+                        out += [(r, x, n, i, False), (i, y, m, i, True)]
+            return [list(c) for c in zip(*out, strict=True)] if out else None
 
-def repeated_passages(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, bands: int = 3, run_words: int = RUN) -> DataFrame:
-    """(row, doc_id, first_word, n_words, first_doc_id, removed): runs of paragraphs that repeat across rows of ``docs``
-    (row: long, unique; doc_id; text), with the smallest doc_id where they stand; ``removed`` is false for that one.
+        return fn
 
-    Bands hold the most rows that keep the chance to miss a pair at ``threshold`` under 1% (three bands of one hash:
-    0.8%). Colliding paragraphs are verified by exact Jaccard and joined to components; equal ones are one node
-    beforehand. Paragraphs under ``LEAST`` distinct shingles (short ones; one word over and over) tell nothing and are
-    left out, as are repeats within one row, and runs of paragraphs under ``run_words`` words. (A passage of 60 words
-    holds whole paragraphs of 16 words or more 98.8 times in 100, one of 51 words 95 times.) Null and empty texts give no rows; null ids come after all others; equal
-    rows are repeats of each other, and the one with the smallest row number stays.
+    both = pairs.join(hashes.select(F.col("row").alias("first"), F.col("words").alias("others")), "first").join(hashes, "row")
+    return map_columns(both.select("row", "first", "at", "first_at", "words", "others"), make, "row long, first_word int, n_words int, other long, own boolean", rows=64)
+
+
+def apart(found: list[tuple[int, int, bool, int]], run_words: int) -> list[tuple[int, int, bool, int]]:
+    """(first word, words, own, other) of one row without overlaps: removed spans (not ``own``) by place, each without the
+    words of those before it; then the row's own spans, joined, without the words of all removed ones."""
+    out, end = [], 0
+    for a, n, _, other in sorted((x for x in found if not x[2]), key=lambda x: (x[0], -x[1])):
+        if a + n > end:
+            out.append((max(a, end), a + n - max(a, end), False, other))
+            end = a + n
+    taken, last, own = list(out), 0, []
+    for a, n, _, other in sorted(x for x in found if x[2]):
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], a + n)
+        else:
+            own.append([a, a + n, other])
+    for a, e, other in own:
+        while last < len(taken) and taken[last][0] + taken[last][1] <= a:
+            last += 1
+        i = last
+        while a < e:
+            stop = min(e, taken[i][0]) if i < len(taken) else e
+            if stop - a >= run_words:
+                out.append((a, stop - a, True, other))
+            if i == len(taken):
+                break
+            a, i = max(a, taken[i][0] + taken[i][1]), i + 1
+    return sorted(out)
+
+
+def repeated_passages(docs: DataFrame, run_words: int = RUN) -> DataFrame:
+    """(row, doc_id, first_word, n_words, first_doc_id, removed): spans of words that repeat across rows of ``docs``
+    (row: long, unique; doc_id; text), with the first doc_id where they stand; ``removed`` is false for that one.
+
+    Each seed is compared with the row of the smallest doc_id that holds it: from there the words of both are compared to
+    the left and right as far as they are equal. Repeats of 25 words, or of a whole line, are always found, shorter ones
+    by chance, under ``run_words`` (at least ``SEED``) none. Spans of a row don't overlap; where several first rows
+    share parts of a passage, the parts follow each other. Repeats within one row are left out. Null and empty texts give
+    no rows; null ids come after all others; equal rows are repeats of each other, and the one with the smallest row
+    number stays.
     """
-    n, rows = bands_for(bands, threshold, 0.99)
-    para = written(paragraph_rows(docs, k, n, rows), "paragraphs")
-    spots = para.groupBy("node").agg(F.min("row").alias("low"), F.max("row").alias("high"))
-    twice = written(spots.where("low < high").select("node"), "repeated-nodes")
-    # near copies: bands that two different nodes share
-    keys = para.select(F.explode("keys").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = written(shared.select("key"), "shared-bands")
-    met = written(keys.join(shared, "key").distinct(), "met")
-    nodes = met.select("node").distinct()
-    where = para.join(nodes, "node").groupBy("node").agg(F.min(F.struct("row", "no")).alias("at"))
-    wanted = where.groupBy(F.col("at.row").alias("row")).agg(F.sort_array(F.collect_list(F.struct(F.col("at.no").alias("no"), "node"))).alias("all"))
-    wanted = wanted.select("row", F.col("all.no").alias("nos"), F.col("all.node").alias("nodes"))
-    items = paragraph_items(docs.select("row", "text"), wanted, k)
-    links = similar_sets(met.join(items, "node"), ["key"], threshold)
-    linked = written(components(links), "near-paragraphs")
-    every = linked.select("node", F.col("component").alias("group"))
-    every = every.unionByName(twice.join(linked, "node", "left_anti").select("node", F.col("node").alias("group")))
-    spots = para.drop("keys").join(every, "node")
-    spots = written(spots.select("row", "doc_id", "no", "first_word", "n_words", "group"), "repeats")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")
-    first = spots.groupBy("group").agg(F.min(place).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high")
-    spots = spots.join(first.select("group", "first"), "group")
-    in_row = Window.partitionBy("row").orderBy("no")
-    gap = F.coalesce(F.col("no") != F.lag("no").over(in_row) + 1, F.lit(True))
-    spots = spots.withColumn("stretch", F.sum(gap.cast("int")).over(in_row))
-    spots = spots.withColumn("all_words", F.sum("n_words").over(Window.partitionBy("row", "stretch"))).where(F.col("all_words") >= run_words)
-    new = (F.col("stretch") != F.lag("stretch").over(in_row)) | (F.col("first.row") != F.lag("first.row").over(in_row))
-    spots = spots.withColumn("run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(in_row))
-    runs = spots.groupBy("row", "run").agg(F.first("doc_id").alias("doc_id"), F.min("first_word").alias("first_word"), F.sum("n_words").cast("int").alias("n_words"), F.first("first").alias("first"))
-    return runs.select("row", "doc_id", "first_word", "n_words", F.col("first.doc_id").alias("first_doc_id"), (F.col("first.row") != F.col("row")).alias("removed"))
+    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "at")
+    first = F.min(place).over(Window.partitionBy("seed"))
+    hits = seed_rows(docs).withColumn("to", first).where("to.row <> row")
+    pairs = hits.groupBy("row", F.col("to.row").alias("first")).agg(F.collect_list(F.struct("at", F.col("to.at").alias("first_at"))).alias("all"))
+    pairs = written(pairs.select("row", "first", F.col("all.at").alias("at"), F.col("all.first_at").alias("first_at")), "pairs")
+    needed = pairs.select("row").unionByName(pairs.select(F.col("first").alias("row"))).distinct()
+    hashes = written(word_rows(docs.join(needed, "row", "left_semi")), "words")
+    found = matches(pairs, hashes, run_words).distinct()
+    found = found.groupBy("row").agg(F.collect_list(F.struct("first_word", "n_words", "own", "other")).alias("all"))
+
+    def make():
+        def fn(row, all):
+            out = [(r, *x) for r, every in zip(row, all, strict=True) for x in apart([tuple(e.values()) for e in every], run_words)]
+            return [list(c) for c in zip(*out, strict=True)] if out else None
+
+        return fn
+
+    runs = written(map_columns(found, make, "row long, first_word int, n_words int, own boolean, other long"), "runs")
+    ids = docs.select("row", "doc_id")
+    runs = runs.join(ids, "row").join(ids.select(F.col("row").alias("other"), F.col("doc_id").alias("first_doc_id")), "other")
+    return runs.select("row", "doc_id", "first_word", "n_words", "first_doc_id", (~F.col("own")).alias("removed"))
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:

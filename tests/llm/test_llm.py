@@ -131,6 +131,26 @@ def test_op3_repeated_and_null_ids(spark, tmp_path):
     assert words_out[7, 7, True] > 150 and words_out[None, 0, True] > 250 and words_out[9, 0, True] > 500
 
 
+def planted_at(spark, pairs, before=60):
+    """(first_word, n_words, removed) by doc_id, of pairs of passages (word lists) with foreign words on both sides."""
+    r = random.Random(6)
+    some = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
+    texts = [" ".join(some(before) + list(p) + some(60)) for pair in pairs for p in pair]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {}
+    for _, i, a, n, first, removed in rows(passages.repeated_passages(df.selectExpr("doc_id as row", "doc_id", "text"))):
+        assert first == i - i % 2 and removed == (i % 2 == 1)
+        out.setdefault(i, []).append((a, n, removed))
+    return out
+
+
+def test_exact_passages_are_found_whole(spark):
+    r = random.Random(5)
+    same = [["".join(r.choices("abcdefgh", k=6)) for _ in range(n)] for n in (25, 40, 51, 60) for _ in range(50)]
+    found = planted_at(spark, [(p, p) for p in same])
+    assert all(found.get(2 * i + j) == [(60, len(p), j == 1)] for i, p in enumerate(same) for j in (0, 1))
+
+
 # 4
 
 
