@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from meterline.llm.common import MIX, WordHashes, documents, map_columns, mix, numbered, words, written
 
 SEED, WINDOW, RUN = 16, 10, 16
+WORDS, THRESHOLD, REACH = 5, 0.8, 16
 
 
 def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
@@ -87,18 +88,19 @@ def word_rows(docs: DataFrame) -> DataFrame:
 
 
 def blocks(h: np.ndarray, g: np.ndarray, at: list[int], first_at: list[int]) -> list[tuple[int, int, int]]:
-    """(first word in ``h``, in ``g``, words): the longest equal stretches through the pairs of places, by place in ``h``."""
-    out, done = [], {}  # done: where the last stretch on each diagonal ends
+    """(first word in ``h``, in ``g``, words): the longest equal stretches through the pairs of places, by place in ``h``.
+    Seeds inside a stretch before them are passed over (a line over and over meets itself at any distance)."""
+    out, end = [], 0
     for a, f in sorted(zip(at, first_at, strict=True)):
-        if a < done.get(a - f, 0):
+        if a + SEED <= end:
             continue
         m, n = min(a, f), min(len(h) - a, len(g) - f)
         left = _equal(h[a - m : a][::-1], g[f - m : f][::-1])
         right = _equal(h[a : a + n], g[f : f + n])
         if right:
             out.append((a - left, f - left, left + right))
-            done[a - f] = a + right
-    return sorted(out)
+            end = max(end, a + right)
+    return out
 
 
 def _equal(x: np.ndarray, y: np.ndarray) -> int:
@@ -112,9 +114,96 @@ def _equal(x: np.ndarray, y: np.ndarray) -> int:
     return len(x)
 
 
+def resumed(h: np.ndarray, g: np.ndarray, a: int, f: int, k: int = WORDS, reach: int = REACH):
+    """(first word in ``h``, in ``g``, words): the equal stretches of at least ``k`` words that follow each other from
+    these places on, each within ``reach`` words of the one before, one after the other."""
+    while True:
+        same = h[a : a + reach, None] == g[None, f : f + reach]
+        if min(same.shape) < k:
+            return
+        run = same[: len(same) - k + 1, : same.shape[1] - k + 1].copy()
+        for o in range(1, k):
+            run &= same[o : len(same) - k + 1 + o, o : same.shape[1] - k + 1 + o]
+        x, y = np.nonzero(run)
+        if not len(x):
+            return
+        i = int(np.argmin(x + y))
+        a, f = a + int(x[i]), f + int(y[i])
+        m = min(len(h) - a, len(g) - f)
+        n = _equal(h[a : a + m], g[f : f + m])
+        yield a, f, n
+        a, f = a + n, f + n
+
+
+def chains(found: list[tuple[int, int, int]], k: int = WORDS) -> list[list[tuple[int, int, int]]]:
+    """Stretches in sequences that go forward in both texts, each after the nearest; words that overlap stay with the first."""
+    out = []
+    for a, f, n in sorted(found):
+        best = None
+        for c in out:
+            x, y, m = c[-1]
+            over = max(x + m - a, y + m - f, 0)
+            if n - over >= k and a >= x and f >= y:
+                cost = (over, a + f - x - y - 2 * m)
+                if best is None or cost < best[0]:
+                    best = cost, c, over
+        if best is None:
+            out.append([(a, f, n)])
+        else:
+            _, c, over = best
+            c.append((a + over, f + over, n - over))
+    return out
+
+
+def joined(chain: list[tuple[int, int, int]], k: int = WORDS, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
+    """(first word, words, first word in the other text, words): the longest part of the chain whose two sides have a
+    Jaccard similarity of aligned ``k``-word shingles at or over ``threshold``, then the same of what is before and after.
+
+    With S common shingles and sides of L and M words it is S / (L + M - 2 (k - 1) - S), so the test is whether
+    (1 + threshold) S - threshold (L + M - 2 (k - 1)) is at least 0, a sum over the stretches and the gaps between them.
+    """
+    out, todo = [], [(0, len(chain))]
+    value = [(1 + threshold) * (n - k + 1) - threshold * 2 * n for _, _, n in chain]
+    gap = [0.0] + [threshold * (a + f - x - y - 2 * m) for (x, y, m), (a, f, _) in zip(chain, chain[1:], strict=False)]
+    free = threshold * 2 * (k - 1) + 1e-9
+    while todo:
+        lo, hi = todo.pop()
+        if lo >= hi:
+            continue
+        sums, at, low = [], 0.0, []  # low: starts that are cheaper than all before them
+        for i in range(lo, hi):
+            at += value[i] - gap[i]
+            sums.append(at)
+            if not low or at - value[i] < low[-1][0]:
+                low.append((at - value[i], i))
+        best = (-1, lo, lo)
+        for j in range(hi - 1, lo - 1, -1):
+            while low and low[-1][1] <= j and sums[j - lo] - low[-1][0] + free >= 0:
+                i = low.pop()[1]
+                best = max(best, (chain[j][0] + chain[j][2] - chain[i][0], i, j))
+        _, i, j = best
+        (a, f, _), (x, y, n) = chain[i], chain[j]
+        out.append((a, x + n - a, f, y + n - f))
+        todo += [(lo, i), (j + 1, hi)]
+    return out
+
+
 def spans(h: np.ndarray, g: np.ndarray, at: list[int], first_at: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first word in ``h``, words, first word in ``g``, words): what the two texts share through these places."""
-    return [(a, n, f, n) for a, f, n in blocks(h, g, at, first_at)]
+    """(first word in ``h``, words, first word in ``g``, words): what the two texts share through these places, equal or
+    nearly so."""
+    found = blocks(h, g, at, first_at)
+    every = set(found)
+    for a, f, n in found:
+        for new in resumed(h, g, a + n, f + n):
+            if new in every:  # what follows it is looked for from there
+                break
+            every.add(new)
+        for x, y, m in resumed(h[::-1], g[::-1], len(h) - a, len(g) - f):
+            new = len(h) - x - m, len(g) - y - m, m
+            if new in every:
+                break
+            every.add(new)
+    return [s for c in chains(list(every)) for s in joined(c)]
 
 
 def matches(pairs: DataFrame, hashes: DataFrame, run_words: int) -> DataFrame:
@@ -169,8 +258,10 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     (row: long, unique; doc_id; text), with the first doc_id where they stand; ``removed`` is false for that one.
 
     Each seed is compared with the row of the smallest doc_id that holds it: from there the words of both are compared to
-    the left and right as far as they are equal. Repeats of 25 words, or of a whole line, are always found, shorter ones
-    by chance, under ``run_words`` (at least ``SEED``) none. Spans of a row don't overlap; where several first rows
+    the left and right as far as they are equal, and across the gaps between equal stretches as long as the exact Jaccard
+    similarity of the whole is at or over ``THRESHOLD``. Repeats of 25 words, or of a whole line, are always found, and
+    so are near copies of over 50 words (to be over 0.8 they share 25 words in a row); shorter ones by chance, under
+    ``run_words`` (at least ``SEED``) none. Spans of a row don't overlap; where several first rows
     share parts of a passage, the parts follow each other. Repeats within one row are left out. Null and empty texts give
     no rows; null ids come after all others; equal rows are repeats of each other, and the one with the smallest row
     number stays.

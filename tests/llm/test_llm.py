@@ -151,6 +151,34 @@ def test_exact_passages_are_found_whole(spark):
     assert all(found.get(2 * i + j) == [(60, len(p), j == 1)] for i, p in enumerate(same) for j in (0, 1))
 
 
+def test_near_copies_are_found_whole(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    pairs = []
+    for n, edits in [(51, 1), (55, 1), (60, 1), (100, 2), (150, 3)]:
+        for i in range(30):
+            p = [word() for _ in range(n)]
+            q = list(p)
+            for e in sorted(r.sample(range(5, n - 5), edits), reverse=True):
+                q[e : e + (i % 3 > 0)] = [word()] if i % 3 < 2 else []  # insertion, change, deletion
+            pairs.append((p, q))
+    found = planted_at(spark, pairs)
+    sets = lambda p: {tuple(p[i : i + 5]) for i in range(len(p) - 4)}
+    near = [len(sets(p) & sets(q)) / len(sets(p) | sets(q)) >= 0.8 for p, q in pairs]
+    assert sum(near) > 100
+    assert all(found.get(2 * i + j) == [(60, len(p[j]), j == 1)] for i, p in enumerate(pairs) if near[i] for j in (0, 1))
+
+
+def test_joined_spans_keep_the_threshold():
+    h = np.arange(200, dtype=np.uint32)
+    g = h.copy()
+    g[60:90] += 1000
+    assert sorted(passages.spans(h, g, [10, 100], [10, 100])) == [(0, 60, 0, 60), (90, 110, 90, 110)]  # 162 of 230
+    g = h.copy()
+    g[100] += 1000
+    assert passages.spans(h, g, [10], [10]) == [(0, 200, 0, 200)]
+
+
 # 4
 
 
