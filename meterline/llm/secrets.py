@@ -19,6 +19,8 @@ KINDS = ("assign", "access", "hex", "random")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: before the first character
+LOOKUP = np.array([CODE.get(chr(i), 0) for i in range(256)])
+LEAST = 20
 N = len(ALPHABET) + 1
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
 
@@ -96,26 +98,87 @@ def ratio_table(rows: list, prior: float = 0.5) -> np.ndarray:
     return np.log(both / both.sum(1, keepdims=True)) - np.log(plain)
 
 
+def _gains(s: str, table: np.ndarray, bound: float) -> np.ndarray:
+    """Log-likelihood ratio of each character of a run less ``bound``."""
+    codes = np.concatenate(([0], LOOKUP[np.frombuffer(s.encode(), np.uint8)]))
+    return table[codes[:-1], codes[1:]] - bound
+
+
+def _one_case(s: str) -> bool:
+    """No digit and letters of one case at most."""
+    return not any(c.isdigit() for c in s) and (s == s.lower() or s == s.upper())
+
+
 def likely_random(s: str, table: np.ndarray, bound: float = 1.0) -> bool:
     """Whether the mean log-likelihood ratio a character is over ``bound`` and the string isn't letters of one case
     alone (words of any language run together score high, too, where the corpus has few like them)."""
-    if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-        return False
-    codes = np.array([0, *(CODE[c] for c in s)])
-    return float(table[codes[:-1], codes[1:]].mean()) > bound
+    return not _one_case(s) and float(_gains(s, table, bound).mean()) > 0
+
+
+def random_parts(s: str, table: np.ndarray, bound: float = 1.0) -> list[tuple[int, int]]:
+    """The parts of a run that the models call random: the whole run; else its stretch of at least ``LEAST`` characters
+    with the greatest sum of ratios over ``bound``, up to the nearest sign that is no letter or digit on both sides, and
+    the same for what is before and after."""
+    if likely_random(s, table, bound):
+        return [(0, len(s))]
+    gains, out, todo = _gains(s, table, bound), [], [(0, len(s))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST:
+            continue
+        sums = np.concatenate(([0.0], np.cumsum(gains[lo:hi])))
+        low = np.minimum.accumulate(sums[:-LEAST])
+        j = int(np.argmax(sums[LEAST:] - low))
+        if sums[j + LEAST] <= low[j]:
+            continue
+        a, b = lo + int(np.argmin(sums[: j + 1])), lo + j + LEAST
+        one_case = _one_case(s[a:b])
+        while not one_case and a > lo and s[a - 1].isalnum():
+            a -= 1
+        while not one_case and b < hi and s[b].isalnum():
+            b += 1
+        if not one_case:
+            out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def random_spans(text: str, base: list[tuple[int, int, str]], table: np.ndarray, bound: float = 1.0) -> list[tuple[int, int]]:
+    """Spans of the random parts of the runs in ``text``, without the characters of the ``base`` spans; what is left
+    beside one counts where it goes on from a hex string or is over ``bound`` itself."""
+    out = []
+    for m in CANDIDATE.finditer(text):
+        near = [x for x in base if x[0] < m.end() and m.start() < x[1]]
+        for a, b in random_parts(m[0], table, bound):
+            a, b = a + m.start(), b + m.start()
+            rest, at = [], a
+            for x, y, _ in near:
+                if y > a and x < b:
+                    if x > at:
+                        rest.append((at, x))
+                    at = max(at, y)
+            if at == a:
+                out.append((a, b))
+                continue
+            if at < b:
+                rest.append((at, b))
+            for x, y in rest:
+                glued = any(k == "hex" and (p == y and text[y - 1].isalnum() or q == x and text[x].isalnum()) for p, q, k in near)
+                if glued or float(_gains(text[x:y], table, bound).mean()) > 0:
+                    out.append((x, y))
+    return out
 
 
 def find_secrets(docs: DataFrame, table: np.ndarray, bound: float = 1.0) -> DataFrame:
-    """Spans of every whole text: those of the patterns, and the runs of key characters that the models call random
-    and that overlap none of them. Null text: the empty one. Other columns are ignored; a row in gives a row out."""
+    """Spans of every whole text: those of the patterns, and the parts of runs of key characters that the models call
+    random, as far as they are outside of those. Null text: the empty one. Other columns are ignored; a row in gives a row out."""
 
     def digest(spans):
         return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
     def one(t):
         base = base_spans(t or "")
-        free = [m.span() for m in CANDIDATE.finditer(t or "")]
-        more = [(a, b, "random") for a, b in free if not any(a < y and x < b for x, y, _ in base) and likely_random(t[a:b], table, bound)]
+        more = [(a, b, "random") for a, b in random_spans(t or "", base, table, bound)]
         kinds = Counter(k for _, _, k in base)
         every = sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2])))
         return kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(more)
@@ -141,7 +204,7 @@ def redacted(docs: DataFrame, bound: float = 1.0, mark: str = "[SECRET]") -> Dat
             out = []
             for t in text:
                 spans = base_spans(t or "")
-                spans += [(*m.span(), "") for m in CANDIDATE.finditer(t or "") if likely_random(m[0], table, bound)]
+                spans += [(*x, "") for x in random_spans(t or "", spans, table, bound)]
                 parts, at = [], 0
                 for a, b, _ in sorted(spans):
                     if a > at or not parts:

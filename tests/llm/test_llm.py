@@ -297,6 +297,20 @@ def test_secrets(spark, docs, texts, empty):
     assert rows(secrets.redacted(empty)) == [] and secrets.redacted(docs).count() == docs.count()
 
 
+def test_secrets_in_longer_runs(spark):
+    table = secrets.trained_table(common.documents(spark, SF.replace("0.001", "0.01")))
+    r = random.Random(8)
+    keys = ["".join(r.choices(secrets.ALPHABET[:62], k=24)) for _ in range(100)]
+    lettered = ["".join(r.choices(secrets.ALPHABET[:52], k=24)) for _ in range(100)]
+    assert sum(secrets.likely_random(x, table) for x in lettered) >= 95
+    path = "services/international/documents/" * 2
+    glued = [secrets.random_spans(f"see {path}{k}/information", [], table) for k in keys]
+    at = 4 + len(path)
+    assert sum(any(a <= at and at + 24 <= b for a, b in g) for g in glued) >= 95 and not secrets.random_spans(path, [], table)
+    text = f"see Kx7QpZ{'0123456789abcdef' * 2}Wm4RtY here"
+    assert secrets.random_spans(text, secrets.base_spans(text), table) == [(4, 10), (42, 48)]
+
+
 # 7
 
 
