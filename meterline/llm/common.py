@@ -5,6 +5,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,16 @@ def record_batch(columns: list, ddl_schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4_000_000):
+    """The batch in slices whose texts (or bytes) in ``column`` come to ``most`` bytes, or one row each where longer."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_columns(df: DataFrame, make, ddl: str, rows: int = 256) -> DataFrame:
     """Arrow map: ``make()`` gives, once per task, a function from lists of column values to lists of output columns.
 

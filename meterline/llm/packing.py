@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meterline.llm.common import documents, record_batch, struct, written
-from meterline.llm.tokens import Encoder, default_vocabulary
+from meterline.llm.common import by_bytes, documents, record_batch, struct, written
+from meterline.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
 
@@ -193,10 +193,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: in
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode, seen, task = Encoder(vocabulary), Counter(), TaskContext.get().partitionId()
+        encode, seen, task = encoder(vocabulary), Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in by_bytes(batch, 1):
                 out = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids += end

@@ -18,15 +18,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meterline.llm.common import documents, fresh_path, map_columns, record_batch, shuffle_partitions, struct, written
+from meterline.llm.common import by_bytes, documents, fresh_path, map_columns, record_batch, shuffle_partitions, struct, written
 
 END_ID = 2
-#: White space with a run of letters (or of bytes over 127), or with all up to the next white space where that begins
-#: otherwise. In this vocabulary's pre-tokenization no piece goes on from other text into white space, nor from a letter
-#: into anything but letters, so the ids of a text are those of its chunks, one after another.
-CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*(?:[A-Za-z\x80-\xff]+|[^ \t\n\r\x0b\x0c]+)|[ \t\n\r\x0b\x0c]+")
+#: Bytes by kind: white space, letters (and all bytes over 127), other. A chunk is white space with the letters that
+#: follow, or with all up to the next white space where that begins otherwise. In this vocabulary's pre-tokenization no
+#: piece goes on from other text into white space, nor from a letter into anything but letters, so the ids of a text are
+#: those of its chunks, one after another.
+LETTER, OTHER, SPACE = 0, 1, 2
+KIND = np.full(256, OTHER, np.uint8)
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KIND[[9, 10, 11, 12, 13, 32]] = SPACE
 #: Other characters that count as white space there.
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts are cut into chunks this many bytes at a time; a single longer text is cut where a chunk begins.
+PART_BYTES = 4_000_000
 
 
 def default_vocabulary() -> str:
@@ -35,47 +41,138 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the chunks of the texts that begin at ``starts`` (ascending, none empty) begin in their joined bytes."""
+    kind = KIND[data]
+    space = kind == SPACE
+    first = np.zeros(len(data) + 1, bool)
+    first[starts] = True
+    first = first[:-1]
+    before = np.concatenate(([False], space[:-1]))
+    words = np.flatnonzero(~space & (before | first))
+    # in a word that begins with letters, the first other character begins a chunk
+    other = np.flatnonzero(kind == OTHER)
+    word = np.searchsorted(words, other, side="right") - 1
+    lead = np.concatenate(([True], word[1:] != word[:-1])) if len(word) else np.zeros(0, bool)
+    turns = other[lead & (other > words[word])] if len(word) else other
+    begins = first | (space & ~before)
+    begins[turns] = True
+    return np.flatnonzero(begins)
+
+
 class Encoder:
-    """UTF-8 texts to ids (little-endian unsigned 32-bit, as bytes). Chunks met before come from a dictionary of up to
-    ``capacity`` chunks; when that is full it is begun anew, which changes speed only. A text with a chunk that might
-    not be cut as said (odd white space; a last character over 127 that isn't a letter) is encoded in one piece."""
+    """UTF-8 texts to ids. Each batch's chunks are made distinct by Arrow; chunks met before come from a dictionary
+    that is begun anew once its chunks exceed ``capacity`` bytes, counting ``ENTRY`` more for each (this changes speed
+    only). Longer chunks than ``LONG`` bytes are never kept. A text with a chunk that might not be cut as said (odd white
+    space; a last character over 127 that isn't a letter) is encoded in one piece."""
+
+    LONG, ENTRY = 64, 100
 
-    def __init__(self, path: str, capacity: int = 1_600_000):
+    def __init__(self, path: str, capacity: int = 160_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.capacity = capacity
+        vocabulary = self.tokenizer.get_vocab()
+        #: bytes of each token: in a byte-level vocabulary a character stands for a byte
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.capacity, self.held = capacity, 0
         self.ids: dict[bytes, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes | None]:
         texts = [c.decode() for c in chunks]
-        e = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(e.ids, "<u4").tobytes()
-        cut = np.searchsorted(np.array(e.word_ids), np.arange(len(chunks) + 1)).tolist()
-        self.ids.update((c, raw[4 * i : 4 * j]) for c, i, j in zip(chunks, cut, cut[1:], strict=False))
-        odd = [c for c, t in zip(chunks, texts, strict=True) if (t[-1] > "\x7f" and not t[-1].isalpha()) or ODD_SPACE.search(t)]
-        self.ids.update(dict.fromkeys(odd))
+        ids = np.array(self.tokenizer.encode_batch_fast([texts], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        cut = [0, *(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1).tolist()]
+        raw = ids.tobytes()
+        new: dict[bytes, bytes | None] = {c: raw[4 * i : 4 * j] for c, i, j in zip(chunks, cut, cut[1:], strict=False)}
+        new |= dict.fromkeys(c for c, t in zip(chunks, texts, strict=True) if (t[-1] > "\x7f" and not t[-1].isalpha()) or ODD_SPACE.search(t))
+        if self.held > self.capacity:
+            self.ids, self.held = {}, 0
+        kept = {c: x for c, x in new.items() if len(c) <= self.LONG}
+        self.held += sum(map(len, kept)) + self.ENTRY * len(kept)
+        self.ids.update(kept)
+        return new
+
+    def _part(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum(sizes)
+        at = ends - sizes
+        begins = chunk_starts(np.frombuffer(raw, np.uint8), at[sizes > 0])
+        edges = np.concatenate((begins, [len(raw)])).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        distinct, codes = chunks.dictionary.to_pylist(), chunks.indices.to_numpy()
+        known = self.ids
+        found = [known.get(c) for c in distinct]
+        if missing := [c for c, x in zip(distinct, found, strict=True) if x is None and c not in known]:
+            new = self._learn(missing)
+            found = [new[c] if c in new else x for c, x in zip(distinct, found, strict=True)]
+        bounds = np.searchsorted(begins, np.append(at, len(raw)))
+        if None in found:
+            odd = np.array([x is None for x in found])[codes]
+            pieces = []
+            for k in range(len(sizes)):
+                own = codes[bounds[k] : bounds[k + 1]]
+                if odd[bounds[k] : bounds[k + 1]].any():
+                    own = np.array([len(found)], codes.dtype)
+                    found.append(self.whole(raw[at[k] : ends[k]].decode()))
+                pieces.append(own)
+            codes, bounds = np.concatenate(pieces), np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
+            found = [x or b"" for x in found]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = (np.cumsum(n) - n)[codes], n[codes]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.arange(upto[-1]) + np.repeat(first - upto[:-1], n)]
+        return out, np.diff(upto[bounds])
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        if len(self.ids) > self.capacity:
-            self.ids = {}
-        find = CHUNK.findall
-        found = [find(t or b"") for t in texts]
-        known = self.ids
-        if missing := [c for c in set().union(*found) if c not in known]:
-            self._learn(missing)
-        get = self.ids.__getitem__
-        out = []
-        for t, chunks in zip(texts, found, strict=True):
-            try:
-                out.append(b"".join(map(get, chunks)))
-            except TypeError:
-                out.append(self.whole(t.decode()))
-        return out
+        """The ids of each text, little-endian unsigned 32-bit."""
+        out: list[bytes] = []
+        part, size = [], 0
+        for t in texts:
+            t = t or b""
+            if part and size + len(t) > PART_BYTES:
+                out += self._cut(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        return out + self._cut(part)
+
+    def _cut(self, texts: list[bytes]) -> list[bytes]:
+        if not texts:
+            return []
+        if len(texts) == 1 and len(texts[0]) > PART_BYTES:
+            return [self._long(texts[0])]
+        ids, n = self._part(b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts)))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(n)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _long(self, text: bytes) -> bytes:
+        """A text in parts that end where white space begins; in one piece where that holds an odd chunk."""
+        if ODD_SPACE.search(text.decode()):
+            return self.whole(text.decode())
+        out, at = [], 0
+        while at < len(text):
+            m = SPACE_AFTER.search(text, at + PART_BYTES)
+            end = m.start() + 1 if m else len(text)
+            out.append(self._part(text[at:end], np.array([end - at]))[0].tobytes())
+            at = end
+        return b"".join(out)
+
+
+SPACE_AFTER = re.compile(rb"[^\x09-\x0d\x20](?=[\x09-\x0d\x20])")
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder for a vocabulary: a Python worker keeps it, and the chunks it has met, from task to task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 # -- files: independent zstandard frames, a document directory, and a trailing seek table --------------------------
@@ -179,12 +276,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
         store.create_dir(top, recursive=True)
         shard = TaskContext.get().partitionId()
         own, final = f"{top}/_{shard:06d}-{uuid.uuid4().hex}", f"{top}/shard-{shard:06d}.zst"
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         with store.open_output_stream(own) as out:
             w = ShardWriter(out)
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
-                    part = batch.slice(lo, 256)
+                for part in by_bytes(batch, 1):
                     for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                         w.add(doc_id, ids + end)
             w.close()
@@ -227,7 +323,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     end = st.pack("<I", end_id)
 
     def make():
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         return lambda doc_id, text: [doc_id, [x + end for x in encode(text)]]
 
     return map_columns(docs.select("doc_id", F.col("text").cast("binary")), make, "doc_id long, ids binary")
