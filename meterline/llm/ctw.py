@@ -6,13 +6,14 @@ predicted in the contexts of the 0 to DEPTH bytes before it: every context keeps
 texts, the Krichevsky-Trofimov estimate of those counts, and the weight of that estimate against the deeper contexts.
 
 The counts come in any order, so they are gathered as (context, byte) grams; the weights go up the tree and the mixed
-probabilities down it. A part of the tree below two context bytes is one group; depths 0 and 1 (at most 257 x 255
-decisions, whatever the input) are summed by Spark and held by the driver. Probabilities reach the texts by a join on
-the grams of each chunk of texts, so no task and no broadcast holds a table that grows with the corpus.
+probabilities down it. A part of the tree below TOP context bytes is one piece of work; the roots of these parts are
+summed by Spark to the depths above, which have at most 65,536 x 255 decisions, whatever the input, and which the driver
+holds and broadcasts. Probabilities reach the texts by a join on the grams of each chunk of texts, so no task and no
+broadcast holds a table that grows with the corpus.
 """
 
 import math
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from meterline.llm.common import documents, map_columns, record_batch, remainder_is, struct, words, written, written_by
+from meterline.llm.common import documents, record_batch, remainder_is, shuffle_partitions, struct, words, written, written_by
 
-DEPTH = 5
+DEPTH, TOP = 5, 3
 END = b"\n"
-#: Grams of texts are held up to this number, or that of the distinct ones before, until they are merged.
-MERGE = 4_000_000
-LN2, LN10 = math.log(2.0), math.log(10.0)
+#: Grams of a chunk's texts are sorted and counted in parts of this many; the tree is worked through in parts of that many.
+SORTED, WORKED = 6_000_000, 300_000
+LN2 = math.log(2.0)
 #: Words' keys carry bit 62; those of grams are below 2^(8 DEPTH + 8).
 WORD_BIT = 1 << 62
+SMALL = 4096
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -41,9 +43,19 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
 
 
+HALF, WHOLE = log_gamma(np.arange(SMALL) + 0.5), log_gamma(np.arange(SMALL) + 1.0)
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Logarithm of the Krichevsky-Trofimov probability of any sequence with these counts."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    """Logarithm of the Krichevsky-Trofimov probability of any sequence with these counts (whole numbers)."""
+    both = zeros + ones
+    small = both < SMALL
+    z, o, n = (np.where(small, x, 0).astype(np.int64) for x in (zeros, ones, both))
+    out = HALF[z] + HALF[o] - WHOLE[n]
+    if not small.all():
+        z, o = zeros[~small].astype(float), ones[~small].astype(float)
+        out[~small] = log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1.0)
+    return out - math.log(math.pi)
 
 
 def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,164 +64,236 @@ def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole, np.exp(own - LN2 - whole)
 
 
-def decisions(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each gram (context bytes, then the byte) its eight decision numbers (1 to 255) and bits: (8, n) each."""
-    byte = (grams & 255).astype(np.int64)
-    at = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)])
-    return at, np.stack([(byte >> (7 - k)) & 1 for k in range(8)])
+def levels(grams: np.ndarray, n: np.ndarray, top: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """From depth DEPTH up to ``top``: the distinct grams of that depth in order, their counts, and the place of each
+    gram of the depth below among them. A gram is the context bytes, the last one first, and then the byte."""
+    out = [(grams, n, None)]
+    for _ in range(DEPTH - top):
+        g, n, _ = out[-1]
+        shorter, place = np.unique(((g >> 16) << 8) | (g & 255), return_inverse=True)
+        out.append((shorter, np.bincount(place, n, len(shorter)).astype(np.int64), place))
+    return out
 
 
-def subtree(grams: np.ndarray, n: np.ndarray, top: int = 2) -> tuple[np.ndarray, tuple]:
-    """Of grams that share ``top`` context bytes: the mixed probability of each gram's bit from depth ``top`` down
-    (8, n), and for each decision there (number, log weighted probability, zeros, ones)."""
-    at, bit = decisions(grams)
-    mixed = np.empty(at.shape)
+def subtree(grams: np.ndarray, n: np.ndarray, top: int = TOP, mix: bool = True) -> tuple[np.ndarray | None, tuple]:
+    """Of all grams (sorted, distinct) with some contexts of ``top`` bytes: the mixed probability of each gram's bits from
+    depth ``top`` down (8, n; None without ``mix``), and for each decision at depth ``top`` (context, number from 1 to
+    255, log weighted probability, zeros, ones)."""
+    tree = levels(grams, n, top)
+    mixed = np.empty((8, len(grams))) if mix else None
     roots = []
     for k in range(8):
-        shares, kts, back, below = [], [], None, None
-        for depth in range(DEPTH, top - 1, -1):
-            context = (grams >> 8) & ((1 << (8 * depth)) - 1)
-            node, where = np.unique(context * 256 + at[k], return_inverse=True)
-            ones = np.bincount(where, n * bit[k], len(node))
-            zeros = np.bincount(where, n * (1 - bit[k]), len(node))
-            own = log_kt(zeros, ones)
-            if below is None:
-                whole, share = own, np.ones(len(node))
+        p = at = below = starts = None
+        for g, count, place in tree:
+            node = g >> (8 - k)
+            begins = np.concatenate(([True], node[1:] != node[:-1]))
+            number = np.cumsum(begins) - 1
+            up = None if place is None else number[place[starts]]
+            starts = np.flatnonzero(begins)
+            bit = (g >> (7 - k)) & 1
+            every = np.add.reduceat(count, starts)
+            ones = np.add.reduceat(count * bit, starts)
+            own = log_kt(every - ones, ones)
+            if place is None:
+                whole, share = own, None
             else:
-                # each deeper node once, at the node that it extends
-                first = np.zeros(len(below), np.int64)
-                first[back] = where
-                whole, share = weigh(own, np.bincount(first, below, len(node)))
-            p1 = (ones + 0.5) / (zeros + ones + 1.0)
-            shares.append(share[where])
-            kts.append(np.where(bit[k] == 1, p1[where], 1 - p1[where]))
-            back, below = where, whole
-        p = kts[0]
-        for share, kt in zip(shares[1:], kts[1:], strict=True):
-            p = share * kt + (1 - share) * p
-        mixed[k] = p
-        roots.append((node & 255, whole, zeros, ones))
+                whole, share = weigh(own, np.bincount(up, below, len(starts)))
+            below = whole
+            if mix:
+                kt = ((ones + 0.5) / (every + 1.0))[number]
+                kt = np.where(bit == 1, kt, 1 - kt)
+                if place is None:
+                    p = kt
+                else:
+                    at = place if at is None else place[at]
+                    s = share[number][at]
+                    p = s * kt[at] + (1 - s) * p
+        if mix:
+            mixed[k] = p
+        first = node[starts]
+        roots.append((first >> k, (first & ((1 << k) - 1)) | (1 << k), whole, every - ones, ones))
     return mixed, tuple(np.concatenate(x) for x in zip(*roots, strict=True))
 
 
-class Top:
-    """Depths 0 and 1: the estimate's share and the probability of a one for each decision (and byte before it)."""
-
-    def __init__(self, byte: np.ndarray, number: np.ndarray, whole: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
-        z, o, w = (np.zeros((256, 256)) for _ in range(3))
-        np.add.at(z, (byte, number), zeros)
-        np.add.at(o, (byte, number), ones)
-        np.add.at(w, (byte, number), whole)
-        up, self.share1 = weigh(log_kt(z, o), w)
-        self.one1 = (o + 0.5) / (z + o + 1)
-        up = np.where((z + o) > 0, up, 0.0)  # a context never met weighs 1
-        z0, o0 = z.sum(0), o.sum(0)
-        _, self.share0 = weigh(log_kt(z0, o0), up.sum(0))
-        self.one0 = (o0 + 0.5) / (z0 + o0 + 1)
+class Upper:
+    """Depths 0 to 2: the estimate's share and the probability of a one for each decision after each context of so many
+    bytes. Depth 2 has a row of 256 decisions for each pair of bytes that occurs: 65,536 rows at most."""
+
+    def __init__(self, pair: np.ndarray, number: np.ndarray, whole: np.ndarray, zeros: np.ndarray, ones: np.ndarray):
+        used, row = np.unique(pair, return_inverse=True)
+        self.row = np.zeros(1 << 16, np.int64)
+        self.row[used] = np.arange(len(used))
+        z, o, below = (np.zeros((len(used), 256)) for _ in range(3))
+        for table, x in ((z, zeros), (o, ones), (below, whole)):
+            np.add.at(table, (row, number), x)
+        self.depths = []
+        for last in (used >> 8, np.zeros(256, np.int64), None):
+            up, share = weigh(log_kt(z, o), below)
+            up = np.where(z + o > 0, up, 0.0)  # a context never met weighs 1
+            self.depths.append((share, (o + 0.5) / (z + o + 1)))
+            if last is not None:
+                z, o, below = (self._sum(x, last, 256 if len(self.depths) == 1 else 1) for x in (z, o, up))
+
+    @staticmethod
+    def _sum(table: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, 256))
+        np.add.at(out, to, table)
+        return out
 
     def log10(self, grams: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """Base-10 logarithm of each gram's probability from its mixed probabilities (n, 8) at depth 2."""
-        at, bit = decisions(grams)
-        before = (grams >> 8) & 255
+        """Base-10 logarithm of each gram's probability from its mixed probabilities (8, n) at depth TOP."""
+        byte = grams & 255
+        rows = (self.row[grams >> (8 * DEPTH - 8)], grams >> (8 * DEPTH), np.zeros(len(grams), np.int64))
         out = np.zeros(len(grams))
         for k in range(8):
-            s1, p1, s0, p0 = self.share1[before, at[k]], self.one1[before, at[k]], self.share0[at[k]], self.one0[at[k]]
-            if_one = bit[k] == 1
-            p = s1 * np.where(if_one, p1, 1 - p1) + (1 - s1) * mixed[:, k]
-            out += np.log10(s0 * np.where(if_one, p0, 1 - p0) + (1 - s0) * p)
+            number, one = (1 << k) | (byte >> (8 - k)), ((byte >> (7 - k)) & 1) == 1
+            p = mixed[k]
+            for row, (share, table) in zip(rows, self.depths, strict=True):
+                s, kt = share[row, number], table[row, number]
+                p = s * np.where(one, kt, 1 - kt) + (1 - s) * p
+            out += np.log10(p)
         return out
 
 
 def text_grams(text: str | None) -> tuple[np.ndarray, list[bytes]]:
-    """A text's grams (int64: DEPTH context bytes, then the byte), and its words."""
+    """A text's grams (int64: DEPTH context bytes, the last one first, then the byte), and its words."""
     w = words(text)
-    spare = 7 - DEPTH
-    body = END * DEPTH + b" ".join(w) + (b" " if w else b"") + END + bytes(spare)
+    body = END * DEPTH + b" ".join(w) + (b" " if w else b"") + END + bytes(7 - DEPTH)
     # eight bytes from each place on, of which the last ones are too many
-    eight = np.ndarray(len(body) - 7, ">u8", body, 0, (1,))
-    return (eight.astype(np.uint64) >> np.uint64(8 * spare)).view(np.int64), [*w, END]
+    eight = np.ndarray(len(body) - 7, "<i8", body, 0, (1,))
+    return ((eight & ((1 << 8 * DEPTH) - 1)) << 8) | ((eight >> (8 * DEPTH)) & 255), [*w, END]
 
 
 def word_key(word: bytes) -> int:
     return (xxhash.xxh64_intdigest(word, 42) >> 2) | WORD_BIT
 
 
-def is_training(doc_id: int | None) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and how many of each there are in training texts: those whose lowest bit (after the
+    gram) is set."""
+    grams.sort()
+    key = grams >> 1
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[starts], np.add.reduceat(grams & 1, starts)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    key, n = map(np.concatenate, zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")  # merges runs that are in order
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[starts], np.add.reduceat(n[order], starts)
+
+
+class ChunkCounts:
+    """Distinct grams and words of the texts of a chunk, and how often they stand in its training texts."""
+
+    def __init__(self):
+        self.parts, self.waiting, self.size = [], [], 0
+        self.words: Counter = Counter()
+
+    def add(self, text: str | None, train: bool) -> None:
+        grams, w = text_grams(text)
+        self.waiting.append((grams << 1) | train)
+        self.size += len(grams)
+        if train:
+            self.words.update(w)
+        else:
+            for x in set(w):
+                self.words[x] += 0
+        if self.size > SORTED:
+            self._sort()
+
+    def _sort(self) -> None:
+        if self.waiting:
+            grams = np.concatenate(self.waiting)
+            self.waiting, self.size = [], 0
+            self.parts.append(_counted(grams))
+            if len(self.parts) > 3:
+                self.parts = [_merged(self.parts)]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._sort()
+        grams, n = _merged(self.parts)
+        w = np.fromiter(map(word_key, self.words), np.int64, len(self.words))
+        return np.concatenate([grams, w]), np.concatenate([n, np.fromiter(self.words.values(), np.int64, len(w))])
+
 
+def chunk_keys(docs: DataFrame) -> DataFrame:
+    """(chunk, key, n) of texts with ``chunk`` and ``train``: each chunk's distinct grams and words, and how often they
+    stand in its training texts. A chunk's texts pass through one by one."""
+    ddl = "chunk long, key long, n long"
+    arrow = to_arrow_schema(struct(ddl))
 
-def _split(table: pa.Table) -> tuple[list, list]:
-    return table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    def run(batches):
+        now, counts = None, None
 
+        def ended():
+            keys, n = counts.result()
+            return record_batch([np.full(len(keys), now), keys, n], arrow)
 
-def _tally(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, where = np.unique(keys, return_inverse=True)
-    return key, np.bincount(where, n, len(key)).astype(np.int64)
+        for batch in batches:
+            for chunk, train, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk != now:
+                    if counts:
+                        yield ended()
+                    now, counts = chunk, ChunkCounts()
+                counts.add(text, train)
+        if counts:
+            yield ended()
 
+    dealt = docs.select("chunk", "train", "text").repartition(shuffle_partitions(docs.sparkSession), "chunk")
+    return dealt.sortWithinPartitions("chunk").mapInArrow(run, ddl)
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return _tally(*map(np.concatenate, zip(*parts, strict=True)))
 
+def whole_contexts(batches, least: int = WORKED):
+    """(key, n) arrays from sorted batches, cut where a context of TOP bytes ends, once there are ``least`` rows."""
+    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, n = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([n, batch.column(1).to_numpy()])
+        if len(key) >= least:
+            cut = int(np.searchsorted(key, key[-1] >> CONTEXT_SHIFT << CONTEXT_SHIFT))
+            if cut:
+                yield key[:cut], n[:cut]
+                key, n = key[cut:], n[cut:]
+    if len(key):
+        yield key, n
 
-def chunk_keys(docs: DataFrame) -> DataFrame:
-    """(chunk, key, n): each chunk's distinct grams and words, and how often they stand in its training texts."""
-    ddl = "chunk long, key long, n long"
-    arrow = to_arrow_schema(struct(ddl))
 
-    def run(key, table):
-        whole, parts, waiting, counts = _tally(np.zeros(0, np.int64), np.zeros(0)), [], 0, {}
-        for doc_id, text in zip(*_split(table), strict=True):
-            g, w = text_grams(text)
-            train = is_training(doc_id)
-            g, n = np.unique(g, return_counts=True)
-            parts.append((g, n * train))
-            waiting += len(g)
-            for x in w:
-                counts[x] = counts.get(x, 0) + train
-            if waiting > max(MERGE, len(whole[0])):
-                whole, parts, waiting = _merge([whole, *parts]), [], 0
-        grams, n = _merge([whole, *parts])
-        w = np.fromiter(map(word_key, counts), np.int64, len(counts))
-        keys, n = np.concatenate([grams, w]), np.concatenate([n, np.fromiter(counts.values(), np.int64, len(counts))])
-        return pa.Table.from_batches([record_batch([np.full(len(keys), key[0].as_py()), keys, n], arrow)])
-
-    return docs.groupBy("chunk").applyInArrow(run, ddl)
+CONTEXT_SHIFT = 8 * (DEPTH - TOP) + 8
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """(key, value): the base-10 logarithm of the probability of each gram (key, n) under the weighted tree."""
-    ddl = "key long, mixed binary, byte int, number int, whole double, zeros double, ones double"
+    """(key, value): the base-10 logarithm of the probability of each gram (key, n; keys distinct) under the weighted
+    tree. The tree's parts are worked through twice: for their roots, then for the probabilities below them."""
+    spark = grams.sparkSession
+    context = F.shiftright("key", CONTEXT_SHIFT)
+    sorted_grams = grams.select("key", "n").repartition(shuffle_partitions(spark), context).sortWithinPartitions("key")
+    ddl = "pair int, number int, whole double, zeros double, ones double"
     arrow = to_arrow_schema(struct(ddl))
 
-    def run(table):
-        g, n = (table.column(c).to_numpy() for c in ("key", "n"))
-        mixed, (number, whole, zeros, ones) = subtree(g, n.astype(float))
-        raw = np.ascontiguousarray(mixed.T).tobytes()
-        a, b = len(g), len(number)
-        held = [raw[64 * i : 64 * i + 64] for i in range(a)] + [None] * b
-        none = np.zeros(a)
-        columns = [np.concatenate([g, np.full(b, -1)]), held, np.full(a + b, (int(g[0]) >> 8) & 255, np.int32), np.concatenate([none, number]).astype(np.int32)]
-        columns += [np.concatenate([none, x]) for x in (whole, zeros, ones)]
-        return pa.Table.from_batches([record_batch(columns, arrow)])
-
-    context = F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("context")
-    tree = written(grams.select("key", "n", context).groupBy("context").applyInArrow(run, ddl), "tree")
-    top = tree.where("key < 0").groupBy("byte", "number").agg(*(F.sum(c).alias(c) for c in ("whole", "zeros", "ones")))
-    top = top.toArrow()  # at most 256 x 255 rows
-    upper = Top(*(top.column(c).to_numpy() for c in ("byte", "number", "whole", "zeros", "ones")))
+    def roots(batches):
+        for key, n in whole_contexts(batches):
+            _, (context, number, whole, zeros, ones) = subtree(key, n, mix=False)
+            yield record_batch([(context >> 8).astype(np.int32), number.astype(np.int32), whole, zeros.astype(float), ones.astype(float)], arrow)
 
-    def make():
-        def fn(key, mixed):
-            p = np.frombuffer(b"".join(mixed), float).reshape(-1, 8)
-            return [key, upper.log10(np.array(key, np.int64), p)]
+    sums = [F.sum(c).alias(c) for c in ("whole", "zeros", "ones")]
+    top = sorted_grams.mapInArrow(roots, ddl).groupBy("pair", "number").agg(*sums).toArrow()  # at most 65,536 x 255 rows
+    upper = spark.sparkContext.broadcast(Upper(*(top.column(c).to_numpy() for c in ("pair", "number", "whole", "zeros", "ones"))))
+    ddl = "key long, value double"
+    out = to_arrow_schema(struct(ddl))
 
-        return fn
+    def values(batches):
+        for key, n in whole_contexts(batches):
+            yield record_batch([key, upper.value.log10(key, subtree(key, n)[0])], out)
 
-    return map_columns(tree.where("key >= 0").select("key", "mixed"), make, "key long, value double", rows=10_000)
+    return sorted_grams.mapInArrow(values, ddl)
 
 
-def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame:
-    """Scores of every whole text; see ``op10``. Learning texts are those whose crc32(doc_id as text) mod 5 isn't 1.
+def score_documents(docs: DataFrame, chunk_chars: int = 16_000_000) -> DataFrame:
+    """Scores of every whole text. Learning texts are those whose crc32(doc_id as text) mod 5 isn't 1.
 
     Null texts are empty (their end alone); a null id counts as the empty text's crc32; repeated rows each count and
     each get a row; other columns are ignored; an empty table gives no rows.
@@ -217,7 +301,7 @@ def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     chunks = max(1, -(-chars // chunk_chars))
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)))
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks))).withColumn("train", ~remainder_is(5, 1))
     keys = written_by(chunk_keys(docs), "key", "chunk-keys")
     totals = written(keys.groupBy("key").agg(F.sum("n").alias("n")), "key-totals")
     is_word = F.col("key") >= WORD_BIT
@@ -235,7 +319,7 @@ def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame
         key, value = key[order], value[order]
         rows, number, of_word = [], {}, []
         per_word: list[int] = []
-        doc_id, text = _split(texts)
+        doc_id, text = (texts.column(c).to_pylist() for c in ("doc_id", "text"))
         ends, base = [], np.log10
         for i, t in zip(doc_id, text, strict=True):
             g, w = text_grams(t)
@@ -254,7 +338,7 @@ def score_documents(docs: DataFrame, chunk_chars: int = 32_000_000) -> DataFrame
         ids, n, s = map(list, zip(*rows, strict=True))
         return pa.Table.from_batches([record_batch([ids, n, n_known, np.full(len(ids), n_tokens), b, s], arrow)])
 
-    return docs.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, ddl)
+    return docs.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, ddl)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,7 +446,8 @@ def test_lm_scores(spark, docs, texts, empty):
     out = ctw.score_documents(docs, chunk_chars=9000).collect()
     every = [(i, t or "") for i, t in enumerate(texts)] + [(4, texts[4])] * 2 + [(None, "a null id")]
     of = lambda t: [*WORD.findall(lower(t)), "\n"]
-    train = Counter(w for i, t in every if ctw.is_training(i) for w in of(t))
+    learns = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1
+    train = Counter(w for i, t in every if learns(i) for w in of(t))
     n, v = sum(train.values()), len(train)
     assert len(out) == len(every)
     held = dict(every)
@@ -454,6 +455,13 @@ def test_lm_scores(spark, docs, texts, empty):
         w = of(held[r.doc_id])
         base = sum(math.log10((train[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+    # the score: the sum over the text's bytes of what a tree of all training grams gives them
+    grams = [(r.doc_id, ctw.text_grams(held[r.doc_id])[0]) for r in out]
+    counts = Counter(int(g) for i, gs in grams for g in gs)
+    learned = Counter(int(g) for i, gs in grams if learns(i) for g in gs)
+    values = dict(rows(ctw.gram_scores(spark.createDataFrame([(g, learned[g]) for g in counts], "key long, n long"))))
+    for r, (_, gs) in zip(out, grams, strict=True):
+        assert abs(r.score - sum(values[int(g)] for g in gs)) < 1e-6 * max(1, abs(r.score))
     assert rows(ctw.score_documents(empty)) == []
 
 
@@ -467,7 +475,8 @@ def test_context_tree_against_recursion(spark):
     df = spark.createDataFrame([(int(g), int(x)) for g, x in zip(every, n, strict=True)], "key long, n long")
     got = dict(rows(ctw.gram_scores(df)))
     d = ctw.DEPTH
-    seen = [(int(g) >> 8, int(g) & 255) for g in grams]
+    order = lambda g: int.from_bytes((int(g) >> 8).to_bytes(d, "little"), "big")  # noqa: E731 (the last byte lowest)
+    seen = [(order(g), int(g) & 255) for g in grams]
 
     def counts(depth, context, bits, value):
         mask = (1 << (8 * depth)) - 1
@@ -497,7 +506,7 @@ def test_context_tree_against_recursion(spark):
         return share * est + (1 - share) * p(depth + 1, context, bits, value, bit)
 
     for g in [int(x) for x in every[:: max(1, len(every) // 25)]]:
-        c, b = g >> 8, g & 255
+        c, b = order(g), g & 255
         want = sum(math.log10(p(0, c, k, b >> (8 - k), b >> (7 - k) & 1)) for k in range(8))
         assert abs(got[g] - want) < 1e-6
     assert abs(sum(10 ** got[(int(top) << 8) + b] for b in range(256)) - 1) < 1e-9
