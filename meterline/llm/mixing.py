@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.llm.common import documents, numbered, written
+from meterline.llm.common import documents, numbered, shuffle_partitions, written
 
 #: The golden ratio's fraction in units of 2^-31: its multiples modulo 1 in whole numbers that no product overflows.
 GOLDEN, UNIT, CELLS = 1327217885, 1 << 31, 4096
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """The mix of all documents: (sized documents, plan).
 
     sized: doc_id, source_no, size, source_size, target, a_row (which row this is). plan: slot, source_no, rank, a_row,
-    doc_id, from_word, n_words: the runs of words, in order of slot, that make up the mix. Each source's documents, in
+    doc_id, epoch, place (in the source's stream), from_word, n_words: the runs of words, in order of slot, that make up the mix. Each source's documents, in
     the order of a hash of their ids, form a stream, repeated up to ``most`` times; a slot takes its next ``block``
     words. Nulls: a null text has size 0, a null source is a source of its own, null ids are rows like any other;
     equal rows are each taken. A text without words is never taken. An empty table gives empty results.
@@ -108,38 +108,43 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     epochs = epochs.withColumn("start", F.col("epoch") * F.col("source_size") + F.col("at"))
     epochs = epochs.where(F.col("start") < F.floor("target")).withColumn("end", F.col("start") + F.col("size"))
     touched = epochs.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
-    touched = touched.select("source_no", "rank", "a_row", "doc_id", "start", "end")
+    touched = touched.select("source_no", "rank", "a_row", "doc_id", "epoch", "start", "end")
     slots = schedule(targets, block)
     j = touched.join(slots, ["source_no", "rank"])
     low, high = F.greatest("start", F.col("rank") * block), F.least("end", F.col("rank") * block + F.col("words"))
-    plan = j.where(high > low).select("slot", "source_no", "rank", "a_row", "doc_id", (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"))
+    plan = j.where(high > low).select("slot", "source_no", "rank", "a_row", "doc_id", "epoch", low.alias("place"), (low - F.col("start")).alias("from_word"), (high - low).alias("n_words"))
     return sized, plan
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents, all columns kept: each row as often as the mix takes it, the last copy of a row cut to its
-    first words where the target ends within it. Rows that the mix doesn't take are gone. ``n_chars``, where there is
-    such a column, follows the text."""
+    first words where the target ends within it. Rows that the mix doesn't take are gone. The rows come in the order of
+    the slots in which they begin, over all partitions, so a reader that goes through the files in order meets the
+    sources by their schedule. ``n_chars``, where there is such a column, follows the text."""
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: names[i] for i, c in enumerate(docs.columns)}
     rows = numbered(docs.toDF(*names), [at[c] for c in ("doc_id", "source", "text")], "a_row")
     sized, plan = mix_sources(rows.select("a_row", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text"))), **options)
-    taken = plan.groupBy("a_row").agg(F.sum("n_words").alias("taken")).join(sized.select("a_row", "size"), "a_row")
-    copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
-    copies = copies.select("a_row", "size", F.least("size", F.col("taken") - F.col("copy") * F.col("size")).cast("int").alias("n"))
+    first_slot = F.min(F.struct("slot", "place")).alias("_at")
+    copies = plan.groupBy("a_row", "epoch").agg(F.sum("n_words").cast("int").alias("n"), first_slot)
+    copies = copies.join(sized.select("a_row", "size"), "a_row").select("a_row", "epoch", "size", "n", "_at")
     text = F.col(at["text"])
     first = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("n")), "")
     out = rows.join(copies, "a_row").withColumn(at["text"], F.when(F.col("n") == F.col("size"), text).otherwise(first))
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.length(at["text"]).cast(docs.schema["n_chars"].dataType))
+    out = out.repartitionByRange(shuffle_partitions(docs.sparkSession), "_at", "a_row").sortWithinPartitions("_at", "a_row")
     return out.select(*names).toDF(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, and where the schedule puts it: its first slot (null: not taken) and how many
+    runs of its words stand in slots. Rows with null ids or texts and repeated rows each get a row; see ``mix_sources``."""
     sized, plan = mix_sources(documents(spark, sf_dir))
-    taken = plan.groupBy("a_row").agg(F.sum("n_words").alias("taken"))
+    taken = plan.groupBy("a_row").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("runs"))
     out = sized.join(taken, "a_row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("runs"))
 
 
 ORACLE_OP4 = r"""
@@ -163,12 +168,31 @@ level as (
 tg as (
   select source, source_size, coalesce(least(cap::double, weight * (select lev from level)), 0.0) target from w),
 st as (
-  select doc_id, size, s.source_size, t.target,
+  select doc_id, size, s.source_size, t.target, s.no,
     sum(size) over (partition by s.source order by k, doc_id) - size a
-  from sized z join src s on z.source is not distinct from s.source join tg t on t.source is not distinct from s.source)
-select doc_id, size, source_size, target, (
-    greatest(0, least(a + size, floor(target)::bigint) - a)
-  + greatest(0, least(source_size + a + size, floor(target)::bigint) - source_size - a)
-  + greatest(0, least(2 * source_size + a + size, floor(target)::bigint) - 2 * source_size - a))::bigint taken
-from st
+  from sized z join src s on z.source is not distinct from s.source join tg t on t.source is not distinct from s.source),
+need as (
+  select no, floor(target)::bigint take, (floor(target)::bigint + 127) // 128 need,
+    sum(floor(target)::bigint) over (order by no) high from src join tg using (source_size) where tg.source is not distinct from src.source),
+tot as (select coalesce(max(high), 0)::bigint total, coalesce(sum(need), 0)::bigint slots from need),
+point as (
+  select i slot, floor(((i + 1) % 2147483648 * 1327217885 % 2147483648) / (2147483648.0::double / greatest(total, 1)))::bigint word
+  from tot, range((select slots from tot)) r(i)),
+hit as (
+  select slot, no, need, row_number() over (partition by no order by slot) - 1 rank
+  from point join need on word >= high - take and word < high),
+late as (
+  select no, r.rank from (select no, need, (select count(*) from hit h where h.no = n.no and h.rank < h.need) had from need n) x,
+    range((select coalesce(max(need), 0) from need)) r(rank) where r.rank >= had and r.rank < need),
+sched as (
+  select slot, no, rank from hit where rank < need
+  union all select (select slots from tot) + row_number() over (order by rank, no) - 1, no, rank from late),
+run as (
+  select doc_id, no, e * source_size + a lo, least(e * source_size + a + size, floor(target)::bigint) hi
+  from st, range(3) r(e) where size > 0 and e * source_size + a < floor(target)::bigint),
+used as (
+  select doc_id, sum(least(hi, (rank + 1) * 128) - greatest(lo, rank * 128))::bigint taken, min(slot)::bigint first_slot, count(*) runs
+  from run join sched on sched.no = run.no and rank >= lo // 128 and rank <= (hi - 1) // 128 group by doc_id)
+select doc_id, size, source_size, target, coalesce(taken, 0)::bigint taken, first_slot, coalesce(runs, 0)::bigint runs
+from st left join used using (doc_id)
 """

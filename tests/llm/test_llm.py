@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meterline.llm import common, ctw, links, media, minhash, mixing, packing, passages, secrets, simhash, tokens, toxicity
 
@@ -185,7 +186,8 @@ def test_joined_spans_keep_the_threshold():
 def test_mixing(spark, docs, texts, empty):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
-    assert sorted(rows(mixing.op4_mixing(spark, SF))) == sorted(con.sql(mixing.ORACLE_OP4).fetchall())
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(rows(mixing.op4_mixing(spark, SF)), key=key) == sorted(con.sql(mixing.ORACLE_OP4).fetchall(), key=key)
     sized, plan = mixing.mix_sources(docs.drop("a_row"))
     taken = Counter()
     for p in rows(plan.selectExpr("a_row", "n_words")):
@@ -198,9 +200,25 @@ def test_mixing(spark, docs, texts, empty):
     assert all(by_source[k] == math.floor(v) for k, v in target.items())
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and sum(len(WORD.findall(r.text)) for r in mixed.collect()) == sum(taken.values())
+    # rows come by the slot in which they begin
+    begin = {(r.a_row, r.epoch): r.at for r in plan.groupBy("a_row", "epoch").agg(F.min(F.struct("slot", "place")).alias("at")).collect()}
+    ids = {r.a_row: r.doc_id for r in sized.select("a_row", "doc_id").collect()}
+    assert [r.doc_id for r in mixed.collect()] == [ids[a] for a, _ in sorted(begin, key=lambda k: begin[k])]
     assert rows(mixing.mixed_documents(empty)) == []
 
 
+def test_schedule_keeps_each_source_near_its_share(spark):
+    target = [60_000.0, 25_000.0, 12_000.0, 3_000.0, 0.0]
+    targets = spark.createDataFrame(list(enumerate(target)), "source_no long, target double")
+    slots = sorted(mixing.schedule(targets, 10).collect())
+    assert [r.slot for r in slots] == sorted({r.slot for r in slots}) and sum(r.words for r in slots) == sum(target)
+    seen = Counter()
+    for m, r in enumerate(slots, 1):
+        seen[r.source_no] += 1
+        for j, t in enumerate(target):
+            assert abs(seen[j] - m * t / sum(target)) <= 3 + 2 * math.log2(m + 1)
+
+
 # 5
 
 
@@ -357,6 +375,27 @@ def test_bin_completion(seed):
     assert sum(n for n, _ in runs) <= sum(n for n, _ in packing.best_fit(dict(hist), 100))
 
 
+def fewest_bins(pieces, capacity):
+    """Exact: over all sets of pieces, the fewest bins and the least fill of the last one."""
+    best = [(0, capacity)] + [None] * ((1 << len(pieces)) - 1)
+    for have in range(1, len(best)):
+        best[have] = min((b, f + p) if f + p <= capacity else (b + 1, p) for i, p in enumerate(pieces) if have >> i & 1 for b, f in [best[have ^ 1 << i]])
+    return best[-1][0]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_bin_completion_is_exact_on_small_instances(seed):
+    r = random.Random(seed)
+    pieces = [r.randint(15, 60) for _ in range(r.randint(6, 11))] if seed else [40, 51, 50, 27, 21, 39, 44, 41, 46, 32, 36, 26, 36]
+    assert sum(n for n, _ in packing.complete(dict(Counter(pieces)), 100)) == fewest_bins(pieces, 100)
+
+
+def test_fillings_of_many_small_pieces():
+    assert next(packing.fillings([2], {2: 2000}, 2046, 2046, [10_000])) == (2,) * 1023
+    every = list(packing.fillings([6, 5, 4, 3, 2], dict.fromkeys(range(2, 7), 1), 10, 10, [10_000]))
+    assert sorted(every) == [(5, 3, 2), (6, 4)]
+
+
 def test_bin_completion_beats_best_fit():
     assert sum(n for n, _ in packing.best_fit({4: 1, 3: 2, 2: 3}, 8)) == 3
     assert 2 == sum(n for n, _ in packing.complete({4: 1, 3: 2, 2: 3}, 8))
