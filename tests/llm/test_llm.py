@@ -554,10 +554,47 @@ def test_context_tree_against_recursion(spark):
 # pipeline
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def test_pipeline(spark, tmp_path_factory):
+    """Each stage on its own input, with planted rows, and the rows of the whole run against the tokens of its input."""
+    import corpus_pipeline as cp
 
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "secret_scan", "mixing", "packing"]
-    out = corpus_pipeline.run(spark, SF)
-    held = rows(out)
-    assert held and all(r[6] + r[3] <= 2048 for r in held)
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "near_dedup", "secret_scan", "mixing", "packing"]
+    docs = common.documents(spark, SF)
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    body = [word() for _ in range(120)]
+    near = body.copy()
+    near[60] = "otherword"
+    key = "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=40))
+    plain = [" ".join(word() for _ in range(80)) for _ in range(3)]
+    planted = [(900001, " ".join(body)), (900002, " ".join(near)), (900003, " ".join(body)), (900004, plain[0]), (900005, f"{plain[1]} password: {key[:12]} {plain[2]} {key}")]
+    extra = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in planted], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = common.written(docs.unionByName(extra.select(*docs.columns)), "with-planted")
+    labels = {x.doc_id: x.toxic for x in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = common.written(cp.toxicity(spark, docs, SF), "t")
+    ids = {x.doc_id for x in kept.select("doc_id").collect()}
+    assert ids >= {i for i, _ in planted} and kept.columns == docs.columns
+    terms, model = toxicity.train(toxicity.training_rows(spark, docs, SF))
+    said = {x.doc_id: x.predicted for x in toxicity.score_toxicity(docs, terms, model).collect()}
+    assert ids == {i for i, p in said.items() if p == 0} and any(labels.get(i) == 1 for i, p in said.items() if p == 1)
+    deduped = common.written(cp.near_dedup(spark, kept, SF), "n")
+    left = {x.doc_id for x in deduped.select("doc_id").collect()}
+    assert 900001 in left and not left & {900002, 900003} and {900004, 900005} <= left
+    clean = common.written(cp.secret_scan(spark, deduped, SF), "s")
+    by = {x.doc_id: x for x in clean.collect()}
+    assert set(by) == left and by[900004].text == plain[0] and key not in by[900005].text and key[:12] not in by[900005].text
+    assert by[900005].text.count("[SECRET]") == 2 and by[900005].n_chars == len(by[900005].text)
+    mixed = common.written(cp.mixing(spark, clean, SF), "m")
+    size = lambda df: sum(len(WORD.findall(x.text or "")) for x in df.collect())
+    assert 0 <= size(clean) - size(mixed) <= len({x.source for x in by.values()})
+    encode = tokens.Encoder(tokens.default_vocabulary())
+    want = Counter(encode.whole(x.text or "") + bytes(4) for x in mixed.collect())
+    pieces = cp.packing(spark, mixed, SF).collect()
+    parts, bins = {}, {}
+    for p in pieces:
+        assert zlib.crc32(p.ids) == p.ids_crc32 and len(p.ids) == 4 * p.length and p.offset + p.length <= 2048
+        parts.setdefault(p.doc_row, []).append((p.start, p.ids))
+        bins.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert Counter(b"".join(ids for _, ids in sorted(v)) for v in parts.values()) == want
+    assert all(o == sum(n for p, n in b if p < o) for b in bins.values() for o, _ in b)
+    assert cp.run(spark, SF).count() > 0
