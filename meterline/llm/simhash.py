@@ -100,12 +100,14 @@ def close_prints(members: DataFrame, keys: list[str], radius, tile: int = 8192)
 def fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
     """(src, dst): links among distinct fingerprints that differ in at most ``radius`` of 64 bits.
 
-    Cut into radius + 1 bands, two such fingerprints have a band in common; the tiles compare each band's groups.
-    Every link is found, with radius + 1 small rows for each fingerprint, in place of all tiles against all.
+    Cut into radius + 2 bands, two such fingerprints agree in two bands at least; the tiles compare the groups that each
+    pair of bands makes. Every link is found, with (radius + 2)(radius + 1) / 2 small rows for each fingerprint (15 at
+    radius 4, keys of 21 bits or so), in place of all tiles against all.
     """
-    edge = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-    band = [F.shiftrightunsigned("fingerprint", 64 - b).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edge, edge[1:], strict=False)]
-    m = nodes.select("node", F.posexplode(F.array(*band)).alias("band", "value"), F.hex("fingerprint").alias("h"))
+    edge = [round(i * 64 / (radius + 2)) for i in range(radius + 3)]
+    cuts = [F.shiftrightunsigned("fingerprint", 64 - b).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(edge, edge[1:], strict=False)]
+    pairs = [F.shiftleft(x, edge[j + 1] - edge[j]).bitwiseOR(cuts[j]) for i, x in enumerate(cuts) for j in range(i + 1, len(cuts))]
+    m = nodes.select("node", F.posexplode(F.array(*pairs)).alias("band", "value"), F.hex("fingerprint").alias("h"))
     # the long's bytes; their order doesn't matter to exclusive-or and bit counts
     m = m.select("node", "band", "value", F.unhex(F.lpad("h", 16, "0")).alias("print"))
     return close_prints(m, ["band", "value"], lambda band: radius)
@@ -130,6 +132,7 @@ def simhash_groups(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and their components at 4 or fewer differing bits; see ``simhash_groups``."""
     return simhash_groups(documents(spark, sf_dir))
 
 
