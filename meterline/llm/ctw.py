@@ -27,7 +27,7 @@ from meterline.llm.common import documents, record_batch, remainder_is, shuffle_
 DEPTH, TOP = 5, 3
 END = b"\n"
 #: Grams of a chunk's texts are sorted and counted in parts of this many; the tree is worked through in parts of that many.
-SORTED, WORKED = 6_000_000, 300_000
+SORTED, WORKED = 3_000_000, 300_000
 LN2 = math.log(2.0)
 #: Words' keys carry bit 62; those of grams are below 2^(8 DEPTH + 8).
 WORD_BIT = 1 << 62
@@ -292,6 +292,45 @@ def gram_scores(grams: DataFrame) -> DataFrame:
     return sorted_grams.mapInArrow(values, ddl)
 
 
+class Numbered(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key: bytes) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+class GramSums:
+    """Sums of values over the grams of texts. The grams of some texts are sorted together, each with its text's number
+    in the lowest bits, so each distinct one is looked up once and in order."""
+
+    BITS, MOST = 15, 3_000_000
+
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        self.key, self.value, self.held, self.size, self.out = key, value, [], 0, []
+
+    def add(self, grams: np.ndarray) -> None:
+        self.held.append((grams << self.BITS) | len(self.held))
+        self.size += len(grams)
+        if self.size >= self.MOST or len(self.held) == 1 << self.BITS:
+            self._sum()
+
+    def _sum(self) -> None:
+        x, texts = np.concatenate(self.held), len(self.held)
+        self.held, self.size = [], 0
+        x.sort()
+        gram = x >> self.BITS
+        first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        found = self.value[np.searchsorted(self.key, gram[first])]
+        x &= (1 << self.BITS) - 1
+        self.out.append(np.bincount(x, np.repeat(found, np.diff(first, append=len(x))), texts))
+
+    def result(self) -> np.ndarray:
+        if self.held:
+            self._sum()
+        return np.concatenate(self.out)
+
+
 def score_documents(docs: DataFrame, chunk_chars: int = 16_000_000) -> DataFrame:
     """Scores of every whole text. Learning texts are those whose crc32(doc_id as text) mod 5 isn't 1.
 
@@ -317,30 +356,26 @@ def score_documents(docs: DataFrame, chunk_chars: int = 16_000_000) -> DataFrame
         key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
         order = np.argsort(key)
         key, value = key[order], value[order]
-        rows, number, of_word = [], {}, []
-        per_word: list[int] = []
-        doc_id, text = (texts.column(c).to_pylist() for c in ("doc_id", "text"))
-        ends, base = [], np.log10
-        for i, t in zip(doc_id, text, strict=True):
-            g, w = text_grams(t)
-            g.sort()  # near keys are looked up one after the other
-            rows.append([i, len(w), float(value[np.searchsorted(key, g)].sum())])
-            of_word += [number.setdefault(x, len(number)) for x in w]
-            ends.append(len(of_word))
-        if not rows:
+        sums, number, at, sizes, ids = GramSums(key, value), Numbered(), [], [], []
+        for batch in texts.to_batches():
+            for i, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text")), strict=True):
+                g, w = text_grams(t)
+                sums.add(g)
+                ids.append(i)
+                sizes.append(len(w))
+                at.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
+        if not ids:
             return pa.Table.from_batches([], schema=arrow)
-        per_word = np.fromiter(map(word_key, number), np.int64, len(number))
-        c = value[np.searchsorted(key, per_word)]
-        at = np.array(of_word)
-        starts = np.concatenate(([0], ends[:-1]))
-        n_known = np.add.reduceat((c > 0)[at].astype(np.int64), starts)
-        b = np.add.reduceat(base((c + 0.5) / floor)[at], starts)
-        ids, n, s = map(list, zip(*rows, strict=True))
-        return pa.Table.from_batches([record_batch([ids, n, n_known, np.full(len(ids), n_tokens), b, s], arrow)])
+        c = value[np.searchsorted(key, np.fromiter(map(word_key, number), np.int64, len(number)))]
+        at, starts = np.concatenate(at), np.cumsum(sizes) - sizes
+        n_known = np.add.reduceat((c > 0).astype(np.int64)[at], starts)
+        base = np.add.reduceat(np.log10((c + 0.5) / floor)[at], starts)
+        return pa.Table.from_batches([record_batch([ids, sizes, n_known, np.full(len(ids), n_tokens), base, sums.result()], arrow)])
 
     return docs.select("chunk", "doc_id", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, ddl)
 
 
 def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base score and context-tree score, in base-10 logarithms; see ``score_documents``."""
     scored = score_documents(documents(spark, sf_dir))
     return scored.select("doc_id", remainder_is(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
