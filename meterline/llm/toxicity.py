@@ -91,38 +91,57 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of each voter, the prior of the class, and a weight for each voter that counts correlated votes
-    less: 1 / (1 + sum of absolute correlations, within the classes, with the other voters)."""
+    """The joint distribution of a text's class and its votes: a prior of the class, and within each class a tree of
+    voters in which each vote depends on that of its parent. So a voter that mostly repeats another adds little."""
 
-    table: np.ndarray  # voter, class, vote (-1, 0, 1)
     prior: float
-    weight: np.ndarray
+    table: np.ndarray  # voter, class, vote (-1, 0, 1): P(vote | class), the voter's accuracy
+    given: np.ndarray  # voter, class, the parent's vote, vote: P(vote | parent's vote, class)
+    parent: np.ndarray  # -1: none
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         v = votes + 1
-        log = np.log(self.table)
-        j = np.arange(votes.shape[1])
-        ratio = (log[j, 1, v] - log[j, 0, v]) @ self.weight + np.log(self.prior / (1 - self.prior))
+        ratio = np.full(len(votes), np.log(self.prior / (1 - self.prior)))
+        for j, up in enumerate(self.parent):
+            p = self.table[j][:, v[:, j]] if up < 0 else self.given[j][:, v[:, up], v[:, j]]
+            ratio += np.log(p[1]) - np.log(p[0])
         return 1 / (1 + np.exp(-np.clip(ratio, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> LabelModel:
-    """Expectation maximisation from first guesses ``start`` of the posteriors; accuracies and correlations are
-    estimated anew in each round."""
-    p = start.astype(float)
-    m = votes.shape[1]
+def correlation_tree(strength: np.ndarray, least: float) -> np.ndarray:
+    """The parent of each voter in the spanning forest of greatest strength, without edges under ``least``."""
+    m = len(strength)
+    parent, best, todo = np.full(m, -1), np.full(m, -np.inf), set(range(m))
+    link = np.full(m, -1)
+    while todo:
+        j = max(todo, key=lambda i: (best[i], -i))
+        todo.remove(j)
+        parent[j] = link[j] if best[j] >= least else -1
+        for i in todo:
+            if strength[j, i] > best[i]:
+                best[i], link[i] = strength[j, i], j
+    return parent
+
+
+def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40, least: float = 0.01) -> LabelModel:
+    """Expectation maximisation from first guesses ``start`` of the posteriors. Each round estimates the accuracies anew,
+    and the correlations: the tree of greatest mutual information given the class (edges under ``least`` nats dropped)."""
+    p, (n, m) = start.astype(float), votes.shape
+    hot = (votes[:, :, None] == np.array([-1, 0, 1])).reshape(n, 3 * m).astype(float)
     for _ in range(rounds):
-        table = np.empty((m, 2, 3))
-        residual = np.zeros(votes.shape)
+        table, pairs, strength = np.empty((m, 2, 3)), np.empty((2, m, 3, m, 3)), np.zeros((m, m))
         for y, w in ((0, 1 - p), (1, p)):
-            for v in (-1, 0, 1):
-                table[:, y, v + 1] = (w @ (votes == v) + 0.5) / (w.sum() + 1.5)
-            residual += w[:, None] * (votes - (table[:, y, 2] - table[:, y, 0]))
-        sd = residual.std(0) + 1e-9
-        c = np.abs((residual - residual.mean(0)).T @ (residual - residual.mean(0)) / len(votes) / np.outer(sd, sd))
-        c[c < 0.05] = 0
-        np.fill_diagonal(c, 0)
-        model = LabelModel(table, float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), 1 / (1 + c.sum(1)))
+            table[:, y] = ((w @ hot).reshape(m, 3) + 0.5) / (w.sum() + 1.5)
+            pairs[y] = (hot.T @ (hot * w[:, None])).reshape(m, 3, m, 3)
+            joint = (pairs[y] + 0.5 / 3) / (w.sum() + 1.5)
+            one = joint.sum(3)[:, :, 0][:, :, None, None]
+            strength += w.sum() / n * (joint * np.log(joint / (one * joint.sum(1)[0][None, None]))).sum((1, 3))
+        parent = correlation_tree(strength, least)
+        given = np.zeros((m, 2, 3, 3))
+        for j in np.flatnonzero(parent >= 0):
+            counts = pairs[:, parent[j], :, j, :]
+            given[j] = (counts + table[j][:, None, :]) / (counts.sum(2, keepdims=True) + 1)
+        model = LabelModel(float(np.clip(p.mean(), 1e-3, 1 - 1e-3)), table, given, parent)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
             break
@@ -232,6 +251,7 @@ def training_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document by a model of the labelled rows outside the held-out fold; see ``score_toxicity``."""
     docs = documents(spark, sf_dir)
     terms, model = train(training_rows(spark, docs, sf_dir))
     scored = score_toxicity(docs, terms, model)

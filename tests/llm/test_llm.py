@@ -60,7 +60,29 @@ def test_label_model_finds_accuracies():
     votes = np.concatenate([votes, votes[:, 3:]], axis=1)  # the weak voter twice
     m = toxicity.fit_label_model(votes, (votes[:, 0] == 1) * 0.8 + 0.1)
     assert ((m.posterior(votes) > 0.5) == y).mean() > 0.95
-    assert m.weight[3] < 0.51 < m.weight[0]  # a voter and its copy count as one
+    one = toxicity.fit_label_model(votes[:, :4], (votes[:, 0] == 1) * 0.8 + 0.1)
+    assert np.abs(m.posterior(votes) - one.posterior(votes[:, :4])).max() < 0.01  # a voter and its copy count as one
+
+
+def test_label_model_knows_correlated_voters():
+    """Against the exact posterior of a planted joint distribution in which two voters mostly repeat a third."""
+    r = np.random.default_rng(2)
+    n = 20_000
+    y = r.random(n) < 0.3
+    hit = lambda p: np.where(r.random(n) < p, y, ~y)
+    a = hit(0.7)
+    copies = [np.where(r.random(n) < 0.95, a, ~a) for _ in range(2)]
+    single = [hit(0.8) for _ in range(3)]
+    votes = np.where(np.stack([a, *copies, *single], axis=1), 1, -1)
+    truth = lambda same, p: np.where(same, np.log(p / (1 - p)), np.log((1 - p) / p))
+    ratio = np.log(0.3 / 0.7) + truth(a, 0.7) + sum(truth(s, 0.8) for s in single)
+    exact = 1 / (1 + np.exp(-ratio))
+    start = np.where(votes.mean(1) > 0, 0.8, 0.2)
+    got = toxicity.fit_label_model(votes, start, rounds=200)
+    alone = toxicity.fit_label_model(votes, start, rounds=200, least=np.inf)
+    off = [float(np.abs(m.posterior(votes) - exact).mean()) for m in (got, alone)]
+    assert (got.parent >= 0).sum() >= 2
+    assert off[0] < 0.05 and off[0] < off[1] / 3
 
 
 def test_toxicity_held_out(spark, docs, empty):
