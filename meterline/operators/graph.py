@@ -32,19 +32,25 @@ def families(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return d.select("child", F.when(F.col("moved"), F.col("low")).otherwise(F.col("up")).alias("root"), F.when(~F.col("moved"), F.col("depth")).alias("depth"), F.col("moved").alias("cyclic"))
 
 
-def ancestors(edges: DataFrame, levels: int = 64) -> DataFrame:
-    """(node, ancestor, depth) for every pair on a path upwards, self included, in a forest."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) for every pair on a path upwards, self included, in a forest of any depth.
+
+    Paths are doubled: those of up to 2^k steps, and each of exactly 2^k steps followed by them, give those of up to
+    2^(k+1) steps less one. A cycle has no end, so it is an error (``reject_cycles`` first).
+    """
     from meterline.functions.tables import cut_lineage
 
     nodes = edges.select(F.col("child").alias("node")).unionByName(edges.select(F.col("parent").alias("node"))).distinct()
-    out = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"))
-    step, up = out, edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("_up"))
-    for _ in range(levels):
-        step = cut_lineage(step.join(up, "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+    out = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("depth"))
+    jump, step, most = edges.select(F.col("child").alias("node"), F.col("parent").alias("up")), 1, edges.count()
+    while not jump.isEmpty():
+        if step > most:
+            raise ValueError("the edges hold a cycle")
+        further = jump.join(out.withColumnRenamed("node", "up"), "up").select("node", "ancestor", (F.col("depth") + step).alias("depth"))
+        out = cut_lineage(out.unionByName(further))
+        jump = cut_lineage(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_up")), "up").select("node", F.col("_up").alias("up")))
+        step *= 2
+    return out.withColumn("depth", F.col("depth").cast("int"))
 
 
 def subtree_totals(closure: DataFrame, per_node: DataFrame, amounts: list[str]) -> DataFrame:

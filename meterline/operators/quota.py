@@ -1,6 +1,6 @@
 """Quota periods from coarse percent meters: episodes, high-water buckets, the reset ledger, monthly metrics."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import share, weighted_quantile
@@ -49,13 +49,17 @@ def high_water_rows(df: DataFrame) -> DataFrame:
 
 
 def bucket_aggregate(df: DataFrame) -> DataFrame:
-    """Buckets of ``high_water_rows``: span, points gained, events, tokens, dollars, core figures without reviewers."""
+    """Buckets of ``high_water_rows``: span, points gained, events, tokens, dollars, core figures without reviewers.
+    ``fit_excluded``: a reviewer's row whose ``policy`` (where there is one) isn't historical; such a bucket is in no fit."""
+    excluded = F.col("reviewer") & (F.coalesce("policy", F.lit("unknown")) != "historical") if "policy" in df.columns else F.lit(False)
     core = ~F.col("reviewer")
     tokens = F.col("input") + F.col("output")
     priced = F.col("usd").isNotNull()
     b = df.groupBy(*EPISODE, "bucket").agg(
         F.max("us").alias("end_us"), F.max("used").alias("end_used"), F.max(F.coalesce("_high", F.lit(0.0))).alias("start_used"), F.count("*").alias("events"), F.sum(tokens).alias("tokens"),
         F.coalesce(F.sum(F.when(priced, tokens)), F.lit(0)).alias("priced_tokens"), F.sum("usd").alias("usd"), F.coalesce(F.sum(F.when(core, tokens)), F.lit(0)).alias("core_tokens"), F.sum(F.when(core, F.col("usd"))).alias("core_usd"),
+        *(F.sum(c).alias(c) for c in ("uncached", "cached", "output")), F.coalesce(F.sum(F.when(core & priced, tokens)), F.lit(0)).alias("core_priced_tokens"),
+        F.max(excluded).alias("fit_excluded"), F.min("us").alias("first_us"),
     )
     return b.withColumn("points", F.col("end_used") - F.col("start_used"))
 
@@ -118,15 +122,78 @@ def accounting_rows(df: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def usable_buckets(b: DataFrame, coverage: float = 0.95) -> DataFrame:
-    return b.where((F.col("points") > 0) & F.col("usd").isNotNull() & (F.col("priced_tokens") >= coverage * F.col("tokens")))
+    return b.where(usable(coverage))
+
+
+def usable(coverage: float = 0.95) -> Column:
+    """Whether a bucket's dollars a point mean something."""
+    return (F.col("points") > EPS) & F.col("usd").isNotNull() & (F.col("priced_tokens") + EPS >= coverage * F.col("tokens")) & ~F.col("fit_excluded")
+
+
+def with_month(b: DataFrame) -> DataFrame:
+    return b.withColumn("month", F.expr("date_format(timestampadd(MICROSECOND, end_us, timestamp_ntz'1970-01-01'), 'yyyy-MM')"))
+
+
+def point_metrics(b: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums over all buckets, dollars a point over the usable ones, and weighted quantiles of their dollars a point."""
+    ok, point = usable(), F.sum(F.when(usable(), F.col("points")))
+    out = b.groupBy(*keys).agg(
+        F.count("*").alias("buckets"), *(F.sum(c).alias(c) for c in ("points", "tokens", "uncached", "cached", "output")), F.coalesce(point, F.lit(0.0)).alias("priced_points"),
+        share(F.sum(F.when(ok, F.col("usd"))).cast("double"), point).alias("usd_per_point"),
+    )
+    q = weighted_quantile(usable_buckets(b).withColumn("rate", F.col("usd").cast("double") / F.col("points")), keys, "rate", "points", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return out.join(q, keys, "left")
 
 
 def monthly_metrics(b: DataFrame) -> DataFrame:
-    """By month of the bucket's end: sums, dollars a point over usable buckets, weighted quantiles of tokens a point."""
-    d = b.withColumn("month", F.expr("date_format(timestampadd(MICROSECOND, end_us, timestamp_ntz'1970-01-01'), 'yyyy-MM')"))
-    u = usable_buckets(d).groupBy("month").agg((F.sum("usd").cast("double") / F.sum("points")).alias("usd_per_point"))
-    q = weighted_quantile(d.where("points > 0").withColumn("rate", F.col("tokens") / F.col("points")), ["month"], "rate", "points", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
-    return d.groupBy("month").agg(F.count("*").alias("buckets"), F.sum("points").alias("points"), F.sum("tokens").alias("tokens")).join(u, "month", "left").join(q, "month", "left")
+    """``point_metrics`` by account and month of the bucket's end."""
+    return point_metrics(with_month(b), ["account", "month"])
+
+
+def with_dominant(b: DataFrame, mix: DataFrame, dims: list[str]) -> DataFrame:
+    """Buckets with the dominant key of each dimension and its share (unknown and 0 where there are no tokens)."""
+    for dim in dims:
+        b = b.join(dominant(mix, [*EPISODE, "bucket"], dim), [*EPISODE, "bucket"], "left")
+        b = b.withColumn(dim, F.coalesce(dim, F.lit("unknown"))).withColumn(f"{dim}_share", F.coalesce(f"{dim}_share", F.lit(0.0)))
+    return b
+
+
+def dominant_rows(b: DataFrame, purity: float, dim: str = "model") -> DataFrame:
+    """Buckets of one known model at ``purity`` or more, with points, that no policy keeps out of fits."""
+    return b.where((F.col("points") > EPS) & ~F.col("fit_excluded") & (F.col(dim) != "unknown") & (F.col(f"{dim}_share") + EPS >= purity))
+
+
+def model_month(b: DataFrame, purity: float = 0.9, least_points: float = 5.0) -> DataFrame:
+    """``point_metrics`` by account, month and dominant model, of buckets at ``purity``, rows with too few points left out."""
+    rows = with_month(b).where(F.col("model_share") + EPS >= purity)
+    return point_metrics(rows, ["account", "month", "model"]).where(F.col("points") + EPS >= least_points)
+
+
+def replay_sensitivity(without: DataFrame, included: DataFrame, least_points: float = 5.0) -> DataFrame:
+    """Dollars a point by account and month from buckets without and with replayed rows, and the change in percent, of months with
+    enough priced points on both sides."""
+    a, b = (monthly_metrics(x).where(F.col("priced_points") >= least_points).select("account", "month", F.col("priced_points").alias(f"points_{n}"), F.col("usd_per_point").alias(f"usd_{n}")) for x, n in ((without, "without"), (included, "included")))
+    return a.join(b, ["account", "month"]).where(F.abs("usd_without") > EPS).withColumn("change_percent", (F.col("usd_included") / F.col("usd_without") - 1) * 100)
+
+
+def cohort_rows(b: DataFrame, episodes: DataFrame, purity: float = 0.95, least_points: float = 10.0, least_episodes: int = 3, latest: bool = True) -> DataFrame:
+    """Buckets with model and effort at ``purity`` by model, regime (``episodes``: account, reset_key, model, regime,
+    end_us) and effort: tokens, their parts and dollars a point, dollars only with enough points and episodes of their
+    own. ``latest``: each model's last regime alone."""
+    if latest:
+        last = episodes.groupBy("model").agg(F.max_by("regime", F.struct("end_us", -F.col("regime"))).alias("regime"))
+        episodes = episodes.join(last, ["model", "regime"], "left_semi")
+    rows = dominant_rows(b, purity).where((F.col("effort") != "unknown") & (F.col("effort_share") + EPS >= purity))
+    rows = rows.join(episodes.select(*EPISODE, "model", "regime"), [*EPISODE, "model"])
+    ep, ok = F.struct(*EPISODE), usable()
+    c = rows.groupBy("model", "regime", "effort").agg(
+        F.count("*").alias("buckets"), F.count_distinct(ep).alias("episodes"), F.sum("points").alias("points"), *((F.sum(x) / 1e6 / F.sum("points")).alias(f"{x}_m_per_point") for x in ("tokens", "uncached", "cached", "output")),
+        F.coalesce(F.sum(F.when(ok, F.col("points"))), F.lit(0.0)).alias("priced_points"), F.count_distinct(F.when(ok, ep)).alias("priced_episodes"),
+        share(F.sum(F.when(ok, F.col("usd"))).cast("double"), F.sum(F.when(ok, F.col("points")))).alias("usd_per_point"),
+    )
+    c = c.where((F.col("points") + EPS >= least_points) & (F.col("episodes") >= least_episodes))
+    enough = (F.col("priced_points") + EPS >= least_points) & (F.col("priced_episodes") >= least_episodes)
+    return c.withColumn("usd_per_point", F.when(enough, F.col("usd_per_point")))
 
 
 def quota_slice(b: DataFrame, points: float, from_end: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import share
+from meterline.operators import quota
 
 STATUSES = ("historical", "free", "transition", "unknown", "outside_scope")
 
@@ -74,8 +75,8 @@ def model_mix(df: DataFrame, keys: list[str], least: float = 0.05) -> DataFrame:
 
 def episode_metric(buckets: DataFrame, by: list[str], episode: list[str], coverage: float = 0.95) -> DataFrame:
     """Dollars a point of each episode if every episode of its group has enough priced points, else tokens a point."""
-    usable = F.col("usd").isNotNull() & (F.col("priced_tokens") >= coverage * F.col("tokens"))
-    e = buckets.where("points > 0").groupBy(*episode).agg(F.sum("points").alias("points"), F.sum("tokens").alias("tokens"), F.sum(F.when(usable, F.col("points"))).alias("_p"), F.sum(F.when(usable, F.col("usd"))).cast("double").alias("_usd"))
+    ok = quota.usable(coverage)
+    e = buckets.where("points > 0").groupBy(*episode).agg(F.sum("points").alias("points"), F.sum("tokens").alias("tokens"), F.sum(F.when(ok, F.col("points"))).alias("_p"), F.sum(F.when(ok, F.col("usd"))).cast("double").alias("_usd"))
     e = e.withColumn("_api", F.when((F.col("_p") >= F.greatest(F.lit(1.0), 0.8 * F.col("points"))) & (F.col("_usd") > 0), F.col("_usd") / F.col("_p")))
     priced = F.min(F.col("_api").isNotNull()).over(Window.partitionBy(*by))
     e = e.withColumn("basis", F.when(priced, "usd_per_point").otherwise("mtok_per_point"))

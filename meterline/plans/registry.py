@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import asof, interval_subtract, interval_union, weighted_quantile
-from meterline.operators import clean, graph, pricing, quota, stats, usage, workflow
+from meterline.operators import clean, graph, pricing, quota, reviewer, usage, workflow
 from meterline.sources.telemetry import TELEMETRY_SQL, telemetry
 
 RATES = [("view", 1.25, 0.125, 10.0), ("click", 2.0, 0.2, 8.0), ("purchase", 3.0, 0.3, 15.0)]
@@ -167,17 +167,23 @@ def global_dedup(spark, sf_dir):
     return clean.global_dedup(d, ["model", "size", "period"], ["effort", "auth"]).select("line", "model", "size")
 
 
-@query(f"""with {TELEMETRY_SQL}, t as (select *, sum(input * 50) over (partition by source order by line)::bigint total from tel),
+REPLAY = f"""t as (select *, sum(input * 50) over (partition by source order by line)::bigint total from tel),
 o as (select a.*, total >= lag(total) over (partition by source order by line) up from t a where us <= (select min(us) from t b where b.source = a.source) + {120 * HOUR}),
 s as (select source from o group by source having count(*) >= 8 and count(total) >= greatest(3, floor(count(*) * 0.9)) and avg(up::int) >= 0.98
   and arg_min(total, line) <= 2000000 and arg_max(total, line) - arg_min(total, line) >= 5000000
   and (max(reset_at) - min(reset_at) >= 60 or max(used) - min(used) >= 2 or arg_max(total, line) - arg_min(total, line) >= 25000000)),
-f as (select t.line, t.source, t.us, t.line in (select line from o) and t.source in (select source from s) replay from t)
+f as (select t.line, t.source, t.us, t.line in (select line from o) and t.source in (select source from s) replay from t)"""
+
+
+def with_replay(df: DataFrame) -> DataFrame:
+    total = F.sum(F.col("input") * 50).over(Window.partitionBy("source").orderBy("line"))
+    return clean.flag_replay_prefix(df.withColumn("total", total), scan_us=120 * HOUR, least=8)
+
+
+@query(f"""with {TELEMETRY_SQL}, {REPLAY}
 select line, replay, not (bool_and(replay) over (partition by source, us // {6 * HOUR})) and count(*) over (partition by source, us // {6 * HOUR}) > 1 as dense from f""")
 def replay_and_dense(spark, sf_dir):
-    total = F.sum(F.col("input") * 50).over(Window.partitionBy("source").orderBy("line"))
-    d = clean.flag_replay_prefix(telemetry(spark, sf_dir).withColumn("total", total), scan_us=120 * HOUR, least=8)
-    return clean.flag_dense(d, 6 * HOUR, 1).select("line", "replay", "dense")
+    return clean.flag_dense(with_replay(telemetry(spark, sf_dir)), 6 * HOUR, 1).select("line", "replay", "dense")
 
 
 @query(f"""with {TELEMETRY_SQL} select case when reviewer then 'reviewer' when source > 0 then 'subagent' else 'root' end activity,
@@ -219,20 +225,30 @@ def raw_episodes(spark, sf_dir):
     return quota.raw_episodes(metered(spark, sf_dir), WINDOW_US)
 
 
-BUCKETS = (
-    METERED
-    + """, h as (select *, max(used) over (partition by account, reset_key order by us, line rows between unbounded preceding and 1 preceding) high from m),
-n as (select * from h where high is null or used > high),
-hb as (select a.*, (select count(*) from n b where b.account = a.account and b.reset_key = a.reset_key and (b.us < a.us or (b.us = a.us and b.line < a.line))) bucket from h a),
-kept as (select * from hb a where exists (select 1 from n b where b.account = a.account and b.reset_key = a.reset_key and (b.us > a.us or (b.us = a.us and b.line >= a.line))) and (bucket > 0 or used = 0)),
-bk as (select account, reset_key, bucket, max(us) end_us, max(used) end_used, max(coalesce(high, 0.0)) start_used, count(*) events, sum(input + output)::bigint tokens,
+def bucket_ctes(p: str, rows: str) -> str:
+    """CTEs {p}h to {p}bk: the buckets of ``rows``, which have a reset_key."""
+    return f"""{p}h as (select *, max(used) over (partition by account, reset_key order by us, line rows between unbounded preceding and 1 preceding) high from {rows}),
+{p}n as (select * from {p}h where high is null or used > high),
+{p}hb as (select a.*, (select count(*) from {p}n b where b.account = a.account and b.reset_key = a.reset_key and (b.us < a.us or (b.us = a.us and b.line < a.line))) bucket from {p}h a),
+{p}kept as (select * from {p}hb a where exists (select 1 from {p}n b where b.account = a.account and b.reset_key = a.reset_key and (b.us > a.us or (b.us = a.us and b.line >= a.line))) and (bucket > 0 or used = 0)),
+{p}bk as (select account, reset_key, bucket, max(us) end_us, max(used) end_used, max(coalesce(high, 0.0)) start_used, count(*) events, sum(input + output)::bigint tokens,
   coalesce(sum(case when usd is not null then input + output end), 0)::bigint priced_tokens, sum(usd) usd, coalesce(sum(case when not reviewer then input + output end), 0)::bigint core_tokens,
-  sum(case when not reviewer then usd end) core_usd, max(used) - max(coalesce(high, 0.0)) points from kept group by account, reset_key, bucket)"""
-)
+  sum(case when not reviewer then usd end) core_usd, sum(uncached)::bigint uncached, sum(cached)::bigint cached, sum(output)::bigint output,
+  coalesce(sum(case when not reviewer and usd is not null then input + output end), 0)::bigint core_priced_tokens, bool_or(reviewer and (sign_in = 'api' or us >= {TURN_US})) fit_excluded, min(us) first_us,
+  max(used) - max(coalesce(high, 0.0)) points from {p}kept group by account, reset_key, bucket)"""
+
+
+BUCKETS = METERED + ", " + bucket_ctes("", "m")
+USABLE = "points > 0 and usd is not null and priced_tokens >= 0.95 * tokens and not fit_excluded"
+
+
+def bucket_rows(df: DataFrame) -> DataFrame:
+    """Events with their buckets; a reviewer's row before the turn is historical unless it signed in by API."""
+    return quota.high_water_rows(reviewer.policy_status(signed_in(df), TURN_US, TURN_US + 48 * HOUR))
 
 
 def buckets(spark, sf_dir):
-    return quota.bucket_aggregate(quota.high_water_rows(metered(spark, sf_dir)))
+    return quota.bucket_aggregate(bucket_rows(metered(spark, sf_dir)))
 
 
 @query(f"{BUCKETS} select * replace (cast(usd as double) as usd, cast(core_usd as double) as core_usd) from bk")
@@ -243,7 +259,7 @@ def high_water_buckets(spark, sf_dir):
 @query(f"""{BUCKETS}, mix as (select account, reset_key, bucket, model, sum(input + output) t from kept group by all)
 select account, reset_key, bucket, arg_min(model, (-t, model)) model, max(t) / sum(t) model_share from mix group by account, reset_key, bucket""")
 def dominant_model(spark, sf_dir):
-    mix = quota.bucket_mix(quota.high_water_rows(metered(spark, sf_dir)), ["model", "effort"])
+    mix = quota.bucket_mix(bucket_rows(metered(spark, sf_dir)), ["model", "effort"])
     return quota.dominant(mix, [*quota.EPISODE, "bucket"], "model")
 
 
@@ -269,12 +285,19 @@ def reset_ledger(spark, sf_dir):
     return quota.reset_ledger(e, quota.boundary_before(d, e), 1_000_000)
 
 
-@query(f"""{BUCKETS}, d as (select *, strftime(make_timestamp(end_us), '%Y-%m') as month from bk), v as (select month, tokens / points r, points p from d where points > 0),
-c as (select month, r, (select sum(p) from v b where b.month = a.month and b.r <= a.r) c, (select sum(p) from v b where b.month = a.month) t from v a)
-select d.month, count(*) buckets, sum(points) points, sum(tokens)::bigint tokens,
-  cast(sum(usd) filter (points > 0 and usd is not null and priced_tokens >= 0.95 * tokens) as double) / sum(points) filter (points > 0 and usd is not null and priced_tokens >= 0.95 * tokens) usd_per_point,
-  (select min(r) from c where c.month = d.month and c.c + 1e-9 >= 0.1 * t) p10, (select min(r) from c where c.month = d.month and c.c + 1e-9 >= 0.5 * t) p50, (select min(r) from c where c.month = d.month and c.c + 1e-9 >= 0.9 * t) p90
-from d group by d.month""")
+def point_sql(rows: str, keys: str, having: str = "") -> str:
+    """Point metrics of ``rows`` by ``keys``."""
+    on = " and ".join(f"x.{k.strip()} = g.{k.strip()}" for k in keys.split(","))
+    least = lambda q, n: f"(select min(cast(x.usd as double) / x.points) from {rows} x where {on} and {USABLE} and (select sum(y.points) from {rows} y where {on.replace('x.', 'y.')} and y.points > 0 and y.usd is not null and y.priced_tokens >= 0.95 * y.tokens and not y.fit_excluded and cast(y.usd as double) / y.points <= cast(x.usd as double) / x.points) + 1e-9 >= {q} * g.priced_points) {n}"
+    return f"""select *, {least(0.1, "p10")}, {least(0.5, "p50")}, {least(0.9, "p90")} from (
+  select {keys}, count(*) buckets, sum(points) points, sum(tokens)::bigint tokens, sum(uncached)::bigint uncached, sum(cached)::bigint cached, sum(output)::bigint output,
+    coalesce(sum(points) filter ({USABLE}), 0.0) priced_points, cast(sum(usd) filter ({USABLE}) as double) / sum(points) filter ({USABLE}) usd_per_point from {rows} group by {keys} {having}) g"""
+
+
+MONTHS = BUCKETS + ", d as (select *, strftime(make_timestamp(end_us), '%Y-%m') as month from bk)"
+
+
+@query(f"{MONTHS} {point_sql('d', 'account, month')}")
 def monthly_metrics(spark, sf_dir):
     return quota.monthly_metrics(buckets(spark, sf_dir))
 
@@ -286,36 +309,6 @@ def quota_slice(spark, sf_dir):
     return quota.quota_slice(buckets(spark, sf_dir), 10.0)
 
 
-# statistics
-
-
-@query(f"""{BUCKETS}, u as (select account, row_number() over (partition by account order by reset_key, bucket) - 1 i, count(*) over (partition by account) n, tokens, points from bk where points > 0),
-r as (select a.account, g.rep, ('0x' || substr(md5('b:' || g.rep || ':' || a.i), 1, 8))::bigint % a.n j from u a, range(50) g(rep) where n > 1),
-e as (select r.account, r.rep, sum(u.tokens) / sum(u.points) x from r join u on u.account = r.account and u.i = r.j group by 1, 2)
-select u.account, max(n) units, sum(tokens) / sum(points) estimate, (select quantile_cont(x, 0.1) from e where e.account = u.account) low, (select quantile_cont(x, 0.9) from e where e.account = u.account) high from u group by u.account""")
-def episode_bootstrap(spark, sf_dir):
-    u = buckets(spark, sf_dir).where("points > 0")
-    out = stats.ratio_bootstrap(u, ["account"], "tokens", "points", ["reset_key", "bucket"], boots=50)
-    return out.withColumn("units", F.col("units").cast("long"))
-
-
-@query(f"""{BUCKETS}, x as (select account, core_tokens / 1e6 a, (tokens - core_tokens) / 1e6 b, points y from bk where points > 0),
-s as (select account, count(*) n, sum(a*a) aa, sum(b*b) bb, sum(a*b) ab, sum(a*y) ay, sum(b*y) as by_ from x group by account),
-t as (select *, (ay*bb - by_*ab) / (aa*bb - ab*ab) wa, (by_*aa - ay*ab) / (aa*bb - ab*ab) wb from s)
-select account, n, round(case when wa >= 0 and wb >= 0 then wa when ay*ay/aa >= by_*by_/bb then ay/aa else 0 end, 4) weight_a, round(case when wa >= 0 and wb >= 0 then wb when ay*ay/aa >= by_*by_/bb then 0 else by_/bb end, 4) weight_b from t""")
-def weight_fit(spark, sf_dir):
-    b = buckets(spark, sf_dir).where("points > 0").select("account", (F.col("core_tokens") / 1e6).alias("a"), ((F.col("tokens") - F.col("core_tokens")) / 1e6).alias("b"), "points")
-    out = stats.weight_fit(b, ["account"], "a", "b", "points")
-    return out.select("account", "n", F.round("weight_a", 4).alias("weight_a"), F.round("weight_b", 4).alias("weight_b"))
-
-
-@query()
-def usage_regimes(spark, sf_dir):
-    b = buckets(spark, sf_dir).where("points > 0").withColumn("x", F.log(F.col("tokens") / F.col("points")))
-    d = stats.detect_regimes(b.select("account", "reset_key", "bucket", "x", "points"), ["account"], ["reset_key", "bucket"], "x", "points", gain=0.05, ratio=1.1)
-    return d.groupBy("account", "regime").agg(F.count("*").alias("buckets"), F.round(F.avg("x"), 6).alias("level"))
-
-
 # workflow
 
 
