@@ -71,19 +71,6 @@ def report_rollup(df: DataFrame) -> DataFrame:
     return d.withColumn("tokens_per_s", F.when(F.col("active_us") > 0, F.col("tokens") / (F.col("active_us") / 1e6)))
 
 
-def response_performance(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Visible tokens a second of the qualified responses (qualified, visible, duration_us), from totals, their duration's
-    quantiles and how far they cover the responses: insufficient below 5 or 10 %, low below 20 or 50 %, else good."""
-    q, length = F.count_if("qualified"), F.when(F.col("qualified"), F.col("duration_us"))
-    d = df.groupBy(*keys).agg(
-        F.count("*").alias("responses"), q.alias("qualified"), (F.sum(F.when(F.col("qualified"), F.col("visible"))) / (F.sum(length) / 1e6)).alias("visible_per_s"),
-        F.percentile(length, F.lit(0.5)).alias("duration_p50"), F.percentile(length, F.lit(0.9)).alias("duration_p90"),
-    )
-    d = d.withColumn("coverage", F.col("qualified") / F.col("responses"))
-    low = (F.col("qualified") < 20) | (F.col("coverage") < 0.5)
-    return d.withColumn("quality", F.when((F.col("qualified") < 5) | (F.col("coverage") < 0.1), "insufficient").when(low, "low").otherwise("good"))
-
-
 def latest_family(df: DataFrame, excluded: DataFrame) -> DataFrame:
     """Each account's newest family with more than one session, else its newest standalone session; not the excluded."""
     f = df.join(excluded, "family", "left_anti").groupBy("account", "family").agg(F.max("us").alias("last_us"), F.count_distinct("source").alias("sessions"))

@@ -1,3 +1,3 @@
 """Query registries; importing this package fills them."""
 
-from meterline.plans import lifecycle, registry, reviewing, statistics  # noqa: F401
+from meterline.plans import lifecycle, registry, reviewing, statistics, timing  # noqa: F401

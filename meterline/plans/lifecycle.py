@@ -76,16 +76,6 @@ def report_rollup(spark, sf_dir):
     return lifecycle.report_rollup(d.agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("output")).alias("tokens"), (F.max("us") - F.min("us")).alias("active_us")))
 
 
-@query(f"""with {TELEMETRY_SQL}, x as (select source, effort, k % (source % 6 + 1) = 0 q, output - reasoning v, (k + 1) * 100000 d from tel),
-g as (select source, effort, count(*) responses, count(*) filter (q) qualified, sum(v) filter (q) / (sum(d) filter (q) / 1e6) visible_per_s, quantile_cont(d, 0.5) filter (q) duration_p50, quantile_cont(d, 0.9) filter (q) duration_p90
-  from x group by 1, 2)
-select *, qualified / responses coverage, case when qualified < 5 or qualified < 0.1 * responses then 'insufficient' when qualified >= 20 and qualified >= 0.5 * responses then 'good' else 'low' end quality from g""")
-def response_performance(spark, sf_dir):
-    d = telemetry(spark, sf_dir).withColumn("qualified", F.col("k") % (F.col("source") % 6 + 1) == 0)
-    d = d.withColumn("visible", F.col("output") - F.col("reasoning")).withColumn("duration_us", (F.col("k") + 1) * 100_000)
-    return lifecycle.response_performance(d, ["source", "effort"])
-
-
 @query(f"""with {TELEMETRY_SQL}, f as (select source % 40 family, source % 8 account, max(us) last_us, count(distinct source) sessions from tel where source % 10 <> 3 group by 1, 2),
 b as (select account, max(last_us) filter (sessions > 1) linked, max(last_us) alone from f group by account)
 select f.account, family, last_us, sessions, case when sessions > 1 then 'linked' else 'standalone' end kind from f join b on f.account = b.account and last_us = coalesce(linked, alone)""")
