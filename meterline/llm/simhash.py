@@ -50,16 +50,15 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
     return map_columns(docs.select("doc_id", "text"), make, "doc_id long, fingerprint long")
 
 
-def close_links(prints: np.ndarray, radius: int, skip: np.ndarray | None = None) -> list[tuple[int, int]]:
+def close_links(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links (rows that differ in at most ``radius`` bits) among rows of 64-bit words.
 
     Rows are ordered by population count and compared in tiles by exclusive-or and bit counts; two tiles whose counts
-    lie further apart than the radius hold no link and are skipped. ``skip``: rows among which no links are wanted.
+    lie further apart than the radius hold no link and are skipped.
     """
     ones = np.bitwise_count(prints).sum(1).astype(int)
     order = np.argsort(ones, kind="stable")
     p, ones = prints[order], ones[order]
-    late = None if skip is None else skip[order]
     joined, links = Joined(len(p)), []
     for a in range(0, len(p), TILE):
         left, last = p[a : a + TILE], ones[min(a + TILE, len(p)) - 1]
@@ -71,8 +70,6 @@ def close_links(prints: np.ndarray, radius: int, skip: np.ndarray | None = None)
             for k in range(p.shape[1]):
                 apart += np.bitwise_count(left[:, k, None] ^ right[None, :, k])
             near = apart <= radius
-            if late is not None:
-                near &= ~(late[a : a + TILE, None] & late[None, b : b + TILE])
             if a == b:
                 near &= np.tri(*near.shape, -1, dtype=bool).T
             for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
@@ -83,15 +80,14 @@ def close_links(prints: np.ndarray, radius: int, skip: np.ndarray | None = None)
 
 def close_prints(members: DataFrame, keys: list[str], radius, tile: int = 8192) -> DataFrame:
     """(src, dst): a forest of the links among ``node``s in each group of ``keys`` whose ``print`` (binary: 64-bit
-    words) differ in at most ``radius(first key)`` bits. A row with ``late`` true isn't compared with others that have it."""
+    words) differ in at most ``radius(first key)`` bits."""
     ddl = "src long, dst long"
     arrow = to_arrow_schema(struct(ddl))
 
     def links(key, table):
         node = table.column("node").to_pylist()
         raw = b"".join(table.column("print").to_pylist())
-        late = table.column("late").to_numpy() if "late" in table.column_names else None
-        found = close_links(np.frombuffer(raw, np.uint64).reshape(len(node), -1), radius(key[0].as_py()), late)
+        found = close_links(np.frombuffer(raw, np.uint64).reshape(len(node), -1), radius(key[0].as_py()))
         return to_table([list(x) for x in zip(*((node[i], node[j]) for i, j in found), strict=True)] or [[], []], arrow)
 
     return tiled(members, keys, tile).groupBy(*keys, "pair").applyInArrow(links, ddl)
@@ -148,16 +144,22 @@ def wide_print(shingles: np.ndarray, width: int) -> bytes:
     return np.array(out, np.uint64).tobytes()
 
 
-def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, width: int = 2, radius: int = 36, wide: int = 48, small: int = 16) -> DataFrame:
+def lowest(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` least of the hashes mixed anew (all where there are fewer)."""
+    h = mix(shingles ^ np.uint64(0x27D4EB2F165667C5))
+    return h if len(h) <= n else np.partition(h, n - 1)[:n]
+
+
+def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, width: int = 2, radius: int = 36, wide: int = 48, small: int = 16, keys: int = 8) -> DataFrame:
     """(node, component) for each row that has a near copy: Jaccard similarity of the sets of k-word shingles at or
     over ``threshold``, linked through any number of rows; the component is its smallest node. ``docs`` has node (long,
     unique) and text; rows of equal word sequences are near copies, null and empty texts of each other.
 
-    Equal shingle sets are one node first. The rest are compared by fingerprints of ``width`` x 64 bits: at similarity
-    0.8 about 0.15 of the bits differ (19 of 128, deviation 4; more in sets of up to ``small`` shingles, whose radius is
-    ``wide``), and sets this alike differ in size by 1.25 times at
-    most, so tiles hold the sizes of one step of 1.25 and the next. Rows with a candidate bring their sets, and the
-    exact similarity decides.
+    Equal shingle sets are one node first. Of the rest, sets meet that share one of the ``keys`` least hashes of their
+    shingles: at similarity 0.8 each of the union's least ones is in both with probability 0.8, so 8 keys miss about
+    0.2^8 of such pairs. Each such block is compared by fingerprints of ``width`` x 64 bits in tiles (at 0.8 about 0.15 of
+    the bits differ: 19 of 128, deviation 4; more in sets of up to ``small`` shingles, whose radius is ``wide``), so the
+    work doesn't grow with the square of the rows. Rows with a candidate bring their sets, and the exact similarity decides.
     """
 
     def make():
@@ -166,19 +168,19 @@ def near_copies(docs: DataFrame, k: int = 5, threshold: float = 0.8, width: int
         def fn(node, text):
             sets = [np.unique(shingle_hashes(seen.of(words(t)), k)) for t in text]
             same = [int(mix(s).sum(dtype=np.uint64)) ^ len(s) for s in sets]
-            return [node, [signed(x) for x in same], [len(s) for s in sets], [wide_print(s, width) for s in sets]]
+            least = [lowest(s, keys).view(np.int64).tolist() for s in sets]
+            return [node, [signed(x) for x in same], [len(s) for s in sets], [wide_print(s, width) for s in sets], least]
 
         return fn
 
     # the set's own hash stands for it: the sum of its mixed members
-    rows = written(map_columns(docs.select("node", "text"), make, "node long, same long, size long, print binary"), "prints")
-    sets = rows.groupBy("same").agg(F.min("node").alias("node"), F.first("size").alias("size"), F.first("print").alias("print"))
+    rows = written(map_columns(docs.select("node", "text"), make, "node long, same long, size long, print binary, keys array<long>"), "prints")
+    sets = rows.groupBy("same").agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in ("size", "print", "keys")))
     sets = written(sets, "sets")
-    step = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    first = int(np.log(small) / np.log(1 / threshold))
-    m = sets.where("size > 0").withColumn("step", step)
-    m = m.withColumn("late", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("step", F.col("step") - F.col("late").cast("int"))
-    near = components(close_prints(m.select("node", "step", "late", "print"), ["step"], lambda step: wide if step <= first else radius))
+    # sets of up to small / threshold shingles can be near a small one, those over small near a larger one
+    kinds = F.array_compact(F.array(F.when(F.col("size") <= int(small / threshold), 1), F.when(F.col("size") > small, 0)))
+    m = sets.where("size > 0").select("node", "print", F.explode(kinds).alias("small"), "keys").select("small", F.explode("keys").alias("key"), "node", "print")
+    near = components(close_prints(m, ["small", "key"], lambda is_small: wide if is_small else radius))
     near = written(near, "candidates")
 
     def make_items():

@@ -303,6 +303,32 @@ def test_near_copies(docs, empty):
     assert rows(simhash.drop_near_copies(empty)) == []
 
 
+def planted_pairs(r, n=300):
+    """Pairs of texts whose 5-word shingles have a Jaccard similarity of 0.8 to 0.87: a few words changed."""
+    vocab = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    out = []
+    while len(out) < n:
+        a = r.choices(vocab, k=r.choice([15, 20, 30, 60, 120, 400]))
+        b = a.copy()
+        for _ in range(max(1, len(a) // 55)):
+            b[r.choice([0, -1, r.randrange(len(a))])] = "changed" + r.choice(vocab)
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.87:
+            out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+def test_near_copies_recall(spark):
+    pairs = planted_pairs(random.Random(11))
+    d = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "node long, text string")
+    found = {r.node: r.component for r in simhash.near_copies(d).collect()}
+    hit = sum(found.get(2 * i + 1) == 2 * i == found.get(2 * i) for i in range(len(pairs)))
+    assert hit >= 0.98 * len(pairs) and all(c // 2 == n // 2 for n, c in found.items())
+    groups = {r.doc_id: r.component_id for r in minhash.minhash_groups(d.withColumnRenamed("node", "doc_id")).collect()}
+    hit = sum(groups[2 * i] == groups[2 * i + 1] for i in range(len(pairs)))
+    assert hit >= 0.98 * len(pairs) and all(c // 2 == n // 2 for n, c in groups.items())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 500)]
