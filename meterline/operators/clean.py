@@ -6,18 +6,20 @@ from pyspark.sql import functions as F
 from meterline.functions.temporal import carry_forward
 
 
-def carry_state(df: DataFrame) -> DataFrame:
-    """Model and effort as last stated in the same source, in line order, this row included."""
-    return carry_forward(df, ["model", "effort"], ["source"], ["line"])
+def carry_state(df: DataFrame, columns: list[str] = ("model", "effort")) -> DataFrame:
+    """State as last stated in the same source, in line order, this row included."""
+    return carry_forward(df, list(columns), ["source"], ["line"])
 
 
 def carry_auth(df: DataFrame) -> DataFrame:
-    """``sign_in``: the last explicit evidence, else the last plan label; ``conflict`` if explicit ones disagree."""
+    """``sign_in``: the last explicit evidence, else the last plan label (``auth_source`` tells which); ``conflict`` if
+    explicit ones disagree."""
     d = carry_forward(df, ["auth", "plan"], ["source"], ["line"], "_seen")
     before = Window.partitionBy("source").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     conflict = F.min("auth").over(before) != F.max("auth").over(before)
     d = d.withColumn("sign_in", F.coalesce("auth_seen", "plan_seen", F.lit("unknown"))).withColumn("conflict", F.coalesce(conflict, F.lit(False)))
-    return d.drop("auth_seen", "plan_seen")
+    source = F.when(F.col("auth_seen").isNotNull(), "explicit").when(F.col("plan_seen").isNotNull(), "plan").otherwise("unknown")
+    return d.withColumn("auth_source", source).drop("auth_seen", "plan_seen")
 
 
 def drop_repeated_cumulative(df: DataFrame, totals: list[str]) -> DataFrame:
@@ -28,11 +30,15 @@ def drop_repeated_cumulative(df: DataFrame, totals: list[str]) -> DataFrame:
     return df.withColumn("_last", F.last(known, ignorenulls=True).over(w)).where("_last is null or not (_last <=> struct({}))".format(", ".join(totals))).drop("_last")
 
 
-def valid_usage(df: DataFrame) -> DataFrame:
-    """Rows with whole, non-negative counts and no more cached than input; adds ``uncached``."""
+def valid_usage(df: DataFrame, include_unmetered: bool = True) -> DataFrame:
+    """Rows with whole counts, and ``uncached``, at least 0. ``include_unmetered``: without negative counts or more cached
+    than input, as nothing else vouches for such a row; else cached counts are only cut at input."""
     counts = ["input", "cached", "output", "reasoning"]
     d = df.withColumns({c: F.col(c).try_cast("long") for c in counts})
-    return d.where("input >= 0 and cached >= 0 and output >= 0 and cached <= input").withColumn("uncached", F.greatest(F.col("input") - F.col("cached"), F.lit(0)))
+    d = d.where(" and ".join(f"{c} is not null" for c in counts))
+    if include_unmetered:
+        d = d.where("input >= 0 and cached >= 0 and output >= 0 and reasoning >= 0 and cached <= input")
+    return d.withColumn("uncached", F.greatest(F.col("input") - F.col("cached"), F.lit(0)))
 
 
 def global_dedup(df: DataFrame, identity: list[str], quality: list[str]) -> DataFrame:
@@ -70,10 +76,29 @@ def flag_dense(df: DataFrame, span_us: int, threshold: int) -> DataFrame:
 
 
 def activity_class(df: DataFrame) -> DataFrame:
-    kind = F.when(F.col("reviewer"), "reviewer").when(F.col("parent").isNotNull(), "subagent").otherwise("root")
+    """``activity``: reviewer inference, the parents whose approvals a reviewer or the user gives, other subagents, the
+    rest; ``channel``: auto_review or agent."""
+    mode = F.col("approvals_reviewer")
+    kind = (
+        F.when(F.col("reviewer"), "auto-review inference").when(mode == "auto_review", "auto-review parent").when(mode == "user", "user-review parent")
+        .when(F.col("source_kind") == "subagent", "other subagent").otherwise("other")
+    )
     return df.withColumn("activity", kind).withColumn("channel", F.when(F.col("reviewer"), "auto_review").otherwise("agent"))
 
 
 def declare_auth(df: DataFrame, mode: str) -> DataFrame:
     """Fills the unknown sign-in of reviewer rows with an assumption."""
     return df.withColumn("sign_in", F.when(F.col("reviewer") & (F.col("sign_in") == "unknown") & ~F.col("conflict"), mode).otherwise(F.col("sign_in")))
+
+
+def coverage(df: DataFrame) -> DataFrame:
+    """What the events can support: for each meter window in ``meters`` (and one row with a null window for all events)
+    the first and last instant, how many, and how many sources and known models."""
+    windows = F.concat(F.array(F.lit(None).cast("int")), F.coalesce(F.map_keys("meters"), F.array().cast("array<int>")))
+    d = df.select("us", "source", F.nullif("model", F.lit("unknown")).alias("model"), F.explode(windows).alias("window_minutes"))
+    return d.groupBy("window_minutes").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("events"), F.count_distinct("source").alias("sources"), F.count_distinct("model").alias("models"))
+
+
+def parse_counts(records: DataFrame) -> DataFrame:
+    """One row over ``parse_records``: files, lines, and lines that aren't JSON objects."""
+    return records.agg(F.count_distinct("source").alias("files"), F.count("*").alias("lines"), F.count_if("bad").alias("bad_lines"))

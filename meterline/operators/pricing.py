@@ -1,8 +1,10 @@
 """Rate cards and cost. Money is decimal, so that sums don't depend on the order of rows."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.temporal import share
+
 RATE = "decimal(8,4)"
 
 
@@ -56,8 +58,12 @@ def group_cost(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pricing_breakdown(df: DataFrame) -> DataFrame:
-    """By observed model and rate row, dearest first."""
-    return df.groupBy("model", "rate_model").agg(*totals()).orderBy(F.desc_nulls_last("usd"), "model")
+    """By observed model and rate row, dearest first: totals, what long contexts add, and the share of all priced tokens
+    and of all dollars (a row a model and rate: a small table)."""
+    d = df.groupBy("model", "rate_model").agg(*totals(), F.count_if("long_context").alias("long_contexts"), (F.sum("usd") - F.sum("base_usd")).cast("double").alias("uplift"))
+    every = Window.partitionBy(F.lit(0))
+    d = d.withColumns({"token_share": share(F.col("priced_tokens"), F.sum("priced_tokens").over(every)), "usd_share": share(F.sum("usd").over(Window.partitionBy("model", "rate_model")), F.sum("usd").over(every))})
+    return d.orderBy(F.desc_nulls_last("usd"), "model")
 
 
 def unpriced_models(df: DataFrame, rates: DataFrame) -> DataFrame:

@@ -66,7 +66,8 @@ def usage_by_model_day(spark, sf_dir):
     return usage.local_day(priced(spark, sf_dir)).groupBy("model", "day").agg(*pricing.totals())
 
 
-@query(f"{PRICED} select model, rate_model, {TOTALS} from priced group by model, rate_model")
+@query(f"""{PRICED}, g as (select model, rate_model, {TOTALS}, count(*) filter (long_context) long_contexts, cast(sum(usd) - sum(base_usd) as double) uplift, sum(usd) u from priced group by model, rate_model)
+select * exclude (u), priced_tokens / (select sum(priced_tokens) from g) token_share, cast(u as double) / cast((select sum(u) from g) as double) usd_share from g""")
 def pricing_breakdown(spark, sf_dir):
     return pricing.pricing_breakdown(priced(spark, sf_dir))
 
@@ -90,17 +91,21 @@ def rate_override(spark, sf_dir):
     return rates.join(used, "model", "left_semi").select("model", *(F.col(c).cast("double").alias(c) for c in ("r_in", "r_cached", "r_out")))
 
 
-@query(f"""{PRICED}, g as (select account, model, {TOTALS} from priced group by account, model)
+@query(f"""{PRICED}, g as (select account, model, {TOTALS}, count(*) filter (long_context) long_contexts, cast(sum(usd) - sum(base_usd) as double) uplift, count(*) filter (k % 9 = 0) auth_explicit, count(*) filter (k % 9 = 1) auth_plan,
+  count(*) filter (k % 9 > 1) auth_unknown from priced group by account, model)
 select *, case when priced_requests = requests then 'complete' when priced_requests > 0 then 'partial' else 'unavailable' end pricing_status,
-  case when priced_requests = requests then usd end equivalent, case when input > 0 then cached / input end cached_fraction from g""")
+  case when priced_requests = requests then usd end equivalent, case when input > 0 then cached / input end cached_fraction, case when input + output > 0 then cached / (input + output) end cached_of_all,
+  case when input + output > 0 then priced_tokens / (input + output) end price_coverage from g""")
 def usage_aggregate(spark, sf_dir):
-    return usage.usage_aggregate(priced(spark, sf_dir), ["account", "model"])
+    evidence = F.when(F.col("k") % 9 == 0, "explicit").when(F.col("k") % 9 == 1, "plan")
+    return usage.usage_aggregate(priced(spark, sf_dir).withColumn("auth_source", evidence), ["account", "model"])
 
 
 @query(f"""{PRICED}
 select 'day' as level, day, null model, null sign_in, null activity, {TOTALS} from priced group by day
 union all select 'model', null, model, null, null, {TOTALS} from priced group by model
-union all select 'sign_in', null, null, sign_in, null, {TOTALS} from priced group by sign_in
+union all select 'sign_in', null, null, s, null, count(us), coalesce(sum(input), 0)::bigint, coalesce(sum(cached), 0)::bigint, coalesce(sum(uncached), 0)::bigint, coalesce(sum(output), 0)::bigint, coalesce(sum(reasoning), 0)::bigint, cast(sum(usd) as double), count(usd),
+  coalesce(sum(case when usd is not null then input + output end), 0)::bigint from (values ('subscription'), ('api'), ('unknown')) v(s) left join priced on sign_in = s group by s
 union all select 'activity', null, null, null, activity, {TOTALS} from priced group by activity
 union all select 'mix', null, model, sign_in, activity, {TOTALS} from priced group by model, sign_in, activity
 union all select 'total', null, null, null, null, {TOTALS} from priced""")
@@ -115,11 +120,13 @@ def month_in_zone(spark, sf_dir):
     return d.groupBy("account", "day").agg(F.count("*").alias("requests"), F.sum("input").alias("input"))
 
 
-@query(f"""{PRICED}, d as (select *, count(*) over (partition by source, us // {HOUR}) > 1 dense from priced)
-select min(us) first_us, max(us) last_us, count(distinct day) as days, count(*) as events, count(*) - count(usd) as unpriced, count(*) filter (dense) as dense, 'unpriced,dense' as warnings from d""")
+@query(f"""{PRICED}, d as (select *, k % 13 = 0 replay, count(*) over (partition by source, us // {HOUR}) > 1 and not bool_and(k % 13 = 0) over (partition by source, us // {HOUR}) dense, k % 3 <> 0 metered from priced),
+o as (select min(us) filter (not replay) first_us, max(us) filter (not replay) last_us, count(distinct day) filter (not replay) as days, count(*) filter (not replay) as events, count(*) filter (not replay and usd is null) as unpriced,
+  count(*) filter (not replay and dense) as dense, count(*) filter (not replay and not metered) without_meter, count(*) filter (replay) excluded_replay from d)
+select *, concat_ws(',', case when events = 0 then 'no_events' end, case when unpriced > 0 then 'unpriced' end, case when dense > 0 then 'dense' end) as warnings from o""")
 def usage_coverage(spark, sf_dir):
-    d = clean.flag_dense(usage.local_day(priced(spark, sf_dir)).withColumn("replay", F.lit(False)), HOUR, 1)
-    return usage.usage_coverage(d)
+    d = usage.local_day(priced(spark, sf_dir)).withColumns({"replay": F.col("k") % 13 == 0, "metered": F.col("k") % 3 != 0})
+    return usage.usage_coverage(clean.flag_dense(d, HOUR, 1))
 
 
 # cleaning
@@ -186,12 +193,30 @@ def replay_and_dense(spark, sf_dir):
     return clean.flag_dense(with_replay(telemetry(spark, sf_dir)), 6 * HOUR, 1).select("line", "replay", "dense")
 
 
-@query(f"""with {TELEMETRY_SQL} select case when reviewer then 'reviewer' when source > 0 then 'subagent' else 'root' end activity,
-  case when reviewer then 'auto_review' else 'agent' end channel, case when reviewer and auth is null then 'assumed' else coalesce(auth, 'unknown') end sign_in, count(*) n from tel group by 1, 2, 3""")
+@query(f"""with {TELEMETRY_SQL}, x as (select *, case k % 3 when 0 then 'auto_review' when 1 then 'user' end mode, case when source > 0 then 'subagent' else 'cli' end kind, k % 2 = 0 as conflict from tel)
+select case when reviewer then 'auto-review inference' when mode = 'auto_review' then 'auto-review parent' when mode = 'user' then 'user-review parent' when kind = 'subagent' then 'other subagent' else 'other' end activity,
+  case when reviewer then 'auto_review' else 'agent' end channel, case when reviewer and auth is null and not conflict then 'assumed' else coalesce(auth, 'unknown') end sign_in, count(*) n from x group by 1, 2, 3""")
 def activity_and_auth(spark, sf_dir):
-    d = telemetry(spark, sf_dir).withColumn("parent", F.when(F.col("source") > 0, F.expr("source div 3")))
-    d = clean.declare_auth(signed_in(d).withColumn("conflict", F.lit(False)), "assumed")
-    return clean.activity_class(d).groupBy("activity", "channel", "sign_in").agg(F.count("*").alias("n"))
+    d = signed_in(telemetry(spark, sf_dir)).withColumns({
+        "approvals_reviewer": F.when(F.col("k") % 3 == 0, "auto_review").when(F.col("k") % 3 == 1, "user"), "source_kind": F.when(F.col("source") > 0, "subagent").otherwise("cli"), "conflict": F.col("k") % 2 == 0,
+    })
+    return clean.activity_class(clean.declare_auth(d, "assumed")).groupBy("activity", "channel", "sign_in").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {TELEMETRY_SQL}, x as (select us, source, model, null::int window_minutes from tel union all select us, source, model, 300 from tel where k % 3 = 0 union all select us, source, model, 10080 from tel where k % 4 > 0)
+select window_minutes, min(us) first_us, max(us) last_us, count(*) as events, count(distinct source) sources, count(distinct model) models from x group by window_minutes""")
+def coverage(spark, sf_dir):
+    meter = F.struct("used", F.col("reset_at").cast("double").alias("reset_at"))
+    windows = F.array_compact(F.array(F.when(F.col("k") % 3 == 0, F.struct(F.lit(300).alias("key"), meter.alias("value"))), F.when(F.col("k") % 4 > 0, F.struct(F.lit(10080).alias("key"), meter.alias("value")))))
+    return clean.coverage(telemetry(spark, sf_dir).withColumn("meters", F.map_from_entries(windows)))
+
+
+@query(f"""with {TELEMETRY_SQL}, x as (select line, case when k % 10 = 0 then null when k % 10 = 1 then -input else input end input, case when k % 7 = 0 then input + 1 else cached end cached, output, reasoning from tel)
+select line, input, cached, input - cached uncached from x where input >= 0 and cached <= input""")
+def valid_usage(spark, sf_dir):
+    k, d = F.col("k"), telemetry(spark, sf_dir)
+    d = d.withColumn("cached", F.when(k % 7 == 0, F.col("input") + 1).otherwise(F.col("cached"))).withColumn("input", F.when(k % 10 == 1, -F.col("input")).when(k % 10 != 0, F.col("input")))
+    return clean.valid_usage(d).select("line", "input", "cached", "uncached")
 
 
 @query(f"with {TELEMETRY_SQL} select account, count(*) readings, min(used) least, max(used) most from tel where k % 3 <> 0 group by account")

@@ -1,5 +1,7 @@
 """Sources: raw session logs in JSON lines, and the telemetry view of the driver's ``events`` table."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +41,96 @@ def rate_windows(records: DataFrame) -> DataFrame:
     return records.withColumn("meters", F.map_from_entries(first))
 
 
-def usage_records(records: DataFrame) -> DataFrame:
-    """(source, line, ts, kind, model, effort, input, cached, output, reasoning, total_*, meters): one row a record;
-    counts are null where absent or not whole numbers."""
-    info = "$.payload.info"
-    model = F.coalesce(*(_get(p, "string") for p in ("$.payload.model", f"{info}.model", f"{info}.model_name", "$.payload.metadata.model", "$.model")))
-    effort = F.coalesce(*(F.nullif(F.lower(F.trim(_get(p, "string"))), F.lit("")) for p in ("$.payload.effort", "$.payload.reasoning_effort", "$.payload.settings.reasoning_effort")))
-    counts = [_get(f"{info}.{which}_token_usage.{name}", "long").alias(alias) for which, prefix in (("last", ""), ("total", "total_")) for name, alias in (("input_tokens", f"{prefix}input"), ("cached_input_tokens", f"{prefix}cached"), ("output_tokens", f"{prefix}output"), ("reasoning_output_tokens", f"{prefix}reasoning"))]
-    kind = F.coalesce(_get("$.payload.type", "string"), _get("$.type", "string"))
-    return rate_windows(records).select("source", "line", F.try_to_timestamp(_get("$.timestamp", "string")).alias("ts"), kind.alias("kind"), model.alias("model"), effort.alias("effort"), *counts, "meters")
+def _text(*paths: str):
+    """The first of the paths that holds a text that isn't blank, trimmed."""
+    return F.coalesce(*(F.nullif(F.trim(_get(p, "string")), F.lit("")) for p in paths))
+
+
+#: Where records of different ages state the same thing, by precedence.
+MODEL_PATHS = tuple(f"$.payload.{p}" for p in ("model", "state.model", "thread_settings.model", "collaboration_mode.settings.model", "state.collaboration_mode.model"))
+EFFORT_PATHS = tuple(f"$.payload.{p}" for p in ("effort", "collaboration_mode.settings.reasoning_effort", "thread_settings.reasoning_effort", "thread_settings.collaboration_mode.settings.reasoning_effort"))
+PLANS = ("free", "go", "plus", "pro", "team", "business", "enterprise", "edu")
+COUNTS = (("input_tokens", "input"), ("cached_input_tokens", "cached"), ("output_tokens", "output"), ("reasoning_output_tokens", "reasoning"))
 
 
-def content_free(df: DataFrame, keep: list[str], identifiers: list[str]) -> DataFrame:
-    """Only the columns in ``keep`` and the hashed ``identifiers``; refuses other text columns."""
-    return df.select(*keep, *(F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 24).alias(c) for c in identifiers))
+def stated(records: DataFrame) -> DataFrame:
+    """``records`` with what each states: model, effort (``effort_conflict``: its places disagree), policy, reviewer mode,
+    source_kind, auth and plan; null where it states nothing."""
+    efforts = F.array_compact(F.array(*(F.lower(_text(p)) for p in EFFORT_PATHS)))
+    source = _get("$.payload.source", "string")
+    is_text = F.schema_of_variant(F.variant_get("record", "$.payload.source", "variant")) == "STRING"
+    nested = F.when(_get("$.payload.source.subagent", "variant").isNotNull(), "subagent").when(_get("$.payload.source.guardian", "variant").isNotNull(), "guardian")
+    kind = F.when(is_text, F.nullif(F.lower(F.trim(source)), F.lit(""))).otherwise(F.coalesce(nested, F.lower(_text("$.payload.source.type", "$.payload.source.kind"))))
+    said = F.replace(F.lower(_text("$.payload.auth_mode", "$.payload.authentication_mode")), F.lit("-"), F.lit("_"))
+    sign_in = F.when(said == "chatgpt", "chatgpt").when(said.isin("api", "api_key", "apikey"), "api").when(said.isNotNull(), "unknown")
+    return records.withColumns({
+        "model": _text(*MODEL_PATHS), "effort": F.get(efforts, F.lit(0)), "effort_conflict": F.size(F.array_distinct(efforts)) > 1,
+        "approval_policy": _text("$.payload.approval_policy", "$.payload.thread_settings.approval_policy"), "approvals_reviewer": _text("$.payload.approvals_reviewer", "$.payload.thread_settings.approvals_reviewer"),
+        "source_kind": kind, "auth": sign_in, "plan": F.when(_get("$.payload.rate_limits.plan_type", "string").isin(*PLANS), "chatgpt"),
+    })
+
+
+def usage_records(records: DataFrame) -> DataFrame:
+    """One row a record: source, line, ts, us, kind, what it states, input, cached, output, reasoning, total_* and meters.
+    Counts are null where absent or not whole numbers (``invalid`` tells the latter); ``has_last`` and ``has_total`` tell
+    whether the objects are there."""
+    at = lambda which: (f"$.payload.info.{which}_token_usage", f"$.payload.{which}_token_usage")
+    kinds = (("last", ""), ("total", "total_"))
+    counts = [F.coalesce(*(_get(f"{p}.{name}", "long") for p in at(which))).alias(prefix + alias) for which, prefix in kinds for name, alias in COUNTS]
+    given = lambda p: _get(p, "variant").isNotNull() & ~F.is_variant_null(_get(p, "variant"))
+    bad = [given(f"{p}.{name}") & _get(f"{p}.{name}", "long").isNull() for which, _ in kinds for p in at(which) for name, _ in COUNTS]
+    invalid = reduce(lambda a, b: a | b, bad).alias("invalid")
+    has = [F.coalesce(*(_get(p, "variant") for p in at(which))).isNotNull().alias(f"has_{which}") for which in ("last", "total")]
+    kind = F.coalesce(_get("$.payload.type", "string"), _get("$.type", "string"))
+    ts = F.try_to_timestamp(_get("$.timestamp", "string"))
+    states = ("model", "effort", "effort_conflict", "approval_policy", "approvals_reviewer", "source_kind", "auth", "plan")
+    d = rate_windows(stated(records))
+    return d.select("source", "line", ts.alias("ts"), F.unix_micros(ts).alias("us"), kind.alias("kind"), *states, *counts, *has, invalid, "meters")
+
+
+#: Fixed value: the model under which reviewer inference is logged.
+REVIEWER_MODEL = "codex-auto-review"
+
+
+def usage_events(records: DataFrame, account: str = "local", minutes: int = 10080, include_unmetered: bool = False) -> DataFrame:
+    """From ``parse_records`` to the columns on which the operators run, one row for each usage record that counts.
+
+    State is carried down each file, sign-in too; a record whose cumulative counts repeat those before it goes (one
+    without last usage neither counts nor moves that baseline); records without any meter go unless
+    ``include_unmetered``, in which mode impossible counts go, too; equal events of several files count once; openings
+    that replay an older session are flagged, not dropped. ``minutes``: the meter window of used and reset_at."""
+    from meterline.operators import clean
+
+    states = ["model", "effort", "approval_policy", "approvals_reviewer", "source_kind"]
+    d = clean.carry_auth(clean.carry_forward(usage_records(records.where("not bad")), states, ["source"], ["line"]))
+    d = d.where(F.col("kind").isin("token_count", "token_usage_record") & F.col("has_last") & ~F.col("invalid"))
+    totals = ["total_input", "total_cached", "total_output"]
+    d = d.withColumns({c: F.when(F.col("has_total"), F.coalesce(c, F.lit(0))) for c in totals})
+    d = clean.drop_repeated_cumulative(d, totals)
+    metered = F.size(F.coalesce("meters", F.create_map().cast("map<int,struct<used:double,reset_at:double>>"))) > 0
+    d = d.where(F.col("ts").isNotNull()).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("input", "cached", "output", "reasoning")})
+    d = clean.valid_usage(d, include_unmetered)
+    if not include_unmetered:
+        d = d.where(metered)
+    meter = F.try_element_at("meters", F.lit(minutes))
+    identity = F.array_join(F.transform(F.array_sort(F.map_entries("meters")), lambda m: F.concat_ws(":", m["key"].cast("string"), F.round(m["value"]["used"], 6).cast("string"), F.round(m["value"]["reset_at"]).cast("string"))), ",")
+    d = d.withColumns({"account": F.lit(account), "used": meter["used"], "reset_at": meter["reset_at"], "metered": metered, "_meters": identity, "total": sum((F.col(c) for c in totals[1:]), F.col(totals[0]))})
+    known = [F.nullif(c, F.lit("unknown")).alias(c) for c in ("sign_in",)]
+    d = d.withColumn("_auth", known[0])
+    d = clean.global_dedup(d, ["us", "input", "cached", "output", *totals, "_meters"], [*states, "_auth"]).drop("_meters", "_auth")
+    d = d.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in states})
+    d = d.withColumn("reviewer", F.col("model") == REVIEWER_MODEL)
+    return clean.flag_dense(clean.flag_replay_prefix(d), 1_000_000, 20)
+
+
+def content_free(df: DataFrame, keep: list[str], identifiers: list[str], categories: list[str] = ()) -> DataFrame:
+    """Only the columns in ``keep``, the ``categories`` (short known labels) and the hashed ``identifiers``. A text column
+    (or one that holds texts) in ``keep`` that isn't a category is an error."""
+    texts = [c for c in keep if c not in categories and any(t in df.schema[c].dataType.simpleString() for t in ("string", "variant", "binary"))]
+    if texts:
+        raise ValueError(f"text columns: {texts}")
+    more = [c for c in categories if c not in keep]
+    return df.select(*keep, *more, *(F.substring(F.sha2(F.col(c).cast("string"), 256), 1, 24).alias(c) for c in identifiers))
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
