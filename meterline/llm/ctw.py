@@ -27,7 +27,7 @@ from meterline.llm.common import documents, record_batch, remainder_is, shuffle_
 DEPTH, TOP = 5, 3
 END = b"\n"
 #: Grams of a chunk's texts are sorted and counted in parts of this many; the tree is worked through in parts of that many.
-SORTED, WORKED = 3_000_000, 300_000
+SORTED, WORKED = 2_000_000, 300_000
 LN2 = math.log(2.0)
 #: Words' keys carry bit 62; those of grams are below 2^(8 DEPTH + 8).
 WORD_BIT = 1 << 62
@@ -304,7 +304,7 @@ class GramSums:
     """Sums of values over the grams of texts. The grams of some texts are sorted together, each with its text's number
     in the lowest bits, so each distinct one is looked up once and in order."""
 
-    BITS, MOST = 15, 3_000_000
+    BITS, MOST = 15, 1_500_000
 
     def __init__(self, key: np.ndarray, value: np.ndarray):
         self.key, self.value, self.held, self.size, self.out = key, value, [], 0, []
@@ -331,7 +331,7 @@ class GramSums:
         return np.concatenate(self.out)
 
 
-def score_documents(docs: DataFrame, chunk_chars: int = 16_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, chunk_chars: int = 12_000_000) -> DataFrame:
     """Scores of every whole text. Learning texts are those whose crc32(doc_id as text) mod 5 isn't 1.
 
     Null texts are empty (their end alone); a null id counts as the empty text's crc32; repeated rows each count and
