@@ -127,7 +127,8 @@ def episode_cv(episodes: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 def bootstrap_fit(episodes: DataFrame, keys: list[str], n: int, boots: int = 100, level: float = 0.8, seed: str = "f") -> DataFrame:
     """Fits on episodes drawn again with replacement: for each further coefficient its ratio to the first one
-    (``ratio_low_i``, ``ratio_mid_i``, ``ratio_high_i``) and in what share of the draws there is one (``valid_i``)."""
+    (``ratio_low_i``, ``ratio_mid_i``, ``ratio_high_i``), in what share of the draws there is one (``valid_i``), the same of
+    the coefficient itself (``weight_low_i`` and so on), and in what share it is over 0 (``positive_i``)."""
     names = sum_names(n)
     picks = episodes.select(*keys, "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
     picks = picks.withColumn("_i", draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_i"))).drop("_n")
@@ -138,6 +139,8 @@ def bootstrap_fit(episodes: DataFrame, keys: list[str], n: int, boots: int = 100
         ratio = F.when(F.col("_b0") > 1e-10, F.col(f"_b{i}") / F.col("_b0"))
         out += [F.percentile(ratio, F.lit(q)).alias(f"ratio_{name}_{i}") for name, q in (("low", tail), ("mid", 0.5), ("high", 1 - tail))]
         out.append((F.count(ratio) / F.count("*")).alias(f"valid_{i}"))
+        out += [F.percentile(f"_b{i}", F.lit(q)).alias(f"weight_{name}_{i}") for name, q in (("low", tail), ("mid", 0.5), ("high", 1 - tail))]
+        out.append((F.count_if(F.col(f"_b{i}") > 1e-9) / F.count("*")).alias(f"positive_{i}"))
     return beta.groupBy(*keys).agg(F.count("*").alias("boots"), *out)
 
 

@@ -7,7 +7,7 @@ operators (joins and correlated subqueries for windows, recursion for folds) whe
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterline.functions.temporal import asof, interval_subtract, interval_union, weighted_quantile
+from meterline.functions.temporal import interval_subtract, interval_union, weighted_quantile
 from meterline.operators import clean, graph, pricing, quota, reviewer, usage, workflow
 from meterline.sources.telemetry import TELEMETRY_SQL, telemetry
 
@@ -472,16 +472,6 @@ def compaction_recovery(spark, sf_dir):
     return workflow.compaction_recovery(d, clusters)
 
 
-@query(f"""with {TELEMETRY_SQL} select line, (select arg_max(used, (us, line)) from tel b where b.account = a.account and b.k % 3 = 1 and b.us < a.us) used_before,
-  (select arg_min(used, (us, line)) from tel b where b.account = a.account and b.k % 3 = 1 and b.us >= a.us) used_after from tel a where k % 3 = 0""")
-def meter_envelope(spark, sf_dir):
-    d = telemetry(spark, sf_dir)
-    points, meters = d.where("k % 3 = 0").select("account", "us", "line"), d.where("k % 3 = 1").select("account", "us", "used", F.lpad(F.col("line").cast("string"), 20, "0").alias("tie"))
-    before = asof(points, meters.withColumnRenamed("used", "used_before"), ["account"], "us", ["used_before"], ["tie"], strict=True)
-    after = asof(before, meters.withColumnRenamed("used", "used_after"), ["account"], "us", ["used_after"], ["tie"], forward=True)
-    return after.select("line", "used_before", "used_after")
-
-
 @query(f"""with recursive {TELEMETRY_SQL}, n as (select source, source // 3 parent, sum(input + output) tokens from tel group by source),
 up as (select source node, source ancestor from n union all select up.node, n.parent from up join n on n.source = up.ancestor where n.source > 0)
 select ancestor node, sum(tokens)::bigint tokens, count(*) members from up join n on n.source = up.node group by ancestor""")
