@@ -27,3 +27,36 @@ def stream_bursts(events: DataFrame, gap: str = "5 minutes", late: str = "1 hour
     """Session windows of a source (a row at exactly the gap still joins the burst)."""
     d = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "source").agg(F.count("*").alias("requests"), F.sum("input").alias("input"))
     return d.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests", "input")
+
+
+def stream_high_water(readings: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Buckets (account, reset_key, bucket, points, events, tokens) of a stream of meter readings (account, reset_key, us,
+    line, used, tokens, ts), each as its new high arrives: work goes to the next reading above the key's high, as in
+    ``quota.high_water_rows``. State is a key's high and what is pending; a key without readings for a week past the
+    watermark is dropped. Rows of a micro-batch are put in order; rows of an earlier one can't be."""
+    keys = "account long, reset_key long"
+    state_ddl = "high double, seen boolean, bucket long, events long, tokens long, dropping boolean"
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        high, seen, bucket, events, total, dropping = state.get if state.exists else (0.0, False, 0, 0, 0, False)
+        out = []
+        for pdf in frames:
+            for used, n in pdf.sort_values(["us", "line"])[["used", "tokens"]].itertuples(index=False, name=None):
+                if not seen:
+                    dropping = abs(used) > 1e-9  # a first reading that isn't zero counts for nothing
+                events, total = events + 1, total + int(n)
+                if not seen or used > high + 1e-9:
+                    if not dropping:
+                        out.append((*key, bucket, used - (high if seen else 0.0), events, total))
+                    high, seen, bucket, events, total, dropping = used, True, bucket + 1, 0, 0, False
+        state.update((high, seen, bucket, events, total, dropping))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 7 * 86_400_000)
+        yield pd.DataFrame(out, columns=["account", "reset_key", "bucket", "points", "events", "tokens"])
+
+    ddl = f"{keys}, bucket long, points double, events long, tokens long"
+    return readings.withWatermark("ts", late).groupBy("account", "reset_key").applyInPandasWithState(step, ddl, state_ddl, "append", "EventTimeTimeout")
