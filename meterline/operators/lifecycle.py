@@ -108,41 +108,50 @@ def recovery_baseline(df: DataFrame, keys: list[str], recovery: Column) -> DataF
 
 
 def tool_activity(df: DataFrame, identity: list[str]) -> DataFrame:
-    """Tool calls of each agent by category, each identity once, and how many repeats that removed."""
+    """Tool calls of each agent by category, each identity once, how many repeats that removed, and how many of the agent's
+    calls hide what they run (``opaque``, the same on all its rows)."""
     once = df.groupBy("source", "category", *identity).agg(F.count("*").alias("n"))
-    return once.groupBy("source", "category").agg(F.count("*").alias("calls"), (F.sum("n") - F.count("*")).alias("duplicates"))
+    per = once.groupBy("source", "category").agg(F.count("*").alias("calls"), (F.sum("n") - F.count("*")).alias("duplicates"))
+    hidden = F.when(F.col("category") == "opaque-wrapper", F.col("calls")).otherwise(0)
+    return per.withColumn("opaque", F.sum(hidden).over(Window.partitionBy("source")))
 
 
 def period_cost(df: DataFrame, keys: list[str], points_per_mtok: float) -> DataFrame:
-    """Reviewer requests and tokens of each period; points by the historical coefficient only where all of it is historical."""
+    """Reviewer requests, tokens and dollars of each period; points by the historical coefficient only where all of it is historical."""
     tokens = F.sum(F.col("input") + F.col("output"))
-    out = df.groupBy(*keys).agg(F.count("*").alias("requests"), tokens.alias("tokens"), F.count_if(F.col("policy") == "historical").alias("historical"))
+    out = df.groupBy(*keys).agg(F.count("*").alias("requests"), tokens.alias("tokens"), F.sum("usd").cast("double").alias("usd"), F.count_if(F.col("policy") == "historical").alias("historical"))
     return out.withColumn("estimate", F.when(F.col("historical") == F.col("requests"), F.col("tokens") / 1e6 * points_per_mtok))
 
 
 def reviewer_summary(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Reviewer totals, median and P90 of an approval's tokens, and the period with the most tokens (ties: the least)."""
+    """Reviewer totals, median and P90 of an approval's tokens and dollars, and the period with the most tokens (ties: the least)."""
     d = df.withColumn("tokens", F.col("input") + F.col("output"))
     worst = d.groupBy(*keys, "period").agg(F.sum("tokens").alias("t")).groupBy(*keys).agg(F.max_by("period", F.struct("t", -F.col("period"))).alias("worst_period"))
-    total = d.groupBy(*keys).agg(F.count("*").alias("approvals"), F.sum("tokens").alias("tokens"), F.percentile("tokens", F.lit(0.5)).alias("p50"), F.percentile("tokens", F.lit(0.9)).alias("p90"))
+    total = d.groupBy(*keys).agg(F.count("*").alias("approvals"), F.sum("tokens").alias("tokens"), F.percentile("tokens", F.lit(0.5)).alias("p50"), F.percentile("tokens", F.lit(0.9)).alias("p90"), F.sum("usd").cast("double").alias("usd"), *(F.percentile(F.col("usd").cast("double"), F.lit(p)).alias(f"usd_{n}") for n, p in (("p50", 0.5), ("p90", 0.9))))
     return total.join(worst, keys)
 
 
-def cursor_intervals(df: DataFrame, boundary: Column) -> DataFrame:
+def cursor_intervals(df: DataFrame, boundary: Column, signal: Column | None = None, result: Column | None = None) -> DataFrame:
     """Accepted records with ``duration_us`` since the last accepted record or boundary (a turn's or user message's
-    start) of the source, null at its first row, and ``first_interval``: whether a boundary, or nothing, came before."""
+    start) of the source, null at its first row, ``first_interval``: whether a boundary, or nothing, came before, and
+    ``tool_signal`` and ``tool_result``: whether such a row lies after the last accepted record, this one included."""
     w = Window.partitionBy("source").orderBy("us", "line")
-    d = df.withColumn("_b", boundary)
+    none = F.lit(False)
+    d = df.withColumns({"_b": boundary, "_s": none if signal is None else signal, "_r": none if result is None else result})
     d = d.withColumn("duration_us", F.col("us") - F.lag("us").over(w)).withColumn("first_interval", F.coalesce(F.lag("_b").over(w), F.lit(True)))
-    return d.where("not _b").drop("_b")
+    since = F.coalesce(F.sum((~F.col("_b")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = Window.partitionBy("source", "_since").orderBy("us", "line").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_since", since).withColumns({"tool_signal": F.max("_s").over(inside), "tool_result": F.max("_r").over(inside)})
+    return d.where("not _b").drop("_b", "_s", "_r", "_since")
 
 
 def interval_rates(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Output tokens a second over all timed intervals and over those after the first, and the first ones' time share."""
+    """Output tokens a second over all timed intervals, those after the first, and those without a tool signal or result,
+    and the first ones' time share."""
     timed, later = F.col("duration_us") > 0, (F.col("duration_us") > 0) & ~F.col("first_interval")
     rate = lambda on: F.sum(F.when(on, F.col("output"))) / (F.sum(F.when(on, F.col("duration_us"))) / 1e6)
     first = F.coalesce(F.sum(F.when(F.col("first_interval"), F.col("duration_us"))), F.lit(0))
-    return intervals.groupBy(*keys).agg(F.count_if(timed).alias("intervals"), rate(timed).alias("output_per_s"), rate(later).alias("later_per_s"), share(first, F.sum("duration_us")).alias("first_share"))
+    return intervals.groupBy(*keys).agg(F.count_if(timed).alias("intervals"), rate(timed).alias("output_per_s"), rate(later).alias("later_per_s"), *(rate(timed & ~F.col(c)).alias(n) for c, n in (("tool_signal", "without_signal_per_s"), ("tool_result", "without_result_per_s"))), share(first, F.sum("duration_us")).alias("first_share"))
 
 
 def compare_rates(rates: dict[str, DataFrame], scope: list[str]) -> DataFrame:

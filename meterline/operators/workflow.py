@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.functions.temporal import gap_groups, interval_subtract, interval_union, share, sweep
+from meterline.functions.temporal import asof, gap_groups, interval_subtract, interval_union, share, sweep
 
 
 def session_summary(df: DataFrame) -> DataFrame:
@@ -25,10 +25,17 @@ def concurrency(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return s.groupBy(*keys).agg(F.sum(F.col("us") * F.col("alive")).alias("agent_us"), F.coalesce(F.sum(F.when(F.col("alive") > 0, F.col("us"))), F.lit(0)).alias("active_us"), F.coalesce(F.sum(F.when(F.col("alive") > 1, F.col("us"))), F.lit(0)).alias("overlap_us"), F.sum(F.when(F.col("alive") > 1, (F.col("alive") - 1) * F.col("us")).otherwise(0)).alias("extra_us"), F.max("alive").alias("peak"))
 
 
+def slot_length(intervals: DataFrame) -> int:
+    """The median length of the intervals, but so much that the longest one fills a thousand slots at most."""
+    n = F.col("end") - F.col("start")
+    half, most = intervals.where("end > start").agg(F.percentile_approx(n, 0.5), F.max(n)).first()
+    return max(1, half or 1, -(-(most or 1) // 1000))
+
+
 def pairwise_overlap(intervals: DataFrame, keys: list[str], who: str) -> DataFrame:
-    """Pairs of members of a group whose intervals intersect, and for how long. Spans are dealt to slots of their own
-    median length, so the join is by equality and not by inequality alone."""
-    slot = 6 * 3_600_000_000
+    """Pairs of members of a group whose intervals intersect, and for how long. Spans are dealt to slots (``slot_length``),
+    so the join is by equality and not by inequality alone."""
+    slot = slot_length(intervals)
     d = intervals.select(*keys, F.col(who).alias("w"), "start", "end").where("end > start")
     e = d.withColumn("slot", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor((F.col("end") - 1) / slot))))
     a, b = e.alias("a"), e.alias("b")
@@ -55,20 +62,25 @@ def alive_at(points: DataFrame, intervals: DataFrame, keys: list[str], at: str,
 
 
 def context_stats(df: DataFrame, keys: list[str], large: int, fell: float = 0.55) -> DataFrame:
-    """Median, P90 and peak input, and drops below ``fell`` of a previous input of at least ``large``."""
+    """Median, P90 and peak input, drops below ``fell`` of a previous input of at least ``large``, and requests and tokens
+    of large inputs and of others."""
     d = df.withColumn("_prev", F.lag("input").over(Window.partitionBy("source").orderBy("us", "line")))
     drop = (F.col("_prev") >= large) & (F.col("input") < fell * F.col("_prev"))
-    return d.groupBy(*keys).agg(F.percentile("input", F.lit(0.5)).alias("p50"), F.percentile("input", F.lit(0.9)).alias("p90"), F.max("input").alias("peak"), F.count_if(drop).alias("drops"))
+    return d.groupBy(*keys).agg(F.percentile("input", F.lit(0.5)).alias("p50"), F.percentile("input", F.lit(0.9)).alias("p90"), F.max("input").alias("peak"), F.count_if(drop).alias("drops"), *(x.alias(f"{n}_{m}") for n, on in (("large", F.col("input") >= large), ("small", F.col("input") < large)) for m, x in (("requests", F.count_if(on)), ("tokens", F.coalesce(F.sum(F.when(on, F.col("input") + F.col("output"))), F.lit(0))))))
 
 
-def turn_cadence(df: DataFrame, keys: list[str], idle_us: int) -> DataFrame:
-    """Transitions between requests of a source no further apart than ``idle_us``, and their tokens, a second; never
-    across a change of model."""
+def turn_cadence(df: DataFrame, idle_us: int, window_us: int) -> DataFrame:
+    """Transitions between requests of a source no further apart than ``idle_us``, and their tokens, a second: over all, by
+    model, by model and effort (both ends of a transition must have the same), and by window of time (``level`` tells)."""
     w = Window.partitionBy("source").orderBy("us", "line")
-    gap = F.col("us") - F.lag("us").over(w)
-    d = df.withColumn("_gap", gap).withColumn("_same", F.lag("model").over(w) == F.col("model"))
-    d = d.where((F.col("_gap") > 0) & (F.col("_gap") <= idle_us) & F.col("_same"))
-    return d.groupBy(*keys).agg(F.count("*").alias("transitions"), F.sum("_gap").alias("gap_us"), F.sum(F.col("input") + F.col("output")).alias("tokens")).withColumn("tokens_per_s", share(F.col("tokens"), F.col("gap_us") / 1e6))
+    before = {f"_{c}": F.lag(c).over(w) for c in ("us", "model", "effort")}
+    d = df.withColumns(before).withColumn("_gap", F.col("us") - F.col("_us")).where((F.col("_gap") > 0) & (F.col("_gap") <= idle_us))
+    same_model = F.col("_model") == F.col("model")
+    same = same_model & F.col("_effort").eqNullSafe(F.col("effort"))
+    level = lambda name, on=F.lit(True), model=None, effort=None, at=None: F.when(on, F.struct(F.lit(name).alias("level"), (model if model is not None else F.lit(None).cast("string")).alias("model"), (effort if effort is not None else F.lit(None).cast("string")).alias("effort"), (at if at is not None else F.lit(None).cast("long")).alias("window_us")))
+    levels = [level("all"), level("model", same_model, F.col("model")), level("model_effort", same, F.col("model"), F.coalesce("effort", F.lit("unknown"))), level("window", at=F.col("us") - F.col("us") % window_us)]
+    d = d.select("_gap", (F.col("input") + F.col("output")).alias("t"), F.explode(F.array_compact(F.array(*levels))).alias("g")).groupBy("g.level", "g.model", "g.effort", "g.window_us")
+    return d.agg(F.count("*").alias("transitions"), F.sum("_gap").alias("gap_us"), F.sum("t").alias("tokens")).withColumn("tokens_per_s", share(F.col("tokens"), F.col("gap_us") / 1e6))
 
 
 def top_requests(df: DataFrame, n: int) -> DataFrame:
@@ -76,8 +88,10 @@ def top_requests(df: DataFrame, n: int) -> DataFrame:
 
 
 def large_context(df: DataFrame, keys: list[str], input_min: int, output_max: int) -> DataFrame:
+    """Requests of large input and small output by ``keys``, ranked by their input (a row a group: a small table)."""
     d = df.where((F.col("input") >= input_min) & (F.col("output") <= output_max))
-    return d.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
+    d = d.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
+    return d.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("input"), *keys)))
 
 
 def agent_labels(sessions: DataFrame, family: str, root: Column) -> DataFrame:
@@ -101,23 +115,37 @@ def classify_window(sessions: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def assignments_from_labels(df: DataFrame, label: str) -> DataFrame:
-    """Unit, role and number of compact (``si1_<hex>_<c|g>_<hex>_<role>_<n>``) and of plain (``unit:role:n``) labels."""
+    """Unit, role and number of compact (``si1_<hex>_<c|g>_<hex>_<role>_<n>``) and of plain (``unit:role:n``) labels (fixed
+    patterns of the format, with their limits on sizes); others aren't ``valid``."""
     compact, plain = r"^si1_([0-9a-f]{2,64})_([cg])_([0-9a-f]{2,64})_([a-z]+)_([0-9]{1,4})$", r"^([^:]{1,80}):([a-z]+):([0-9]{1,4})$"
-    c, is_c, is_p = F.col(label), F.col(label).rlike(compact), F.col(label).rlike(plain)
+    c, is_c, is_p = F.col(label), F.coalesce(F.col(label).rlike(compact), F.lit(False)), F.coalesce(F.col(label).rlike(plain), F.lit(False))
     unit = F.when(is_c, F.decode(F.unhex(F.regexp_extract(c, compact, 1)), "UTF-8")).when(is_p, F.regexp_extract(c, plain, 1))
     role = F.when(is_c, F.regexp_extract(c, compact, 4)).when(is_p, F.regexp_extract(c, plain, 2))
     number = F.when(is_c, F.regexp_extract(c, compact, 5)).when(is_p, F.regexp_extract(c, plain, 3)).cast("int")
     return df.withColumns({"unit": unit, "role": role, "number": number, "valid": is_c | is_p})
 
 
-def quiet_gaps(df: DataFrame, keys: list[str], least_us: int, decisions: DataFrame | None = None) -> DataFrame:
-    """Gaps of at least ``least_us`` between calls, [previous + 1 us, next); ``status`` from a decision on that gap."""
+def conflicting_assignments(assigned: DataFrame, who: str) -> DataFrame:
+    """One row for each ``who`` with a valid label: its unit, role and number, and ``conflict`` where its labels differ."""
+    one = F.struct("unit", "role", "number")
+    d = assigned.where("valid").groupBy(who).agg(F.min(one).alias("a"), F.max(one).alias("b"))
+    return d.select(who, "a.*", (F.col("a") != F.col("b")).alias("conflict"))
+
+
+def quiet_gaps(df: DataFrame, keys: list[str], least_us: int, decisions: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """Gaps of at least ``least_us`` between calls, [previous + 1 us, next); ``status`` from a decision on that gap, else
+    covered where one of the ``covered`` intervals (merged) holds it, else unclassified."""
     w = Window.partitionBy(*keys).orderBy("us")
     d = df.select(*keys, "us").distinct().withColumn("prev", F.lag("us").over(w)).where(F.col("us") - F.col("prev") >= least_us)
-    d = d.select(*keys, (F.col("prev") + 1).alias("start"), F.col("us").alias("end"))
-    if decisions is None:
-        return d.withColumn("status", F.lit("unclassified"))
-    return d.join(decisions, [*keys, "start", "end"], "left").withColumn("status", F.coalesce("status", F.lit("unclassified")))
+    d = d.select(*keys, (F.col("prev") + 1).alias("start"), F.col("us").alias("end")).withColumn("status", F.lit(None).cast("string"))
+    if decisions is not None:
+        d = d.drop("status").join(decisions, [*keys, "start", "end"], "left")
+    if covered is not None:
+        # the last merged interval that begins at or before the gap, if it reaches to its end
+        c = interval_union(covered, keys).select(*keys, F.col("start").alias("us"), F.col("end").alias("_reach"), F.lit("").alias("_tie"))
+        d = asof(d.withColumn("us", F.col("start")), c, keys, "us", ["_reach"], ["_tie"]).drop("us")
+        d = d.withColumn("status", F.coalesce("status", F.when(F.col("_reach") >= F.col("end"), "covered"))).drop("_reach")
+    return d.withColumn("status", F.coalesce("status", F.lit("unclassified")))
 
 
 def measure_excluding(df: DataFrame, spans: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
@@ -157,9 +185,10 @@ def compaction_recovery(df: DataFrame, clusters: DataFrame, refill: float = 0.8)
     return b.join(n, ["source", "cluster"], "left").select("source", "cluster", "before", "after", share(F.col("before") - F.col("after"), F.col("before")).alias("shrink"), F.coalesce("requests", F.lit(0)).alias("requests"), F.col("back_us").isNotNull().alias("recovered"))
 
 
-def _stretches(intervals: DataFrame, keys: list[str], slot: int = 6 * 3_600_000_000) -> DataFrame:
+def _stretches(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """Each interval with the stretches in it where two or more are alive. A stretch begins within each interval that
     holds it, so they meet by the slot of that instant."""
+    slot = slot_length(intervals)
     s = sweep(intervals, keys).where("alive > 1").withColumn("slot", F.floor(F.col("at") / slot))
     i = intervals.where("end > start").withColumn("slot", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor((F.col("end") - 1) / slot))))
     return i.join(s, [*keys, "slot"]).where("start <= at and at < end").drop("slot")
@@ -172,10 +201,13 @@ def overlap_intervals(intervals: DataFrame, keys: list[str], who: str) -> DataFr
 
 
 def agent_overlap(intervals: DataFrame, keys: list[str], who: str = "source") -> DataFrame:
-    """Of each interval, the time shared with any other member's (their union), and its fraction."""
+    """Of each interval, the time shared with any other member's (their union), its fraction, and with how many others."""
     by = [*keys, who, "start", "end"]
     shared = _stretches(intervals, keys).groupBy(*by).agg(F.sum(F.col("until") - F.col("at")).alias("overlap_us"))
     d = intervals.select(*by).join(shared, by, "left").withColumn("overlap_us", F.coalesce("overlap_us", F.lit(0)))
+    pairs = pairwise_overlap(intervals, keys, who)
+    both = pairs.select(*keys, F.col("left_member").alias(who), F.col("right_member").alias("_o")).unionByName(pairs.select(*keys, F.col("right_member").alias(who), F.col("left_member").alias("_o")))
+    d = d.join(both.groupBy(*keys, who).agg(F.count("*").alias("partners")), [*keys, who], "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
     return d.withColumn("fraction", share(F.col("overlap_us"), F.col("end") - F.col("start")))
 
 
@@ -186,11 +218,10 @@ def exposure_by_children(df: DataFrame, intervals: DataFrame, keys: list[str]) -
 
 
 def recent_families(df: DataFrame, family: str, span_us: int) -> DataFrame:
-    """Families active within ``span_us`` of the newest row of all, the latest first."""
+    """Families active within ``span_us`` of the newest row of all, the latest first (a sort by ranges, not in one task)."""
     f = df.groupBy(family).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("requests"))
     newest = df.agg(F.max("us")).first()[0]
-    recent = f.where(F.col("last_us") >= (newest or 0) - span_us)
-    return recent.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("last_us"), family)).cast("long"))
+    return f.where(F.col("last_us") >= (newest or 0) - span_us).orderBy(F.desc("last_us"), family)
 
 
 def after_completion(df: DataFrame, ends: DataFrame) -> DataFrame:

@@ -3,11 +3,22 @@
 from pyspark.sql import functions as F
 
 from meterline.operators import lifecycle, workflow
-from meterline.plans.registry import HOUR, WINDOW_US, query
-from meterline.plans.reviewing import POLICY, reviewed
+from meterline.plans.registry import HOUR, WINDOW_US, query, signed_in
+from meterline.operators import reviewer
+from meterline.plans.registry import PRICED, TURN_US, priced
+from meterline.plans.reviewing import ANNOUNCED_US
 from meterline.sources.telemetry import TELEMETRY_SQL, telemetry
 
 
+COSTED = f"""{PRICED}, pol as (select *, case when sign_in = 'api' then 'outside_scope' when us < {TURN_US} then 'historical' when us < {ANNOUNCED_US} then 'transition'
+  when sign_in = 'subscription' then 'free' else 'unknown' end policy from priced where reviewer)"""
+
+
+def costed(spark, sf_dir):
+    """Priced reviewer rows with their policy status."""
+    return reviewer.policy_status(signed_in(priced(spark, sf_dir)).where("reviewer"), TURN_US, ANNOUNCED_US)
+
+
 @query(f"""with {TELEMETRY_SQL}, a as (select source, model kind, us, case when k % 7 <> 0 then 'c' || (k % 20) else 't' || us end as key, case when line % 5 <> 0 then 'n' || (line % 5) end target, effort from tel)
 select source, kind, key, min(us) first_us, count(*) records, coalesce(string_agg(distinct target, ',' order by target), '') targets, count(distinct effort) > 1 name_conflict from a group by 1, 2, 3""")
 def dedupe_actions(spark, sf_dir):
@@ -34,13 +45,13 @@ def action_coverage(spark, sf_dir):
     return lifecycle.action_coverage(d)
 
 
-@query(f"""with {TELEMETRY_SQL}, n as (select distinct source node from tel), c as (select distinct source node, k % 2 basis, source // case when k < 60 then 3 else 2 end parent from tel where k % 25 < 2),
+@query(f"""with {TELEMETRY_SQL}, n as (select distinct source node from tel), c as (select distinct source node, k % 25 basis, source // case when k < 60 then 3 else 2 end parent from tel),
 b as (select * from c where not exists (select 1 from c o where o.node = c.node and o.basis < c.basis))
 select node, case when count(distinct parent) = 1 then max(parent) end parent, max(basis) basis, case count(distinct parent) when 0 then 'unresolved' when 1 then null else 'conflict' end issue from n left join b using (node) group by node""")
 def resolve_identity(spark, sf_dir):
     d = telemetry(spark, sf_dir).withColumnRenamed("source", "node")
     parent = F.when(F.col("k") < 60, F.expr("node div 3")).otherwise(F.expr("node div 2"))
-    claims = d.where("k % 25 < 2").select("node", (F.col("k") % 2).alias("rank"), parent.alias("parent"))
+    claims = d.select("node", (F.col("k") % 25).alias("rank"), parent.alias("parent"))
     return lifecycle.resolve_identity(d.select("node").distinct(), claims)
 
 
@@ -112,39 +123,46 @@ def recovery_baseline(spark, sf_dir):
     return lifecycle.recovery_baseline(telemetry(spark, sf_dir), ["source"], F.col("k") % 6 == 0)
 
 
-@query(f"""with {TELEMETRY_SQL} select source, model category, count(distinct k) calls, count(*) - count(distinct k) duplicates from tel group by 1, 2""")
+@query(f"""with {TELEMETRY_SQL} select source, case when k % 9 = 0 then 'opaque-wrapper' else model end category, count(distinct k) calls, count(*) - count(distinct k) duplicates,
+  sum(case when k % 9 = 0 then count(distinct k) else 0 end) over (partition by source)::bigint opaque from tel group by source, case when k % 9 = 0 then 'opaque-wrapper' else model end, k % 9 = 0""")
 def tool_activity(spark, sf_dir):
-    return lifecycle.tool_activity(telemetry(spark, sf_dir).withColumnRenamed("model", "category"), ["k"])
+    category = F.when(F.col("k") % 9 == 0, "opaque-wrapper").otherwise(F.col("model"))
+    return lifecycle.tool_activity(telemetry(spark, sf_dir).withColumn("category", category), ["k"])
 
 
-@query(f"""{POLICY} select account, period, count(*) requests, sum(input + output)::bigint tokens, count(*) filter (policy = 'historical') historical,
+@query(f"""{COSTED} select account, period, count(*) requests, sum(input + output)::bigint tokens, cast(sum(usd) as double) usd, count(*) filter (policy = 'historical') historical,
   case when count(*) = count(*) filter (policy = 'historical') then sum(input + output) / 1e6 * 2.5 end estimate from pol group by 1, 2""")
 def period_cost(spark, sf_dir):
-    return lifecycle.period_cost(reviewed(spark, sf_dir), ["account", "period"], 2.5)
+    return lifecycle.period_cost(costed(spark, sf_dir), ["account", "period"], 2.5)
 
 
-@query(f"""{POLICY}, p as (select account, period, sum(input + output) t from pol group by 1, 2)
-select account, count(*) approvals, sum(input + output)::bigint tokens, quantile_cont(input + output, 0.5) p50, quantile_cont(input + output, 0.9) p90,
+@query(f"""{COSTED}, p as (select account, period, sum(input + output) t from pol group by 1, 2)
+select account, count(*) approvals, sum(input + output)::bigint tokens, quantile_cont(input + output, 0.5) p50, quantile_cont(input + output, 0.9) p90, cast(sum(usd) as double) usd,
+  quantile_cont(cast(usd as double), 0.5) usd_p50, quantile_cont(cast(usd as double), 0.9) usd_p90,
   (select period from p where p.account = pol.account order by t desc, period limit 1) worst_period from pol group by account""")
 def reviewer_summary(spark, sf_dir):
-    return lifecycle.reviewer_summary(reviewed(spark, sf_dir), ["account"])
+    return lifecycle.reviewer_summary(costed(spark, sf_dir), ["account"])
 
 
 CURSOR = f"""with {TELEMETRY_SQL}, q as (select t.*, (select max(us) from tel b where b.source = t.source and b.us < t.us) p from tel t where k % 5 <> 1),
-cu as (select q.*, q.us - p duration_us, coalesce(b.k % 5 = 1, true) first_interval from q left join tel b on b.source = q.source and b.us = q.p)"""
+q2 as (select q.*, (select max(us) from q b where b.source = q.source and b.us < q.us) pa from q),
+cu as (select q2.*, q2.us - p duration_us, coalesce(b.k % 5 = 1, true) first_interval, exists (select 1 from tel s where s.source = q2.source and s.us > coalesce(pa, -1) and s.us <= q2.us and s.k % 10 = 4) tool_signal,
+  exists (select 1 from tel s where s.source = q2.source and s.us > coalesce(pa, -1) and s.us <= q2.us and s.k % 10 = 6) tool_result from q2 left join tel b on b.source = q2.source and b.us = q2.p)"""
 
 
 def cursor(spark, sf_dir):
-    return lifecycle.cursor_intervals(telemetry(spark, sf_dir), F.col("k") % 5 == 1)
+    k = F.col("k")
+    return lifecycle.cursor_intervals(telemetry(spark, sf_dir), k % 5 == 1, k % 10 == 4, k % 10 == 6)
 
 
-@query(f"{CURSOR} select line, duration_us, first_interval from cu")
+@query(f"{CURSOR} select line, duration_us, first_interval, tool_signal, tool_result from cu")
 def cursor_intervals(spark, sf_dir):
-    return cursor(spark, sf_dir).select("line", "duration_us", "first_interval")
+    return cursor(spark, sf_dir).select("line", "duration_us", "first_interval", "tool_signal", "tool_result")
 
 
 RATES = """select {0}, count(*) filter (duration_us > 0) intervals, sum(output) filter (duration_us > 0) / (sum(duration_us) / 1e6) output_per_s,
   sum(output) filter (duration_us > 0 and not first_interval) / (sum(duration_us) filter (not first_interval) / 1e6) later_per_s,
+  sum(output) filter (duration_us > 0 and not tool_signal) / (sum(duration_us) filter (not tool_signal) / 1e6) without_signal_per_s, sum(output) filter (duration_us > 0 and not tool_result) / (sum(duration_us) filter (not tool_result) / 1e6) without_result_per_s,
   coalesce(sum(duration_us) filter (first_interval), 0) / sum(duration_us) first_share from cu group by {0}"""
 
 
@@ -153,14 +171,14 @@ def interval_rates(spark, sf_dir):
     return lifecycle.interval_rates(cursor(spark, sf_dir), ["model"])
 
 
-@query(f"""{CURSOR}, r as ({RATES.format("source")}), e as (select source, case when max(us) > min(us) then sum(output) / ((max(us) - min(us)) / 1e6) end elapsed from tel where k % 2 = 0 group by source)
+@query(f"""{CURSOR}, r as ({RATES.format("source")}), e as (select source, case when max(us) > min(us) then sum(output) / ((max(us) - min(us)) / 1e6) end elapsed from tel group by source)
 select source, output_per_s as cursor, later_per_s as later, elapsed, case when output_per_s > 0 then (later_per_s / output_per_s - 1) * 100 end later_percent,
   case when output_per_s > 0 then (elapsed / output_per_s - 1) * 100 end elapsed_percent from r full join e using (source)""")
 def compare_rates(spark, sf_dir):
     d = telemetry(spark, sf_dir)
     r = lifecycle.interval_rates(cursor(spark, sf_dir), ["source"])
     span = F.max("us") - F.min("us")
-    elapsed = d.where("k % 2 = 0").groupBy("source").agg(F.when(span > 0, F.sum("output") / (span / 1e6)).alias("rate"))
+    elapsed = d.groupBy("source").agg(F.when(span > 0, F.sum("output") / (span / 1e6)).alias("rate"))
     return lifecycle.compare_rates({"cursor": r.withColumnRenamed("output_per_s", "rate"), "later": r.withColumnRenamed("later_per_s", "rate"), "elapsed": elapsed}, ["source"])
 
 

@@ -402,16 +402,25 @@ def child_counts(spark, sf_dir):
 
 
 @query(f"""with {TELEMETRY_SQL}, d as (select *, lag(input) over (partition by source order by us, line) p from tel)
-select model, quantile_cont(input, 0.5) p50, quantile_cont(input, 0.9) p90, max(input) peak, count(*) filter (p >= 20000 and input < 0.55 * p) drops from d group by model""")
+select model, quantile_cont(input, 0.5) p50, quantile_cont(input, 0.9) p90, max(input) peak, count(*) filter (p >= 20000 and input < 0.55 * p) drops, count(*) filter (input >= 20000) large_requests, coalesce(sum(input + output) filter (input >= 20000), 0)::bigint large_tokens,
+  count(*) filter (input < 20000) small_requests, coalesce(sum(input + output) filter (input < 20000), 0)::bigint small_tokens from d group by model""")
 def context_stats(spark, sf_dir):
     return workflow.context_stats(telemetry(spark, sf_dir), ["model"], 20_000)
 
 
-@query(f"""with {TELEMETRY_SQL}, d as (select *, us - lag(us) over w g, lag(model) over w = model same from tel window w as (partition by source order by us, line)),
-x as (select model, count(*) transitions, sum(g)::bigint gap_us, sum(input + output)::bigint tokens from d where g > 0 and g <= {24 * HOUR} and same group by model)
-select *, tokens / (gap_us / 1e6) tokens_per_s from x""")
+CADENCE = f"""with {TELEMETRY_SQL}, c as (select *, us - lag(us) over w gap, lag(model) over w pm, lag(effort) over w pe, input + output t from tel window w as (partition by source order by us, line)), d as (select * from c where gap > 0 and gap <= {24 * HOUR})"""
+
+
+def _cadence(level: str, model: str = "null", effort: str = "null", at: str = "null::bigint", on: str = "true") -> str:
+    keys = [k for k in (model, effort, at) if "null" not in k]
+    by = f" group by {', '.join(keys)}" if keys else ""
+    return f"select '{level}' as level, {model} model, {effort} effort, {at} window_us, count(*) transitions, sum(gap)::bigint gap_us, sum(t)::bigint tokens, sum(t) / (sum(gap) / 1e6) tokens_per_s from d where {on}{by}"
+
+
+@query(f"""{CADENCE} {_cadence("all")} having count(*) > 0 union all {_cadence("model", "model", on="pm = model")} union all {_cadence("model_effort", "model", "coalesce(effort, 'unknown')", on="pm = model and pe is not distinct from effort")}
+union all {_cadence("window", at=f"us - us % {96 * HOUR}")}""")
 def turn_cadence(spark, sf_dir):
-    return workflow.turn_cadence(telemetry(spark, sf_dir), ["model"], 24 * HOUR)
+    return workflow.turn_cadence(telemetry(spark, sf_dir), 24 * HOUR, 96 * HOUR)
 
 
 @query(f"with {TELEMETRY_SQL} select line, source, model, input + output tokens from tel order by input + output desc, line limit 20")
@@ -419,7 +428,7 @@ def top_requests(spark, sf_dir):
     return workflow.top_requests(telemetry(spark, sf_dir), 20).select("line", "source", "model", "tokens")
 
 
-@query(f"with {TELEMETRY_SQL} select model, count(*) requests, sum(input)::bigint input, sum(output)::bigint output from tel where input >= 20000 and output <= 300 group by model")
+@query(f"with {TELEMETRY_SQL} select model, count(*) requests, sum(input)::bigint input, sum(output)::bigint output, (row_number() over (order by sum(input) desc, model))::int place from tel where input >= 20000 and output <= 300 group by model")
 def large_context(spark, sf_dir):
     return workflow.large_context(telemetry(spark, sf_dir), ["model"], 20_000, 300)
 
@@ -440,10 +449,15 @@ def windows_and_labels(spark, sf_dir):
     return workflow.agent_labels(s, "family", F.col("source") < 8).select("source", "window_class", "label")
 
 
-@query(f"""with {TELEMETRY_SQL}, d as (select account, us, lag(us) over (partition by account order by us) p from (select distinct account, us from tel))
-select account, p + 1 as start, us as "end", 'unclassified' status from d where us - p >= {5 * HOUR}""")
+@query(f"""with {TELEMETRY_SQL}, d as (select account, us, lag(us) over (partition by account order by us) p from (select distinct account, us from tel)),
+g as (select account, p + 1 a, us b from d where us - p >= {5 * HOUR}), c as (select distinct account, period * {WINDOW_US} s, period * {WINDOW_US} + {WINDOW_US // 2} e from tel)
+select account, a as start, b as "end", case when b % 7 = 0 then 'confirmed' when exists (select 1 from c where c.account = g.account and s <= a and e >= b) then 'covered' else 'unclassified' end status from g""")
 def quiet_gaps(spark, sf_dir):
-    return workflow.quiet_gaps(telemetry(spark, sf_dir), ["account"], 5 * HOUR)
+    d = telemetry(spark, sf_dir)
+    decisions = workflow.quiet_gaps(d, ["account"], 5 * HOUR).where("end % 7 = 0").withColumn("status", F.lit("confirmed"))
+    start = F.col("period") * WINDOW_US
+    covered = d.select("account", start.alias("start"), (start + WINDOW_US // 2).alias("end")).distinct()
+    return workflow.quiet_gaps(d, ["account"], 5 * HOUR, decisions, covered)
 
 
 @query(f"""with {TELEMETRY_SQL}, x as (select account, period * {WINDOW_US} s, period * {WINDOW_US} + {WINDOW_US // 2} e from tel group by account, period),
