@@ -4,17 +4,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def build_edges(sessions: DataFrame, links: DataFrame) -> DataFrame:
-    """One best parent for each child through shared ids: most shared, then nearest in time, then the least key;
-    ``confidence`` is high where the best is alone at its count."""
+def build_edges(sessions: DataFrame, links: DataFrame, shared_us: int = 6 * 3_600_000_000) -> DataFrame:
+    """One best parent for each child (``sessions``: session, first_us, subagent; ``links``: session, fp, is_parent). Ids that
+    the child states as its parent's count first: the most, then the nearest in time, then the least key; ``confidence`` is
+    high where the best is alone at its count. A subagent without one takes a session that shares an id of its own and
+    began up to ``shared_us`` before it, by the same order: medium where alone."""
     own, up = links.where("not is_parent"), links.where("is_parent")
-    pairs = up.alias("c").join(own.alias("p"), (F.col("c.fp") == F.col("p.fp")) & (F.col("c.session") != F.col("p.session")))
-    pairs = pairs.groupBy(F.col("c.session").alias("child"), F.col("p.session").alias("parent")).agg(F.count_distinct("c.fp").alias("shared"))
-    at = sessions.select(F.col("session"), "first_us")
-    pairs = pairs.join(at.withColumnsRenamed({"session": "child", "first_us": "c_us"}), "child").join(at.withColumnsRenamed({"session": "parent", "first_us": "p_us"}), "parent")
-    w = Window.partitionBy("child").orderBy(F.desc("shared"), F.abs(F.col("c_us") - F.col("p_us")), "parent")
-    ranked = pairs.withColumn("n", F.row_number().over(w)).withColumn("next", F.lead("shared").over(w))
-    return ranked.where("n = 1").select("child", "parent", F.when(F.col("next") == F.col("shared"), "ambiguous").otherwise("high").alias("confidence"))
+    def met(child: DataFrame, tier: int) -> DataFrame:
+        pairs = child.alias("c").join(own.alias("p"), (F.col("c.fp") == F.col("p.fp")) & (F.col("c.session") != F.col("p.session")))
+        return pairs.groupBy(F.col("c.session").alias("child"), F.col("p.session").alias("parent")).agg(F.count_distinct("c.fp").alias("shared"), F.lit(tier).alias("tier"))
+
+    at = sessions.select("session", "first_us", "subagent")
+    pairs = met(up, 0).unionByName(met(own.join(at.where("subagent").select("session"), "session", "left_semi"), 1))
+    pairs = pairs.join(at.withColumnsRenamed({"session": "child", "first_us": "c_us"}), "child").join(at.select(F.col("session").alias("parent"), F.col("first_us").alias("p_us")), "parent")
+    pairs = pairs.where(f"tier = 0 or c_us - p_us between 0 and {shared_us}")
+    w = Window.partitionBy("child").orderBy("tier", F.desc("shared"), F.abs(F.col("c_us") - F.col("p_us")), "parent")
+    ranked = pairs.withColumns({"n": F.row_number().over(w), "next": F.lead("shared").over(w), "_t": F.lead("tier").over(w)})
+    tied = F.coalesce((F.col("next") == F.col("shared")) & (F.col("_t") == F.col("tier")), F.lit(False))
+    return ranked.where("n = 1").select("child", "parent", F.when(F.col("tier") == 0, "explicit").otherwise("shared").alias("method"), F.when(tied, "ambiguous").when(F.col("tier") == 0, "high").otherwise("medium").alias("confidence"))
 
 
 def families(edges: DataFrame, rounds: int = 40) -> DataFrame:

@@ -29,12 +29,18 @@ def action_coverage(df: DataFrame) -> DataFrame:
 
 
 def resolve_identity(nodes: DataFrame, claims: DataFrame) -> DataFrame:
-    """The parent of each node from the claims (node, rank, parent) of the best rank; where those differ it is withheld."""
-    per = claims.groupBy("node", "rank").agg(F.min("parent").alias("low"), F.max("parent").alias("high"))
-    best = per.groupBy("node").agg(F.min_by(F.struct("low", "high", "rank"), "rank").alias("b"))
-    j = nodes.join(best, "node", "left")
-    issue = F.when(F.col("b").isNull(), "unresolved").when(F.col("b.low") != F.col("b.high"), "conflict")
-    return j.select("node", F.when(issue.isNull(), F.col("b.low")).alias("parent"), F.col("b.rank").alias("basis"), issue.alias("issue"))
+    """The parent and the role of each node from its claims (node, rank, parent, role; either may be null): each from the best
+    rank that states it, withheld where claims of that rank differ."""
+    out, issues = nodes, []
+    for what in ("parent", "role"):
+        known = F.col(what).isNotNull()
+        per = claims.where(known).groupBy("node", "rank").agg(F.min(what).alias("low"), F.max(what).alias("high"))
+        best = per.groupBy("node").agg(F.min_by(F.struct("low", "high", "rank"), "rank").alias("_b"))
+        issue = F.when(F.col("_b").isNull(), f"unresolved_{what}").when(F.col("_b.low") != F.col("_b.high"), f"conflicting_{what}")
+        out = out.join(best, "node", "left").withColumn(f"_{what}", issue).withColumn(what, F.when(issue.isNull(), F.col("_b.low")))
+        out = out.withColumn("basis" if what == "parent" else "role_basis", F.col("_b.rank")).drop("_b")
+        issues.append(F.col(f"_{what}"))
+    return out.withColumn("issues", F.array_join(F.array_compact(F.array(*issues)), ",")).drop("_parent", "_role")
 
 
 def reject_cycles(edges: DataFrame) -> DataFrame:
@@ -72,8 +78,11 @@ def report_rollup(df: DataFrame) -> DataFrame:
 
 
 def latest_family(df: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Each account's newest family with more than one session, else its newest standalone session; not the excluded."""
-    f = df.join(excluded, "family", "left_anti").groupBy("account", "family").agg(F.max("us").alias("last_us"), F.count_distinct("source").alias("sessions"))
+    """Each account's newest family with more than one session, else its newest standalone session; not the excluded.
+    ``worker``: the latest of its sessions that is no root (``is_root``), null where there is none."""
+    per = df.join(excluded, "family", "left_anti").groupBy("account", "family", "source").agg(F.max("us").alias("us"), F.max("is_root").alias("is_root"))
+    worker = F.max_by("source", F.when(~F.col("is_root"), F.struct("us", "source"))).alias("worker")
+    f = per.groupBy("account", "family").agg(F.max("us").alias("last_us"), F.count("*").alias("sessions"), worker)
     f = f.withColumn("kind", F.when(F.col("sessions") > 1, "linked").otherwise("standalone"))
     w = Window.partitionBy("account").orderBy("kind", F.desc("last_us"), "family")
     return f.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
@@ -90,15 +99,16 @@ def resolve_selectors(selectors: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def direct_usage(clusters: DataFrame, samples: DataFrame, after_us: int) -> DataFrame:
-    """Each cluster (source, cluster, start, end) with the raw sample (source, us, input) nearest to its end: the last
-    one within it (high), else the first up to ``after_us`` later (medium)."""
+    """Each cluster (source, cluster, start, end) with the raw sample (source, us, input, primary) nearest to its end: the
+    last one within it (high), else the first up to ``after_us`` later (medium). ``primary``: whether the sample is also in
+    the totals; repeated cumulative records, which the raw samples keep, aren't."""
     at = clusters.select("source", "cluster", "start", F.col("end").alias("us"))
-    s = samples.select("source", "us", F.col("us").alias("tie"), F.struct(F.col("us").alias("at"), "input").alias("s"))
+    s = samples.select("source", "us", F.col("us").alias("tie"), F.struct(F.col("us").alias("at"), "input", "primary").alias("s"))
     j = asof(at, s.withColumnRenamed("s", "before"), ["source"], "us", ["before"], ["tie"])
     j = asof(j, s.withColumnRenamed("s", "after"), ["source"], "us", ["after"], ["tie"], strict=True, forward=True)
     inside, near = F.col("before.at") >= F.col("start"), F.col("after.at") <= F.col("us") + after_us
     picked = F.when(inside, F.col("before")).when(near, F.col("after"))
-    return j.select("source", "cluster", picked["at"].alias("sample_us"), picked["input"].alias("input"), F.when(inside, "high").when(near, "medium").alias("confidence"))
+    return j.select("source", "cluster", picked["at"].alias("sample_us"), picked["input"].alias("input"), picked["primary"].alias("primary"), F.when(inside, "high").when(near, "medium").alias("confidence"))
 
 
 def recovery_baseline(df: DataFrame, keys: list[str], recovery: Column) -> DataFrame:

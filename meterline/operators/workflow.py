@@ -7,9 +7,16 @@ from meterline.functions.temporal import asof, gap_groups, interval_subtract, in
 
 
 def session_summary(df: DataFrame) -> DataFrame:
-    """One row a source: span, requests, tokens, most used model (ties: the least)."""
-    per = df.groupBy("source", "model").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), *(F.sum(c).alias(c) for c in ("input", "cached", "output", "reasoning")))
-    return per.groupBy("source").agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.sum("n").alias("requests"), *(F.sum(c).alias(c) for c in ("input", "cached", "output", "reasoning")), F.min_by("model", F.struct(-F.col("n"), F.col("model"))).alias("model"))
+    """One row a source: span, requests, tokens (cached ones cut at input), most used model (ties: the least), and its
+    efforts with their counts, the most used first."""
+    sums = ("input", "cached", "output", "reasoning")
+    d = df.withColumns({"cached": F.least("cached", "input"), "effort": F.coalesce("effort", F.lit("unknown"))})
+    per = d.groupBy("source", "model", "effort").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), *(F.sum(c).alias(c) for c in sums))
+    model = per.groupBy("source", "model").agg(F.sum("n").alias("n")).groupBy("source").agg(F.min_by("model", F.struct(-F.col("n"), F.col("model"))).alias("model"))
+    effort = per.groupBy("source", "effort").agg(F.sum("n").alias("n")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "effort"))).alias("e"))
+    effort = effort.select("source", F.array_join(F.transform("e", lambda x: F.concat_ws(" ", x["effort"], (-x["n"]).cast("string"))), ", ").alias("efforts"))
+    total = per.groupBy("source").agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.sum("n").alias("requests"), *(F.sum(c).alias(c) for c in sums))
+    return total.join(model, "source").join(effort, "source")
 
 
 def bursts(df: DataFrame, gap_us: int) -> DataFrame:
@@ -110,7 +117,10 @@ def phases(requests: DataFrame, sends: DataFrame) -> DataFrame:
 
 
 def classify_window(sessions: DataFrame, start: int, end: int) -> DataFrame:
-    kind = F.when(F.col("last_us") < start, "pre").when(F.col("first_us") >= end, "post").when((F.col("first_us") < start) & (F.col("last_us") >= end), "spanning").when(F.col("first_us") < start, "carry_in").when(F.col("last_us") >= end, "carry_out").otherwise("in")
+    """``window_class`` of each session by its trusted activation (``active_us``, where there is such a column and it is
+    known; else its first record) and its last record: pre, post, spanning, carry_in, carry_out or in."""
+    first = F.coalesce("active_us", "first_us") if "active_us" in sessions.columns else F.col("first_us")
+    kind = F.when(F.col("last_us") < start, "pre").when(first >= end, "post").when((first < start) & (F.col("last_us") >= end), "spanning").when(first < start, "carry_in").when(F.col("last_us") >= end, "carry_out").otherwise("in")
     return sessions.withColumn("window_class", kind)
 
 

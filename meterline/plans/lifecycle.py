@@ -45,13 +45,15 @@ def action_coverage(spark, sf_dir):
     return lifecycle.action_coverage(d)
 
 
-@query(f"""with {TELEMETRY_SQL}, n as (select distinct source node from tel), c as (select distinct source node, k % 25 basis, source // case when k < 60 then 3 else 2 end parent from tel),
-b as (select * from c where not exists (select 1 from c o where o.node = c.node and o.basis < c.basis))
-select node, case when count(distinct parent) = 1 then max(parent) end parent, max(basis) basis, case count(distinct parent) when 0 then 'unresolved' when 1 then null else 'conflict' end issue from n left join b using (node) group by node""")
+@query(f"""with {TELEMETRY_SQL}, n as (select distinct source node from tel), c as (select distinct source node, k % 25 basis, source // case when k < 60 then 3 else 2 end parent, effort as role from tel),
+p as (select node, any_value(basis) basis, case when count(distinct parent) = 1 then max(parent) end parent from c where not exists (select 1 from c o where o.node = c.node and o.basis < c.basis) group by node),
+r as (select node, any_value(basis) basis, case when count(distinct role) = 1 then max(role) end as role from c where role is not null and not exists (select 1 from c o where o.node = c.node and o.role is not null and o.basis < c.basis) group by node)
+select n.node, p.parent, p.basis, r.role, r.basis role_basis, concat_ws(',', case when p.node is null then 'unresolved_parent' when p.parent is null then 'conflicting_parent' end, case when r.node is null then 'unresolved_role' when r.role is null then 'conflicting_role' end) issues
+  from n left join p on p.node = n.node left join r on r.node = n.node""")
 def resolve_identity(spark, sf_dir):
     d = telemetry(spark, sf_dir).withColumnRenamed("source", "node")
     parent = F.when(F.col("k") < 60, F.expr("node div 3")).otherwise(F.expr("node div 2"))
-    claims = d.select("node", (F.col("k") % 25).alias("rank"), parent.alias("parent"))
+    claims = d.select("node", (F.col("k") % 25).alias("rank"), parent.alias("parent"), F.col("effort").alias("role"))
     return lifecycle.resolve_identity(d.select("node").distinct(), claims)
 
 
@@ -89,9 +91,9 @@ def report_rollup(spark, sf_dir):
 
 @query(f"""with {TELEMETRY_SQL}, f as (select source % 40 family, source % 8 account, max(us) last_us, count(distinct source) sessions from tel where source % 10 <> 3 group by 1, 2),
 b as (select account, max(last_us) filter (sessions > 1) linked, max(last_us) alone from f group by account)
-select f.account, family, last_us, sessions, case when sessions > 1 then 'linked' else 'standalone' end kind from f join b on f.account = b.account and last_us = coalesce(linked, alone)""")
+select f.account, family, last_us, sessions, (select arg_max(source, (us, source)) from tel t where t.source % 40 = f.family and t.source >= 40) worker, case when sessions > 1 then 'linked' else 'standalone' end kind from f join b on f.account = b.account and last_us = coalesce(linked, alone)""")
 def latest_family(spark, sf_dir):
-    d = telemetry(spark, sf_dir).withColumn("family", F.col("source") % 40)
+    d = telemetry(spark, sf_dir).withColumns({"family": F.col("source") % 40, "is_root": F.col("source") < 40})
     return lifecycle.latest_family(d, d.where("family % 10 = 3").select("family").distinct())
 
 
@@ -111,10 +113,10 @@ def resolve_selectors(spark, sf_dir):
 c0 as (select *, sum(n) over (partition by source order by us, line) cluster from g), c as (select source, cluster::bigint cluster, min(us) s, max(us) e from c0 group by 1, 2),
 x as (select c.*, (select max(us) from tel t where t.source = c.source and t.k % 3 = 1 and t.us between s and e) i,
   (select min(us) from tel t where t.source = c.source and t.k % 3 = 1 and t.us > e and t.us <= e + {6 * HOUR}) o from c)
-select x.source, cluster, coalesce(i, o) sample_us, input, case when i is not null then 'high' when o is not null then 'medium' end confidence from x left join tel on tel.source = x.source and tel.us = coalesce(i, o)""")
+select x.source, cluster, coalesce(i, o) sample_us, input, k % 2 = 1 "primary", case when i is not null then 'high' when o is not null then 'medium' end confidence from x left join tel on tel.source = x.source and tel.us = coalesce(i, o)""")
 def direct_usage(spark, sf_dir):
     d = telemetry(spark, sf_dir)
-    return lifecycle.direct_usage(workflow.compaction_clusters(d.where("k % 3 = 0"), 12 * HOUR), d.where("k % 3 = 1"), 6 * HOUR)
+    return lifecycle.direct_usage(workflow.compaction_clusters(d.where("k % 3 = 0"), 12 * HOUR), d.where("k % 3 = 1").withColumn("primary", F.col("k") % 2 == 1), 6 * HOUR)
 
 
 @query(f"""with {TELEMETRY_SQL}, r as (select source, avg(input) i, avg(output) o from tel where k % 6 = 0 group by source), b as (select source, avg(input) i, avg(output) o from tel where k % 6 <> 0 group by source)

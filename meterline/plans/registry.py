@@ -341,9 +341,9 @@ def sessions(df: DataFrame) -> DataFrame:
     return workflow.session_summary(df)
 
 
-@query(f"""with {TELEMETRY_SQL}, mc as (select source, model, count(*) c from tel group by 1, 2)
-select source, min(us) first_us, max(us) last_us, count(*) requests, sum(input)::bigint input, sum(cached)::bigint cached, sum(output)::bigint output, sum(reasoning)::bigint reasoning,
- (select arg_min(model, (-c, model)) from mc where mc.source = t.source) model from tel t group by source""")
+@query(f"""with {TELEMETRY_SQL}, mc as (select source, model, count(*) c from tel group by 1, 2), ec as (select source, coalesce(effort, 'unknown') effort, count(*) c from tel group by 1, 2)
+select source, min(us) first_us, max(us) last_us, count(*) requests, sum(input)::bigint input, sum(least(cached, input))::bigint cached, sum(output)::bigint output, sum(reasoning)::bigint reasoning,
+ (select arg_min(model, (-c, model)) from mc where mc.source = t.source) model, (select string_agg(effort || ' ' || c, ', ' order by c desc, effort) from ec where ec.source = t.source) efforts from tel t group by source""")
 def session_summary(spark, sf_dir):
     return sessions(telemetry(spark, sf_dir))
 
@@ -440,12 +440,14 @@ def phases(spark, sf_dir):
     return workflow.phases(d.where("k % 10 <> 3"), d.where("k % 10 = 3"))
 
 
-@query(f"""with {TELEMETRY_SQL}, s as (select source, min(us) first_us, max(us) last_us from tel group by source)
-select source, case when last_us < {TURN_US} then 'pre' when first_us >= {TURN_US + 200 * HOUR} then 'post' when first_us < {TURN_US} and last_us >= {TURN_US + 200 * HOUR} then 'spanning'
-  when first_us < {TURN_US} then 'carry_in' when last_us >= {TURN_US + 200 * HOUR} then 'carry_out' else 'in' end window_class,
+@query(f"""with {TELEMETRY_SQL}, s as (select source, min(us) first_us, max(us) last_us, coalesce(min(us) filter (k % 50 = 3), min(us)) a from tel group by source)
+select source, case when last_us < {TURN_US} then 'pre' when a >= {TURN_US + 200 * HOUR} then 'post' when a < {TURN_US} and last_us >= {TURN_US + 200 * HOUR} then 'spanning'
+  when a < {TURN_US} then 'carry_in' when last_us >= {TURN_US + 200 * HOUR} then 'carry_out' else 'in' end window_class,
   case when source < 8 then 'ROOT' else 'A' || lpad((row_number() over (partition by source % 8, source < 8 order by first_us, source))::varchar, 2, '0') end as label from s""")
 def windows_and_labels(spark, sf_dir):
-    s = workflow.classify_window(sessions(telemetry(spark, sf_dir)), TURN_US, TURN_US + 200 * HOUR).withColumn("family", F.col("source") % 8)
+    d = telemetry(spark, sf_dir)
+    active = d.where("k % 50 = 3").groupBy("source").agg(F.min("us").alias("active_us"))
+    s = workflow.classify_window(sessions(d).join(active, "source", "left"), TURN_US, TURN_US + 200 * HOUR).withColumn("family", F.col("source") % 8)
     return workflow.agent_labels(s, "family", F.col("source") < 8).select("source", "window_class", "label")
 
 
@@ -502,14 +504,17 @@ def session_families(spark, sf_dir):
     return graph.families(s.select(F.col("source").alias("child"), F.expr("source div 3").alias("parent")))
 
 
-@query(f"""with {TELEMETRY_SQL}, l as (select distinct source s, input // 5000 fp, k % 2 = 0 up from tel), f as (select source s, min(us) u from tel group by source),
-p as (select c.s c, p.s p, count(distinct c.fp) n from l c join l p on c.fp = p.fp and c.s <> p.s where c.up and not p.up group by 1, 2),
-r as (select p.*, row_number() over (partition by c order by n desc, abs(fc.u - fp_.u), p) i, lead(n) over (partition by c order by n desc, abs(fc.u - fp_.u), p) nx from p join f fc on fc.s = c join f fp_ on fp_.s = p)
-select c child, p parent, case when nx = n then 'ambiguous' else 'high' end confidence from r where i = 1""")
+@query(f"""with {TELEMETRY_SQL}, l as (select distinct source s, input // 5000 fp, k % 2 = 0 up from tel where k % 2 = 1 or source % 4 > 0), f as (select source s, min(us) u from tel group by source),
+p as (select c.s c, p.s p, count(distinct c.fp) n, 0 t from l c join l p on c.fp = p.fp and c.s <> p.s where c.up and not p.up group by 1, 2
+  union all select c.s, p.s, count(distinct c.fp), 1 from l c join l p on c.fp = p.fp and c.s <> p.s where not c.up and not p.up and c.s % 3 > 0 group by 1, 2),
+q as (select p.*, abs(fc.u - fp_.u) d from p join f fc on fc.s = c join f fp_ on fp_.s = p where t = 0 or fc.u - fp_.u between 0 and {6 * HOUR}),
+r as (select *, row_number() over w i, lead(n) over w nx, lead(t) over w nt from q window w as (partition by c order by t, n desc, d, p))
+select c child, p parent, case t when 0 then 'explicit' else 'shared' end as method, case when nx = n and nt = t then 'ambiguous' when t = 0 then 'high' else 'medium' end confidence from r where i = 1""")
 def best_parents(spark, sf_dir):
+    """Every fourth source states no parent; two of three are subagents."""
     d = telemetry(spark, sf_dir)
-    links = d.select(F.col("source").alias("session"), F.expr("input div 5000").alias("fp"), (F.col("k") % 2 == 0).alias("is_parent")).distinct()
-    s = d.groupBy(F.col("source").alias("session")).agg(F.min("us").alias("first_us"))
+    links = d.select(F.col("source").alias("session"), F.expr("input div 5000").alias("fp"), (F.col("k") % 2 == 0).alias("is_parent")).where("not is_parent or session % 4 > 0").distinct()
+    s = d.groupBy(F.col("source").alias("session")).agg(F.min("us").alias("first_us")).withColumn("subagent", F.col("session") % 3 > 0)
     return graph.build_edges(s, links)
 
 
