@@ -61,14 +61,15 @@ def chunk_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """UTF-8 texts to ids. Each batch's chunks are made distinct by Arrow; chunks met before come from a dictionary
-    that is begun anew once its chunks exceed ``capacity`` bytes, counting ``ENTRY`` more for each (this changes speed
-    only). Longer chunks than ``LONG`` bytes are never kept. A text with a chunk that might not be cut as said (odd white
+    """UTF-8 texts to ids. Each batch's chunks are made distinct by Arrow; chunks met before come from a dictionary.
+    Once its chunks exceed ``capacity`` bytes, counting ``ENTRY`` more for each, it becomes the old one, from which chunks
+    that are met again move to a new one (this changes speed only); so a worker, which keeps its encoder, holds two such
+    dictionaries at most. Longer chunks than ``LONG`` bytes are never kept. A text with a chunk that might not be cut as said (odd white
     space; a last character over 127 that isn't a letter) is encoded in one piece."""
 
     LONG, ENTRY = 64, 100
 
-    def __init__(self, path: str, capacity: int = 160_000_000):
+    def __init__(self, path: str, capacity: int = 25_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -79,6 +80,7 @@ class Encoder:
         self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]
         self.capacity, self.held = capacity, 0
         self.ids: dict[bytes, bytes | None] = {}
+        self.old: dict[bytes, bytes | None] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -91,13 +93,15 @@ class Encoder:
         raw = ids.tobytes()
         new: dict[bytes, bytes | None] = {c: raw[4 * i : 4 * j] for c, i, j in zip(chunks, cut, cut[1:], strict=False)}
         new |= dict.fromkeys(c for c, t in zip(chunks, texts, strict=True) if (t[-1] > "\x7f" and not t[-1].isalpha()) or ODD_SPACE.search(t))
-        if self.held > self.capacity:
-            self.ids, self.held = {}, 0
-        kept = {c: x for c, x in new.items() if len(c) <= self.LONG}
-        self.held += sum(map(len, kept)) + self.ENTRY * len(kept)
-        self.ids.update(kept)
+        self._keep({c: x for c, x in new.items() if len(c) <= self.LONG})
         return new
 
+    def _keep(self, chunks: dict[bytes, bytes | None]) -> None:
+        if self.held > self.capacity:
+            self.ids, self.old, self.held = {}, self.ids, 0
+        self.held += sum(map(len, chunks)) + self.ENTRY * len(chunks)
+        self.ids.update(chunks)
+
     def _part(self, raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ends = np.cumsum(sizes)
         at = ends - sizes
@@ -108,7 +112,10 @@ class Encoder:
         known = self.ids
         found = [known.get(c) for c in distinct]
         if missing := [c for c, x in zip(distinct, found, strict=True) if x is None and c not in known]:
-            new = self._learn(missing)
+            old = self.old
+            again = {c: old[c] for c in missing if c in old}
+            self._keep(again)
+            new = again | self._learn(rest) if (rest := [c for c in missing if c not in again]) else again
             found = [new[c] if c in new else x for c, x in zip(distinct, found, strict=True)]
         bounds = np.searchsorted(begins, np.append(at, len(raw)))
         if None in found:
