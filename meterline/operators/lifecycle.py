@@ -29,18 +29,18 @@ def action_coverage(df: DataFrame) -> DataFrame:
 
 
 def resolve_identity(nodes: DataFrame, claims: DataFrame) -> DataFrame:
-    """The parent and the role of each node from its claims (node, rank, parent, role; either may be null): each from the best
-    rank that states it, withheld where claims of that rank differ."""
-    out, issues = nodes, []
-    for what in ("parent", "role"):
-        known = F.col(what).isNotNull()
-        per = claims.where(known).groupBy("node", "rank").agg(F.min(what).alias("low"), F.max(what).alias("high"))
+    """The parent of each node, and its role where ``claims`` (node, rank, parent, role; either may be null) have roles: each
+    from the best rank that states it, withheld where claims of that rank differ (``issue``, ``role_issue``)."""
+    out = nodes
+    for what, prefix in (("parent", ""), ("role", "role_")):
+        if what not in claims.columns:
+            continue
+        per = claims.where(F.col(what).isNotNull()).groupBy("node", "rank").agg(F.min(what).alias("low"), F.max(what).alias("high"))
         best = per.groupBy("node").agg(F.min_by(F.struct("low", "high", "rank"), "rank").alias("_b"))
-        issue = F.when(F.col("_b").isNull(), f"unresolved_{what}").when(F.col("_b.low") != F.col("_b.high"), f"conflicting_{what}")
-        out = out.join(best, "node", "left").withColumn(f"_{what}", issue).withColumn(what, F.when(issue.isNull(), F.col("_b.low")))
-        out = out.withColumn("basis" if what == "parent" else "role_basis", F.col("_b.rank")).drop("_b")
-        issues.append(F.col(f"_{what}"))
-    return out.withColumn("issues", F.array_join(F.array_compact(F.array(*issues)), ",")).drop("_parent", "_role")
+        issue = F.when(F.col("_b").isNull(), "unresolved").when(F.col("_b.low") != F.col("_b.high"), "conflict")
+        out = out.join(best, "node", "left").withColumn(f"{prefix}issue", issue)
+        out = out.withColumns({what: F.when(F.col(f"{prefix}issue").isNull(), F.col("_b.low")), f"{prefix}basis": F.col("_b.rank")}).drop("_b")
+    return out
 
 
 def reject_cycles(edges: DataFrame) -> DataFrame:

@@ -59,12 +59,18 @@ def family_score(families: DataFrame) -> DataFrame:
     return families.withColumn("score", score.cast("double")).withColumn("quality", quality)
 
 
+def _with_selves(closure: DataFrame, members: DataFrame) -> DataFrame:
+    """The closure and each member as its own ancestor, those without any edge too."""
+    alone = members.select(F.col("session").alias("node"), F.col("session").alias("ancestor"), F.lit(0).alias("depth"))
+    return closure.where("depth > 0").select("node", "ancestor", "depth").unionByName(alone)
+
+
 def select_root(members: DataFrame, closure: DataFrame, start: int, end: int) -> DataFrame:
     """The one member of each family without a parent below whom (self included) there is a request in [start, end);
     several or none: no root, and why. ``members``: family, session, is_top, first_us, last_us; ``closure``: node, ancestor."""
     live = members.where((F.col("first_us") < end) & (F.col("last_us") >= start)).select(F.col("session").alias("node"))
     tops = members.where("is_top").select("family", F.col("session").alias("ancestor"))
-    on = closure.join(live, "node", "left_semi").select("ancestor").distinct().join(tops, "ancestor")
+    on = _with_selves(closure, members).join(live, "node", "left_semi").select("ancestor").distinct().join(tops, "ancestor")
     found = on.groupBy("family").agg(F.count("*").alias("candidates"), F.min("ancestor").alias("root"))
     d = members.select("family").distinct().join(found, "family", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
     return d.select("family", "candidates", F.when(F.col("candidates") == 1, F.col("root")).alias("root"), F.when(F.col("candidates") == 1, "selected").when(F.col("candidates") > 1, "ambiguous").otherwise("none").alias("outcome"))
@@ -73,6 +79,7 @@ def select_root(members: DataFrame, closure: DataFrame, start: int, end: int) ->
 def window_members(members: DataFrame, closure: DataFrame, roots: DataFrame, start: int, end: int, carry_in: bool = False) -> DataFrame:
     """Who belongs to a family's window: the selected root, its descendants with a request in [start, end) that began in
     it (or before, with ``carry_in``), and the quiet ones that connect them to the root. ``why`` tells which."""
+    closure = _with_selves(closure, members)
     below = closure.join(roots.where("root is not null").select(F.col("root").alias("ancestor"), "family"), "ancestor").select("family", F.col("node").alias("session"), "depth")
     m = below.join(members.select("session", "first_us", "last_us"), "session")
     began = F.lit(True) if carry_in else F.col("first_us") >= start

@@ -48,7 +48,7 @@ def action_coverage(spark, sf_dir):
 @query(f"""with {TELEMETRY_SQL}, n as (select distinct source node from tel), c as (select distinct source node, k % 25 basis, source // case when k < 60 then 3 else 2 end parent, effort as role from tel),
 p as (select node, any_value(basis) basis, case when count(distinct parent) = 1 then max(parent) end parent from c where not exists (select 1 from c o where o.node = c.node and o.basis < c.basis) group by node),
 r as (select node, any_value(basis) basis, case when count(distinct role) = 1 then max(role) end as role from c where role is not null and not exists (select 1 from c o where o.node = c.node and o.role is not null and o.basis < c.basis) group by node)
-select n.node, p.parent, p.basis, r.role, r.basis role_basis, concat_ws(',', case when p.node is null then 'unresolved_parent' when p.parent is null then 'conflicting_parent' end, case when r.node is null then 'unresolved_role' when r.role is null then 'conflicting_role' end) issues
+select n.node, p.parent, p.basis, r.role, r.basis role_basis, case when p.node is null then 'unresolved' when p.parent is null then 'conflict' end issue, case when r.node is null then 'unresolved' when r.role is null then 'conflict' end role_issue
   from n left join p on p.node = n.node left join r on r.node = n.node""")
 def resolve_identity(spark, sf_dir):
     d = telemetry(spark, sf_dir).withColumnRenamed("source", "node")

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from meterline.operators import lifecycle
+from meterline.operators import lifecycle, timing
 
 
 def test_cursor_resets_at_a_user_message(spark):
@@ -25,7 +25,7 @@ def test_conflicting_claims_are_withheld(spark):
 
 
 def test_response_quality_steps(spark):
-    rows = [(s, i < q, 10, 1_000_000) for s, n, q in ((1, 8, 4), (2, 60, 5), (3, 20, 10), (4, 30, 20)) for i in range(n)]
-    d = spark.createDataFrame(rows, "source long, qualified boolean, visible long, duration_us long")
-    got = {r.source: r.quality for r in lifecycle.response_performance(d, ["source"]).collect()}
+    rows = [(s, i < q, 10, 1_000_000, 1, i, 1_000_000, None) for s, n, q in ((1, 8, 4), (2, 60, 5), (3, 20, 10), (4, 30, 20)) for i in range(n)]
+    d = spark.createDataFrame(rows, "source long, qualified boolean, visible long, duration_us long, messages long, response long, message_us long, ttft_us long")
+    got = {r.source: r.quality for r in timing.response_performance(d, ["source"]).collect()}
     assert got == {1: "insufficient", 2: "insufficient", 3: "low", 4: "good"}
