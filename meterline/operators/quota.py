@@ -58,7 +58,7 @@ def bucket_aggregate(df: DataFrame) -> DataFrame:
     b = df.groupBy(*EPISODE, "bucket").agg(
         F.max("us").alias("end_us"), F.max("used").alias("end_used"), F.max(F.coalesce("_high", F.lit(0.0))).alias("start_used"), F.count("*").alias("events"), F.sum(tokens).alias("tokens"),
         F.coalesce(F.sum(F.when(priced, tokens)), F.lit(0)).alias("priced_tokens"), F.sum("usd").alias("usd"), F.coalesce(F.sum(F.when(core, tokens)), F.lit(0)).alias("core_tokens"), F.sum(F.when(core, F.col("usd"))).alias("core_usd"),
-        *(F.sum(c).alias(c) for c in ("uncached", "cached", "output")), F.coalesce(F.sum(F.when(core & priced, tokens)), F.lit(0)).alias("core_priced_tokens"),
+        *(F.sum(c).alias(c) for c in ("uncached", "cached", "output") if c in df.columns), F.coalesce(F.sum(F.when(core & priced, tokens)), F.lit(0)).alias("core_priced_tokens"),
         F.max(excluded).alias("fit_excluded"), F.min("us").alias("first_us"),
     )
     return b.withColumn("points", F.col("end_used") - F.col("start_used"))
