@@ -90,9 +90,12 @@ def pairs(spark, sf_dir) -> DataFrame:
     return capacity.boundary_pairs(buckets(spark, sf_dir), marked(periods(spark, sf_dir)), SIZES)
 
 
-@query(f"{PAIRS} select * from bp")
+DOLLARS = [f"{side}_{m}" for side in ("before", "after") for m in ("core_usd", "all_usd")]
+
+
+@query(f"{PAIRS} select * replace ({', '.join(f'round({c}, 4) as {c}' for c in DOLLARS)}) from bp")
 def boundary_pairs(spark, sf_dir):
-    return pairs(spark, sf_dir)
+    return pairs(spark, sf_dir).withColumns({c: F.round(c, 4) for c in DOLLARS})
 
 
 def _ratios(rows: str, keys: str) -> str:
