@@ -85,17 +85,17 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     return placed.unionByName(tail).select("slot", "source_no", "rank", words.cast("long").alias("words"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 128) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, block: int = 128, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of all documents: (sized documents, plan).
 
     sized: doc_id, source_no, size, source_size, target, a_row (which row this is). plan: slot, source_no, rank, a_row,
     doc_id, epoch, place (in the source's stream), from_word, n_words: the runs of words, in order of slot, that make up the mix. Each source's documents, in
     the order of a hash of their ids, form a stream, repeated up to ``most`` times; a slot takes its next ``block``
     words. Nulls: a null text has size 0, a null source is a source of its own, null ids are rows like any other;
-    equal rows are each taken. A text without words is never taken. An empty table gives empty results.
+    equal rows are each taken. A text without words is never taken. An empty table gives empty results. ``row`` names a
+    column that tells all rows apart; without one they are numbered here. Other columns are left out, whatever their names.
     """
-    if "a_row" not in docs.columns:
-        docs = docs.withColumn("a_row", F.monotonically_increasing_id())
+    docs = docs.select("doc_id", "source", "text", (F.col(row) if row else F.monotonically_increasing_id()).alias("a_row"))
     sized = docs.select("a_row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = written(sized.withColumn("key", key), "sized")
@@ -124,7 +124,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]
     at = {c: names[i] for i, c in enumerate(docs.columns)}
     rows = numbered(docs.toDF(*names), [at[c] for c in ("doc_id", "source", "text")], "a_row")
-    sized, plan = mix_sources(rows.select("a_row", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text"))), **options)
+    sized, plan = mix_sources(rows.select("a_row", *(F.col(at[c]).alias(c) for c in ("doc_id", "source", "text"))), row="a_row", **options)
     first_slot = F.min(F.struct("slot", "place")).alias("_at")
     copies = plan.groupBy("a_row", "epoch").agg(F.sum("n_words").cast("int").alias("n"), first_slot)
     copies = copies.join(sized.select("a_row", "size"), "a_row").select("a_row", "epoch", "size", "n", "_at")
