@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meterline.functions.temporal import share
 from meterline.operators.quota import EPISODE, EPS
-from meterline.operators.stats import draw
+from meterline.operators.stats import DRAWS, drawn
 
 #: The four measures of a period, the most telling first: without or with reviewers, dollars or tokens.
 MEASURES = ("core_usd", "all_usd", "core_tokens", "all_tokens")
@@ -49,21 +49,17 @@ def _pooled(rows: DataFrame, keys: list[str], strata: list[str], weight: Column)
     return s.groupBy(*keys).agg(*out)
 
 
-def capacity_bootstrap(periods: DataFrame, keys: list[str], strata: list[str], order: list[str], boots: int = 100, level: float = 0.8, seed: str = "c") -> DataFrame:
+def capacity_bootstrap(periods: DataFrame, keys: list[str], strata: list[str], ids: list[str], boots: int = DRAWS, level: float = 0.8, seed: str = "c") -> DataFrame:
     """For each group: how many marked and other periods share strata, and by measure the pooled ratio with an interval
-    from periods drawn again within each stratum and side; and the ``verdict`` on a ratio of one half by the most telling
+    from periods (told apart by ``ids``) drawn again; and the ``verdict`` on a ratio of one half by the most telling
     measure: above, below, includes, no_interval, or insufficient. ``periods`` has ``marked``, points and the measures."""
     by = Window.partitionBy(*keys, *strata)
     sides = F.count_if("marked").over(by), F.count_if(~F.col("marked")).over(by)
     p = periods.withColumns({"_1": sides[0], "_0": sides[1]}).where("_1 > 0 and _0 > 0").drop("_1", "_0")
-    side = Window.partitionBy(*keys, *strata, "marked")
-    p = p.withColumns({"_i": F.row_number().over(side.orderBy(*order)) - 1, "_n": F.count("*").over(side)})
     point = _pooled(p, keys, strata, F.lit(1.0)).join(p.groupBy(*keys).agg(F.count_if("marked").alias("marked_periods"), F.count_if(~F.col("marked")).alias("other_periods")), keys)
-    picks = p.select(*keys, *strata, "marked", "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
-    picks = picks.withColumn("_i", draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_i"))).groupBy(*keys, *strata, "marked", "_i", "rep").agg(F.count("*").alias("times"))
-    drawn = _pooled(picks.join(p, [*keys, *strata, "marked", "_i"]), [*keys, "rep"], strata, F.col("times"))
+    per = _pooled(drawn(p, boots, seed, [*keys, *ids]), [*keys, "rep"], strata, F.col("times"))
     tail = (1 - level) / 2
-    span = drawn.groupBy(*keys).agg(*(F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in MEASURES for n, q in (("low", tail), ("high", 1 - tail))))
+    span = per.groupBy(*keys).agg(*(F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in MEASURES for n, q in (("low", tail), ("high", 1 - tail))))
     out = periods.select(*keys).distinct().join(point, keys, "left").join(span, keys, "left").na.fill(0, ["marked_periods", "other_periods"])
     return out.withColumns(dict(zip(("measure", "verdict"), verdict(), strict=True)))
 
@@ -108,22 +104,20 @@ def boundary_pairs(b: DataFrame, periods: DataFrame, sizes: list[float], most_st
     return out.select("account", "after_key", "before_key", "size", "model", "effort", "regime", "eligible", *(f"{n}_{m}" for m in MEASURES for n in ("before", "after")), *(share(F.col(f"after_{m}"), F.col(f"before_{m}")).alias(m) for m in MEASURES))
 
 
-def boundary_summary(pairs: DataFrame, keys: list[str], boots: int = 100, level: float = 0.8, preferred: float = 14.0, seed: str = "s") -> DataFrame:
+def boundary_summary(pairs: DataFrame, keys: list[str], boots: int = DRAWS, level: float = 0.8, preferred: float = 14.0, seed: str = "s") -> DataFrame:
     """Eligible pairs by size: pooled ratios, intervals from pairs drawn again (two or more), the verdict, whether this is
     the ``preferred`` size (else the largest), and ``transient``: near half at the least size and recovered at the largest."""
     p = pairs.where("eligible")
-    by = Window.partitionBy(*keys, "size")
-    p = p.withColumns({"_i": F.row_number().over(by.orderBy("account", "after_key")) - 1, "_n": F.count("*").over(by)})
-    def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
+    def pooled(rows: DataFrame, keys: list[str], times: Column) -> DataFrame:
         ok = lambda m: F.col(f"after_{m}").isNotNull() & (F.col(f"before_{m}") > EPS)
-        return rows.groupBy(*keys).agg(F.count("*").alias("pairs"), *(share(F.sum(F.when(ok(m), F.col(f"after_{m}"))), F.sum(F.when(ok(m), F.col(f"before_{m}")))).alias(m) for m in MEASURES))
+        sums = lambda side, m: F.sum(F.when(ok(m), F.col(f"{side}_{m}") * times))
+        return rows.groupBy(*keys).agg(F.count("*").alias("pairs"), *(share(sums("after", m), sums("before", m)).alias(m) for m in MEASURES))
 
-    picks = p.where("_n > 1").select(*keys, "size", "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
-    picks = picks.withColumn("_i", draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_i"))).drop("_n")
-    drawn = pooled(picks.join(p, [*keys, "size", "_i"]), [*keys, "size", "rep"])
+    per = pooled(drawn(p, boots, seed, [*keys, "size", "account", "after_key"]), [*keys, "size", "rep"], F.col("times")).drop("pairs")
     tail = (1 - level) / 2
-    span = drawn.groupBy(*keys, "size").agg(*(F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in MEASURES for n, q in (("low", tail), ("high", 1 - tail))))
-    out = pooled(p, [*keys, "size"]).join(span, [*keys, "size"], "left").withColumns(dict(zip(("measure", "verdict"), verdict(), strict=True)))
+    span = per.groupBy(*keys, "size").agg(*(F.percentile(m, F.lit(q)).alias(f"{m}_{n}") for m in MEASURES for n, q in (("low", tail), ("high", 1 - tail))))
+    out = pooled(p, [*keys, "size"], F.lit(1.0)).join(span, [*keys, "size"], "left")
+    out = out.withColumns({f"{m}_{n}": F.when(F.col("pairs") > 1, F.col(f"{m}_{n}")) for m in MEASURES for n in ("low", "high")}).withColumns(dict(zip(("measure", "verdict"), verdict(), strict=True)))
     every = Window.partitionBy(*keys)
     best = F.coalesce(F.max(F.when(F.col("size") == preferred, F.col("size"))).over(every), F.max("size").over(every))
     ratio = F.coalesce(*MEASURES)

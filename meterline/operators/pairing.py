@@ -1,10 +1,13 @@
 """Who belongs to whom: greedy pairs, reviewer bursts and their parents, controls, actions and what they started."""
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from meterline.functions.tables import cut_lineage
 from meterline.functions.temporal import asof, gap_groups, share
@@ -14,16 +17,70 @@ from meterline.operators.quota import EPISODE, EPS
 SECOND = 1_000_000
 
 
-def greedy_pairs(candidates: DataFrame, left: list[str], right: list[str], order: list) -> DataFrame:
-    """The candidates that a pass in ``order`` (which tells all apart) takes when each left and each right end is taken
-    once. A candidate that comes first at both its ends is taken; what its ends also had goes; so on with the rest."""
-    rest, taken = cut_lineage(candidates.withColumn("_order", F.struct(*order))), None
-    while not rest.isEmpty():
-        first = [F.min("_order").over(Window.partitionBy(*ends)) for ends in (left, right)]
-        won = cut_lineage(rest.withColumn("_l", first[0]).withColumn("_r", first[1]).where("_order = _l and _order = _r").drop("_l", "_r"))
-        taken = won if taken is None else taken.unionByName(won)
-        rest = cut_lineage(rest.join(won.select(*left), left, "left_anti").join(won.select(*right), right, "left_anti"))
-    return (rest if taken is None else taken).drop("_order")
+def first(own: list[tuple]) -> int | None:
+    """The first candidate that is free."""
+    return 0 if own else None
+
+
+def clear(own: list[tuple], margin: int = 750_000) -> int | None:
+    """The first candidate that is free, if it is the only one or nearer than the next by ``margin``."""
+    return 0 if len(own) == 1 or (own and own[1][0] - own[0][0] >= margin) else None
+
+
+def greedy_pairs(candidates: DataFrame, group: list[str], left: list[str], right: list[str], order: list, rank: list, choose: Callable[[list[tuple]], int | None] = first, at: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The candidates that one pass in ``order`` over the left ends takes, each end once: each left end in turn ``choose``s
+    among its free candidates, sorted by ``rank``. ``group`` names islands whose ends meet nowhere else.
+
+    An island of any length streams in order through a task, which holds one left end's candidates and the right ends taken
+    that can still be met: those whose ``until`` isn't below the left end's ``at`` (without these, all of the island)."""
+    key = lambda columns: F.to_json(F.struct(*columns))
+    never = F.lit((1 << 62)).cast("long")
+    held = {"_g": key(group), "_l": key(left), "_r": key(right), "_at": at if at is not None else F.lit(0).cast("long"), "_until": until if until is not None else never, "_rank": rank[0].cast("long")}
+    d = candidates.withColumns(held)
+    d = d.repartition(*group).sortWithinPartitions(*group, *order, *left, *rank)
+    arrow = to_arrow_schema(candidates.schema)
+    names = candidates.columns
+
+    def run(batches):
+        import heapq
+
+        island, end, own, taken, gone = None, None, [], set(), []
+
+        def settle(out: list) -> None:
+            now = own[0]["_at"]
+            while gone and gone[0][0] < now:
+                taken.discard(heapq.heappop(gone)[1])
+            free = [r for r in own if r["_r"] not in taken]
+            i = choose([(r["_rank"], r["_r"]) for r in free])
+            if i is not None:
+                taken.add(free[i]["_r"])
+                heapq.heappush(gone, (free[i]["_until"], free[i]["_r"]))
+                out.append({c: free[i][c] for c in names})
+
+        for batch in batches:
+            out: list = []
+            for r in batch.to_pylist():
+                if (r["_g"], r["_l"]) != (island, end):
+                    if own:
+                        settle(out)
+                    if r["_g"] != island:
+                        taken, gone = set(), []
+                    island, end, own = r["_g"], r["_l"], []
+                own.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if own:
+            out = []
+            settle(out)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return d.mapInArrow(run, candidates.schema)
+
+
+def in_time(candidates: DataFrame, keys: list[str], left: str, right: str, rank: list, before_us: int, after_us: int, choose: Callable[[list[tuple]], int | None] = first) -> DataFrame:
+    """``greedy_pairs`` of candidates of ``near``, left ends by ``l_us``. Left ends further apart than both windows share no
+    right end, so a gap of that length begins a new island."""
+    c = gap_groups(candidates, keys, ["l_us", left], "l_us", before_us + after_us, "_island")
+    return greedy_pairs(c, [*keys, "_island"], [left], [right], ["l_us"], rank, choose, F.col("l_us"), F.col("r_us") + after_us + before_us).drop("_island")
 
 
 def near(left: DataFrame, right: DataFrame, keys: list[str], before_us: int, after_us: int) -> DataFrame:
@@ -40,27 +97,30 @@ def nearest_decision(actions: DataFrame, requests: DataFrame, window_us: int = 9
     from ``window_us`` before to 15 s after, a later one at a penalty of 20 s; actions choose in turn, each request once."""
     c = near(actions, requests, ["source"], window_us, 15 * SECOND).withColumn("delta_us", F.col("l_us") - F.col("r_us"))
     penalty = F.abs("delta_us") + F.when(F.col("delta_us") < 0, 20 * SECOND).otherwise(0)
-    return greedy_pairs(c, ["source", "action"], ["source", "request"], ["source", "l_us", "action", penalty, F.abs("delta_us"), "request"]).select("source", "action", "request", "delta_us")
+    return in_time(c, ["source"], "action", "request", [penalty, F.abs("delta_us"), F.col("request")], window_us, 15 * SECOND).select("source", "action", "request", "delta_us")
 
 
 def match_controls(auto: DataFrame, manual: DataFrame, ratio: float = 2.0) -> DataFrame:
     """Reviewer episodes (auto, model, effort, regime, tokens, us) and manual ones (manual, ...) of the same model, effort
     and known regime, tokens within ``ratio``: each episode in turn takes the free control nearest in log tokens, then time."""
     strata = ["model", "effort", "regime"]
-    m = manual.where("regime is not null").select("manual", *strata, F.greatest("tokens", F.lit(1)).alias("_m"), F.col("us").alias("_at"))
+    m = manual.where("regime is not null").select("manual", *strata, F.greatest("tokens", F.lit(1)).alias("_m"), F.col("us").alias("_there"))
     # within a stratum they meet by steps of the ratio in tokens
     step = lambda c: F.floor(F.log(c) / math.log(ratio) + 1e-9)
     a = auto.where("regime is not null").withColumn("_a", F.greatest("tokens", F.lit(1))).withColumn("_step", F.explode(F.sequence(step(F.col("_a")) - 1, step(F.col("_a")) + 1)))
     c = a.join(m.withColumn("_step", step(F.col("_m"))), [*strata, "_step"])
     c = c.withColumn("log_ratio", F.round(F.abs(F.log(F.col("_a") / F.col("_m"))), 12)).where(F.col("log_ratio") <= math.log(ratio) + 1e-12)
-    return greedy_pairs(c, ["auto"], ["manual"], ["auto", "log_ratio", F.abs(F.col("us") - F.col("_at")), "manual"]).select("auto", "manual", *strata, "log_ratio")
+    # episodes further apart than twice the ratio share no control: such a gap in log tokens begins a new island
+    c = gap_groups(c.withColumn("_log", F.log("_a")), strata, ["_log", "auto"], "_log", 2 * math.log(ratio) + 1e-9, "_island")
+    rank = [F.lit(0).cast("long"), F.col("log_ratio"), F.abs(F.col("us") - F.col("_there")), F.col("manual")]
+    return greedy_pairs(c.drop("_log"), [*strata, "_island"], ["auto"], ["manual"], ["auto"], rank).select("auto", "manual", *strata, "log_ratio")
 
 
 def heuristic_check(drops: DataFrame, events: DataFrame, window_us: int = 120 * SECOND) -> DataFrame:
     """Context drops (source, drop, l_us) with the explicit compaction (event, r_us) near them, one to one, drops in turn;
     a drop without one has null."""
     c = near(drops, events, ["source"], window_us, window_us)
-    pairs = greedy_pairs(c, ["source", "drop"], ["source", "event"], ["source", "l_us", "drop", F.abs(F.col("l_us") - F.col("r_us")), "event"])
+    pairs = in_time(c, ["source"], "drop", "event", [F.abs(F.col("l_us") - F.col("r_us")), F.col("event")], window_us, window_us)
     return drops.select("source", "drop").join(pairs.select("source", "drop", "event"), ["source", "drop"], "left")
 
 
@@ -80,21 +140,8 @@ def match_actions(spawns: DataFrame, children: DataFrame, ids: DataFrame, tight_
     best = ids.withColumns({"_n": F.row_number().over(w), "_next": F.lead("shared").over(w)}).where("_n = 1 and (_next is null or _next < shared)")
     exact = best.select("family", "action", "session")
     rest, free = spawns.join(exact, ["family", "action"], "left_anti"), children.join(exact, ["family", "session"], "left_anti")
-    c = near(rest, free, ["family"], SECOND // 2, tight_us).select("family", "action", "l_us", "session", F.abs(F.col("r_us") - F.col("l_us")).alias("gap"))
-    # spawns whose windows don't touch can't claim the same child: each island of time is a small group
-    c = gap_groups(c, ["family"], ["l_us", "action"], "l_us", tight_us + SECOND // 2, "island")
-
-    def claim(rows):
-        taken, out = set(), []
-        for (_, action), own in rows.sort_values(["l_us", "action", "gap", "session"]).groupby(["l_us", "action"], sort=True):
-            own = [x for x in zip(own["gap"], own["session"], strict=True) if x[1] not in taken]
-            if own and (len(own) == 1 or own[1][0] - own[0][0] >= 750_000):
-                taken.add(own[0][1])
-                out.append((rows["family"].iloc[0], action, own[0][1]))
-        return rows.iloc[: len(out)][["family", "action", "session"]].assign(**dict(zip(("family", "action", "session"), map(list, zip(*out, strict=True)), strict=True))) if out else rows.iloc[:0][["family", "action", "session"]]
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in c.select("family", "action", "session").schema)
-    timed = cut_lineage(c.groupBy("family", "island").applyInPandas(claim, ddl))
+    c = near(rest, free, ["family"], SECOND // 2, tight_us).select("family", "action", "l_us", "session", "r_us", F.abs(F.col("r_us") - F.col("l_us")).alias("gap"))
+    timed = cut_lineage(in_time(c, ["family"], "action", "session", [F.col("gap"), F.col("session")], SECOND // 2, tight_us, clear).select("family", "action", "session"))
     rest, free = rest.join(timed, ["family", "action"], "left_anti"), free.join(timed, ["family", "session"], "left_anti")
     broad = near(rest, free, ["family"], SECOND // 2, broad_us).groupBy("family", "action").agg(F.count("*").alias("_n"), F.min("session").alias("session")).where("_n = 1").select("family", "action", "session")
     parts = [p.withColumns({"method": F.lit(m), "confidence": F.lit(s)}) for p, m, s in ((exact, "id", "high"), (timed, "time", "medium"), (broad, "window", "diagnostic"))]
@@ -190,7 +237,7 @@ def reviewer_buckets(rows: DataFrame, events: DataFrame, purity: float = 0.95, a
     return b.withColumns({"present": present, "dominant": present & (F.col("reviewer_share") + EPS >= purity), "exclusive": present & only, "isolated": present & only & alone}).drop("us", "_next")
 
 
-def overhead_fit(episodes: DataFrame, keys: list[str], least_rows: int = 30, least_sessions: int = 5, least_points: float = 10.0, boots: int = 100) -> DataFrame:
+def overhead_fit(episodes: DataFrame, keys: list[str], least_rows: int = 30, least_sessions: int = 5, least_points: float = 10.0, boots: int = 300) -> DataFrame:
     """Points of episodes (parent, parent_m, reviewer_m in millions of tokens, points) on both kinds of work, non-negative.
     ``status`` supported only with enough rows, sessions and points, a condition of 20 at most, a gain of 5 % over the
     parent's work alone, and a reviewer coefficient that draws of whole sessions keep above 0 and within ten times."""
@@ -202,7 +249,7 @@ def overhead_fit(episodes: DataFrame, keys: list[str], least_rows: int = 30, lea
     alone = F.greatest(F.lit(0.0), F.col("h_0") / F.col("g_0_0"))
     n = n.withColumns({"parent_weight": b0, "reviewer_weight": b1, "condition": stats.condition(2), "_alone": sse(alone, F.lit(0.0))})
     n = n.withColumn("gain", F.when(F.col("_alone") > EPS, 1 - sse(F.col("parent_weight"), F.col("reviewer_weight")) / F.col("_alone")).otherwise(0.0))
-    drawn = stats.bootstrap_fit(cut_lineage(stats.by_episode(e, keys, "parent", ["parent_m", "reviewer_m"], "points")), keys, 2, boots, seed="o")
+    drawn = stats.bootstrap_fit(cut_lineage(stats.by_episode(e, keys, "parent", ["parent_m", "reviewer_m"], "points")), keys, "parent", 2, boots, seed="o")
     d = n.join(drawn.select(*keys, *(F.col(f"weight_{q}_1").alias(f"reviewer_{q}") for q in ("low", "mid", "high")), F.col("positive_1").alias("positive")), keys, "left")
     few = (F.col("rows") < least_rows) | (F.col("sessions") < least_sessions) | (F.col("points") < least_points)
     shaky = (F.col("reviewer_low") <= EPS) | (F.col("positive") < 0.8) | (F.col("reviewer_high") / F.col("reviewer_low") > 10)

@@ -11,28 +11,41 @@ from meterline.functions.tables import cut_lineage
 from meterline.functions.temporal import share
 
 
-def draw(n, *seed):
-    """A number below ``n`` from the md5 of the seeds: the same on any engine."""
-    text = F.concat_ws(":", *(s if not isinstance(s, str) else F.lit(s) for s in seed))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), n)
-
-
-def ratio_bootstrap(units: DataFrame, keys: list[str], num: str, den: str, order: list[str], boots: int = 100, level: float = 0.8, seed: str = "b") -> DataFrame:
-    """Ratio of sums with a percentile interval from whole units resampled within each group; no interval below two.
-
-    Units (a few an episode) are numbered, draws are (group, repetition, place) rows, and one equi-join picks them.
-    """
-    w = Window.partitionBy(*keys)
-    u = units.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    u = u.select(*keys, "_i", "_n", F.col(num).alias("_num"), F.col(den).alias("_den"))
-    point = u.groupBy(*keys).agg(F.max("_n").alias("units"), (F.sum("_num") / F.sum("_den")).alias("estimate"))
-    places = u.where("_n > 1").select(*keys, "_i", "_n")
-    reps = places.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
-    picks = reps.withColumn("_i", draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_i"))).drop("_n")
-    per = picks.join(u, [*keys, "_i"]).groupBy(*keys, "rep").agg((F.sum("_num") / F.sum("_den")).alias("r"))
+#: Draws of each interval, as the contract has them: of whole units, and of fits.
+DRAWS, FIT_DRAWS = 1000, 200
+#: A 16-bit number is this many times at or over the steps of the Poisson distribution of mean 1: how often a unit is drawn.
+STEPS = tuple(round(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8))
+
+
+def multiplicities(boots: int, seed: str, ids: list[str]) -> Column:
+    """How often each of ``boots`` draws takes a unit, as one array, from md5 of the seed and the unit's ``ids`` alone: the
+    same on any engine and in any task. Each draw takes a unit a Poisson number of times (mean 1), the form of drawing
+    with replacement that needs no look at other units, so no join and no row for a pick."""
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ids]
+
+    def of(word: Column) -> Column:
+        h = F.md5(F.concat_ws(":", F.lit(seed), word.cast("string"), *known).cast("binary"))
+        u = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(h, 4 * j + 1, F.lit(4)), 16, 10).cast("int"))
+        return F.transform(u, lambda v: reduce(lambda x, y: x + y, ((v >= t).cast("int") for t in STEPS)))
+
+    return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(-(-boots // 8) - 1)), of)), 1, boots)
+
+
+def drawn(units: DataFrame, boots: int, seed: str, ids: list[str]) -> DataFrame:
+    """``units`` once for each draw (``rep``) that takes them, ``times`` over. The rows live within the stage: what follows
+    sums them up by draw before anything is shuffled."""
+    d = units.select("*", F.posexplode(multiplicities(boots, seed, ids)).alias("rep", "times"))
+    return d.where("times > 0")
+
+
+def ratio_bootstrap(units: DataFrame, keys: list[str], num: str, den: str, ids: list[str], boots: int = DRAWS, level: float = 0.8, seed: str = "b") -> DataFrame:
+    """Ratio of sums with a percentile interval from whole units (told apart by ``ids``) drawn again; no interval below two."""
+    point = units.groupBy(*keys).agg(F.count("*").alias("units"), (F.sum(num) / F.sum(den)).alias("estimate"))
+    per = drawn(units, boots, seed, [*keys, *ids]).groupBy(*keys, "rep").agg((F.sum(F.col(num) * F.col("times")) / F.sum(F.col(den) * F.col("times"))).alias("r"))
     tail = (1 - level) / 2
     span = per.groupBy(*keys).agg(F.percentile("r", F.lit(tail)).alias("low"), F.percentile("r", F.lit(1 - tail)).alias("high"))
-    return point.join(span, keys, "left")
+    many = lambda c: F.when(F.col("units") > 1, F.col(c)).alias(c)
+    return point.join(span, keys, "left").select(*keys, "units", "estimate", many("low"), many("high"))
 
 
 def determinant(m: list[list[Column]]) -> Column:
@@ -125,14 +138,13 @@ def episode_cv(episodes: DataFrame, keys: list[str], n: int) -> DataFrame:
     return out.select(*keys, share(F.col("_a"), F.col("_y")).alias("cv_wape"), F.when(F.col("_y") > 0, F.col("_s") / F.col("_y")).alias("cv_bias"))
 
 
-def bootstrap_fit(episodes: DataFrame, keys: list[str], n: int, boots: int = 100, level: float = 0.8, seed: str = "f") -> DataFrame:
+def bootstrap_fit(episodes: DataFrame, keys: list[str], episode: str, n: int, boots: int = FIT_DRAWS, level: float = 0.8, seed: str = "f") -> DataFrame:
     """Fits on episodes drawn again with replacement: for each further coefficient its ratio to the first one
     (``ratio_low_i``, ``ratio_mid_i``, ``ratio_high_i``), in what share of the draws there is one (``valid_i``), the same of
     the coefficient itself (``weight_low_i`` and so on), and in what share it is over 0 (``positive_i``)."""
     names = sum_names(n)
-    picks = episodes.select(*keys, "_i", "_n").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))))
-    picks = picks.withColumn("_i", draw(F.col("_n"), F.lit(seed), F.col("rep"), F.col("_i"))).drop("_n")
-    per = picks.join(episodes.select(*keys, "_i", *names), [*keys, "_i"]).groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in names))
+    d = drawn(episodes.select(*keys, episode, *names), boots, seed, [*keys, episode])
+    per = d.groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in names))
     beta = per.select(*keys, *(b.alias(f"_b{i}") for i, b in enumerate(non_negative(n))))
     tail, out = (1 - level) / 2, []
     for i in range(1, n):
@@ -144,14 +156,14 @@ def bootstrap_fit(episodes: DataFrame, keys: list[str], n: int, boots: int = 100
     return beta.groupBy(*keys).agg(F.count("*").alias("boots"), *out)
 
 
-def fit_candidate(df: DataFrame, keys: list[str], episode: str, features: list[str], y: str, boots: int = 100, most_condition: float = 50.0, most_wape: float = 0.4) -> DataFrame:
+def fit_candidate(df: DataFrame, keys: list[str], episode: str, features: list[str], y: str, boots: int = FIT_DRAWS, most_condition: float = 50.0, most_wape: float = 0.4) -> DataFrame:
     """A fit with its evidence, and ``status``: not identifiable (collinear, under three episodes, or ratios that draws
     don't support: missing in over a fifth, at the boundary, or spanning more than ten times), weak (held-out error), or
     supported."""
     n = len(features)
     episodes = cut_lineage(by_episode(df, keys, episode, features, y))
     d = weight_fit(df, keys, features, y).join(episode_cv(episodes, keys, n), keys, "left")
-    d = d.join(bootstrap_fit(episodes, keys, n, boots), keys, "left")
+    d = d.join(bootstrap_fit(episodes, keys, episode, n, boots), keys, "left")
     unstable = F.lit(False)
     for i in range(1, n):
         low, high = F.col(f"ratio_low_{i}"), F.col(f"ratio_high_{i}")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from meterline.operators import capacity, quota
 from meterline.operators.capacity import MEASURES
+from meterline.operators.stats import DRAWS
 from meterline.plans.registry import BUCKETS, TURN_US, WINDOW_US, bucket_rows, buckets, metered, query
+from meterline.plans.statistics import draws_sql
 
 SIZES = [4.0, 8.0]
 PERIODS = f"""{BUCKETS}, cm as (select account, reset_key, model, sum(input + output) t from kept where not reviewer group by 1, 2, 3), ce as (select account, reset_key, coalesce(effort, 'unknown') effort, sum(input + output) t from kept where not reviewer group by 1, 2, 3),
@@ -59,16 +61,15 @@ def rounded(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 @query(f"""{PERIODS}, el as (select * from pm where eligible), bo as (select half, model, effort, regime from el group by all having bool_or(marked) and bool_or(not marked)),
-u as (select el.*, 1.0 z, row_number() over (partition by half, model, effort, regime, marked order by account, reset_key) - 1 i, count(*) over (partition by half, model, effort, regime, marked) n from el semi join bo using (half, model, effort, regime)),
+u as (select el.*, 1.0 z from el semi join bo using (half, model, effort, regime)),
 pt as ({_pool("u", "half")}), ct as (select half, count(*) filter (marked) marked_periods, count(*) filter (not marked) other_periods from u group by half),
-dr as (select u.half, u.model, u.effort, u.regime, u.marked, rep, ('0x' || substr(md5('c:' || rep || ':' || u.i), 1, 8))::bigint % u.n i, count(*) z from u, range(30) g(rep) group by all),
-dx as (select dr.half, dr.rep, dr.model, dr.effort, dr.regime, dr.marked, dr.z, u.points, u.core_usd, u.all_usd, u.core_tokens, u.all_tokens from dr join u on u.half = dr.half and u.model = dr.model and u.effort = dr.effort and u.regime = dr.regime and u.marked = dr.marked and u.i = dr.i),
+u0 as (select * exclude (z) from u), {draws_sql("dx", "u0", "c", "half, account, reset_key", DRAWS)},
 bs as ({_pool("dx", "half, rep")}), bq as (select half, {QUANTILES} from bs group by half),
 fin as (select h.half, coalesce(marked_periods, 0) marked_periods, coalesce(other_periods, 0) other_periods, pt.* exclude (half), bq.* exclude (half) from (select distinct half from el) h left join pt on pt.half = h.half left join ct on ct.half = h.half left join bq on bq.half = h.half)
 select half, marked_periods, other_periods, {_verdict("fin")}, {ROUNDED} from fin""")
 def capacity_bootstrap(spark, sf_dir):
     p = marked(periods(spark, sf_dir)).where("eligible")
-    out = capacity.capacity_bootstrap(p, ["half"], ["model", "effort", "regime"], ["account", "reset_key"], boots=30)
+    out = capacity.capacity_bootstrap(p, ["half"], ["model", "effort", "regime"], ["account", "reset_key"])
     return rounded(out, ["half", "marked_periods", "other_periods", "measure", "verdict"])
 
 
@@ -100,17 +101,17 @@ def boundary_pairs(spark, sf_dir):
 
 def _ratios(rows: str, keys: str) -> str:
     ok = lambda m: f"after_{m} is not null and before_{m} > 1e-9"
-    return f"select {keys}, count(*) pairs, " + ", ".join(f"case when sum(before_{m}) filter ({ok(m)}) > 0 then sum(after_{m}) filter ({ok(m)}) / sum(before_{m}) filter ({ok(m)}) end {m}" for m in MEASURES) + f" from {rows} group by {keys}"
+    return f"select {keys}, count(*) pairs, " + ", ".join(f"case when sum(before_{m} * z) filter ({ok(m)}) > 0 then sum(after_{m} * z) filter ({ok(m)}) / sum(before_{m} * z) filter ({ok(m)}) end {m}" for m in MEASURES) + f" from {rows} group by {keys}"
 
 
-@query(f"""{PAIRS}, u as (select *, account % 2 half, row_number() over (partition by account % 2, size order by account, after_key) - 1 i, count(*) over (partition by account % 2, size) n from bp where before_all_tokens > 0),
-pt as ({_ratios("u", "half, size")}), dr as (select u.half, u.size, rep, ('0x' || substr(md5('s:' || rep || ':' || u.i), 1, 8))::bigint % u.n j from u, range(30) g(rep) where n > 1),
-dx as (select dr.rep, u.* from dr join u on u.half = dr.half and u.size = dr.size and u.i = dr.j), bs as ({_ratios("dx", "half, size, rep")}), bq as (select half, size, {QUANTILES} from bs group by 1, 2),
-fin as (select pt.*, bq.* exclude (half, size) from pt left join bq on bq.half = pt.half and bq.size = pt.size),
+@query(f"""{PAIRS}, u0 as (select *, account % 2 half from bp where before_all_tokens > 0), u as (select *, 1.0 z from u0),
+pt as ({_ratios("u", "half, size")}), {draws_sql("dx", "u0", "s", "half, size, account, after_key", DRAWS)},
+bs as ({_ratios("dx", "half, size, rep")}), bq as (select half, size, {QUANTILES} from bs group by 1, 2),
+fin as (select pt.*, bq.* exclude (half, size) from pt left join bq on bq.half = pt.half and bq.size = pt.size and pairs > 1),
 en as (select half, min(size) a, max(size) b, arg_min(coalesce({", ".join(MEASURES)}), size) x, arg_max(coalesce({", ".join(MEASURES)}), size) y from pt group by half)
 select fin.half, size, pairs, {_verdict("fin")}, size = b preferred, a < b and x <= 0.65 and y >= 0.8 transient, {ROUNDED} from fin join en on en.half = fin.half""")
 def boundary_summary(spark, sf_dir):
     """Over all pairs with tokens on both sides: the strict rule leaves too few in a month."""
     p = pairs(spark, sf_dir).where("before_all_tokens > 0").withColumns({"eligible": F.lit(True), "half": F.col("account") % 2})
-    out = capacity.boundary_summary(p, ["half"], boots=30)
+    out = capacity.boundary_summary(p, ["half"])
     return rounded(out, ["half", "size", "pairs", "measure", "verdict", "preferred", "transient"])

@@ -91,15 +91,21 @@ def cohort_rows(spark, sf_dir):
 # resampling and fits
 
 
+def draws_sql(name: str, units: str, seed: str, ids: str, boots: int) -> str:
+    """A CTE with the rows of ``units`` for each draw (rep) that takes them, z times: from 16 bits of an md5 each."""
+    z = " + ".join(f"(v >= {t})::int" for t in stats.STEPS)
+    h = f"select *, md5(concat_ws(':', '{seed}', w, {ids})) h from {units}, range({-(-boots // 8)}) words(w)"
+    v = f"select *, w * 8 + j rep, ('0x' || substr(h, (4 * j + 1)::int, 4))::int v from ({h}), range(8) places(j)"
+    return f"{name} as (select * from (select * exclude (w, h, j, v), {z} z from ({v})) where rep < {boots} and z > 0)"
+
+
 @query(f"""{BUCKETS}, ep as (select account, reset_key, sum(tokens) tokens, sum(points) points from bk where points > 0 group by 1, 2),
-u as (select account, row_number() over (partition by account order by reset_key) - 1 i, count(*) over (partition by account) n, tokens, points from ep),
-r as (select a.account, g.rep, ('0x' || substr(md5('b:' || g.rep || ':' || a.i), 1, 8))::bigint % a.n j from u a, range(50) g(rep) where n > 1),
-e as (select r.account, r.rep, sum(u.tokens) / sum(u.points) x from r join u on u.account = r.account and u.i = r.j group by 1, 2)
-select u.account, max(n) units, sum(tokens)::bigint / sum(points) estimate, (select quantile_cont(x, 0.1) from e where e.account = u.account) low, (select quantile_cont(x, 0.9) from e where e.account = u.account) high from u group by u.account""")
+{draws_sql("r", "ep", "b", "account, reset_key", stats.DRAWS)}, e as (select account, rep, sum(tokens * z) / sum(points * z) x from r group by 1, 2)
+select account, count(*) units, sum(tokens)::bigint / sum(points) estimate, case when count(*) > 1 then (select quantile_cont(x, 0.1) from e where e.account = ep.account) end low, case when count(*) > 1 then (select quantile_cont(x, 0.9) from e where e.account = ep.account) end high from ep group by account""")
 def episode_bootstrap(spark, sf_dir):
     """Whole episodes are drawn: their buckets are summed first."""
     u = buckets(spark, sf_dir).where("points > 0").groupBy(*quota.EPISODE).agg(F.sum("tokens").alias("tokens"), F.sum("points").alias("points"))
-    out = stats.ratio_bootstrap(u, ["account"], "tokens", "points", ["reset_key"], boots=50)
+    out = stats.ratio_bootstrap(u, ["account"], "tokens", "points", ["reset_key"])
     return out.withColumn("units", F.col("units").cast("long"))
 
 
@@ -131,8 +137,8 @@ ef as (select *, case when n <= 12 then i else i % 5 end fold from ei where n >=
 tr as (select f.account, f.spec, f.fold, {SUMS.replace("sum(", "sum(e.")} from (select distinct account, spec, fold from ef) f join ef e on e.account = f.account and e.spec = f.spec and e.fold <> f.fold group by all),
 tb as (select account, spec, fold, {_beta()} from tr),
 cv as (select account, spec, sum(abs(wa * sa + wb * sb - y)) / sum(y) cv_wape, sum(wa * sa + wb * sb - y) / sum(y) cv_bias from ef join tb using (account, spec, fold) group by 1, 2),
-dr as (select a.account, a.spec, g.rep, ('0x' || substr(md5('f:' || g.rep || ':' || a.i), 1, 8))::bigint % a.n j from ei a, range(40) g(rep)),
-bs as (select account, spec, rep, {_beta()} from (select dr.account, dr.spec, dr.rep, {SUMS} from dr join ei on ei.account = dr.account and ei.spec = dr.spec and ei.i = dr.j group by 1, 2, 3)),
+{draws_sql("dr", "fe", "f", "account, reset_key", stats.FIT_DRAWS)},
+bs as (select account, spec, rep, {_beta()} from (select account, spec, rep, {", ".join(f"sum({x} * z) {x}" for x in ("aa", "bb", "ab", "ay", "yb"))} from dr group by 1, 2, 3)),
 bq as (select account, spec, quantile_cont(wb / wa, 0.1) filter (wa > 1e-10) low, quantile_cont(wb / wa, 0.5) filter (wa > 1e-10) mid, quantile_cont(wb / wa, 0.9) filter (wa > 1e-10) high, count(*) filter (wa > 1e-10) / count(*) valid from bs group by 1, 2),
 al as (select account, spec, n_rows, {_beta()}, case when spec = 'total' then 1.0 when abs(ab) / sqrt(aa * bb) < 1 - 1e-10 then sqrt((1 + abs(ab) / sqrt(aa * bb)) / (1 - abs(ab) / sqrt(aa * bb))) end cond from (select account, spec, sum(k)::bigint n_rows, {SUMS} from fe group by 1, 2)),
 fit as (select al.account, al.spec, n_rows, wa, wb, cond, cv_wape, cv_bias, low, mid, high, valid, case when cond is null or cond > 50 or cv_wape is null then 'not identifiable' when cv_wape > 0.4 then 'weak'
@@ -144,7 +150,7 @@ def fits(spark, sf_dir, names) -> DataFrame:
     rows, out = fit_rows(spark, sf_dir), None
     for name in names:
         complexity, features = SPECS[name]
-        f = stats.fit_candidate(rows, ["account"], "reset_key", features, "points", boots=40)
+        f = stats.fit_candidate(rows, ["account"], "reset_key", features, "points")
         f = f.withColumns({"spec": F.lit(name), "complexity": F.lit(complexity)})
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -92,13 +92,13 @@ def usage_records(records: DataFrame) -> DataFrame:
 REVIEWER_MODEL = "codex-auto-review"
 
 
-def usage_events(records: DataFrame, account: str = "local", minutes: int = 10080, include_unmetered: bool = False) -> DataFrame:
-    """From ``parse_records`` to the columns on which the operators run, one row for each usage record that counts.
+def file_events(records: DataFrame, account: str | Column = "local", minutes: int = 10080, include_unmetered: bool = False) -> DataFrame:
+    """From ``parse_records`` to the usage records that count within their own file.
 
     State is carried down each file, sign-in too; a record whose cumulative counts repeat those before it goes (one
     without last usage neither counts nor moves that baseline); records without any meter go unless
-    ``include_unmetered``, in which mode impossible counts go, too; equal events of several files count once; openings
-    that replay an older session are flagged, not dropped. ``minutes``: the meter window of used and reset_at."""
+    ``include_unmetered``, in which mode impossible counts go, too. ``minutes``: the meter window of used and reset_at.
+    ``account``: a name, or a column over (source, line, us) where many accounts' logs lie side by side."""
     from meterline.operators import clean
 
     states = ["model", "effort", "approval_policy", "approvals_reviewer", "source_kind"]
@@ -114,15 +114,34 @@ def usage_events(records: DataFrame, account: str = "local", minutes: int = 1008
         d = d.where(metered)
     meter = F.try_element_at("meters", F.lit(minutes))
     identity = F.array_join(F.transform(F.array_sort(F.map_entries("meters")), lambda m: F.concat_ws(":", m["key"].cast("string"), F.round(m["value"]["used"], 6).cast("string"), F.round(m["value"]["reset_at"]).cast("string"))), ",")
-    d = d.withColumns({"account": F.lit(account), "used": meter["used"], "reset_at": meter["reset_at"], "metered": metered, "_meters": identity, "total": sum((F.col(c) for c in totals[1:]), F.col(totals[0]))})
-    known = [F.nullif(c, F.lit("unknown")).alias(c) for c in ("sign_in",)]
-    d = d.withColumn("_auth", known[0])
-    d = clean.global_dedup(d, ["us", "input", "cached", "output", *totals, "_meters"], [*states, "_auth"]).drop("_meters", "_auth")
+    own = account if isinstance(account, Column) else F.lit(account)
+    return d.withColumns({"account": own, "used": meter["used"], "reset_at": meter["reset_at"], "metered": metered, "meter_id": identity, "total": sum((F.col(c) for c in totals[1:]), F.col(totals[0]))})
+
+
+def merge_events(d: DataFrame) -> DataFrame:
+    """Of equal events of several files (same instant, counts and meters) the best known one."""
+    from meterline.operators import clean
+
+    states = ["model", "effort", "approval_policy", "approvals_reviewer", "source_kind"]
+    d = d.withColumn("_auth", F.nullif("sign_in", F.lit("unknown")))
+    d = clean.global_dedup(d, ["us", "input", "cached", "output", "total_input", "total_cached", "total_output", "meter_id"], [*states, "_auth"]).drop("meter_id", "_auth")
     d = d.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in states})
-    d = d.withColumn("reviewer", F.col("model") == REVIEWER_MODEL)
+    return d.withColumn("reviewer", F.col("model") == REVIEWER_MODEL)
+
+
+def flag_events(d: DataFrame) -> DataFrame:
+    """Openings of files that replay an older session, and dense seconds: flagged, not dropped."""
+    from meterline.operators import clean
+
     return clean.flag_dense(clean.flag_replay_prefix(d), 1_000_000, 20)
 
 
+def usage_events(records: DataFrame, account: str | Column = "local", minutes: int = 10080, include_unmetered: bool = False) -> DataFrame:
+    """From ``parse_records`` to the columns on which the operators run, one row for each usage record that counts:
+    ``file_events`` of each file, copies across files ``merge_events``d, ``flag_events`` on what is left."""
+    return flag_events(merge_events(file_events(records, account, minutes, include_unmetered)))
+
+
 def content_free(df: DataFrame, keep: list[str], identifiers: list[str], categories: list[str] = ()) -> DataFrame:
     """Only the columns in ``keep``, the ``categories`` (short known labels) and the hashed ``identifiers``. A text column
     (or one that holds texts) in ``keep`` that isn't a category is an error."""

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from meterline.operators.pricing import totals
 
@@ -29,34 +30,72 @@ def stream_bursts(events: DataFrame, gap: str = "5 minutes", late: str = "1 hour
     return d.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "requests", "input")
 
 
-def stream_high_water(readings: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Buckets (account, reset_key, bucket, points, events, tokens) of a stream of meter readings (account, reset_key, us,
-    line, used, tokens, ts), each as its new high arrives: work goes to the next reading above the key's high, as in
-    ``quota.high_water_rows``. State is a key's high and what is pending; a key without readings for a week past the
-    watermark is dropped. Rows of a micro-batch are put in order; rows of an earlier one can't be."""
-    keys = "account long, reset_key long"
-    state_ddl = "high double, seen boolean, bucket long, events long, tokens long, dropping boolean"
+READING = "us long, line long, used double, tokens long"
+#: A key that has no reading for so long past its last one is forgotten.
+IDLE_MS = 7 * 86_400_000
+
+
+class HighWater(StatefulProcessor):
+    """Per key: readings that wait in a list until the watermark has passed them, and the fold over those that it has.
+
+    Nothing may still come below the watermark, so what is folded comes in the order of (us, line) whatever the batches
+    and micro-batches in which it came; a timer at the latest new reading brings the fold on."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", READING)
+        self.fold = handle.getValueState("fold", "high double, seen boolean, bucket long, events long, tokens long, dropping boolean, last_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        latest = -1
+        for pdf in rows:
+            if len(pdf):
+                self.waiting.appendList(list(pdf[["us", "line", "used", "tokens"]].itertuples(index=False, name=None)))
+                latest = max(latest, int(pdf["us"].max()) // 1000)
+        if latest >= 0:
+            # a reading counts as passed once the watermark is at its millisecond or later
+            self.handle.registerTimer(latest + 1)
+        yield pd.DataFrame()
 
-    def step(key, frames, state):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        high, seen, bucket, events, total, dropping = state.get if state.exists else (0.0, False, 0, 0, 0, False)
-        out = []
-        for pdf in frames:
-            for used, n in pdf.sort_values(["us", "line"])[["used", "tokens"]].itertuples(index=False, name=None):
-                if not seen:
-                    dropping = abs(used) > 1e-9  # a first reading that isn't zero counts for nothing
-                events, total = events + 1, total + int(n)
-                if not seen or used > high + 1e-9:
-                    if not dropping:
-                        out.append((*key, bucket, used - (high if seen else 0.0), events, total))
-                    high, seen, bucket, events, total, dropping = used, True, bucket + 1, 0, 0, False
-        state.update((high, seen, bucket, events, total, dropping))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + 7 * 86_400_000)
-        yield pd.DataFrame(out, columns=["account", "reset_key", "bucket", "points", "events", "tokens"])
-
-    ddl = f"{keys}, bucket long, points double, events long, tokens long"
-    return readings.withWatermark("ts", late).groupBy("account", "reset_key").applyInPandasWithState(step, ddl, state_ddl, "append", "EventTimeTimeout")
+        passed, out = timerValues.getCurrentWatermarkInMs(), []
+        waiting = list(self.waiting.get()) if self.waiting.exists() else []
+        ready = sorted(r for r in map(tuple, waiting) if r[0] // 1000 < passed)
+        high, seen, bucket, events, total, dropping, last = tuple(self.fold.get()) if self.fold.exists() else (0.0, False, 0, 0, 0, False, 0)
+        for us, _, used, n in ready:
+            if not seen:
+                dropping = abs(used) > 1e-9  # a first reading that isn't zero counts for nothing
+            events, total, last = events + 1, total + n, max(last, us // 1000)
+            if not seen or used > high + 1e-9:
+                if not dropping:
+                    out.append((*key, bucket, used - (high if seen else 0.0), events, total))
+                high, seen, bucket, events, total, dropping = used, True, bucket + 1, 0, 0, False
+        rest = [tuple(r) for r in waiting if r[0] // 1000 >= passed]
+        if ready:
+            self.waiting.clear()
+            if rest:
+                self.waiting.put(rest)
+            self.fold.update((high, seen, bucket, events, total, dropping, last))
+            self.handle.registerTimer(last + IDLE_MS)
+        elif not rest and passed >= last + IDLE_MS:
+            self.waiting.clear()
+            self.fold.clear()
+        yield pd.DataFrame(out, columns=["account", "reset_key", "bucket", "points", "events", "tokens"]) if out else pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_high_water(readings: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Buckets (account, reset_key, bucket, points, events, tokens) of a stream of meter readings (account, reset_key, us,
+    line, used, tokens, ts), each as its new high is sure: work goes to the next reading above the key's high, as in
+    ``quota.high_water_rows`` and in the same order. A reading is held for ``late``, until the watermark on ``ts`` passes
+    it; one later than that is dropped. State is a key's high and its waiting readings, so it grows with ``late`` alone; a
+    key is forgotten a week after its last reading. The session's state store must be RocksDB."""
+    ddl = "account long, reset_key long, bucket long, points double, events long, tokens long"
+    d = readings.withWatermark("ts", late).groupBy("account", "reset_key")
+    return d.transformWithStateInPandas(HighWater(), ddl, "Append", "EventTime")
