@@ -79,6 +79,8 @@ class Automaton:
     def _accepts(self, stack: tuple) -> bool:
         """Whether reductions at the end of the input lead to the start symbol."""
         for rule, dot in self.states[stack[-1]]:
+            if (rule, dot) == (-1, 1):
+                return len(stack) == 2
             if rule >= 0 and not self._after((rule, dot)) and self.rules[rule][0] == self.start:
                 return len(stack) - len(self.rules[rule][1]) == 1
         return False
