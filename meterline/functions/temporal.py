@@ -1,5 +1,7 @@
 """Ordered and interval building blocks that most operators are made of."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,18 +19,75 @@ def gap_groups(df: DataFrame, keys: list[str], order: list[str], at: str, gap: i
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str], order: list[str], strict: bool = False, forward: bool = False) -> DataFrame:
+#: Length of the slices in which one key's rows are dealt to tasks.
+SLICE_US = 86_400_000_000
+
+
+def carried(edges: DataFrame, keys: list[str], values: dict[str, tuple[str, bool]]) -> DataFrame:
+    """(_k0, ..., _cell, names): for each slice of a key the last known value of the slices before it, or after it. ``values``:
+    name -> (column of ``edges``, forward). ``edges`` has a row for each slice, so these windows are small however many
+    rows a key has."""
+    def over(forward: bool):
+        return Window.partitionBy(*keys).orderBy(F.desc("_slice") if forward else F.col("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    return edges.select(*own, F.col("_slice").alias("_cell"), *(F.last(v, ignorenulls=True).over(over(forward)).alias(n) for n, (v, forward) in values.items()))
+
+
+def with_carried(d: DataFrame, c: DataFrame, keys: list[str]) -> DataFrame:
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)), F.col("_slice") == F.col("_cell"))
+    return d.join(c, on, "left")
+
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: list[str], order: list[str], strict: bool = False, forward: bool = False, span: int = SLICE_US) -> DataFrame:
     """``left`` with the ``values`` of the nearest row of ``right`` before (or after, ``forward``) its ``at``; at equal
-    ``at`` too, unless ``strict``. One union and one window: linear, and it spills."""
+    ``at`` too, unless ``strict``; equal rows of ``right`` by ``order``.
+
+    Rows are dealt by key and slice of ``span``, so a key's history goes to as many tasks as it has slices. In each slice
+    one union and one window find the row; where a slice has none yet, it is the last one of the slices before, of which
+    a row for each slice is carried on. No pairs, no row in more than one slice."""
     side = F.lit(1 if strict == forward else 0)
+    cell = F.floor(F.col(at) / span).alias("_slice")
     held = F.struct(*(F.col(v) for v in values))
-    r = right.select(*keys, F.col(at), held.alias("_held"), F.lit(None).cast(left.schema).alias("_left"), (1 - side).alias("_side"), F.struct(*(F.col(c).cast("string").alias(c) for c in order)).alias("_tie"))
+    tie = lambda known: F.struct(*((F.col(c) if known else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in order)).alias("_tie")
+    r = right.select(*keys, F.col(at), held.alias("_held"), F.lit(None).cast(left.schema).alias("_left"), (1 - side).alias("_side"), tie(True), cell)
     row = F.struct(*(F.col(c) for c in left.columns))
-    lft = left.select(*keys, F.col(at), F.lit(None).cast(r.schema["_held"].dataType).alias("_held"), row.alias("_left"), side.alias("_side"), F.struct(*(F.lit(None).cast("string").alias(c) for c in order)).alias("_tie"))
-    w = Window.partitionBy(*keys).orderBy(F.col(at).desc() if forward else F.col(at), "_side", F.col("_tie").desc() if forward else F.col("_tie"))
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(lft).withColumn("_found", F.last("_held", ignorenulls=True).over(w)).where("_left is not null")
-    return both.select("_left.*", *(F.col("_found")[v].alias(v) for v in values))
+    lft = left.select(*keys, F.col(at), F.lit(None).cast(r.schema["_held"].dataType).alias("_held"), row.alias("_left"), side.alias("_side"), tie(False), cell)
+    turn = (lambda c: F.col(c).desc()) if forward else F.col
+    w = Window.partitionBy(*keys, "_slice").orderBy(turn(at), "_side", turn("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    both = r.unionByName(lft).withColumn("_found", F.last("_held", ignorenulls=True).over(w))
+    known = F.when(F.col("_held").isNotNull(), F.struct(F.col(at), F.col("_tie")))
+    edges = both.groupBy(*keys, "_slice").agg((F.min_by if forward else F.max_by)("_held", known).alias("_edge"))
+    d = with_carried(both.where("_left is not null"), carried(edges, keys, {"_carry": ("_edge", forward)}), keys)
+    d = d.select("_left", F.coalesce("_found", "_carry").alias("_found"))
+    return d.select("_left.*", *(F.col("_found")[v].alias(v) for v in values))
+
+
+def with_previous(df: DataFrame, keys: list[str], at: str, name: str, span: int = SLICE_US) -> DataFrame:
+    """``df`` (``at`` differs within a key) with ``name``: the ``at`` of the row before; dealt by key and slice as ``asof``."""
+    d = df.withColumn("_slice", F.floor(F.col(at) / span))
+    d = d.withColumn(name, F.lag(at).over(Window.partitionBy(*keys, "_slice").orderBy(at)))
+    c = carried(d.groupBy(*keys, "_slice").agg(F.max(at).alias("_edge")), keys, {"_carry": ("_edge", False)})
+    return with_carried(d, c, keys).select(*df.columns, F.coalesce(name, "_carry").alias(name))
+
+
+def neighbours(points: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, order: list[str], equal_is_before: bool = False, span: int = SLICE_US) -> DataFrame:
+    """``points`` with ``before`` and ``after``: the ``value`` of the nearest rows of ``right`` on both sides of its ``at``; a
+    row at equal ``at`` is the one after (or before, ``equal_is_before``). Dealt by key and slice as ``asof``, both sides in
+    one sort."""
+    side, cell = F.lit(1 if equal_is_before else 0), F.floor(F.col(at) / span).alias("_slice")
+    kind = right.schema[value].dataType
+    tie = lambda known: F.struct(*((F.col(c) if known else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in order)).alias("_tie")
+    r = right.select(*keys, F.col(at), F.col(value).alias("_held"), F.lit(None).cast(points.schema).alias("_left"), (1 - side).alias("_side"), tie(True), cell)
+    p = points.select(*keys, F.col(at), F.lit(None).cast(kind).alias("_held"), F.struct(*(F.col(c) for c in points.columns)).alias("_left"), side.alias("_side"), tie(False), cell)
+    both = r.unionByName(p)
+    w = Window.partitionBy(*keys, "_slice").orderBy(at, "_side", "_tie")
+    sides = {"_b": F.last("_held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_a": F.first("_held", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    known = F.when(F.col("_held").isNotNull(), F.struct(F.col(at), F.col("_tie")))
+    edges = both.groupBy(*keys, "_slice").agg(F.max_by("_held", known).alias("_last"), F.min_by("_held", known).alias("_first"))
+    c = carried(edges, keys, {"_cb": ("_last", False), "_ca": ("_first", True)})
+    d = with_carried(both.withColumns(sides).where("_left is not null"), c, keys)
+    return d.select("_left.*", F.coalesce("_b", "_cb").alias("before"), F.coalesce("_a", "_ca").alias("after"))
 
 
 def interval_union(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

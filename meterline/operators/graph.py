@@ -4,20 +4,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Sessions that own an id beyond which it is dealt to several tasks.
+HEAVY = 1000
+
+
 def build_edges(sessions: DataFrame, links: DataFrame, shared_us: int = 6 * 3_600_000_000) -> DataFrame:
     """One best parent for each child (``sessions``: session, first_us, subagent; ``links``: session, fp, is_parent). Ids that
     the child states as its parent's count first: the most, then the nearest in time, then the least key; ``confidence`` is
     high where the best is alone at its count. A subagent without one takes a session that shares an id of its own and
     began up to ``shared_us`` before it, by the same order: medium where alone."""
-    own, up = links.where("not is_parent"), links.where("is_parent")
-    def met(child: DataFrame, tier: int) -> DataFrame:
-        pairs = child.alias("c").join(own.alias("p"), (F.col("c.fp") == F.col("p.fp")) & (F.col("c.session") != F.col("p.session")))
-        return pairs.groupBy(F.col("c.session").alias("child"), F.col("p.session").alias("parent")).agg(F.count_distinct("c.fp").alias("shared"), F.lit(tier).alias("tier"))
-
     at = sessions.select("session", "first_us", "subagent")
-    pairs = met(up, 0).unionByName(met(own.join(at.where("subagent").select("session"), "session", "left_semi"), 1))
-    pairs = pairs.join(at.withColumnsRenamed({"session": "child", "first_us": "c_us"}), "child").join(at.select(F.col("session").alias("parent"), F.col("first_us").alias("p_us")), "parent")
-    pairs = pairs.where(f"tier = 0 or c_us - p_us between 0 and {shared_us}")
+    timed = links.join(at, "session").select("session", "fp", "is_parent", "first_us", "subagent").distinct()
+    own, up = timed.where("not is_parent"), timed.where("is_parent")
+    child = lambda d, *more: d.select(F.col("session").alias("child"), "fp", F.col("first_us").alias("c_us"), *more)
+    parent = lambda d, *more: d.select(F.col("session").alias("parent"), "fp", F.col("first_us").alias("p_us"), *more)
+    # an id that many sessions own is dealt to several tasks, and those who state it go to each of them
+    parts = own.groupBy("fp").agg(F.ceil(F.count("*") / HEAVY).cast("int").alias("_parts"))
+    owners = parent(own.join(parts, "fp"), F.pmod(F.xxhash64("session"), F.col("_parts")).cast("int").alias("_part"))
+    stating = child(up.join(parts, "fp"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    explicit = stating.join(owners, ["fp", "_part"]).where("child <> parent")
+    # a shared id counts only between sessions that began close to each other, so these meet by slots of that length
+    slot = F.floor(F.col("first_us") / shared_us)
+    late = child(own.where("subagent"), F.explode(F.array(slot, slot - 1)).alias("_slot"))
+    shared = late.join(parent(own, slot.alias("_slot")), ["fp", "_slot"]).where(f"child <> parent and c_us - p_us between 0 and {shared_us}")
+    pairs = None
+    for tier, met in enumerate((explicit, shared)):
+        found = met.groupBy("child", "parent").agg(F.count_distinct("fp").alias("shared"), F.lit(tier).alias("tier"), F.first("c_us").alias("c_us"), F.first("p_us").alias("p_us"))
+        pairs = found if pairs is None else pairs.unionByName(found)
     w = Window.partitionBy("child").orderBy("tier", F.desc("shared"), F.abs(F.col("c_us") - F.col("p_us")), "parent")
     ranked = pairs.withColumns({"n": F.row_number().over(w), "next": F.lead("shared").over(w), "_t": F.lead("tier").over(w)})
     tied = F.coalesce((F.col("next") == F.col("shared")) & (F.col("_t") == F.col("tier")), F.lit(False))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.tables import cut_lineage
-from meterline.functions.temporal import asof, share
+from meterline.functions.temporal import neighbours, share
 from meterline.operators import workflow
 
 
@@ -103,9 +103,8 @@ def direct_usage(clusters: DataFrame, samples: DataFrame, after_us: int) -> Data
     last one within it (high), else the first up to ``after_us`` later (medium). ``primary``: whether the sample is also in
     the totals; repeated cumulative records, which the raw samples keep, aren't."""
     at = clusters.select("source", "cluster", "start", F.col("end").alias("us"))
-    s = samples.select("source", "us", F.col("us").alias("tie"), F.struct(F.col("us").alias("at"), "input", "primary").alias("s"))
-    j = asof(at, s.withColumnRenamed("s", "before"), ["source"], "us", ["before"], ["tie"])
-    j = asof(j, s.withColumnRenamed("s", "after"), ["source"], "us", ["after"], ["tie"], strict=True, forward=True)
+    s = samples.select("source", "us", F.struct(F.col("us").alias("at"), "input", "primary").alias("s"))
+    j = neighbours(at, s, ["source"], "us", "s", ["s"], equal_is_before=True)
     inside, near = F.col("before.at") >= F.col("start"), F.col("after.at") <= F.col("us") + after_us
     picked = F.when(inside, F.col("before")).when(near, F.col("after"))
     return j.select("source", "cluster", picked["at"].alias("sample_us"), picked["input"].alias("input"), picked["primary"].alias("primary"), F.when(inside, "high").when(near, "medium").alias("confidence"))

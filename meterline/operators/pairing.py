@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from meterline.functions.tables import cut_lineage
-from meterline.functions.temporal import asof, gap_groups, share
+from meterline.functions.temporal import asof, gap_groups, neighbours, share
 from meterline.operators import stats
 from meterline.operators.quota import EPISODE, EPS
 
@@ -159,9 +159,8 @@ def pair_parent(reviews: DataFrame, work: DataFrame, links: DataFrame, match_us:
     by_id = stated.join(reviews.select("account", "burst").distinct(), "burst").select("account", "burst", "parent")
     pairs = sessions.unionByName(by_id).distinct()
     points = reviews.join(pairs, ["account", "burst"]).select("burst", "parent", F.col("l_us").alias("us"))
-    t = work.select("parent", F.col("r_us").alias("us"), F.col("r_us").alias("at"), F.col("r_us").cast("string").alias("tie")).distinct()
-    p = asof(points, t.withColumnRenamed("at", "before"), ["parent"], "us", ["before"], ["tie"])
-    p = asof(p, t.withColumnRenamed("at", "after"), ["parent"], "us", ["after"], ["tie"], forward=True)
+    t = work.select("parent", F.col("r_us").alias("us"), F.col("r_us").alias("at")).distinct()
+    p = neighbours(points, t, ["parent"], "us", "at", ["at"])
     off = F.least(F.col("us") - F.col("before"), F.col("after") - F.col("us"))
     within = lambda n: F.count_if(off <= n) / F.count("*")
     d = p.groupBy("burst", "parent").agg(within(60 * SECOND).alias("near60"), within(match_us).alias("near"), F.median(off).alias("median_us"), F.min(off).alias("nearest_us"))
@@ -215,8 +214,11 @@ def meter_envelope(spans: DataFrame, meters: DataFrame, gap_us: int = 600 * SECO
     after their end: ok with the points between the keys' running highs, missing, stale (too far), or reset-boundary."""
     high = F.max("used").over(Window.partitionBy("account", "reset_key").orderBy("us", "tie").rowsBetween(Window.unboundedPreceding, 0))
     m = meters.withColumn("m", F.struct("us", "used", "reset_key", high.alias("high"))).select("account", "us", "tie", "m")
-    a = asof(spans.withColumn("us", F.col("start")), m.withColumnRenamed("m", "low"), ["account"], "us", ["low"], ["tie"], strict=True)
-    a = asof(a.withColumn("us", F.col("end")), m.withColumnRenamed("m", "top"), ["account"], "us", ["top"], ["tie"], forward=True)
+    ends = F.array(F.struct(F.lit(True).alias("first"), F.col("start").alias("us")), F.struct(F.lit(False).alias("first"), F.col("end").alias("us")))
+    points = spans.select(F.struct(*spans.columns).alias("row"), F.monotonically_increasing_id().alias("id"), "account", ends.alias("ends"))
+    points = points.select("row", "id", "account", F.explode("ends").alias("e")).select("row", "id", "account", "e.us", "e.first")
+    p = neighbours(points, m, ["account"], "us", "m", ["tie"])
+    a = p.groupBy("id").agg(F.first("row").alias("row"), F.first(F.when(F.col("first"), F.col("before")), ignorenulls=True).alias("low"), F.first(F.when(~F.col("first"), F.col("after")), ignorenulls=True).alias("top")).select("row.*", "low", "top")
     far = (F.col("start") - F.col("low.us") > gap_us) | (F.col("top.us") - F.col("end") > gap_us)
     status = F.when(F.col("low").isNull() | F.col("top").isNull(), "missing").when(far, "stale").when(F.col("low.reset_key") != F.col("top.reset_key"), "reset-boundary").otherwise("ok")
     points = F.when(status == "ok", F.greatest(F.lit(0.0), F.col("top.high") - F.col("low.high")))

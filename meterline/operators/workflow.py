@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterline.functions.temporal import asof, gap_groups, interval_subtract, interval_union, share, sweep
+from meterline.functions.temporal import asof, gap_groups, interval_subtract, interval_union, share, sweep, with_previous
 
 
 def session_summary(df: DataFrame) -> DataFrame:
@@ -145,8 +145,7 @@ def conflicting_assignments(assigned: DataFrame, who: str) -> DataFrame:
 def quiet_gaps(df: DataFrame, keys: list[str], least_us: int, decisions: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
     """Gaps of at least ``least_us`` between calls, [previous + 1 us, next); ``status`` from a decision on that gap, else
     covered where one of the ``covered`` intervals (merged) holds it, else unclassified."""
-    w = Window.partitionBy(*keys).orderBy("us")
-    d = df.select(*keys, "us").distinct().withColumn("prev", F.lag("us").over(w)).where(F.col("us") - F.col("prev") >= least_us)
+    d = with_previous(df.select(*keys, "us").distinct(), keys, "us", "prev").where(F.col("us") - F.col("prev") >= least_us)
     d = d.select(*keys, (F.col("prev") + 1).alias("start"), F.col("us").alias("end")).withColumn("status", F.lit(None).cast("string"))
     if decisions is not None:
         d = d.drop("status").join(decisions, [*keys, "start", "end"], "left")
@@ -181,18 +180,19 @@ def compaction_clusters(markers: DataFrame, gap_us: int) -> DataFrame:
 
 def compaction_recovery(df: DataFrame, clusters: DataFrame, refill: float = 0.8) -> DataFrame:
     """Input before and after each cluster, and requests until input is back at ``refill`` of what it was, the next
-    cluster begins, or the source ends."""
-    w = Window.partitionBy("source").orderBy("start")
-    c = clusters.withColumn("next", F.lead("start").over(w))
-    j = c.join(df.select("source", "us", "line", "input"), "source")
-    at = F.struct("us", "line")
-    is_before, is_after = F.col("us") < F.col("start"), (F.col("us") > F.col("end")) & (F.col("next").isNull() | (F.col("us") < F.col("next")))
-    b = j.groupBy("source", "cluster").agg(F.max_by(F.when(is_before, F.col("input")), F.when(is_before, at)).alias("before"), F.min_by(F.when(is_after, F.col("input")), F.when(is_after, at)).alias("after"))
-    k = j.where(is_after).join(b, ["source", "cluster"])
-    back = k.groupBy("source", "cluster").agg(F.min(F.when(F.col("input") >= refill * F.col("before"), F.col("us"))).alias("back_us"))
-    k = k.join(back, ["source", "cluster"]).where("back_us is null or us <= back_us")
-    n = k.groupBy("source", "cluster").agg(F.count("*").alias("requests"), F.min("back_us").alias("back_us"))
-    return b.join(n, ["source", "cluster"], "left").select("source", "cluster", "before", "after", share(F.col("before") - F.col("after"), F.col("before")).alias("shrink"), F.coalesce("requests", F.lit(0)).alias("requests"), F.col("back_us").isNotNull().alias("recovered"))
+    cluster begins, or the source ends. Each request goes to the one cluster that ended last before it, if the next one
+    hasn't begun, so the work is linear in the requests."""
+    c = clusters.withColumn("next", F.lead("start").over(Window.partitionBy("source").orderBy("start")))
+    r = df.select("source", "us", "line", "input")
+    c = asof(c.withColumn("us", F.col("start")), r.withColumnRenamed("input", "before"), ["source"], "us", ["before"], ["line"], strict=True)
+    held = c.select("source", F.col("end").alias("us"), F.struct("cluster", "next", "before").alias("c"), F.col("start").alias("tie"))
+    j = asof(r, held, ["source"], "us", ["c"], ["tie"], strict=True).where("c is not null and (c.next is null or us < c.next)").select("source", "us", "line", "input", "c.cluster", "c.before")
+    back = F.col("input") >= refill * F.col("before")
+    earlier = Window.partitionBy("source", "cluster").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    j = j.withColumns({"_back": F.coalesce(back, F.lit(False)), "_was": F.coalesce(F.max(back).over(earlier), F.lit(False))})
+    n = j.groupBy("source", "cluster").agg(F.min_by("input", F.struct("us", "line")).alias("after"), F.count_if(~F.col("_was")).alias("requests"), F.max("_back").alias("recovered"))
+    d = c.select("source", "cluster", "before").join(n, ["source", "cluster"], "left")
+    return d.select("source", "cluster", "before", "after", share(F.col("before") - F.col("after"), F.col("before")).alias("shrink"), F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("recovered", F.lit(False)).alias("recovered"))
 
 
 def _stretches(intervals: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,11 +29,11 @@ def dedupe_actions(spark, sf_dir):
     return lifecycle.dedupe_actions(d).withColumn("targets", F.array_join("targets", ","))
 
 
-@query(f"""with {TELEMETRY_SQL} select c.line, count(r.line) results, min(r.line) first_result from tel c left join tel r on r.source = c.source and r.k // 4 = c.k // 4 and r.k % 4 = 2
-  where c.k % 4 = 1 group by c.line""")
+@query(f"""with {TELEMETRY_SQL} select c.line, count(r.line) results, min(r.line) first_result from tel c left join tel r on r.source = c.source and r.k // 4 = c.k // 4 and r.k % 4 > 1
+  where c.k % 4 < 2 group by c.line""")
 def join_results(spark, sf_dir):
     d = telemetry(spark, sf_dir).withColumn("call_id", F.expr("k div 4"))
-    return lifecycle.join_results(d.where("k % 4 = 1").select("source", "call_id", "line"), d.where("k % 4 = 2")).select("line", "results", "first_result")
+    return lifecycle.join_results(d.where("k % 4 < 2").select("source", "call_id", "line"), d.where("k % 4 > 1")).select("line", "results", "first_result")
 
 
 @query(f"""with {TELEMETRY_SQL}, a as (select *, ['trusted', 'diagnostic', 'unresolved'][k % 3 + 1] state from tel)
@@ -111,12 +111,12 @@ def resolve_selectors(spark, sf_dir):
 
 @query(f"""with {TELEMETRY_SQL}, g as (select source, us, line, case when us - lag(us) over (partition by source order by us, line) > {12 * HOUR} then 1 else 0 end n from tel where k % 3 = 0),
 c0 as (select *, sum(n) over (partition by source order by us, line) cluster from g), c as (select source, cluster::bigint cluster, min(us) s, max(us) e from c0 group by 1, 2),
-x as (select c.*, (select max(us) from tel t where t.source = c.source and t.k % 3 = 1 and t.us between s and e) i,
-  (select min(us) from tel t where t.source = c.source and t.k % 3 = 1 and t.us > e and t.us <= e + {6 * HOUR}) o from c)
+x as (select c.*, (select max(us) from tel t where t.source = c.source and t.k % 3 > 0 and t.us between s and e) i,
+  (select min(us) from tel t where t.source = c.source and t.k % 3 > 0 and t.us > e and t.us <= e + {6 * HOUR}) o from c)
 select x.source, cluster, coalesce(i, o) sample_us, input, k % 2 = 1 "primary", case when i is not null then 'high' when o is not null then 'medium' end confidence from x left join tel on tel.source = x.source and tel.us = coalesce(i, o)""")
 def direct_usage(spark, sf_dir):
     d = telemetry(spark, sf_dir)
-    return lifecycle.direct_usage(workflow.compaction_clusters(d.where("k % 3 = 0"), 12 * HOUR), d.where("k % 3 = 1").withColumn("primary", F.col("k") % 2 == 1), 6 * HOUR)
+    return lifecycle.direct_usage(workflow.compaction_clusters(d.where("k % 3 = 0"), 12 * HOUR), d.where("k % 3 > 0").withColumn("primary", F.col("k") % 2 == 1), 6 * HOUR)
 
 
 @query(f"""with {TELEMETRY_SQL}, r as (select source, avg(input) i, avg(output) o from tel where k % 6 = 0 group by source), b as (select source, avg(input) i, avg(output) o from tel where k % 6 <> 0 group by source)

@@ -56,11 +56,11 @@ def role_costs(spark, sf_dir):
     return windows.role_costs(priced(spark, sf_dir).withColumn("role", F.col("effort")))
 
 
-@query(f"""with {TELEMETRY_SQL}, e as (select source session, model as role, count(*) n from tel where k % 4 = 0 group by 1, 2), f as (select session, max(n) n from e group by session),
+@query(f"""with {TELEMETRY_SQL}, e as (select source session, model as role, count(*) n from tel group by 1, 2), f as (select session, max(n) n from e group by session),
 g as (select f.session, f.n, (select min(role) from e where e.session = f.session and e.n = f.n) as role, coalesce((select max(n) from e where e.session = f.session and e.role <> (select min(role) from e x where x.session = f.session and x.n = f.n)), 0) runner_up from f)
 select session, case when n > runner_up then role end as role, n, runner_up, case when n >= greatest(2, 2 * runner_up) then 'high' when n > runner_up then 'medium' else 'ambiguous' end confidence from g""")
 def infer_role(spark, sf_dir):
-    return windows.infer_role(telemetry(spark, sf_dir).where("k % 4 = 0").select(F.col("source").alias("session"), F.col("model").alias("role")))
+    return windows.infer_role(telemetry(spark, sf_dir).select(F.col("source").alias("session"), F.col("model").alias("role")))
 
 
 @query(f"""with {TELEMETRY_SQL}, {MEMBERS}, x as (select *, case when session % 3 = 0 and parent is not null then 1 else 0 end up, session >= 8 sub from mb)
@@ -196,11 +196,11 @@ CLUSTERS = f"""with {TELEMETRY_SQL}, g as (select source, us, line, case when us
 c0 as (select *, sum(n) over (partition by source order by us, line) cluster from g), cc as (select source, cluster::bigint cluster, min(us) s, max(us) e, count(*) m from c0 group by 1, 2)"""
 
 
-@query(f"""{CLUSTERS}, x as (select source % 3 as role, s - lag(s) over (partition by source order by s) gap, m / 10 shrink from cc), h as (select source % 3 as role, max(us) - min(us) act from tel group by source),
+@query(f"""{CLUSTERS.replace(" where k % 6 = 0", "")}, x as (select source % 3 as role, s - lag(s) over (partition by source order by s) gap, m / 10 shrink from cc), h as (select source % 3 as role, max(us) - min(us) act from tel group by source),
 a as (select role, sum(act) us from h group by role) select x.role, count(*) compactions, median(gap)::double median_gap_us, median(shrink)::double median_shrink, count(*) / (any_value(a.us) / 3.6e9) per_hour from x join a on a.role = x.role group by x.role""")
 def compaction_by_role(spark, sf_dir):
     d = telemetry(spark, sf_dir)
-    c = workflow.compaction_clusters(d.where("k % 6 = 0"), 24 * HOUR).withColumns({"role": F.col("source") % 3, "shrink": F.col("markers") / 10})
+    c = workflow.compaction_clusters(d, 24 * HOUR).withColumns({"role": F.col("source") % 3, "shrink": F.col("markers") / 10})
     spans = d.groupBy("source").agg((F.max("us") - F.min("us")).alias("active_us")).withColumn("role", F.col("source") % 3)
     return windows.compaction_by_role(c, spans)
 
