@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterline.functions.tables import cut_lineage
+
 
 def carry_forward(df: DataFrame, columns: list[str], keys: list[str], order: list[str], suffix: str = "") -> DataFrame:
     """The last known value of each column, this row included."""
@@ -45,7 +47,8 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
 
     Rows are dealt by key and slice of ``span``, so a key's history goes to as many tasks as it has slices. In each slice
     one union and one window find the row; where a slice has none yet, it is the last one of the slices before, of which
-    a row for each slice is carried on. No pairs, no row in more than one slice."""
+    a row for each slice is carried on. No pairs, no row in more than one slice; the windowed rows are written once, and
+    both what is carried and what is found is read from them."""
     side = F.lit(1 if strict == forward else 0)
     cell = F.floor(F.col(at) / span).alias("_slice")
     held = F.struct(*(F.col(v) for v in values))
@@ -55,7 +58,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     lft = left.select(*keys, F.col(at), F.lit(None).cast(r.schema["_held"].dataType).alias("_held"), row.alias("_left"), side.alias("_side"), tie(False), cell)
     turn = (lambda c: F.col(c).desc()) if forward else F.col
     w = Window.partitionBy(*keys, "_slice").orderBy(turn(at), "_side", turn("_tie")).rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(lft).withColumn("_found", F.last("_held", ignorenulls=True).over(w))
+    both = cut_lineage(r.unionByName(lft).withColumn("_found", F.last("_held", ignorenulls=True).over(w)))
     known = F.when(F.col("_held").isNotNull(), F.struct(F.col(at), F.col("_tie")))
     edges = both.groupBy(*keys, "_slice").agg((F.min_by if forward else F.max_by)("_held", known).alias("_edge"))
     d = with_carried(both.where("_left is not null"), carried(edges, keys, {"_carry": ("_edge", forward)}), keys)
@@ -66,7 +69,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
 def with_previous(df: DataFrame, keys: list[str], at: str, name: str, span: int = SLICE_US) -> DataFrame:
     """``df`` (``at`` differs within a key) with ``name``: the ``at`` of the row before; dealt by key and slice as ``asof``."""
     d = df.withColumn("_slice", F.floor(F.col(at) / span))
-    d = d.withColumn(name, F.lag(at).over(Window.partitionBy(*keys, "_slice").orderBy(at)))
+    d = cut_lineage(d.withColumn(name, F.lag(at).over(Window.partitionBy(*keys, "_slice").orderBy(at))))
     c = carried(d.groupBy(*keys, "_slice").agg(F.max(at).alias("_edge")), keys, {"_carry": ("_edge", False)})
     return with_carried(d, c, keys).select(*df.columns, F.coalesce(name, "_carry").alias(name))
 
@@ -80,13 +83,13 @@ def neighbours(points: DataFrame, right: DataFrame, keys: list[str], at: str, va
     tie = lambda known: F.struct(*((F.col(c) if known else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in order)).alias("_tie")
     r = right.select(*keys, F.col(at), F.col(value).alias("_held"), F.lit(None).cast(points.schema).alias("_left"), (1 - side).alias("_side"), tie(True), cell)
     p = points.select(*keys, F.col(at), F.lit(None).cast(kind).alias("_held"), F.struct(*(F.col(c) for c in points.columns)).alias("_left"), side.alias("_side"), tie(False), cell)
-    both = r.unionByName(p)
     w = Window.partitionBy(*keys, "_slice").orderBy(at, "_side", "_tie")
     sides = {"_b": F.last("_held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_a": F.first("_held", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    both = cut_lineage(r.unionByName(p).withColumns(sides))
     known = F.when(F.col("_held").isNotNull(), F.struct(F.col(at), F.col("_tie")))
     edges = both.groupBy(*keys, "_slice").agg(F.max_by("_held", known).alias("_last"), F.min_by("_held", known).alias("_first"))
     c = carried(edges, keys, {"_cb": ("_last", False), "_ca": ("_first", True)})
-    d = with_carried(both.withColumns(sides).where("_left is not null"), c, keys)
+    d = with_carried(both.where("_left is not null"), c, keys)
     return d.select("_left.*", F.coalesce("_b", "_cb").alias("before"), F.coalesce("_a", "_ca").alias("after"))
 
 

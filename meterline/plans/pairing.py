@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import gap_groups
-from meterline.operators import pairing
+from meterline.operators import pairing, quota
 from meterline.plans.registry import HOUR, METERED, bucket_ctes, bucket_rows, metered, query
 from meterline.sources.telemetry import TELEMETRY_SQL, telemetry
 
@@ -101,7 +101,7 @@ e as (select sp.*, (select arg_max({{'u': us, 'used': used, 'k': reset_key, 'h':
 s as (select *, case when l is null or t is null then 'missing' when start - l.u > {STALE} or t.u - end_ > {STALE} then 'stale' when l.k <> t.k then 'reset-boundary' else 'ok' end status from e)
 select account, span, start, end_ as "end", status, case when status = 'ok' then greatest(0.0, t.h - l.h) end points, case when status in ('ok', 'reset-boundary') then l.used end used_before, case when status in ('ok', 'reset-boundary') then t.used end used_after from s""")
 def meter_envelope(spark, sf_dir):
-    d = metered(spark, sf_dir)
+    d = quota.reset_key(telemetry(spark, sf_dir))
     tie = F.lpad(F.col("line").cast("string"), 20, "0").alias("tie")
     spans = d.where("k % 3 = 0").select("account", F.col("line").alias("span"), F.col("us").alias("start"), (F.col("us") + F.col("input") * 1000).alias("end"))
     return pairing.meter_envelope(spans, d.where("k % 3 > 0").select("account", "us", "used", "reset_key", tie), STALE)
