@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import share, weighted_quantile
+from meterline.operators.stats import DRAWS, drawn
 
 EPS = 1e-9
 EPISODE = ["account", "reset_key"]
@@ -176,10 +177,11 @@ def replay_sensitivity(without: DataFrame, included: DataFrame, least_points: fl
     return a.join(b, ["account", "month"]).where(F.abs("usd_without") > EPS).withColumn("change_percent", (F.col("usd_included") / F.col("usd_without") - 1) * 100)
 
 
-def cohort_rows(b: DataFrame, episodes: DataFrame, purity: float = 0.95, least_points: float = 10.0, least_episodes: int = 3, latest: bool = True) -> DataFrame:
+def cohort_rows(b: DataFrame, episodes: DataFrame, purity: float = 0.95, least_points: float = 10.0, least_episodes: int = 3, latest: bool = True, boots: int = DRAWS, level: float = 0.8) -> DataFrame:
     """Buckets with model and effort at ``purity`` by model, regime (``episodes``: account, reset_key, model, regime,
     end_us) and effort: tokens, their parts and dollars a point, dollars only with enough points and episodes of their
-    own. ``latest``: each model's last regime alone."""
+    own; and intervals of tokens and dollars a point from whole episodes drawn again (two or more). ``latest``: each model's
+    last regime alone."""
     if latest:
         last = episodes.groupBy("model").agg(F.max_by("regime", F.struct("end_us", -F.col("regime"))).alias("regime"))
         episodes = episodes.join(last, ["model", "regime"], "left_semi")
@@ -193,6 +195,14 @@ def cohort_rows(b: DataFrame, episodes: DataFrame, purity: float = 0.95, least_p
     )
     c = c.where((F.col("points") + EPS >= least_points) & (F.col("episodes") >= least_episodes))
     enough = (F.col("priced_points") + EPS >= least_points) & (F.col("priced_episodes") >= least_episodes)
+    by = ["model", "regime", "effort"]
+    e = rows.groupBy(*by, *EPISODE).agg(F.sum("tokens").alias("t"), F.sum("points").alias("p"), F.sum(F.when(ok, F.col("usd"))).cast("double").alias("u"), F.sum(F.when(ok, F.col("points"))).alias("q"))
+    times = lambda x: F.sum(F.col(x) * F.col("times"))
+    per = drawn(e, boots, "r", [*by, *EPISODE]).groupBy(*by, "rep").agg((times("t") / 1e6 / times("p")).alias("tokens_m"), share(times("u"), times("q")).alias("usd"))
+    tail = (1 - level) / 2
+    span = per.groupBy(*by).agg(*(F.percentile(x, F.lit(q)).alias(f"{x}_{n}") for x in ("tokens_m", "usd") for n, q in (("low", tail), ("high", 1 - tail))))
+    many = F.col("episodes") > 1
+    c = c.join(span, by, "left").withColumns({f"{x}_{n}": F.when(many if x == "tokens_m" else many & enough, F.col(f"{x}_{n}")) for x in ("tokens_m", "usd") for n in ("low", "high")})
     return c.withColumn("usd_per_point", F.when(enough, F.col("usd_per_point")))
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from meterline.functions.temporal import asof, gap_groups, interval_subtract, interval_union, share, sweep, with_previous
 
 
-def session_summary(df: DataFrame) -> DataFrame:
+def session_summary(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """One row a source: span, requests, tokens (cached ones cut at input), most used model (ties: the least), and its
-    efforts with their counts, the most used first."""
+    efforts with their counts, the most used first. With ``counts`` (source, duplicates, parse_errors: ``records.read_counts``)
+    these too, and sources from which nothing else could be read."""
     sums = ("input", "cached", "output", "reasoning")
     d = df.withColumns({"cached": F.least("cached", "input"), "effort": F.coalesce("effort", F.lit("unknown"))})
     per = d.groupBy("source", "model", "effort").agg(F.count("*").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), *(F.sum(c).alias(c) for c in sums))
@@ -16,7 +17,11 @@ def session_summary(df: DataFrame) -> DataFrame:
     effort = per.groupBy("source", "effort").agg(F.sum("n").alias("n")).groupBy("source").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "effort"))).alias("e"))
     effort = effort.select("source", F.array_join(F.transform("e", lambda x: F.concat_ws(" ", x["effort"], (-x["n"]).cast("string"))), ", ").alias("efforts"))
     total = per.groupBy("source").agg(F.min("lo").alias("first_us"), F.max("hi").alias("last_us"), F.sum("n").alias("requests"), *(F.sum(c).alias(c) for c in sums))
-    return total.join(model, "source").join(effort, "source")
+    out = total.join(model, "source").join(effort, "source")
+    if counts is None:
+        return out
+    zero = ("requests", *sums, "duplicates", "parse_errors")
+    return out.join(counts.select("source", "duplicates", "parse_errors"), "source", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
 
 
 def bursts(df: DataFrame, gap_us: int) -> DataFrame:
@@ -76,18 +81,43 @@ def context_stats(df: DataFrame, keys: list[str], large: int, fell: float = 0.55
     return d.groupBy(*keys).agg(F.percentile("input", F.lit(0.5)).alias("p50"), F.percentile("input", F.lit(0.9)).alias("p90"), F.max("input").alias("peak"), F.count_if(drop).alias("drops"), *(x.alias(f"{n}_{m}") for n, on in (("large", F.col("input") >= large), ("small", F.col("input") < large)) for m, x in (("requests", F.count_if(on)), ("tokens", F.coalesce(F.sum(F.when(on, F.col("input") + F.col("output"))), F.lit(0))))))
 
 
-def turn_cadence(df: DataFrame, idle_us: int, window_us: int) -> DataFrame:
-    """Transitions between requests of a source no further apart than ``idle_us``, and their tokens, a second: over all, by
-    model, by model and effort (both ends of a transition must have the same), and by window of time (``level`` tells)."""
+def turn_cadence(df: DataFrame, idle_us: int, window_us: int, family: str = "family", role: str = "role") -> DataFrame:
+    """For each family: its requests, and the transitions between requests of one source no further apart than ``idle_us``
+    with the tokens that they end in; over all, by role, agent (source), model, model and effort (a transition counts there
+    if both its ends have the same), and by window of ``window_us`` since the family's first request (``level`` tells).
+    Rates a second of the transitions' time, and of the time that the family, or the window within it, took."""
+    keys = ["level", "role", "agent", "model", "effort", "window"]
     w = Window.partitionBy("source").orderBy("us", "line")
     before = {f"_{c}": F.lag(c).over(w) for c in ("us", "model", "effort")}
-    d = df.withColumns(before).withColumn("_gap", F.col("us") - F.col("_us")).where((F.col("_gap") > 0) & (F.col("_gap") <= idle_us))
-    same_model = F.col("_model") == F.col("model")
+    d = df.withColumns({"_family": F.col(family), "_role": F.col(role)}).withColumns(before)
+    span = df.groupBy(F.col(family).alias("_family")).agg(F.min("us").alias("_start"), F.max("us").alias("_end"))
+    d = d.join(span, "_family").withColumn("_gap", F.col("us") - F.col("_us"))
+    moved = F.coalesce((F.col("_gap") > 0) & (F.col("_gap") <= idle_us), F.lit(False))
+    same_model = moved & F.coalesce(F.col("_model") == F.col("model"), F.lit(False))
     same = same_model & F.col("_effort").eqNullSafe(F.col("effort"))
-    level = lambda name, on=F.lit(True), model=None, effort=None, at=None: F.when(on, F.struct(F.lit(name).alias("level"), (model if model is not None else F.lit(None).cast("string")).alias("model"), (effort if effort is not None else F.lit(None).cast("string")).alias("effort"), (at if at is not None else F.lit(None).cast("long")).alias("window_us")))
-    levels = [level("all"), level("model", same_model, F.col("model")), level("model_effort", same, F.col("model"), F.coalesce("effort", F.lit("unknown"))), level("window", at=F.col("us") - F.col("us") % window_us)]
-    d = d.select("_gap", (F.col("input") + F.col("output")).alias("t"), F.explode(F.array_compact(F.array(*levels))).alias("g")).groupBy("g.level", "g.model", "g.effort", "g.window_us")
-    return d.agg(F.count("*").alias("transitions"), F.sum("_gap").alias("gap_us"), F.sum("t").alias("tokens")).withColumn("tokens_per_s", share(F.col("tokens"), F.col("gap_us") / 1e6))
+    since = F.col("us") - F.col("_start")
+    kinds = {"role": "string", "agent": df.schema["source"].dataType.simpleString(), "model": "string", "effort": "string", "window": "long"}
+
+    def level(name: str, counts: Column, **own: Column) -> Column:
+        return F.struct(F.lit(name).alias("level"), *((own[k] if k in own else F.lit(None)).cast(t).alias(k) for k, t in kinds.items()), counts.cast("int").alias("t"))
+
+    model, effort = F.col("model"), F.coalesce("effort", F.lit("unknown"))
+    levels = [level("all", moved), level("role", moved, role=F.col("_role")), level("agent", moved, agent=F.col("source")), level("model", same_model, model=model), level("model_effort", same, model=model, effort=effort), level("window", moved, window=F.floor(since / window_us))]
+    tokens = F.col("input") + F.col("output")
+    d = d.select("_family", "source", "_start", "_end", "_gap", tokens.alias("_tokens"), "output", F.explode(F.array(*levels)).alias("g"))
+    on = lambda c: F.sum(F.when(F.col("g.t") == 1, F.col(c)).otherwise(0))
+    d = d.groupBy(F.col("_family").alias("family"), *(F.col(f"g.{k}").alias(k) for k in keys), "source").agg(
+        F.count("*").alias("turns"), F.sum("g.t").alias("transitions"), on("_gap").alias("gap_us"), F.sum("_tokens").alias("tokens"), F.sum("output").alias("output"), on("_tokens").alias("observed_tokens"), F.max(F.col("_end") - F.col("_start")).alias("elapsed_us"),
+    )
+    sums = [F.sum(c).alias(c) for c in ("turns", "transitions", "gap_us", "tokens", "output", "observed_tokens")]
+    d = d.groupBy("family", *keys).agg(F.count("*").alias("contributors"), *sums, F.max("elapsed_us").alias("elapsed_us"))
+    d = d.withColumn("elapsed_us", F.when(F.col("level") == "window", F.least(F.lit(window_us), F.col("elapsed_us") - F.col("window") * window_us)).otherwise(F.col("elapsed_us")))
+    seconds = lambda c: F.col(c) / 1e6
+    rate = lambda part, of: share(F.col(part), seconds(of))
+    return d.withColumns({
+        "turns_per_s": share(F.col("transitions"), seconds("gap_us")), "tokens_per_s": rate("observed_tokens", "gap_us"), "turns_per_elapsed_s": rate("turns", "elapsed_us"),
+        "output_per_elapsed_s": rate("output", "elapsed_us"), "tokens_per_turn": F.col("tokens") / F.col("turns"),
+    })
 
 
 def top_requests(df: DataFrame, n: int) -> DataFrame:
@@ -211,14 +241,22 @@ def overlap_intervals(intervals: DataFrame, keys: list[str], who: str) -> DataFr
 
 
 def agent_overlap(intervals: DataFrame, keys: list[str], who: str = "source") -> DataFrame:
-    """Of each interval, the time shared with any other member's (their union), its fraction, and with how many others."""
+    """Of each interval that isn't empty, the time shared with any other one (their union), its fraction, and how many
+    others overlap it. No pairs: in one sweep over the ends, those are the ones that started before its end less those
+    that ended by its start, and the shared time is how much the running total of stretches with two or more alive grows
+    between its own two ends."""
     by = [*keys, who, "start", "end"]
-    shared = _stretches(intervals, keys).groupBy(*by).agg(F.sum(F.col("until") - F.col("at")).alias("overlap_us"))
-    d = intervals.select(*by).join(shared, by, "left").withColumn("overlap_us", F.coalesce("overlap_us", F.lit(0)))
-    pairs = pairwise_overlap(intervals, keys, who)
-    both = pairs.select(*keys, F.col("left_member").alias(who), F.col("right_member").alias("_o")).unionByName(pairs.select(*keys, F.col("right_member").alias(who), F.col("left_member").alias("_o")))
-    d = d.join(both.groupBy(*keys, who).agg(F.count("*").alias("partners")), [*keys, who], "left").withColumn("partners", F.coalesce("partners", F.lit(0)))
-    return d.withColumn("fraction", share(F.col("overlap_us"), F.col("end") - F.col("start")))
+    row = F.struct(*by)
+    i = intervals.where("end > start").select(*keys, row.alias("row"), F.monotonically_increasing_id().alias("id"), F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("up")), F.struct(F.col("end").alias("t"), F.lit(0).alias("up"))).alias("e"))
+    e = i.select(*keys, "row", "id", F.explode("e").alias("e")).select(*keys, "row", "id", "e.t", "e.up")
+    w = Window.partitionBy(*keys).orderBy("t", "up", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumns({"ups": F.sum("up").over(upto), "downs": F.sum(1 - F.col("up")).over(upto), "_t": F.lag("t").over(w)})
+    alive = F.col("ups") - F.col("downs") - F.when(F.col("up") == 1, 1).otherwise(-1)  # until this end
+    e = e.withColumn("shared", F.sum(F.when(alive > 1, F.col("t") - F.col("_t")).otherwise(0)).over(upto))
+    at = lambda c, up: F.max(F.when(F.col("up") == up, F.col(c)))
+    d = e.groupBy("id").agg(F.first("row").alias("row"), (at("shared", 0) - at("shared", 1)).alias("overlap_us"), (at("ups", 0) - at("downs", 1) - 1).alias("partners"))
+    return d.select("row.*", "overlap_us", "partners", share(F.col("overlap_us"), F.col("row.end") - F.col("row.start")).alias("fraction"))
 
 
 def exposure_by_children(df: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
@@ -227,11 +265,18 @@ def exposure_by_children(df: DataFrame, intervals: DataFrame, keys: list[str]) -
     return d.groupBy(*keys, F.col("alive").alias("children")).agg(F.count("*").alias("requests"), F.sum(F.col("input") + F.col("output")).alias("tokens"))
 
 
-def recent_families(df: DataFrame, family: str, span_us: int) -> DataFrame:
-    """Families active within ``span_us`` of the newest row of all, the latest first (a sort by ranges, not in one task)."""
-    f = df.groupBy(family).agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("requests"))
-    newest = df.agg(F.max("us")).first()[0]
-    return f.where(F.col("last_us") >= (newest or 0) - span_us).orderBy(F.desc("last_us"), family)
+#: Families worth a look first, by what ``family_score`` says of their evidence.
+QUALITIES = ("complete", "limited", "standalone", "no usage")
+
+
+def recent_families(families: DataFrame, span_us: int) -> DataFrame:
+    """Families (family, last_us, score, quality) active within ``span_us`` of the newest of all, or all of them if none is
+    known to be; ranked by quality, the latest first, the highest score, then the key (a sort by ranges, not in one task)."""
+    newest = families.agg(F.max("last_us")).first()[0]
+    recent = families if newest is None else families.where(F.col("last_us") >= newest - span_us)
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, QUALITIES)), F.col("quality")), F.lit(0))
+    rank = F.when(rank > 0, rank - 1).otherwise(9).cast("int")
+    return recent.withColumn("quality_rank", rank).orderBy("quality_rank", F.desc_nulls_last("last_us"), F.desc("score"), "family")
 
 
 def after_completion(df: DataFrame, ends: DataFrame) -> DataFrame:

@@ -341,11 +341,17 @@ def sessions(df: DataFrame) -> DataFrame:
     return workflow.session_summary(df)
 
 
-@query(f"""with {TELEMETRY_SQL}, mc as (select source, model, count(*) c from tel group by 1, 2), ec as (select source, coalesce(effort, 'unknown') effort, count(*) c from tel group by 1, 2)
+@query(f"""with {TELEMETRY_SQL}, mc as (select source, model, count(*) c from tel group by 1, 2), ec as (select source, coalesce(effort, 'unknown') effort, count(*) c from tel group by 1, 2),
+rc as (select source, count(*) filter (input // 30000 = p) duplicates, count(*) filter (k % 23 = 0) parse_errors from (select *, lag(input // 30000) over (partition by source order by line) p from tel) group by source)
 select source, min(us) first_us, max(us) last_us, count(*) requests, sum(input)::bigint input, sum(least(cached, input))::bigint cached, sum(output)::bigint output, sum(reasoning)::bigint reasoning,
- (select arg_min(model, (-c, model)) from mc where mc.source = t.source) model, (select string_agg(effort || ' ' || c, ', ' order by c desc, effort) from ec where ec.source = t.source) efforts from tel t group by source""")
+ (select arg_min(model, (-c, model)) from mc where mc.source = t.source) model, (select string_agg(effort || ' ' || c, ', ' order by c desc, effort) from ec where ec.source = t.source) efforts,
+ (select duplicates from rc where rc.source = t.source) duplicates, (select parse_errors from rc where rc.source = t.source) parse_errors from tel t group by source""")
 def session_summary(spark, sf_dir):
-    return sessions(telemetry(spark, sf_dir))
+    """With counts of what could not be used, for which totals in steps and every 23rd value stand in."""
+    d = telemetry(spark, sf_dir).withColumns({c: F.expr("input div 30000") for c in ("total", "total_too")})
+    kept = clean.drop_repeated_cumulative(d, ["total", "total_too"]).groupBy("source").agg(F.count("*").alias("kept"))
+    counts = d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("k") % 23 == 0).alias("parse_errors")).join(kept, "source")
+    return workflow.session_summary(d, counts.select("source", (F.col("n") - F.col("kept")).alias("duplicates"), "parse_errors"))
 
 
 BURSTS = f"""with {TELEMETRY_SQL}, g as (select *, case when us - lag(us) over (partition by source order by us, line) > {12 * HOUR} then 1 else 0 end n from tel),
@@ -408,19 +414,27 @@ def context_stats(spark, sf_dir):
     return workflow.context_stats(telemetry(spark, sf_dir), ["model"], 20_000)
 
 
-CADENCE = f"""with {TELEMETRY_SQL}, c as (select *, us - lag(us) over w gap, lag(model) over w pm, lag(effort) over w pe, input + output t from tel window w as (partition by source order by us, line)), d as (select * from c where gap > 0 and gap <= {24 * HOUR})"""
+CADENCE = f"""with {TELEMETRY_SQL}, c as (select *, source % 8 family, 'r' || k % 3 as role, coalesce(effort, 'unknown') ef, us - lag(us) over w gap, lag(model) over w pm, lag(effort) over w pe, input + output t, min(us) over (partition by source % 8) s, max(us) over (partition by source % 8) e from tel window w as (partition by source order by us, line)),
+d as (select *, coalesce(gap > 0 and gap <= {24 * HOUR}, false) mv, (us - s) // {96 * HOUR} win from c)"""
 
 
-def _cadence(level: str, model: str = "null", effort: str = "null", at: str = "null::bigint", on: str = "true") -> str:
-    keys = [k for k in (model, effort, at) if "null" not in k]
-    by = f" group by {', '.join(keys)}" if keys else ""
-    return f"select '{level}' as level, {model} model, {effort} effort, {at} window_us, count(*) transitions, sum(gap)::bigint gap_us, sum(t)::bigint tokens, sum(t) / (sum(gap) / 1e6) tokens_per_s from d where {on}{by}"
+def _cadence(level: str, on: str = "mv", **keys: str) -> str:
+    own = ", ".join(f"{keys.get(k, 'null')} {k}" for k in ("role", "agent", "model", "effort", '"window"'.strip('"')))
+    by = "".join(f", {v}" for v in keys.values())
+    took = f"least({96 * HOUR}, max(e - s) - win * {96 * HOUR})" if level == "window" else "max(e - s)"
+    return f"""select family, '{level}' as level, {own.replace(" window", ' "window"')}, count(distinct source) contributors, count(*) turns, count(*) filter ({on}) transitions, coalesce(sum(gap) filter ({on}), 0)::bigint gap_us, sum(t)::bigint tokens, sum(output)::bigint output,
+  coalesce(sum(t) filter ({on}), 0)::bigint observed_tokens, ({took})::bigint elapsed_us from d group by family{by}"""
 
 
-@query(f"""{CADENCE} {_cadence("all")} having count(*) > 0 union all {_cadence("model", "model", on="pm = model")} union all {_cadence("model_effort", "model", "coalesce(effort, 'unknown')", on="pm = model and pe is not distinct from effort")}
-union all {_cadence("window", at=f"us - us % {96 * HOUR}")}""")
+LEVELS = [_cadence("all"), _cadence("role", role="role"), _cadence("agent", agent="source"), _cadence("model", "mv and coalesce(pm = model, false)", model="model"),
+          _cadence("model_effort", "mv and coalesce(pm = model, false) and pe is not distinct from effort", model="model", effort="ef"), _cadence("window", window="win")]
+
+
+@query(f"""{CADENCE}, g as ({" union all ".join(LEVELS)}) select *, case when gap_us > 0 then transitions / (gap_us / 1e6) end turns_per_s, case when gap_us > 0 then observed_tokens / (gap_us / 1e6) end tokens_per_s,
+  case when elapsed_us > 0 then turns / (elapsed_us / 1e6) end turns_per_elapsed_s, case when elapsed_us > 0 then output / (elapsed_us / 1e6) end output_per_elapsed_s, tokens / turns tokens_per_turn from g""")
 def turn_cadence(spark, sf_dir):
-    return workflow.turn_cadence(telemetry(spark, sf_dir), 24 * HOUR, 96 * HOUR)
+    d = telemetry(spark, sf_dir).withColumns({"family": F.col("source") % 8, "role": F.concat(F.lit("r"), F.col("k") % 3)})
+    return workflow.turn_cadence(d, 24 * HOUR, 96 * HOUR)
 
 
 @query(f"with {TELEMETRY_SQL} select line, source, model, input + output tokens from tel order by input + output desc, line limit 20")

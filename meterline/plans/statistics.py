@@ -19,6 +19,14 @@ def dominant_buckets(spark, sf_dir) -> DataFrame:
     return quota.with_dominant(quota.bucket_aggregate(rows), quota.bucket_mix(rows, ["model", "effort"]), ["model", "effort"])
 
 
+def draws_sql(name: str, units: str, seed: str, ids: str, boots: int) -> str:
+    """A CTE with the rows of ``units`` for each draw (rep) that takes them, z times: from 16 bits of an md5 each."""
+    z = " + ".join(f"(v >= {t})::int" for t in stats.STEPS)
+    h = f"select *, md5(concat_ws(':', '{seed}', w, {ids})) h from {units}, range({-(-boots // 8)}) words(w)"
+    v = f"select *, w * 8 + j rep, ('0x' || substr(h, (4 * j + 1)::int, 4))::int v from ({h}), range(8) places(j)"
+    return f"{name} as (select * from (select * exclude (w, h, j, v), {z} z from ({v})) where rep < {boots} and z > 0)"
+
+
 @query(f"{DOMINANT}, mm as (select * from bd where model_share >= 0.9) {point_sql('mm', 'account, month, model', 'having sum(points) >= 5')}")
 def model_month(spark, sf_dir):
     return quota.model_month(dominant_buckets(spark, sf_dir))
@@ -76,29 +84,26 @@ def regime_at(spark, sf_dir):
 
 
 @query(f"""{SERIES}, la as (select model, arg_max(regime, (end_us, -regime)) regime from rg group by model),
-r as (select dr.*, rg.regime from dr join rg using (account, model, reset_key) join la on la.model = rg.model and la.regime = rg.regime where dr.model_share >= 0.8 and dr.effort <> 'unknown' and dr.effort_share >= 0.8)
-select model, regime, effort, count(*) buckets, count(distinct (account, reset_key)) episodes, sum(points) points, sum(tokens) / 1e6 / sum(points) tokens_m_per_point, sum(uncached) / 1e6 / sum(points) uncached_m_per_point,
+r as (select dr.*, rg.regime from dr join rg using (account, model, reset_key) join la on la.model = rg.model and la.regime = rg.regime where dr.model_share >= 0.8 and dr.effort <> 'unknown' and dr.effort_share >= 0.8),
+ce as (select model, regime, effort, account, reset_key, sum(tokens) t, sum(points) p, cast(sum(usd) filter (priced_tokens >= 0.95 * tokens) as double) u, sum(points) filter (usd is not null and priced_tokens >= 0.95 * tokens) q from r group by all),
+{draws_sql("dw", "ce", "r", "model, regime, effort, account, reset_key", stats.DRAWS)}, dv as (select model, regime, effort, rep, sum(t * z) / 1e6 / sum(p * z) x, case when sum(q * z) > 0 then sum(u * z) / sum(q * z) end y from dw group by all),
+ci as (select model, regime, effort, quantile_cont(x, 0.1) xl, quantile_cont(x, 0.9) xh, quantile_cont(y, 0.1) yl, quantile_cont(y, 0.9) yh from dv group by all),
+co as (select model, regime, effort, count(*) buckets, count(distinct (account, reset_key)) episodes, sum(points) points, sum(tokens) / 1e6 / sum(points) tokens_m_per_point, sum(uncached) / 1e6 / sum(points) uncached_m_per_point,
   sum(cached) / 1e6 / sum(points) cached_m_per_point, sum(output) / 1e6 / sum(points) output_m_per_point, coalesce(sum(points) filter (usd is not null and priced_tokens >= 0.95 * tokens), 0.0) priced_points,
   count(distinct (account, reset_key)) filter (usd is not null and priced_tokens >= 0.95 * tokens) priced_episodes,
   case when sum(points) filter (usd is not null and priced_tokens >= 0.95 * tokens) >= 5 and count(distinct (account, reset_key)) filter (usd is not null and priced_tokens >= 0.95 * tokens) >= 2
     then cast(sum(usd) filter (priced_tokens >= 0.95 * tokens) as double) / sum(points) filter (usd is not null and priced_tokens >= 0.95 * tokens) end usd_per_point
-  from r group by model, regime, effort having sum(points) >= 5 and count(distinct (account, reset_key)) >= 2""")
+  from r group by model, regime, effort having sum(points) >= 5 and count(distinct (account, reset_key)) >= 2)
+select co.*, round(xl, 6) tokens_m_low, round(xh, 6) tokens_m_high, round(case when usd_per_point is not null then yl end, 6) usd_low, round(case when usd_per_point is not null then yh end, 6) usd_high from co left join ci using (model, regime, effort)""")
 def cohort_rows(spark, sf_dir):
     b = dominant_buckets(spark, sf_dir)
-    return quota.cohort_rows(b, model_episodes(b), 0.8, 5.0, 2)
+    out = quota.cohort_rows(b, model_episodes(b), 0.8, 5.0, 2)
+    return out.withColumns({c: F.round(c, 6) for c in ("tokens_m_low", "tokens_m_high", "usd_low", "usd_high")})
 
 
 # resampling and fits
 
 
-def draws_sql(name: str, units: str, seed: str, ids: str, boots: int) -> str:
-    """A CTE with the rows of ``units`` for each draw (rep) that takes them, z times: from 16 bits of an md5 each."""
-    z = " + ".join(f"(v >= {t})::int" for t in stats.STEPS)
-    h = f"select *, md5(concat_ws(':', '{seed}', w, {ids})) h from {units}, range({-(-boots // 8)}) words(w)"
-    v = f"select *, w * 8 + j rep, ('0x' || substr(h, (4 * j + 1)::int, 4))::int v from ({h}), range(8) places(j)"
-    return f"{name} as (select * from (select * exclude (w, h, j, v), {z} z from ({v})) where rep < {boots} and z > 0)"
-
-
 @query(f"""{BUCKETS}, ep as (select account, reset_key, sum(tokens) tokens, sum(points) points from bk where points > 0 group by 1, 2),
 {draws_sql("r", "ep", "b", "account, reset_key", stats.DRAWS)}, e as (select account, rep, sum(tokens * z) / sum(points * z) x from r group by 1, 2)
 select account, count(*) units, sum(tokens)::bigint / sum(points) estimate, case when count(*) > 1 then (select quantile_cont(x, 0.1) from e where e.account = ep.account) end low, case when count(*) > 1 then (select quantile_cont(x, 0.9) from e where e.account = ep.account) end high from ep group by account""")

@@ -100,6 +100,21 @@ def beyond(records: DataFrame) -> DataFrame:
     return n.agg(F.count_if(deep).alias("deeper"), F.count_if(wide).alias("longer"))
 
 
+def read_counts(records: DataFrame) -> DataFrame:
+    """(source, duplicates, parse_errors) of ``parse_records``: usage records whose cumulative counts repeat the last ones
+    known in their file, and lines that aren't JSON objects."""
+    from meterline.operators import clean
+    from meterline.sources.telemetry import usage_records
+
+    totals = ["total_input", "total_cached", "total_output"]
+    u = usage_records(records.where("not bad")).where("has_last")
+    u = u.withColumns({c: F.when(F.col("has_total"), F.coalesce(c, F.lit(0))) for c in totals}).select("source", "line", *totals)
+    kept = clean.drop_repeated_cumulative(u, totals).groupBy("source").agg(F.count("*").alias("kept"))
+    n = u.groupBy("source").agg(F.count("*").alias("n")).join(kept, "source", "left").select("source", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("duplicates"))
+    bad = records.groupBy("source").agg(F.count_if("bad").alias("parse_errors"))
+    return bad.join(n, "source", "left").select("source", F.coalesce("duplicates", F.lit(0)).alias("duplicates"), "parse_errors")
+
+
 def link_ids(leaves: DataFrame) -> DataFrame:
     """(source, fp, is_parent, path): the identifiers of sessions that a file states, its own and its parents'; which paths
     say so is kept, so the count by path shows a changed format."""
