@@ -7,10 +7,11 @@ paragraph and so a common key, wherever they stand. Keys only propose places; wh
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm.common import MIX, WordHashes, documents, map_columns, mix, numbered, words, written
+from meterline.llm.links import components
 
 SEED, WINDOW, RUN = 16, 10, 16
 WORDS, THRESHOLD, REACH = 5, 0.8, 16
@@ -253,9 +254,10 @@ def apart(found: list[tuple[int, int, bool, int]], run_words: int) -> list[tuple
     return sorted(out)
 
 
-def repeated_passages(docs: DataFrame, run_words: int = RUN) -> DataFrame:
-    """(row, doc_id, first_word, n_words, first_doc_id, removed): spans of words that repeat across rows of ``docs``
-    (row: long, unique; doc_id; text), with the first doc_id where they stand; ``removed`` is false for that one.
+def repeated_passages(docs: DataFrame, run_words: int = RUN, clusters: bool = True) -> DataFrame:
+    """(row, doc_id, first_word, n_words, first_doc_id, removed, component_id): spans of words that repeat across rows of
+    ``docs`` (row: long, unique; doc_id; text), with the first doc_id where they stand; ``removed`` is false for that one.
+    ``component_id`` is the smallest doc_id of those that removals tie together, one after another (null: all are null), left out without ``clusters``.
 
     Each seed is compared with the row of the smallest doc_id that holds it: from there the words of both are compared to
     the left and right as far as they are equal, and across the gaps between equal stretches as long as the exact Jaccard
@@ -267,8 +269,11 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     number stays.
     """
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row", "at")
-    first = F.min(place).over(Window.partitionBy("seed"))
-    hits = seed_rows(docs).withColumn("to", first).where("to.row <> row")
+    sown = written(seed_rows(docs), "seeds")
+    # least places are summed up before the shuffle, so a seed of very many rows is no sorted group; the join back is one
+    # by equality whose larger partitions Spark splits
+    first = sown.groupBy("seed").agg(F.min(place).alias("to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hits = sown.join(first.hint("merge"), "seed").where("to.row <> row")
     pairs = hits.groupBy("row", F.col("to.row").alias("first")).agg(F.collect_list(F.struct("at", F.col("to.at").alias("first_at"))).alias("all"))
     pairs = written(pairs.select("row", "first", F.col("all.at").alias("at"), F.col("all.first_at").alias("first_at")), "pairs")
     needed = pairs.select("row").unionByName(pairs.select(F.col("first").alias("row"))).distinct()
@@ -286,7 +291,14 @@ def repeated_passages(docs: DataFrame, run_words: int = RUN) -> DataFrame:
     runs = written(map_columns(found, make, "row long, first_word int, n_words int, own boolean, other long"), "runs")
     ids = docs.select("row", "doc_id")
     runs = runs.join(ids, "row").join(ids.select(F.col("row").alias("other"), F.col("doc_id").alias("first_doc_id")), "other")
-    return runs.select("row", "doc_id", "first_word", "n_words", "first_doc_id", (~F.col("own")).alias("removed"))
+    kept = ["row", "doc_id", "first_word", "n_words", "first_doc_id", (~F.col("own")).alias("removed")]
+    if not clusters:
+        return runs.select(*kept)
+    linked = components(runs.where("not own").select(F.col("row").alias("src"), F.col("other").alias("dst")))
+    least = linked.withColumnRenamed("node", "row").join(ids, "row").withColumnRenamed("row", "node")
+    least = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    cluster = linked.join(least, "component").select(F.col("node").alias("row"), "component_id")
+    return runs.join(cluster, "row", "left").select(*kept, "component_id")
 
 
 def remove_passages(docs: DataFrame, **options) -> DataFrame:
@@ -294,7 +306,7 @@ def remove_passages(docs: DataFrame, **options) -> DataFrame:
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
     at = {c: names[i] for i, c in enumerate(docs.columns)}
-    found = repeated_passages(rows.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text")), **options)
+    found = repeated_passages(rows.select("row", F.col(at["doc_id"]).cast("long").alias("doc_id"), F.col(at["text"]).alias("text")), clusters=False, **options)
     cuts = found.where("removed").groupBy("row").agg(F.sort_array(F.collect_list(F.array("first_word", "n_words"))).alias("cuts"))
     marked = rows.join(cuts, "row", "left")
     text = F.when(F.col("cuts").isNull(), F.col(at["text"])).otherwise(_cut(F.col(at["text"]), F.col("cuts")))
@@ -309,5 +321,7 @@ def _cut(text, cuts):
 
 
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages that repeat across ``documents``; nulls, empty and long texts, repeated rows and empty tables as in
+    ``repeated_passages``, other columns are left out."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return repeated_passages(numbered(docs, ["doc_id", "text"], "row")).drop("row")

@@ -139,6 +139,18 @@ def test_passages(spark, docs, empty):
     assert rows(passages.remove_passages(empty)) == [] and passages.remove_passages(docs).count() == docs.count()
 
 
+def test_removals_are_clustered(spark):
+    """A chain: neighbours share passages, so one component; another pair, and a text by itself."""
+    r = random.Random(8)
+    some = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    shared = [some(60) for _ in range(7)]
+    texts = [f"{some(20)} {shared[i]} {some(20)} {shared[i + 1]}" for i in range(5)] + [shared[6] + " " + some(9), some(7) + " " + shared[6], some(100)]
+    d = spark.createDataFrame([(90 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("doc_id + 7 as row", "doc_id", "text")
+    found = passages.repeated_passages(d).collect()
+    assert {(x.doc_id, x.component_id) for x in found} == {(i, 86) for i in range(86, 91)} | {(84, 84), (85, 84)}
+    assert all(x.removed == (x.doc_id != x.first_doc_id) for x in found)
+
+
 def test_op3_repeated_and_null_ids(spark, tmp_path):
     r = random.Random(4)
     some = lambda n: ["".join(r.choices("abcdefgh", k=6)) for _ in range(n)]
@@ -161,7 +173,7 @@ def planted_at(spark, pairs, before=60):
     texts = [" ".join(some(before) + list(p) + some(60)) for pair in pairs for p in pair]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {}
-    for _, i, a, n, first, removed in rows(passages.repeated_passages(df.selectExpr("doc_id as row", "doc_id", "text"))):
+    for _, i, a, n, first, removed, _ in rows(passages.repeated_passages(df.selectExpr("doc_id as row", "doc_id", "text"))):
         assert first == i - i % 2 and removed == (i % 2 == 1)
         out.setdefault(i, []).append((a, n, removed))
     return out
