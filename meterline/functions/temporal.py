@@ -49,7 +49,7 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: li
     one union and one window find the row; where a slice has none yet, it is the last one of the slices before, of which
     a row for each slice is carried on. No pairs, no row in more than one slice; the windowed rows are written once, and
     both what is carried and what is found is read from them."""
-    side = F.lit(1 if strict == forward else 0)
+    side = F.lit(0 if strict else 1)
     cell = F.floor(F.col(at) / span).alias("_slice")
     held = F.struct(*(F.col(v) for v in values))
     tie = lambda known: F.struct(*((F.col(c) if known else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in order)).alias("_tie")

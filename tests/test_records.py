@@ -3,9 +3,10 @@ import json
 import random
 
 import pytest
+from logs import Log
 from pyspark.sql import functions as F
 
-from meterline.operators import pricing, quota
+from meterline.operators import pricing, quota, workflow
 from meterline.plans import registry
 from meterline.sources import records as rec
 from meterline.sources import tables
@@ -97,6 +98,26 @@ def test_leaves_and_what_lies_beyond_them(parsed):
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan.split("Window")[0]
 
 
+def test_counts_of_a_session(spark, tmp_path):
+    log = Log().spend(5, total=5).wait(seconds=1).spend(5, total=5).wait(seconds=1).spend(5, total=5).raw("{").spend(6, total=11).raw("[1]")
+    log.save(tmp_path / "a.jsonl")
+    Log().raw("nothing").save(tmp_path / "b.jsonl")
+    records = src.parse_records(src.read_logs(spark, str(tmp_path)))
+    counts = rec.read_counts(records)
+    assert sorted((x.source[-7], x.duplicates, x.parse_errors) for x in counts.collect()) == [("a", 2, 2), ("b", 0, 1)]
+    events = src.usage_events(records, include_unmetered=True)
+    out = sorted((x.source[-7], x.requests, x.input, x.duplicates, x.parse_errors) for x in workflow.session_summary(events, counts).collect())
+    assert out == [("a", 2, 11, 2, 2), ("b", 0, 0, 0, 1)]
+
+
+def test_recent_families_are_ranked(spark):
+    day = 86_400_000_000
+    f = [(1, 9 * day, 5.0, "limited"), (2, 10 * day, 1.0, "complete"), (3, 10 * day, 9.0, "limited"), (4, 10 * day, 9.5, "limited"), (5, day, 99.0, "complete"), (6, 10 * day, 1.0, "odd"), (7, None, 1.0, "complete")]
+    d = spark.createDataFrame(f, "family long, last_us long, score double, quality string")
+    assert [x.family for x in workflow.recent_families(d, 3 * day).collect()] == [2, 4, 3, 1, 6]
+    assert [x.family for x in workflow.recent_families(d.where("last_us is null"), day).collect()] == [7]
+
+
 def test_shape_of_actions(parsed, spark):
     r = parsed({"type": "function_call", "name": "send_input", "arguments": {"agent_id": CHILD, "n": 1}}, {"type": "function_call", "name": "send_input", "arguments": {"agent_id": PARENT}})
     actions = rec.lifecycle_actions(rec.tool_calls(r))

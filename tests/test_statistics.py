@@ -101,3 +101,36 @@ def test_families_with_cycles(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (7, 8), (8, 9), (9, 7), (10, 9)], "child long, parent long")
     out = {r.child: (r.root, r.cyclic) for r in graph.families(edges).collect()}
     assert out[2] == (1, False) and out[3] == (1, False) and all(out[i] == (7, True) for i in (7, 8, 9, 10))
+
+
+def test_draws_are_poisson_and_the_same_anywhere(spark):
+    d = spark.range(300).selectExpr("id", "id % 3 as g", "1.0 as x")
+    rows = d.select("id", stats.multiplicities(1000, "b", ["g", "id"]).alias("m")).collect()
+    m = np.array([r.m for r in rows])
+    assert m.shape == (300, 1000) and abs(m.mean() - 1) < 0.01 and abs(m.var() - 1) < 0.02
+    assert abs((m == 0).mean() - np.exp(-1)) < 0.005 and abs(np.corrcoef(m[0], m[1])[0, 1]) < 0.12
+    again = {r.id: r.m for r in d.repartition(7).select("id", stats.multiplicities(1000, "b", ["g", "id"]).alias("m")).collect()}
+    assert all(again[r.id] == r.m for r in rows)
+
+
+def test_interval_of_a_ratio(spark):
+    """Against drawing whole units with replacement in numpy."""
+    r = np.random.default_rng(1)
+    num, den = r.gamma(2.0, 3.0, 80), r.gamma(3.0, 1.0, 80)
+    d = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(num, den))] + [(2, 0, 5.0, 2.0)], "g long, i long, a double, b double")
+    out = {x.g: x for x in stats.ratio_bootstrap(d, ["g"], "a", "b", ["i"]).collect()}
+    pick = r.integers(0, 80, (4000, 80))
+    low, high = np.quantile(num[pick].sum(1) / den[pick].sum(1), [0.1, 0.9])
+    assert abs(out[1].low - low) < 0.08 * (high - low) + 0.02 and abs(out[1].high - high) < 0.08 * (high - low) + 0.02
+    assert (out[2].estimate, out[2].low, out[2].units) == (2.5, None, 1)
+
+
+def test_edges_of_a_widely_shared_id_stay_few(spark):
+    """3,000 sessions an hour apart share one id: only those within six hours of each other meet."""
+    s = spark.range(3000).selectExpr("id as session", "id * 3600000000 as first_us", "id > 0 as subagent")
+    links = s.selectExpr("session", "'one' as fp", "false as is_parent")
+    e = graph.build_edges(s, links).collect()
+    assert len(e) == 2999 and all(x.parent == x.child - 1 and x.method == "shared" for x in e)
+    up = spark.createDataFrame([(5, "own", True), (7, "own", False), (9, "own", False)], "session long, fp string, is_parent boolean")
+    (x,) = graph.build_edges(s, up).where("child = 5").collect()
+    assert (x.parent, x.method, x.confidence) == (7, "explicit", "ambiguous")
