@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meterline.functions.temporal import gap_groups
 from meterline.operators import pairing, quota
 from meterline.plans.registry import HOUR, METERED, bucket_ctes, bucket_rows, metered, query
+from meterline.plans.statistics import SUMS, _beta, draws_sql
 from meterline.sources.telemetry import TELEMETRY_SQL, telemetry
 
 def greedy_sql(name: str, choice: str = "free[1].r") -> str:
@@ -115,13 +116,25 @@ def reviewer_buckets(spark, sf_dir):
     return pairing.reviewer_buckets(bucket_rows(d), d, 0.5, HOUR)
 
 
-@query()
+FIGURES = ("parent_weight", "reviewer_weight", "condition", "gain", "reviewer_low", "reviewer_mid", "reviewer_high")
+_SSE = "yy - 2 * ({0} * ay + {1} * yb) + {0} * {0} * aa + 2 * {0} * {1} * ab + {1} * {1} * bb".format
+
+
+@query(f"""{EPISODES}, oe as (select parent % 2 half, parent, (before + during + after) / 1e6 a, tokens / 1e6 b, (before + during + after) / 1e6 * 20 + tokens / 1e6 * 35 + episode % 5 * 0.1 y from ec where parent_requests > 0),
+opar as (select half, parent, count(*) k, sum(a * a) aa, sum(b * b) bb, sum(a * b) ab, sum(a * y) ay, sum(b * y) yb, sum(y * y) yy, sum(y) y from oe where a > 0 and b > 0 group by 1, 2),
+osum as (select half, sum(k)::bigint n_rows, count(*) sessions, sum(y) points, {SUMS}, sum(yy) yy from opar group by 1), ofit as (select *, {_beta()} from osum),
+ofig as (select *, case when abs(ab) / sqrt(aa * bb) < 1 - 1e-10 then sqrt((1 + abs(ab) / sqrt(aa * bb)) / (1 - abs(ab) / sqrt(aa * bb))) end cond, case when {_SSE("greatest(0.0, ay / aa)", "0.0")} > 1e-9 then 1 - ({_SSE("wa", "wb")}) / ({_SSE("greatest(0.0, ay / aa)", "0.0")}) else 0.0 end gn from ofit),
+{draws_sql("odr", "opar", "o", "half, parent", 300)}, obs as (select half, {_beta()} from (select half, rep, {", ".join(f"sum({x} * z) {x}" for x in ("aa", "bb", "ab", "ay", "yb"))} from odr group by 1, 2)),
+oq as (select half, quantile_cont(wb, 0.1) l, quantile_cont(wb, 0.5) m, quantile_cont(wb, 0.9) h, count(*) filter (wb > 1e-9) / count(*) positive from obs group by 1)
+select half, n_rows "rows", sessions, round(points, 6) points, {", ".join(f'round({x}, 5) "{c}"' for c, x in zip(FIGURES, ("wa", "wb", "cond", "gn", "l", "m", "h")))}, positive,
+  case when n_rows < 10 or sessions < 3 or points < 5 then 'too_few' when cond is null or cond > 20 then 'collinear' when wb <= 1e-9 or gn < 0.05 then 'no_gain' when coalesce(l <= 1e-9 or positive < 0.8 or h / l > 10, true) then 'unstable' else 'supported' end status from ofig left join oq using (half)""")
 def overhead_fit(spark, sf_dir):
     """Episodes of reviewer work beside their parents', with points in proportion to both and a remainder by the episode."""
     e = episodes(telemetry(spark, sf_dir)).where("parent_requests > 0")
     parent = (F.col("before") + F.col("during") + F.col("after")) / 1e6
     e = e.select((F.col("parent") % 2).alias("half"), "parent", parent.alias("parent_m"), (F.col("tokens") / 1e6).alias("reviewer_m"), (parent * 20 + F.col("tokens") / 1e6 * 35 + F.col("episode") % 5 * 0.1).alias("points"))
-    return pairing.overhead_fit(e, ["half"], 10, 3, 5.0, boots=60)
+    out = pairing.overhead_fit(e, ["half"], 10, 3, 5.0)
+    return out.withColumns({c: F.round(c, 5) for c in FIGURES} | {"points": F.round("points", 6)})
 
 
 NEAREST = """with recursive {tel}, rq as (select source, line request, us r_us from tel where k % 5 > 0), {acts},
