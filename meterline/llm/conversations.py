@@ -452,3 +452,43 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated rows, empty tables and other columns: see ``damaged`` and ``repaired_conversations``."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return repaired_conversations(damaged(rows))
+
+
+#: The same by other means: an automaton of four states (nothing, a system turn, a user turn, an assistant turn before), all
+#: edits of a turn joined on, and the least (cost, audit) of each state kept from turn to turn.
+ORACLE_OP13 = r"""
+with recursive bits(n, c, k) as (
+  select i, cast(i as ubigint), 0 from range(256) t(i) union all
+  select n, case when c % 2 = 1 then xor(c // 2, cast(3988292384 as ubigint)) else c // 2 end, k + 1 from bits where k < 8),
+crcs as (select list(c order by n) t from bits where k = 8),
+k0 as (select *, dense_rank() over (order by conv_id nulls first) cv, hex(encode(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '))) h from conversations),
+k1 as (select cv, conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, xor(cast(4294967295 as ubigint), list_reduce(
+         list_prepend(cast(4294967295 as ubigint), [cast('0x' || h[2 * i + 1 : 2 * i + 2] as ubigint) for i in range(length(h) // 2)]),
+         lambda a, b: xor(a // 256, t[cast(xor(a % 256, b) as int) + 1]))) % 20 kind from k0, crcs),
+d as (select cv, turn, case kind when 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+        unnest(case kind when 0 then [] when 3 then [0, 1] else [0] end) cp from k1),
+o as (select *, row_number() over (partition by cv order by turn nulls first, role, md5(text), cp) n, rtrim(text, e' \t\n\x0b\x0c\r') seen from d),
+f as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when row_number() over (partition by cv, role, text order by n) > 1 then 'duplicate'
+        when right(seen, 1) not in ('.', '!', '?') then 'truncated' end fault, left(role, 1) ini, left(lag(role) over (partition by cv order by n), 1) || left(role, 1) two from o),
+nxt(p, s, q) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(p, q, j, lines) as (values (0, 0, 0, []::varchar[]), (0, 2, 1, ['user:']), (0, 3, 2, ['user:', 'assistant:']), (1, 1, 0, []), (1, 2, 1, ['user:']), (1, 3, 2, ['user:', 'assistant:']),
+  (2, 2, 0, []), (2, 3, 1, ['assistant:']), (3, 3, 0, []), (3, 2, 1, ['user:'])),
+edits as (
+  select ins.p, ins.q, j, lines, 'D' e, null s, 4 cost from ins union all
+  select ins.p, nxt.q, j, lines, 'K', s, 0 from ins join nxt on nxt.p = ins.q union all
+  select ins.p, nxt.q, j, lines, 'R', s, 3 from ins join nxt on nxt.p = ins.q where s <> 's'),
+w(cv, n, q, cost, audit, lines) as (
+  select distinct cv, 0::bigint, 0, 0::bigint, '', []::varchar[] from k1 union all
+  select cv, n, q, cost, audit, lines from (
+    select w.cv, f.n, x.q, w.cost + 3 * x.j + x.cost + case when x.e <> 'D' and fault = 'truncated' then 3 else 0 end as cost, w.audit || repeat('I', x.j) || x.e as audit,
+      w.lines || x.lines || case x.e when 'D' then [] when 'K' then [f.role || ':' || f.text] else [case x.s when 'u' then 'user:' else 'assistant:' end || f.text] end as lines
+    from w join f on f.cv = w.cv and f.n = w.n + 1 join edits x on x.p = w.q
+    where (x.e = 'D' or coalesce(fault, '') not in ('blank', 'duplicate')) and (x.e <> 'K' or x.s = ini) and (x.e <> 'R' or x.s <> ini))
+  qualify row_number() over (partition by cv, q order by cost, audit) = 1),
+z as (select cv, count(*) rows_, count(*) filter (fault = 'blank') blank, count(*) filter (fault = 'duplicate') duplicate, count(*) filter (fault = 'truncated') truncated,
+        count(*) filter (two not in ('su', 'ua', 'au')) illegal, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps from f group by cv),
+fin as (select w.cv, w.cost + 3 * j as cost, w.audit || repeat('I', j) as audit, w.lines || ins.lines as lines from w left join z on z.cv = w.cv join ins on ins.p = w.q and ins.q in (0, 3)
+  where w.n = coalesce(rows_, 0) qualify row_number() over (partition by w.cv order by w.cost + 3 * j, w.audit || repeat('I', j)) = 1)
+select i.conv_id, coalesce(gaps, 0)::bigint gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, cost, audit,
+  sha256(array_to_string(fin.lines, chr(10))) repaired_sha256
+from (select distinct cv, conv_id from k1) i join fin using (cv) left join z using (cv)"""

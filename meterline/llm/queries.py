@@ -1,7 +1,7 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from meterline.llm.alignment import op11_alignment
-from meterline.llm.conversations import op13_conversation_repair
+from meterline.llm.conversations import ORACLE_OP13, op13_conversation_repair
 from meterline.llm.ctw import op10_lm_scores
 from meterline.llm.media import op8_media
 from meterline.llm.minhash import op2_fingerprints
@@ -18,4 +18,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_fingerprints, op3_passages, op4_mixing, op5_simhash, op6_secrets, op7_packing, op8_media, op9_token_shards, op10_lm_scores, op11_alignment, op12_sharding, op13_conversation_repair)
 }
-ORACLES = {"op4_mixing": ORACLE_OP4, "op12_sharding": ORACLE_OP12}
+ORACLES = {"op4_mixing": ORACLE_OP4, "op12_sharding": ORACLE_OP12, "op13_conversation_repair": ORACLE_OP13}

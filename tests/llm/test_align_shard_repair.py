@@ -217,7 +217,10 @@ def plain_repair(rows):
 def test_repair_of_the_table(spark):
     for sf in (SF, "/root/testdata/sf0.01"):
         rows = duckdb.sql(f"select conv_id, turn, role, text from '{sf}/conversations.parquet'").fetchall()
-        assert ordered(conversations.op13_conversation_repair(spark, sf).collect()) == ordered(plain_repair(rows))
+        found = ordered(conversations.op13_conversation_repair(spark, sf).collect())
+        con = duckdb.connect()
+        con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+        assert found == ordered(plain_repair(rows)) == ordered(con.sql(conversations.ORACLE_OP13).fetchall())
 
 
 @pytest.mark.parametrize("held", [4_000_000, 300])
