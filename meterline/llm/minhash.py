@@ -164,4 +164,7 @@ def minhash_groups(docs: DataFrame, k: int = WORDS, threshold: float = 0.8, n: i
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` with the fingerprints of their text and edited text. Null and empty texts share a fingerprint; rows
+    with equal or null ids each keep a row, the next document being the next row in order; an empty table gives no rows;
+    other columns are left out."""
     return fingerprint_documents(documents(spark, sf_dir))

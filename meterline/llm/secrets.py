@@ -221,5 +221,7 @@ def redacted(docs: DataFrame, bound: float = 1.0, mark: str = "[SECRET]") -> Dat
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` with their secrets. Null and empty texts have none (the hash of the empty text); repeated rows each keep
+    a row; an empty table gives no rows; other columns are left out."""
     docs = documents(spark, sf_dir)
     return find_secrets(docs, trained_table(docs))

@@ -337,5 +337,7 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
 
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` written as token shards and read back. Null and empty texts hold the end id alone; null ids come first,
+    repeated rows one after another; an empty table gives no files and no rows; other columns are left out."""
     folder = fresh_path(spark, "token-shards")
     return read_shards(write_shards(documents(spark, sf_dir), folder, default_vocabulary()))
