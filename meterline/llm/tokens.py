@@ -69,7 +69,7 @@ class Encoder:
 
     LONG, ENTRY = 64, 100
 
-    def __init__(self, path: str, capacity: int = 25_000_000):
+    def __init__(self, path: str, capacity: int = 12_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
