@@ -72,7 +72,7 @@ def non_negative(n: int, eps: float = 1e-12) -> list[Column]:
     squares solutions of all sets of features without a negative coefficient the one that explains most (that is the
     exact optimum: it is the free solution of its own features). Features that are all zero get zero."""
     g = lambda i, j: F.col(f"g_{min(i, j)}_{max(i, j)}")
-    ways = []
+    ways = {}
     for k in range(1, n + 1):
         for own in combinations(range(n), k):
             det = determinant([[g(i, j) for j in own] for i in own])
@@ -84,7 +84,10 @@ def non_negative(n: int, eps: float = 1e-12) -> list[Column]:
             fits = reduce(lambda x, y: x & y, (F.coalesce(b >= 0, F.lit(False)) for b in beta.values()))
             gain = F.round(sum((b * F.col(f"h_{i}") for i, b in beta.items()), F.lit(0.0)), 9)
             cells = [beta.get(i, F.lit(0.0)).alias(f"b{i}") for i in range(n)]
-            ways.append(F.when(fits, F.struct(gain.alias("gain"), F.lit(-k).alias("few"), *cells)))
+            ways[own] = fits, F.struct(gain.alias("gain"), F.lit(-k).alias("few"), *cells)
+    # a set that fits explains no less than the sets within it, so these never compete with it: rounding would decide
+    beaten = lambda own: reduce(lambda x, y: x | y, (f for o, (f, _) in ways.items() if set(own) < set(o)), F.lit(False))
+    ways = [F.when(fits & ~beaten(own), way) for own, (fits, way) in ways.items()]
     best = F.array_max(F.array_compact(F.array(*ways)))
     return [F.coalesce(best[f"b{i}"], F.lit(0.0)) for i in range(n)]
 
