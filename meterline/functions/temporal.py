@@ -76,15 +76,16 @@ def with_previous(df: DataFrame, keys: list[str], at: str, name: str, span: int
 
 def neighbours(points: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, order: list[str], equal_is_before: bool = False, span: int = SLICE_US) -> DataFrame:
     """``points`` with ``before`` and ``after``: the ``value`` of the nearest rows of ``right`` on both sides of its ``at``; a
-    row at equal ``at`` is the one after (or before, ``equal_is_before``). Dealt by key and slice as ``asof``, both sides in
-    one sort."""
+    row at equal ``at`` is the one after (or before, ``equal_is_before``). Dealt by key and slice as ``asof``."""
     side, cell = F.lit(1 if equal_is_before else 0), F.floor(F.col(at) / span).alias("_slice")
     kind = right.schema[value].dataType
     tie = lambda known: F.struct(*((F.col(c) if known else F.lit(None).cast(right.schema[c].dataType)).alias(c) for c in order)).alias("_tie")
     r = right.select(*keys, F.col(at), F.col(value).alias("_held"), F.lit(None).cast(points.schema).alias("_left"), (1 - side).alias("_side"), tie(True), cell)
     p = points.select(*keys, F.col(at), F.lit(None).cast(kind).alias("_held"), F.struct(*(F.col(c) for c in points.columns)).alias("_left"), side.alias("_side"), tie(False), cell)
-    w = Window.partitionBy(*keys, "_slice").orderBy(at, "_side", "_tie")
-    sides = {"_b": F.last("_held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_a": F.first("_held", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    # backwards over the reverse order, too: a frame that ends unbounded is run through again for each row
+    own = Window.partitionBy(*keys, "_slice")
+    up, down = own.orderBy(at, "_side", "_tie"), own.orderBy(F.desc(at), F.desc("_side"), F.desc("_tie"))
+    sides = {n: F.last("_held", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for n, w in (("_b", up), ("_a", down))}
     both = cut_lineage(r.unionByName(p).withColumns(sides))
     known = F.when(F.col("_held").isNotNull(), F.struct(F.col(at), F.col("_tie")))
     edges = both.groupBy(*keys, "_slice").agg(F.max_by("_held", known).alias("_last"), F.min_by("_held", known).alias("_first"))
