@@ -1,5 +1,6 @@
 """What a review of round 3 found: each test failed before its mend."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -39,3 +40,27 @@ def test_neighbours_of_many_rows_in_one_slice(spark):
     got = neighbours(points, right, ["k"], "at", "v", ["tie"]).agg(F.count("before").alias("b"), F.count("after").alias("a")).first()
     assert (got.b, got.a) == (0, n)
     assert time.perf_counter() - start < 20
+
+
+def test_partners_and_pairs_over_many_blocks(spark):
+    """Members with several intervals, some of which overlap each other, against plain loops; blocks of 4 members."""
+    r = random.Random(6)
+    rows = [(g, w, s, s + r.randint(0, 30)) for g in (1, 2) for w in range(23) for s in (r.randrange(300) for _ in range(r.randint(1, 4)))]
+    shared, met = {}, {}
+    for g, w, s, e in rows:
+        for g2, v, t, f in rows:
+            n = min(e, f) - max(s, t)
+            if g == g2 and w != v and e > s and f > t and n > 0:
+                met.setdefault((g, w), set()).add(v)
+                if w < v:
+                    shared[g, w, v] = shared.get((g, w, v), 0) + n
+    d = spark.createDataFrame(rows, "account long, source long, start long, end long")
+    old, workflow.BLOCK = workflow.by_blocks.__defaults__, 4
+    workflow.by_blocks.__defaults__ = (4,)
+    try:
+        got = workflow.pairwise_overlap(d, ["account"], "source").collect()
+        assert len(got) == len(shared) and {(x.account, x.left_member, x.right_member): x.overlap_us for x in got} == shared
+        for x in workflow.agent_overlap(d, ["account"]).collect():
+            assert x.partners == len(met.get((x.account, x.source), ()))
+    finally:
+        workflow.by_blocks.__defaults__, workflow.BLOCK = old, 1024
