@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import neighbours
-from meterline.operators import pairing, stats, workflow
+from meterline.operators import graph, pairing, stats, workflow
 
 HOUR = 3_600_000_000
 
@@ -106,3 +106,24 @@ def test_parents_by_time_over_many_blocks(spark, monkeypatch):
         want[b] = min(rows)[5] if rows else None
     args = (spark.createDataFrame(reviews, "account string, burst long, l_us long"), spark.createDataFrame(work, "account string, parent long, r_us long, reviewed boolean"), spark.createDataFrame(links, "burst long, parent long, explicit boolean"))
     assert {x.burst: x.parent for x in pairing.pair_parent(*args).collect()} == want
+
+
+def test_best_parents_over_blocks(spark, monkeypatch):
+    """Blocks of 7 sessions, ids counted 3 at a time, against plain loops; no join on an id."""
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    r, hour = random.Random(10), HOUR
+    sessions = [(i, r.randrange(20) * hour // 2, i % 3 > 0) for i in range(40)]
+    links = sorted({(i, r.randrange(12), up) for i in range(40) for up in (False, True) if not up or i % 4 for _ in range(r.randint(1, 4))})
+    at = {i: u for i, u, _ in sessions}
+    held = lambda i, up: {f for j, f, p in links if j == i and p == up}
+    want = {}
+    for i, us, sub in sessions:
+        found = [(0, -len(held(i, True) & held(j, False)), abs(us - at[j]), j) for j in at if j != i]
+        if sub:
+            found += [(1, -len(held(i, False) & held(j, False)), us - at[j], j) for j in at if j != i and 0 <= us - at[j] <= 6 * hour]
+        found = sorted(x for x in found if x[1] < 0)
+        if found:
+            tied = len(found) > 1 and found[1][:2] == found[0][:2]
+            want[i] = (found[0][3], ("explicit", "shared")[found[0][0]], "ambiguous" if tied else ("high", "medium")[found[0][0]])
+    got = graph.build_edges(spark.createDataFrame(sessions, "session long, first_us long, subagent boolean"), spark.createDataFrame(links, "session long, fp long, is_parent boolean")).collect()
+    assert {x.child: (x.parent, x.method, x.confidence) for x in got} == want and len(got) == len(want)
