@@ -127,3 +127,20 @@ def test_best_parents_over_blocks(spark, monkeypatch):
             want[i] = (found[0][3], ("explicit", "shared")[found[0][0]], "ambiguous" if tied else ("high", "medium")[found[0][0]])
     got = graph.build_edges(spark.createDataFrame(sessions, "session long, first_us long, subagent boolean"), spark.createDataFrame(links, "session long, fp long, is_parent boolean")).collect()
     assert {x.child: (x.parent, x.method, x.confidence) for x in got} == want and len(got) == len(want)
+
+
+def test_overlaps_name_all_alive(spark):
+    """Against plain loops; no join in the plan."""
+    r = random.Random(11)
+    rows = [(g, w, s, s + r.randint(0, 40)) for g in (1, 2) for w in range(15) for s in (r.randrange(200) for _ in range(3))]
+    want = set()
+    for g in (1, 2):
+        own = [(s, e, w) for g2, w, s, e in rows if g2 == g and e > s]
+        at = sorted({t for s, e, _ in own for t in (s, e)})
+        for t, u in zip(at, at[1:], strict=False):
+            alive = sorted(w for s, e, w in own if s <= t < e)
+            if len(alive) > 1:
+                want.add((g, t, u, len(alive), ",".join(map(str, alive))))
+    got = workflow.overlap_intervals(spark.createDataFrame(rows, "account long, source long, start long, end long"), ["account"], "source")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(x) for x in got.collect()} == want
