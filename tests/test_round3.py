@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from meterline.functions.temporal import neighbours
-from meterline.operators import graph, pairing, stats, workflow
+from meterline.operators import graph, pairing, stats, windows, workflow
 
 HOUR = 3_600_000_000
 
@@ -144,3 +144,36 @@ def test_overlaps_name_all_alive(spark):
     got = workflow.overlap_intervals(spark.createDataFrame(rows, "account long, source long, start long, end long"), ["account"], "source")
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(x) for x in got.collect()} == want
+
+
+def lifetimes(spark, seed, members=60):
+    r = random.Random(seed)
+    rows = []
+    for f in (1, 2):
+        for m in range(members):
+            spawn = r.randrange(40)
+            rows.append((f, m, r.choice(["coder", "tester", "planner"]), r.choice([None, "c0", "c1", "c2", "c3"]), spawn * HOUR, (spawn + 3) * HOUR, (spawn + 3 + r.randint(1, 30)) * HOUR, False))
+    return rows, spark.createDataFrame(rows, "family long, member long, role string, chunk string, spawn_us long, start long, end long, truncated boolean")
+
+
+def test_triggers_without_pairs(spark):
+    rows, w = lifetimes(spark, 12)
+    want = {}
+    for f, m, role, chunk, spawn, _, end, _ in rows:
+        for f2, m2, role2, chunk2, spawn2, *_ in rows:
+            if f == f2 and m != m2 and spawn < spawn2 < end and (role == role2 or (role, role2) == ("coder", "tester")):
+                none = chunk is None or chunk2 is None
+                kind = "unclassified-overlap" if none else "cross-chunk-overlap" if chunk != chunk2 else "same-chunk-replacement-overlap" if role == role2 else "same-chunk-repair-overlap"
+                want[f, m, kind] = min(want.get((f, m, kind), (1 << 62, 0)), (spawn2, m2))
+    d = windows._triggers(w, {"coder": "tester"})
+    assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+    assert {(x.family, x.member, x.kind): (x.start, x.trigger) for x in d.collect()} == want
+
+
+def test_others_are_counted(spark):
+    rows, w = lifetimes(spark, 13, 12)
+    r = random.Random(14)
+    spans = [(f, i, *r.sample(range(12), 2), s * HOUR, (s + r.randint(1, 6)) * HOUR) for f in (1, 2) for i, s in ((f * 100 + k, r.randrange(60)) for k in range(30))]
+    want = {(i, role) for f, i, a, b, s, e in spans for f2, m, role, _, _, s2, e2, _ in rows if f == f2 and m not in (a, b) and s2 < e and e2 > s}
+    d = windows._others(spark.createDataFrame(spans, "family long, id long, member long, next_member long, start long, end long"), w)
+    assert {(x.id, x.role) for x in d.collect()} == want
