@@ -22,15 +22,49 @@ CODE = {c: i + 1 for i, c in enumerate(ALPHABET)}  # 0: before the first charact
 LOOKUP = np.array([CODE.get(chr(i), 0) for i in range(256)])
 LEAST = 20
 N = len(ALPHABET) + 1
-ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+#: Ordinary words and identifiers have as many key characters in a row.
+ORDINARY = 4
+#: Characters whose transitions are counted at a time.
+TEXT = 1 << 20
+#: How a match of ``ASSIGN`` begins, in lower case.
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+#: Bytes of the characters of a kind become ``x``, all others spaces: whether a text has a long run is one search then.
+KEY_BYTES = bytes(120 if chr(i) in CODE else 32 for i in range(256))
+HEX_BYTES = bytes(120 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
+
+
+def has_run(text: bytes, kind: bytes, n: int) -> bool:
+    return b"x" * n in text.translate(kind)
+
+
+def assignments(text: str) -> list[re.Match]:
+    """The matches of ``ASSIGN``, leftmost and not overlapping, tried only where one of ``NAMES`` stands: at every
+    character, in either case, the pattern takes most of the time of a scan."""
+    low = text.lower()
+    if len(low) != len(text):  # a letter that becomes two moves what follows
+        return list(ASSIGN.finditer(text))
+    places = []
+    for name in NAMES:
+        at = low.find(name)
+        while at >= 0:
+            places.append(at)
+            at = low.find(name, at + 1)
+    out, end = [], 0
+    for at in sorted(places):
+        m = ASSIGN.match(text, at) if at >= end else None
+        if m:
+            out.append(m)
+            end = m.end()
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), code points, by start and then kind as listed. Leftmost, not overlapping, for each kind."""
-    found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    found = [(m.start(), m.end(), 0) for m in assignments(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
+    if has_run(text.encode(), HEX_BYTES, 24):
+        found += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
@@ -42,6 +76,19 @@ def _transitions(counts: Counter, s: str, by: int = 1) -> None:
         last = k
 
 
+def ordinary_transitions(text: bytes) -> np.ndarray:
+    """How often each transition comes in the runs of at least ``ORDINARY`` key characters; the sign before a run has
+    code 0, so a run's first transition begins there."""
+    codes = np.concatenate((np.zeros(1, np.uint16), LOOKUP.astype(np.uint16)[np.frombuffer(text, np.uint8)], np.zeros(ORDINARY, np.uint16)))
+    key = codes > 0
+    n = len(text) + 1
+    begins = np.logical_and.reduce([key[i : i + n] for i in range(ORDINARY)])  # as many key characters from here on
+    held = begins.copy()
+    for i in range(1, ORDINARY):
+        held[i:] |= begins[:-i]
+    return np.bincount((codes[: n - 1] * N + codes[1:n])[held[1:]], minlength=N * N)
+
+
 def labelled_strings(docs: DataFrame) -> DataFrame:
     """(secret, pair, n): character transitions over all documents, in strings labelled by the fixed patterns (the
     values that they match) and in all other runs of key characters (ordinary words and identifiers).
@@ -51,7 +98,7 @@ def labelled_strings(docs: DataFrame) -> DataFrame:
 
     def make():
         def fn(text):
-            words: Counter = Counter()
+            rest, size, plain = [], 0, np.zeros(N * N, np.int64)
             counts = {True: Counter(), False: Counter()}
             for t in text:
                 t = t or ""
@@ -61,21 +108,23 @@ def labelled_strings(docs: DataFrame) -> DataFrame:
                     if kind == "assign":
                         value = ASSIGN.match(value)[2]
                     _transitions(counts[True], value)
-                if spans:
-                    rest, at = [], 0
-                    for a, b, _ in spans:
-                        rest.append(t[at : max(a, at)])
-                        at = max(at, b)
-                    t = " ".join([*rest, t[at:]])
-                words.update(ORDINARY.findall(t))
-            for w, n in words.items():
-                _transitions(counts[False], w, n)
+                at = 0
+                for a, b, _ in spans:
+                    rest.append(t[at : max(a, at)])
+                    at = max(at, b)
+                rest.append(t[at:])
+                size += len(t)
+                if size > TEXT:
+                    plain += ordinary_transitions(" ".join(rest).encode())
+                    rest, size = [], 0
+            plain += ordinary_transitions(" ".join(rest).encode())
+            counts[False].update({int(k): int(plain[k]) for k in np.nonzero(plain)[0]})
             out = [(s, k, n) for s, c in counts.items() for k, n in c.items()]
             return [list(x) for x in zip(*out, strict=True)] if out else None
 
         return fn
 
-    parts = map_columns(docs.select("text"), make, "secret boolean, pair int, n long", rows=10_000)
+    parts = map_columns(docs.select("text"), make, "secret boolean, pair int, n long")
     return parts.groupBy("secret", "pair").agg(F.sum("n").alias("n"))
 
 
@@ -147,6 +196,8 @@ def random_spans(text: str, base: list[tuple[int, int, str]], table: np.ndarray,
     """Spans of the random parts of the runs in ``text``, without the characters of the ``base`` spans; what is left
     beside one counts where it goes on from a hex string or is over ``bound`` itself."""
     out = []
+    if not has_run(text.encode(), KEY_BYTES, LEAST):
+        return out
     for m in CANDIDATE.finditer(text):
         near = [x for x in base if x[0] < m.end() and m.start() < x[1]]
         for a, b in random_parts(m[0], table, bound):
