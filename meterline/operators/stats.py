@@ -33,8 +33,9 @@ def multiplicities(boots: int, seed: str, ids: list[str]) -> Column:
 
 def drawn(units: DataFrame, boots: int, seed: str, ids: list[str]) -> DataFrame:
     """``units`` once for each draw (``rep``) that takes them, ``times`` over. The rows live within the stage: what follows
-    sums them up by draw before anything is shuffled."""
-    d = units.select("*", F.posexplode(multiplicities(boots, seed, ids)).alias("rep", "times"))
+    sums them up by draw before anything is shuffled. Units are few bytes but each takes all the draws' work, so they are
+    dealt to as many tasks as the session has shuffle partitions: by their bytes they would be read by one or two."""
+    d = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids).select("*", F.posexplode(multiplicities(boots, seed, ids)).alias("rep", "times"))
     return d.where("times > 0")
 
 

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 
 from meterline.llm import secrets
-from meterline.operators import pairing
+from meterline.operators import pairing, stats
 
 
 def test_secrets_are_looked_for_where_they_can_be():
@@ -70,3 +70,21 @@ def test_many_requests_near_are_looked_at_in_parts(monkeypatch):
             off = np.sort([[np.abs(t - x).min() for x in at[b]] for t in times], axis=1)
             rows = sorted((-(x <= 60 * s).mean(), -(x <= match).mean(), (x[(n - 1) // 2] + x[n // 2]) / 2, x[0], i) for i, x in enumerate(off) if x[0] <= match)
             assert [tuple(got[:, k, b]) for k in (0, 1) if np.isfinite(got[0, k, b])] == rows[:2]
+
+
+def test_draws_are_dealt(spark):
+    """Few bytes in one partition, but 300 draws for each row: they go to as many tasks as there are shuffle partitions."""
+    units = spark.range(1000).coalesce(1).withColumnRenamed("id", "parent")
+    assert stats.drawn(units, 300, "o", ["parent"]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_contexts_meet_their_parents_once(spark):
+    """Equal weights of models and efforts, an episode without requests; one join with the parents' requests."""
+    s = 1_000_000
+    episodes = spark.createDataFrame([(1, 7, 1000 * s, 1100 * s, 10), (2, 7, 9000 * s, 9000 * s, 5)], "episode long, parent long, start long, end long, tokens long")
+    rows = [(7, 950, "b", "x", 5), (7, 1000, "a", "y", 3), (7, 1050, "a", None, 2), (7, 1200, "c", "x", 0), (7, 1221, "c", "x", 99), (8, 1000, "d", "x", 50)]
+    work = spark.createDataFrame([(p, t * s, m, e, n) for p, t, m, e, n in rows], "parent long, us long, model string, effort string, tokens long")
+    d = pairing.episode_context(episodes, work)
+    assert len(re.findall("(?:SortMerge|BroadcastHash|ShuffledHash)Join", d._jdf.queryExecution().executedPlan().toString())) == 2
+    out = {x.episode: (x.before, x.during, x.after, x.parent_requests, x.model, x.effort, x.local_share) for x in d.collect()}
+    assert out == {1: (5, 5, 0, 4, "a", "x", 0.5), 2: (0, 0, 0, 0, None, None, 1.0)}
