@@ -71,7 +71,9 @@ def sum_names(n: int) -> list[str]:
 def non_negative(n: int, eps: float = 1e-12) -> list[Column]:
     """The coefficients of non-negative least squares without intercept from the sums of ``gram_sums``: of the least
     squares solutions of all sets of features without a negative coefficient the one that explains most (that is the
-    exact optimum: it is the free solution of its own features). Features that are all zero get zero."""
+    exact optimum: it is the free solution of its own features). Features that are all zero get zero. Of two features, one
+    alone is judged by h * h / g without rounding, the form that the queries' SQL has: on one row both explain the same,
+    and only the same steps take the same one."""
     g = lambda i, j: F.col(f"g_{min(i, j)}_{max(i, j)}")
     ways = {}
     for k in range(1, n + 1):
@@ -84,6 +86,8 @@ def non_negative(n: int, eps: float = 1e-12) -> list[Column]:
                 beta[i] = F.when(det > eps * scale, determinant(swapped) / det)
             fits = reduce(lambda x, y: x & y, (F.coalesce(b >= 0, F.lit(False)) for b in beta.values()))
             gain = F.round(sum((b * F.col(f"h_{i}") for i, b in beta.items()), F.lit(0.0)), 9)
+            if n == 2:  # only one alone against the other: as it is, the first where equal
+                gain = F.when(det > 0, F.col(f"h_{own[0]}") * F.col(f"h_{own[0]}") / det) if k == 1 else F.lit(math.inf)
             cells = [beta.get(i, F.lit(0.0)).alias(f"b{i}") for i in range(n)]
             ways[own] = fits, F.struct(gain.alias("gain"), F.lit(-k).alias("few"), *cells)
     # a set that fits explains no less than the sets within it, so these never compete with it: rounding would decide

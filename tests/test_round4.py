@@ -88,3 +88,17 @@ def test_contexts_meet_their_parents_once(spark):
     assert len(re.findall("(?:SortMerge|BroadcastHash|ShuffledHash)Join", d._jdf.queryExecution().executedPlan().toString())) == 2
     out = {x.episode: (x.before, x.during, x.after, x.parent_requests, x.model, x.effort, x.local_share) for x in d.collect()}
     assert out == {1: (5, 5, 0, 4, "a", "x", 0.5), 2: (0, 0, 0, 0, None, None, 1.0)}
+
+
+def test_one_row_is_fitted_by_the_same_steps_as_the_sql(spark):
+    """On one row each feature alone explains the same but for the last bit: h * h / g decides, the first where equal."""
+    r = random.Random(18)
+    rows, want = [], []
+    for _ in range(300):
+        a, b, y, z = r.randrange(1, 10**8) / 1e6, r.randrange(1, 10**8) / 1e6, float(r.randint(1, 9)), r.randint(1, 5)
+        aa, ab, bb, ay, yb = a * a * z, a * b * z, b * b * z, a * y * z, b * y * z
+        rows.append((len(rows), aa, ab, bb, ay, yb))
+        want.append((ay / aa, 0.0) if ay * ay / aa >= yb * yb / bb else (0.0, yb / bb))
+    d = spark.createDataFrame(rows, "i int, g_0_0 double, g_0_1 double, g_1_1 double, h_0 double, h_1 double")
+    assert {x.i: (x.b0, x.b1) for x in d.select("i", *(b.alias(f"b{i}") for i, b in enumerate(stats.non_negative(2)))).collect()} == dict(enumerate(want))
+    assert any(w[0] == 0 for w in want)
